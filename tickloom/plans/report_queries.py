@@ -156,7 +156,7 @@ BCE = f"""WITH {SCORED}, bce AS (
          avg({LOSS.format(FC)}) AS bce_fair, avg({LOSS.format(MC)}) AS bce_mkt,
          avg(power({FC} - outc, 2)) AS brier_fair, avg(power({MC} - outc, 2)) AS brier_mkt,
          avg(abs(fair - mid)) AS mae
-  FROM scored GROUP BY 1, 2 HAVING count(*) >= 10 AND bucket IS NOT NULL)"""
+  FROM scored GROUP BY 1, 2 HAVING count(*) >= 3 AND bucket IS NOT NULL)"""
 
 
 @query("settlement_loss_by_event", BCE + """
@@ -164,7 +164,7 @@ SELECT ticker, bucket, date, rows, round(bce_fair, 6) AS bce_fair, round(bce_mkt
        round(brier_fair, 6) AS brier_fair, round(brier_mkt, 6) AS brier_mkt,
        round(mae, 6) AS mae, round(bce_fair - bce_mkt, 6) + 0.0 AS d FROM bce""")
 def settlement_loss_by_event(spark, sf):
-    rows = R.bce_rows(scored(spark, sf), B.tte_bucket(F.col("tte_s"), default=None), 10)
+    rows = R.bce_rows(scored(spark, sf), B.tte_bucket(F.col("tte_s"), default=None), 3)
     return rows.select("ticker", "bucket", "date", "rows", *r6(
         "bce_fair", "bce_mkt", "brier_fair", "brier_mkt", "mae", "d"))
 
@@ -176,7 +176,7 @@ SELECT bucket, count(*) AS events, round(avg(bce_fair), 6) AS bce_fair,
        round(avg(mae), 6) AS mae
 FROM d GROUP BY bucket HAVING count(*) >= 3""")
 def settlement_loss_report(spark, sf):
-    rows = R.bce_rows(scored(spark, sf), B.tte_bucket(F.col("tte_s"), default=None), 10)
+    rows = R.bce_rows(scored(spark, sf), B.tte_bucket(F.col("tte_s"), default=None), 3)
     return R.bce_report(rows).select("bucket", "events", *r6(
         "bce_fair", "bce_mkt", "d", "t", "brier_fair", "brier_mkt", "mae"))
 
@@ -186,10 +186,10 @@ SELECT ticker, {sql_price('mid', None)} AS bucket, min(date) AS date, count(*) A
        round(avg({LOSS.format(FC)}), 6) AS bce_fair, round(avg({LOSS.format(MC)}), 6) AS bce_mkt,
        round(avg(abs(fair - mid)), 6) AS mae
 FROM scored WHERE tte_s <= 900 AND tte_s > 0 GROUP BY 1, 2
-HAVING count(*) >= 10 AND bucket IS NOT NULL""")
+HAVING count(*) >= 3 AND bucket IS NOT NULL""")
 def settlement_loss_by_price(spark, sf):
     rows = scored(spark, sf).filter((F.col("tte_s") <= 900) & (F.col("tte_s") > 0))
-    out = R.bce_rows(rows, B.price_bucket(F.col("mid"), default=None), 10)
+    out = R.bce_rows(rows, B.price_bucket(F.col("mid"), default=None), 3)
     return out.select("ticker", "bucket", "date", "rows", *r6("bce_fair", "bce_mkt", "mae"))
 
 
