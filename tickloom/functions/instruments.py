@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 VENUES = {"polymarket": ("UP", "DOWN", 250), "kalshi": ("YES", "NO", 0)}
 
 
+def int_div(a: Column, b: int) -> Column:
+    """Whole quotient in integer arithmetic; nanoseconds do not fit a double."""
+    return F.call_function("div", a, F.lit(b).cast("long"))
+
+
 def topic_regex(pattern: str) -> str:
     """Regex for a dotted topic with a leading dot: ``*`` one segment, ``#`` zero or more."""
     parts = {"*": r"\.[^.]+", "#": r"(?:\.[^.]+)*"}
@@ -81,7 +86,7 @@ def topic_venue(topic: Column, source: Column) -> Column:
 
 
 def utc_date_ns(ts_ns: Column) -> Column:
-    return F.to_date(F.timestamp_seconds(F.floor(ts_ns / 1_000_000_000)))
+    return F.to_date(F.timestamp_micros(int_div(ts_ns, 1000)))
 
 
 def strike_of(ticker: Column) -> Column:

@@ -57,7 +57,8 @@ def chunk_carry(df: DataFrame, by: Sequence[str], summary: dict[str, Column],
 
     ``summary`` reduces one chunk to one row (partial aggregation runs map-side);
     ``running`` maps an output name to ``(summary column, how)`` with how one of
-    ``sum`` (exclusive running total) or ``last`` (latest non-null before the chunk).
+    ``sum`` (exclusive running total), ``min`` (smallest so far) or ``last`` (latest
+    non-null), each over the chunks before this one.
     The scanned table has one row per key and chunk.
     """
     keys = [*by, CHUNK]
@@ -68,6 +69,8 @@ def chunk_carry(df: DataFrame, by: Sequence[str], summary: dict[str, Column],
     for name, (source, how) in running.items():
         if how == "sum":
             outs.append(F.coalesce(F.sum(source).over(earlier), F.lit(0)).alias(name))
+        elif how == "min":
+            outs.append(F.min(source).over(earlier).alias(name))
         elif how == "last":
             outs.append(F.last(source, ignorenulls=True).over(earlier).alias(name))
         else:

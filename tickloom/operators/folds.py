@@ -34,6 +34,51 @@ def rising_edges(df: DataFrame, on: Column, *, by: Sequence[str], ts: str,
             .drop("_on", "_was", "_before", CHUNK))
 
 
+def fold_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str], fn,
+                schema: T.StructType) -> DataFrame:
+    """Run ``fn(key, columns)`` on each group, rows in ``order``, ``columns`` as numpy arrays.
+
+    ``fn`` returns a dict of equally long arrays (or None). Groups are read off sorted
+    partitions, so many small groups cost no more than their rows.
+    """
+    keys, names = list(keys), schema.names
+
+    def run(batches):
+        pending, current = [], None
+
+        def close():
+            cols = {c: np.concatenate([p[c].to_numpy() for p in pending]) for c in pending[0]}
+            return fn(current, cols)
+
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            moved = np.zeros(len(pdf), dtype=bool)
+            for k in keys:
+                col = pdf[k].to_numpy()
+                moved[1:] |= col[1:] != col[:-1]
+            starts = np.r_[0, np.flatnonzero(moved), len(pdf)]
+            done = []
+            for a, b in zip(starts[:-1], starts[1:]):
+                part = pdf.iloc[a:b]
+                key = tuple(part[k].iat[0] for k in keys)
+                if pending and key != current:
+                    done.append(close())
+                    pending = []
+                current = key
+                pending.append(part)
+            done = [pd.DataFrame(d) for d in done if d is not None]
+            if done:
+                yield pd.concat(done, ignore_index=True)[names]
+        if pending:
+            last = close()
+            if last is not None:
+                yield pd.DataFrame(last)[names]
+
+    parts = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    return parts.mapInPandas(run, schema)
+
+
 def _chain_end(times: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
     """Index of the next acceptable time after each, and of the last one it leads to."""
     nxt = np.searchsorted(times, times + gap, side="left")
@@ -56,6 +101,9 @@ def refractory(df: DataFrame, *, by: Sequence[str], ts: str, gap: int,
     """
     if gap <= 0:
         return df
+    if not by:
+        return refractory(df.withColumn("_all", F.lit(0)), by=["_all"], ts=ts, gap=gap,
+                          order=order, chunk=chunk, sparse=sparse).drop("_all")
     if sparse:
         df = materialize(df, "candidates")
     keys = list(by)
@@ -63,53 +111,52 @@ def refractory(df: DataFrame, *, by: Sequence[str], ts: str, gap: int,
     cand = df.select(*keys, F.col(ts).cast("long").alias("_t")).distinct()
     cand = cand.withColumn(CHUNK, chunk_start(F.col("_t"), chunk))
 
-    def summarise(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        times = np.sort(pdf["_t"].to_numpy())
+    by_chunk = [*keys, CHUNK]
+
+    def keyed(key, names, cols):
+        size = len(next(iter(cols.values())))
+        return {**{n: np.full(size, v) for n, v in zip(names, key)}, **cols}
+
+    def summarise(key, cols):
+        times = cols["_t"]
         _, end = _chain_end(times, gap)
-        entries = int(np.searchsorted(times, key[-1] + gap, side="left")) + 1
-        entries = min(entries, len(times))
-        out = pd.DataFrame({"_enter": times[:entries], "_exit": times[end[:entries]]})
-        out = out.groupby("_exit", as_index=False)["_enter"].max()
-        for name, value in zip([*keys, CHUNK], key):
-            out[name] = value
-        return out[[*keys, CHUNK, "_enter", "_exit"]]
-
-    def chain(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([CHUNK, "_enter"])
-        starts, last, rows = pdf[CHUNK].to_numpy(), NEVER, []
-        enter, leave = pdf["_enter"].to_numpy(), pdf["_exit"].to_numpy()
+        entries = min(int(np.searchsorted(times, key[-1] + gap, side="left")) + 1, len(times))
+        enter, leave = times[:entries], times[end[:entries]]
+        # entries that end alike are one case: keep the last of each
+        keep = np.r_[leave[1:] != leave[:-1], True]
+        return keyed(key, by_chunk, {"_enter": enter[keep], "_exit": leave[keep]})
+
+    def chain(key, cols):
+        starts, enter, leave = cols[CHUNK], cols["_enter"], cols["_exit"]
         bounds = np.flatnonzero(np.r_[True, starts[1:] != starts[:-1], True])
+        last, opening = NEVER, []
         for a, b in zip(bounds[:-1], bounds[1:]):
-            rows.append((starts[a], last))
+            opening.append(last)
             at = a + int(np.searchsorted(enter[a:b], last + gap, side="left"))
             if at < b:
                 last = int(leave[at])
-        out = pd.DataFrame(rows, columns=[CHUNK, "_last"])
-        for name, value in zip(keys, key):
-            out[name] = value
-        return out[[*keys, CHUNK, "_last"]]
+        return keyed(key, keys, {CHUNK: starts[bounds[:-1]],
+                                 "_last": np.asarray(opening, dtype="int64")})
 
-    def finish(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        times = np.sort(pdf["_t"].to_numpy())
+    def finish(key, cols):
+        times = cols["_t"]
         nxt = np.searchsorted(times, times + gap, side="left")
-        at = int(np.searchsorted(times, int(pdf["_last"].iloc[0]) + gap, side="left"))
+        at = int(np.searchsorted(times, int(cols["_last"][0]) + gap, side="left"))
         kept = []
         while at < len(times):
             kept.append(times[at])
             at = nxt[at]
-        out = pd.DataFrame({ts: np.asarray(kept, dtype="int64")})
-        for name, value in zip(keys, key):
-            out[name] = value
-        return out[[*keys, ts]]
+        return keyed(key, by_chunk, {ts: np.asarray(kept, dtype="int64")})
 
     long = T.LongType()
-    by_chunk = [*keys, CHUNK]
-    parts = cand.groupBy(*by_chunk).applyInPandas(summarise, T.StructType(
-        [*key_fields, *[T.StructField(n, long) for n in (CHUNK, "_enter", "_exit")]]))
-    opening = parts.groupBy(*keys).applyInPandas(chain, T.StructType(
-        [*key_fields, *[T.StructField(n, long) for n in (CHUNK, "_last")]]))
-    kept = (cand.join(opening, by_chunk).groupBy(*by_chunk).applyInPandas(
-        finish, T.StructType([*key_fields, T.StructField(ts, long)])))
+
+    def fields(*names):
+        return T.StructType([*key_fields, *[T.StructField(n, long) for n in names]])
+
+    parts = fold_groups(cand, by_chunk, ["_t"], summarise, fields(CHUNK, "_enter", "_exit"))
+    opening = fold_groups(parts, keys, [CHUNK, "_enter"], chain, fields(CHUNK, "_last"))
+    kept = fold_groups(cand.join(opening, by_chunk), by_chunk, ["_t"], finish,
+                       fields(CHUNK, ts)).drop(CHUNK)
     rows = df.join(kept, [*keys, ts], "left_semi")
     if order:
         first = Window.partitionBy(*keys, ts).orderBy(*order)

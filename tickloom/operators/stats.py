@@ -19,7 +19,8 @@ def ratio(num: Column, den: Column) -> Column:
 
 
 def clip(x: Column, lo: float, hi: float) -> Column:
-    return F.least(F.greatest(x, F.lit(lo)), F.lit(hi))
+    # least and greatest skip nulls; a missing value must stay missing
+    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(lo)), F.lit(hi)))
 
 
 def log_loss(p: Column, outcome: Column, eps: float = REPORT_CLIP) -> Column:

@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tickloom.functions import instruments as I
+from tickloom.functions import ladders as L
+from tickloom.functions import prices as P
+from tickloom.operators import chunks as C
+from tickloom.operators import folds
 from tickloom.operators.asof import asof_join
+from tickloom.operators.grid import run_length
+from tickloom.operators.ranges import range_join
+from tickloom.schema import struct_of
+
+EPS = 1e-6
+MAX_ENTRY = 0.99  # fixed value: asks from here on are not bought
 
 
 def latency_book(rows: DataFrame, *, latency: int, slack: int, chunk: int, by: str = "ticker",
@@ -20,3 +35,627 @@ def latency_book(rows: DataFrame, *, latency: int, slack: int, chunk: int, by: s
                     tol=slack, take={"ybid": "_b", "yask": "_a"}, chunk=chunk)
     return (out.withColumn("fill_bid", F.coalesce("_b", "ybid"))
             .withColumn("fill_ask", F.coalesce("_a", "yask")).drop("_b", "_a"))
+
+
+# ── episodes and gates ───────────────────────────────────────────────────────
+
+def with_lookback(rows: DataFrame, columns: Sequence[str], *, second: int, chunk: int,
+                  by: str = "ticker", ts: str = "ts", youngest: float = 1.0,
+                  oldest: float = 10.0) -> DataFrame:
+    """Columns of the youngest row between ``youngest`` and ``oldest`` seconds ago, as then_*."""
+    past = rows.select(by, ts, *columns)
+    lo, hi = int(youngest * second), int(oldest * second)
+    return asof_join(rows, past, by=[by], ts=ts, at=F.col(ts) - lo, tol=hi - lo,
+                     take={c: f"then_{c}" for c in columns}, chunk=chunk)
+
+
+def gap_crossings(rows: DataFrame, delta: float, *, rearm: float, sig: str = "gap",
+                  by: Sequence[str] = ("ticker",), ts: str = "ts", order: Sequence[str] = ("seq",),
+                  tte_min: float | None = None, cap: int = 0, chunk: int) -> DataFrame:
+    """One row per episode: the crossing that disarms, with the time of the one before.
+
+    ``cap`` counts crossings, not fills, so gates applied later do not free a slot.
+    """
+    hits = folds.hysteresis(rows, sig, enter=delta, leave=rearm, by=by, ts=ts, order=order,
+                            chunk=chunk)
+    if tte_min is not None:
+        hits = hits.filter(F.col("tte_s") > tte_min)
+    hits = C.previous(hits, {ts: "prev_cross"}, by=by, ts=ts, order=order, chunk=chunk)
+    if cap:
+        hits = C.running_sum(hits, F.lit(1), "_k", by=by, ts=ts, order=order, chunk=chunk)
+        hits = hits.filter(F.col("_k") <= cap).drop("_k")
+    return hits.withColumn("delta", F.lit(delta)).withColumn(
+        "side_yes", (F.col(sig) > 0).cast("int"))
+
+
+def move_crossings(rows: DataFrame, delta: float, *, dominance: float = 2.0, rearm: float = 0.5,
+                   by: Sequence[str] = ("ticker",), ts: str = "ts",
+                   order: Sequence[str] = ("seq",), tte_min: float | None = None,
+                   chunk: int) -> DataFrame:
+    """Episodes of the fair moving without the market: |dfair| >= delta and >= k |dmid|.
+
+    Disarms on a hit, re-arms once |dfair| <= delta * rearm. ``dfair`` and ``dmid`` are the
+    one-second moves; a missing move counts as none.
+    """
+    size = F.abs(F.coalesce("dfair", F.lit(0.0)))
+    hit = (size >= delta) & F.col("dmid").isNotNull() & (size >= dominance * F.abs("dmid"))
+    out = folds.first_per_island(rows, size <= delta * rearm, hit, by=by, ts=ts, order=order,
+                                 chunk=chunk)
+    if tte_min is not None:
+        out = out.filter(F.col("tte_s") > tte_min)
+    return out.withColumn("delta", F.lit(delta)).withColumn(
+        "side_yes", (F.col("dfair") > 0).cast("int"))
+
+
+def ride_terms(rows: DataFrame, *, open_min: float | None = None, share_min: float = 0.75):
+    """push, pull and share of the last second's move, and whether the gap was opened by the model.
+
+    ``open_min`` defaults to the row's threshold.
+    """
+    s = F.when(F.col("side_yes") == 1, 1.0).otherwise(-1.0)
+    push, pull = s * F.col("dfair"), -s * F.col("dmid")
+    total = push + pull
+    share = push / F.when(total != 0, total)
+    least = F.lit(open_min) if open_min is not None else F.col("delta")
+    ride = F.coalesce((total > least) & (share > share_min), F.lit(False))
+    return (rows.withColumn("push", push).withColumn("pull", pull).withColumn("ride_share", share)
+            .withColumn("is_ride", ride))
+
+
+def gate(kind: str, *, overreact_k: float = 2.0, flip: float = 0.01) -> Column:
+    """Entry gate on ride terms: ride, fade, none or overreact."""
+    if kind == "none":
+        return F.lit(True)
+    if kind == "ride":
+        return F.col("is_ride")
+    if kind == "fade":
+        return ~F.col("is_ride")
+    if kind == "overreact":
+        s = F.when(F.col("side_yes") == 1, 1.0).otherwise(-1.0)
+        before = F.col("gap") - F.col("dfair") + F.col("dmid")
+        return F.coalesce(
+            (F.col("dfair") * F.col("dmid") > 0)
+            & (F.abs("dmid") >= overreact_k * F.abs("dfair")) & (s * before <= -flip),
+            F.lit(False))
+    raise ValueError(f"unknown gate {kind}")
+
+
+def veto(*, stale_ms: float = 0, cooldown: int = 0, ts: str = "ts") -> Column:
+    """Why a passing crossing is not traded: a stale second price, or too soon after another."""
+    none = F.lit(None).cast("string")
+    stale = F.when(F.col("cb_age_ms") > stale_ms, "stale") if stale_ms > 0 else none
+    soon = F.when(F.col(ts) - F.col("prev_cross") < cooldown, "cooldown") if cooldown else none
+    return F.coalesce(stale, soon)
+
+
+def entries(hits: DataFrame, *, chase: float | None = None) -> DataFrame:
+    """Entry price, cost with fee, and ``status``: filled, missed or skipped.
+
+    Without ``chase`` the signal row's own ask is paid. With it the post-latency ask is,
+    unless it ran more than the allowance above the signal ask (a miss).
+    """
+    yes = F.col("side_yes") == 1
+    ask = F.when(yes, F.col("yask")).otherwise(1.0 - F.col("ybid"))
+    late = F.when(yes, F.col("fill_ask")).otherwise(1.0 - F.col("fill_bid")) if (
+        chase is not None) else ask
+    missed = late > ask + (chase or 0.0) + 1e-9
+    status = F.when(missed, "missed").when(late >= MAX_ENTRY, "skipped").otherwise("filled")
+    return (hits.withColumn("status", status).withColumn("entry", late)
+            .withColumn("slip", late - ask).withColumn("cost", late + P.fee(late)))
+
+
+def settle_result(filled: DataFrame, outcome: str = "outc") -> DataFrame:
+    """Hold to settlement: won, net of cost."""
+    won = F.when(F.col("side_yes") == 1, F.col(outcome) == 1).otherwise(F.col(outcome) == 0)
+    return filled.withColumn("won", won.cast("int")).withColumn(
+        "net", won.cast("int") - F.col("cost"))
+
+
+def closure_point(hits: DataFrame, rows: DataFrame, *, eps: float, cap: int | None = None,
+                  by: str = "ticker", ts: str = "ts", chunk: int) -> DataFrame:
+    """Moves from entry to the first later row with |gap| < eps, and at min(closure, cap)."""
+    closed = rows.filter(F.abs("gap") < eps).select(by, ts, "fair", "mid")
+    out = asof_join(hits, closed, by=[by], ts=ts, direction="forward", strict=True,
+                    take={"fair": "_cf", "mid": "_cm"}, match_ts="close_ts", chunk=chunk)
+    out = out.withColumn("close_dfair", F.col("_cf") - F.col("fair")).withColumn(
+        "close_dmid", F.col("_cm") - F.col("mid"))
+    if cap is not None:
+        at = F.least(F.col(ts) + cap, F.coalesce("close_ts", F.lit(1 << 62)))
+        out = asof_join(out, rows.select(by, ts, "fair", "mid"), by=[by], ts=ts, at=at,
+                        take={"fair": "_kf", "mid": "_km"}, match_ts="_kt", chunk=chunk)
+        later = F.col("_kt") > F.col(ts)
+        out = out.withColumn("cap_dfair", F.when(later, F.col("_kf") - F.col("fair"))).withColumn(
+            "cap_dmid", F.when(later, F.col("_km") - F.col("mid")))
+        out = out.withColumn("cap_s", F.when(later, F.col("_kt") - F.col(ts))).drop(
+            "_kf", "_km", "_kt")
+    return out.drop("_cf", "_cm")
+
+
+def persistent(rows: DataFrame, delta: float, n: int, *, by: Sequence[str] = ("ticker",),
+               ts: str = "ts", order: Sequence[str] = ("seq",), chunk: int) -> DataFrame:
+    """Marks rows on which |gap| has held the threshold for at least ``n`` rows."""
+    out = run_length(rows, F.abs("gap") >= delta, "_run", by=by, ts=ts, order=order, chunk=chunk)
+    return out.withColumn("held", F.col("_run") >= n).drop("_run")
+
+
+REVERT = ("delta DOUBLE, ts BIGINT, seq BIGINT, side_yes INT, entry DOUBLE, exit_ts BIGINT, "
+          "ret_taker DOUBLE, ret_maker DOUBLE, how STRING")
+
+
+def revert_trades(rows: DataFrame, deltas: Sequence[float], *, eps: float, horizon: int,
+                  by: str = "ticker", ts: str = "ts", outcome: str = "outc") -> DataFrame:
+    """Enter on |gap| >= delta, leave when it closes to eps or after ``horizon``, else settle.
+
+    A position must close before the next can open, so this is a sequential rule over the
+    rows of one event, which last 900 s; events are independent tasks.
+    """
+    cols = rows.select(by, ts, "seq", "gap", "ybid", "yask", F.col(outcome).alias("won"))
+
+    fields = struct_of(REVERT).names
+
+    def run(key, d):
+        t, gap, bid, ask = d[ts], d["gap"], d["ybid"], d["yask"]
+        flat = np.abs(gap) <= eps
+        out = []
+        fee = lambda p: 0.07 * p * (1 - p)
+        for delta in deltas:
+            k, armed = 0, True
+            wide = np.flatnonzero(np.abs(gap) >= delta)
+            flats = np.flatnonzero(flat)
+            while k < len(t):
+                if not armed:
+                    i = np.searchsorted(flats, k)
+                    if i == len(flats):
+                        break
+                    k, armed = flats[i] + 1, True
+                    continue
+                i = np.searchsorted(wide, k)
+                if i == len(wide):
+                    break
+                k = wide[i]
+                yes = gap[k] > 0
+                entry = ask[k] if yes else 1 - bid[k]
+                armed = False
+                if entry >= MAX_ENTRY:
+                    k += 1
+                    continue
+                cost = entry + fee(entry)
+                i = np.searchsorted(flats, k + 1)
+                revert = flats[i] if i < len(flats) else len(t)
+                late = np.searchsorted(t, t[k] + horizon, side="left")
+                j = min(revert, max(late, k + 1))
+                base = (delta, t[k], d["seq"][k], int(yes), entry)
+                if j >= len(t):
+                    ret = float(d["won"][k] == (1 if yes else 0)) - cost
+                    out.append((*base, None, ret, ret, "settle"))
+                    break
+                sell = bid[j] if yes else 1 - ask[j]
+                rest = ask[j] if yes else 1 - bid[j]
+                how = "revert" if flat[j] else "horizon"
+                out.append((*base, t[j], sell - fee(sell) - cost, rest - cost, how))
+                armed, k = how == "revert", j + 1
+        if not out:
+            return None
+        res = {n: list(v) for n, v in zip(fields, zip(*out))}
+        res[by] = [key[0]] * len(out)
+        res["exit_ts"] = np.array(res["exit_ts"], dtype=object)
+        return res
+
+    return folds.fold_groups(cols, [by], [ts, "seq"], run, struct_of(REVERT, rows.schema[by]))
+
+
+def maker_entries(hits: DataFrame, rows: DataFrame, *, rest: int | None, by: str = "ticker",
+                  ts: str = "ts", order: str = "seq", bucket: int) -> DataFrame:
+    """Resting bids at our side's best: filled if the opposing ask crosses down within ``rest``.
+
+    ``rest=None`` rests to settlement. Fee-free; the first crossing row decides.
+    """
+    yes = F.col("side_yes") == 1
+    bid = F.when(yes, F.col("ybid")).otherwise(1.0 - F.col("yask"))
+    live = hits.withColumn("limit", bid).filter(F.col("limit") > 0.005)
+    quotes = rows.select(by, F.col(ts).alias("_t"), F.col("ybid").alias("_b"),
+                         F.col("yask").alias("_a"))
+    cross = F.when(yes, F.col("_a") <= F.col("limit") + 1e-9).otherwise(
+        1.0 - F.col("_b") <= F.col("limit") + 1e-9)
+    if rest is None:
+        pairs = live.join(quotes, by).filter(F.col("_t") > F.col(ts))
+    else:
+        pairs = range_join(live, quotes, pre=0, post=rest + 1, bucket=bucket, by=[by],
+                           event_ts=ts, tick_ts="_t").filter(F.col("_t") > F.col(ts))
+    first = pairs.filter(cross).groupBy(by, order, "delta").agg(F.min("_t").alias("fill_ts"))
+    return live.join(first, [by, order, "delta"], "left").withColumn(
+        "filled", F.col("fill_ts").isNotNull())
+
+
+# ── legs and trades ──────────────────────────────────────────────────────────
+
+def leg_summary(fills: DataFrame, by: Sequence[str]) -> DataFrame:
+    qty = F.sum("qty")
+    return fills.groupBy(*by).agg(
+        qty.alias("qty"), F.when(qty > 0, F.sum(F.col("qty") * F.col("px")) / F.when(qty > 0, qty))
+        .otherwise(0.0).alias("vwap"), F.sum("fee").alias("fees"),
+        F.count(F.lit(1)).alias("n_fills"), F.min("ts").alias("first_ts"),
+        F.max("ts").alias("last_ts"))
+
+
+def trade_record(plans: DataFrame, entry: DataFrame, exit_: DataFrame, *, unit_ms: int) -> DataFrame:
+    """Round trips from leg summaries: results, slippage in cents, holding and latency."""
+    names = ("qty", "vwap", "fees", "n_fills", "first_ts", "last_ts")
+    legs = [leg.select("trade_id", *[F.col(c).alias(f"{p}_{c}") for c in names])
+            for p, leg in (("entry", entry), ("exit", exit_))]
+    rows = plans.join(legs[0], "trade_id").join(legs[1], "trade_id", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    x = zero("exit_qty") * zero("exit_vwap")
+    e = F.col("entry_qty") * F.col("entry_vwap")
+    hold = F.greatest(F.coalesce("exit_last_ts", "entry_first_ts"), F.col("entry_first_ts"))
+    open_qty = F.col("entry_qty") - zero("exit_qty")
+    return (rows.withColumn("pnl_gross", x - e)
+            .withColumn("pnl_net", x - zero("exit_fees") - e - F.col("entry_fees"))
+            .withColumn("slippage_entry_c", (F.col("entry_vwap") - F.col("signal_ask")) * 100)
+            .withColumn("slippage_exit_c", F.when(zero("exit_qty") > 0, (
+                F.col("exit_ref_bid") - F.col("exit_vwap")) * 100).otherwise(0.0))
+            .withColumn("hold_ms", F.floor((hold - F.col("entry_first_ts")) / unit_ms))
+            .withColumn("lat_signal_ms", F.greatest(F.col("entry_first_ts") - F.col("signal_ts"),
+                                                    F.lit(0)) / unit_ms)
+            .withColumn("outcome", F.when(open_qty <= EPS, "Closed")
+                        .otherwise("PendingResolution")))
+
+
+# ── position ledger ──────────────────────────────────────────────────────────
+
+def effective_fills(reports: DataFrame) -> DataFrame:
+    """Fill reports to signed ledger entries, in order: apply once, undo on failure.
+
+    A first Matched or Confirmed applies the fill; a Failed after an applied one reverses
+    it; replays, late confirmations and failures of unapplied fills change nothing. An id
+    has a handful of reports.
+    """
+    w = Window.partitionBy("venue_trade_id").orderBy("ts", "seq")
+    good = F.col("status").isin("Matched", "Confirmed")
+    rows = reports.withColumn("_good", good).withColumn("_was", F.lag("_good").over(w))
+    apply_ = F.col("_good") & ~F.coalesce("_was", F.lit(False))
+    undo = ~F.col("_good") & F.coalesce("_was", F.lit(False))
+    sign = F.when(apply_, 1.0).when(undo, -1.0)
+    return rows.withColumn("sign", sign).filter(F.col("sign").isNotNull()).drop("_good", "_was")
+
+
+def position_ledger(fills: DataFrame, *, chunk: int, by: str = "instrument", ts: str = "ts",
+                    order: str = "seq") -> DataFrame:
+    """Average-cost position after every fill, for any number of fills per instrument.
+
+    Cost basis follows basis' = a * basis + b with a and b known once the held quantity is:
+    buys add their cost, sells keep the remaining share. Such steps compose, so chunks are
+    reduced to one (a, b) pair each, chained per instrument, and finished in parallel.
+    Selling more than is held (or undoing more than was bought) is flagged, and the ledger
+    of that instrument stands still from there on, as its state can no longer be trusted.
+    """
+    signed = F.col("sign") if "sign" in fills.columns else F.lit(1.0)
+    buy = F.col("side") == "Buy"
+    rows = fills.withColumn("_q", signed * F.col("qty"))
+    step = F.when(buy, F.col("_q")).otherwise(-F.col("_q"))
+    rows = C.running_sum(rows, step, "_held", by=[by], ts=ts, order=[order], chunk=chunk)
+    rows = rows.withColumn("_held", F.round("_held", 6))
+    bad = F.col("_held") < -EPS
+    rows = C.running_sum(rows, bad.cast("long"), "_bad", by=[by], ts=ts, order=[order], chunk=chunk)
+    rows = rows.withColumn("violation", F.col("_bad") > 0)
+    ok = ~F.col("violation")
+    before = F.col("_held") - step
+    keep = F.when(~ok | buy, 1.0).otherwise(
+        F.when(before > EPS, F.greatest(F.col("_held"), F.lit(0.0)) / F.when(before > EPS, before))
+        .otherwise(0.0))
+    fee = signed * F.col("fee")
+    add = F.when(ok & buy, F.col("_q") * F.col("px") + fee).otherwise(0.0)
+    # an emptied position keeps no basis
+    keep = F.when(ok & (F.col("_held") <= EPS), 0.0).otherwise(keep)
+    add = F.when(ok & (F.col("_held") <= EPS), 0.0).otherwise(add)
+    cash = F.when(ok, F.when(buy, -(F.col("_q") * F.col("px") + fee)).otherwise(
+        F.col("_q") * F.col("px") - fee)).otherwise(0.0)
+    sold = F.when(ok & ~buy, F.col("_q")).otherwise(0.0)
+    slim = rows.select(
+        by, ts, order, C.chunk_start(F.col(ts), chunk).alias(C.CHUNK), keep.alias("a"),
+        add.alias("b"), sold.alias("sold"), F.when(ok, fee).otherwise(0.0).alias("fee"),
+        F.when(ok & ~buy, F.col("_q") * F.col("px") - fee).otherwise(0.0).alias("income"),
+        before.alias("before"), F.col("_held").alias("held"), cash.alias("cash"), "violation")
+
+    key_field, order_field = fills.schema[by], fills.schema[order]
+    double = T.DoubleType()
+
+    def reduce_chunk(key, d):
+        a, b = 1.0, 0.0
+        for x, y in zip(d["a"], d["b"]):
+            a, b = a * x, b * x + y
+        return {by: [key[0]], C.CHUNK: [key[1]], "a": [a], "b": [b]}
+
+    parts = folds.fold_groups(
+        slim.select(by, C.CHUNK, ts, order, "a", "b"), [by, C.CHUNK], [ts, order], reduce_chunk,
+        T.StructType([key_field, T.StructField(C.CHUNK, T.LongType()),
+                      T.StructField("a", double), T.StructField("b", double)]))
+
+    def chain(key, d):
+        basis, opening = 0.0, []
+        for x, y in zip(d["a"], d["b"]):
+            opening.append(basis)
+            basis = basis * x + y
+        return {by: [key[0]] * len(opening), C.CHUNK: d[C.CHUNK], "_open": opening}
+
+    opening = folds.fold_groups(
+        parts, [by], [C.CHUNK], chain, T.StructType([
+            key_field, T.StructField(C.CHUNK, T.LongType()), T.StructField("_open", double)]))
+
+    def finish(key, d):
+        basis, n = float(d["_open"][0]), len(d["a"])
+        cost, realized, held_out = np.zeros(n), np.zeros(n), np.zeros(n)
+        for i in range(n):
+            avg = basis / d["before"][i] if d["before"][i] > EPS else 0.0
+            if not d["violation"][i]:
+                realized[i] = d["income"][i] - d["sold"][i] * avg
+                basis = basis * d["a"][i] + d["b"][i]
+            cost[i] = basis
+        return {by: [key[0]] * n, C.CHUNK: [key[1]] * n, ts: d[ts], order: d[order],
+                "basis": cost, "gain": realized, "fee": d["fee"], "cash": d["cash"],
+                "held": d["held"], "violation": d["violation"]}
+
+    done = folds.fold_groups(
+        slim.join(opening, [by, C.CHUNK]), [by, C.CHUNK], [ts, order], finish, T.StructType([
+            key_field, T.StructField(C.CHUNK, T.LongType()), T.StructField(ts, T.LongType()),
+            order_field, *[T.StructField(n, double) for n in (
+                "basis", "gain", "fee", "cash", "held")],
+            T.StructField("violation", T.BooleanType())])).drop(C.CHUNK)
+    kw = dict(by=[by], ts=ts, order=[order], chunk=chunk)
+    done = C.with_chunk(done, ts, chunk)
+    sums = {"realized": "gain", "fees_paid": "fee", "cash": "cash"}
+    live = F.when(~F.col("violation"), F.greatest(F.col("held"), F.lit(0.0)))
+    done = done.withColumn("_live", live)
+    done = C.chunk_carry(done, [by], {
+        **{f"_n_{n}": F.sum(c) for n, c in sums.items()},
+        "_q": F.max_by("_live", F.when(~F.col("violation"), F.struct(ts, order)))},
+        {**{f"_c_{n}": (f"_n_{n}", "sum") for n in sums}, "_q0": ("_q", "last")})
+    frame = C.chunk_window([by], ts, order).rowsBetween(Window.unboundedPreceding, 0)
+    qty = F.coalesce(F.last("_live", ignorenulls=True).over(frame), F.col("_q0"), F.lit(0.0))
+    return done.select(
+        by, ts, order, qty.alias("qty_after"), F.when(qty > EPS, F.col("basis") / F.when(
+            qty > EPS, qty)).otherwise(0.0).alias("avg_cost"),
+        *[(F.col(f"_c_{n}") + F.sum(c).over(frame)).alias(n) for n, c in sums.items()],
+        "violation")
+
+
+def settle_positions(positions: DataFrame, markets: DataFrame) -> DataFrame:
+    """Resolved markets pay 1 per share of the winning outcome and 0 of the other."""
+    keyed = positions.withColumn("market_id", I.market_id(F.col("instrument")))
+    won = markets.select(I.market_id(F.col("winner")).alias("market_id"), "winner")
+    rows = keyed.join(won, "market_id").filter(F.abs("qty") >= EPS)
+    payout = (F.col("instrument") == F.col("winner")).cast("double")
+    return rows.withColumn("payout", payout).withColumn(
+        "settle_pnl", F.col("qty") * (payout - F.col("avg_cost"))).withColumn(
+        "settle_cash", F.col("qty") * payout)
+
+
+def join_market(rows: DataFrame, meta: DataFrame) -> DataFrame:
+    """Market facts, keyed on the yes side in the catalog, joined to either outcome."""
+    facts = meta.withColumn("market_id", I.market_id(F.col("instrument"))).drop("instrument")
+    return rows.withColumn("market_id", I.market_id(F.col("instrument"))).join(
+        facts, "market_id", "left")
+
+
+def mark_positions(positions: DataFrame, tops: DataFrame, *, chunk: int) -> DataFrame:
+    """Positions marked at the best bid in force, with unrealised profit."""
+    out = asof_join(positions, tops, by=["instrument"], take={"bid": "mark"}, chunk=chunk)
+    open_ = (F.col("qty") > 0) & F.col("mark").isNotNull()
+    return out.withColumn("upnl", F.when(open_, F.col("qty") * (
+        F.col("mark") - F.col("avg_cost"))).otherwise(0.0))
+
+
+def daily_totals(ledger: DataFrame, fills: DataFrame, *, by: str = "instrument",
+                 order: str = "seq", ts: str = "ts", chunk: int) -> DataFrame:
+    """Realised result, fees and fills per UTC day over the account."""
+    prev = C.previous(ledger, {"realized": "_r", "fees_paid": "_f", "cash": "_c"}, by=[by], ts=ts,
+                      order=[order], chunk=chunk)
+    d = lambda c, p: F.col(c) - F.coalesce(p, F.lit(0.0))
+    rows = prev.select(F.date_format(F.timestamp_micros(ts), "yyyy-MM-dd").alias("date"),
+                       d("realized", "_r").alias("r"), d("fees_paid", "_f").alias("f"),
+                       d("cash", "_c").alias("c"))
+    return rows.groupBy("date").agg(F.sum("r").alias("realized"), F.sum("f").alias("fees"),
+                                    F.sum("c").alias("cash"), F.count(F.lit(1)).alias("n"))
+
+
+# ── probes ───────────────────────────────────────────────────────────────────
+
+def hold_returns(trades: DataFrame, books: DataFrame, offsets: dict[int, int], *, rate: float,
+                 chunk: int) -> DataFrame:
+    """Return of selling the held quantity into the recorded bids at each offset, in cents.
+
+    ``offsets`` maps the label (ms) to ticks of the table's clock. Both legs pay the fee.
+    """
+    ladder = F.explode(F.array(*[F.struct(F.lit(h).alias("h"), F.lit(v).cast("long").alias("v"))
+                                 for h, v in offsets.items()]))
+    rows = trades.withColumn("_o", ladder)
+    rows = asof_join(rows, books, by=["instrument"], at=F.col("ts") + F.col("_o.v"),
+                     take={"bids": "_bids"}, tie="seq", chunk=chunk)
+    rows = rows.withColumn("_x", L.sweep(F.col("_bids"), F.col("qty"), F.lit(0.0), "sell"))
+    rows = rows.filter(F.col("_x.qty") > EPS)
+    gross = F.col("_x.vwap") - F.col("entry")
+    net = gross - P.fee(F.col("_x.vwap"), rate=rate) - P.fee(F.col("entry"), rate=rate)
+    return rows.select(
+        "trade_id", "instrument", F.col("_o.h").alias("hold_ms"), F.col("_x.qty").alias("filled"),
+        F.col("_x.vwap").alias("exit"), (gross * 100).alias("gross_c"), (net * 100).alias("net_c"))
+
+
+def price_path(signals: DataFrame, books: DataFrame, offsets: Sequence[int], *,
+               chunk: int) -> DataFrame:
+    """Quotes, depth and moves from the signal's references at each offset, filled or not."""
+    rows = signals.withColumn("offset", F.explode(F.array(*[
+        F.lit(o).cast("long") for o in offsets])))
+    rows = asof_join(rows, books, by=["instrument"], at=F.col("ts") + F.col("offset"),
+                     take={"bids": "_b", "asks": "_a"}, tie="seq", chunk=chunk)
+    b, a = F.col("_b"), F.col("_a")
+    mid = L.mid(b, a)
+    return rows.filter(b.isNotNull()).select(
+        "signal_id", "offset", L.best(b).alias("bid"), L.best(a).alias("ask"), mid.alias("mid"),
+        ((mid - F.col("ref_mid")) * 100).alias("dmid_c"),
+        ((L.best(a) - F.col("ref_ask")) * 100).alias("dask_c"),
+        L.total_qty(b).alias("bid_depth"), F.size(b).alias("bid_levels"),
+        L.total_qty(a).alias("ask_depth"), F.size(a).alias("ask_levels"))
+
+
+def ask_move(signals: DataFrame, tops: DataFrame, *, pre: int, chunk: int) -> DataFrame:
+    """Move of the ask over the look-back before the signal, in cents."""
+    out = signals
+    for name, at in (("_a1", F.col("ts")), ("_a0", F.col("ts") - pre)):
+        out = asof_join(out, tops, by=["instrument"], at=at, take={"ask": name}, tie="seq",
+                        chunk=chunk)
+    return out.withColumn("pre_move_c", (F.col("_a1") - F.col("_a0")) * 100).drop("_a0", "_a1")
+
+
+def maker_exit(exits: DataFrame, tops: DataFrame, *, rest: int, rate: float,
+               chunk: int) -> DataFrame:
+    """Shadow of a post-only sell at ``offer`` against crossing at the bid.
+
+    Rejected when the bid is already there, filled at the offer when the bid reaches it
+    within ``rest``, else crossed at the bid in force when the time is up.
+    """
+    edge = F.col("offer") - 1e-9
+    reach = tops.select("instrument", F.col("ts").alias("_t"), F.col("bid").alias("_b"))
+    # bids at or above the offer: compare on whole cents, the tick of the venue
+    cents = lambda c: F.ceil(F.round(c * 100, 6)).cast("long")
+    levels = exits.select("instrument", cents(F.col("offer")).alias("_lvl")).distinct()
+    hits = reach.join(levels, "instrument").filter(
+        F.col("_b") * 100 >= F.col("_lvl") - 1e-6).select("instrument", "_lvl", "_t")
+    rows = exits.withColumn("_lvl", cents(F.col("offer")))
+    rows = asof_join(rows, hits, by=["instrument", "_lvl"], right_ts="_t", direction="forward",
+                     strict=True, tol=rest, take={}, match_ts="_hit", chunk=chunk)
+    rows = asof_join(rows, tops, by=["instrument"], at=F.col("ts") + rest, take={"bid": "_end"},
+                     chunk=chunk)
+    outcome = F.when(F.col("bid0") >= edge, "reject").when(
+        F.col("_hit").isNotNull(), "maker_fill").otherwise("timeout")
+    cross = F.when(outcome == "reject", F.col("bid0")).when(
+        outcome == "maker_fill", F.col("offer")).otherwise(F.col("_end"))
+    maker = F.when(outcome == "maker_fill", F.col("offer")).otherwise(
+        cross - P.fee(cross, rate=rate))
+    taker = F.col("bid0") - P.fee(F.col("bid0"), rate=rate)
+    return rows.withColumn("outcome", outcome).withColumn("cross", cross).withColumn(
+        "gain_c", (maker - taker) * 100).drop("_lvl", "_hit", "_end")
+
+
+def expiry_cleanup(positions: DataFrame, tops: DataFrame, *, window: int, rate: float,
+                   chunk: int) -> DataFrame:
+    """Residuals sold at the bid in force ``window`` before expiry, never more than is held."""
+    rows = positions.filter(F.col("qty") > EPS)
+    rows = asof_join(rows, tops, by=["instrument"], at=F.col("expiry") - window,
+                     take={"bid": "px"}, chunk=chunk).filter(F.col("px") > 0)
+    sold = F.least(F.coalesce("wanted", "qty"), F.col("qty"))
+    return rows.withColumn("sold", sold).withColumn("fee", P.fee(F.col("px"), sold, rate=rate))
+
+
+def chase_entries(signals: DataFrame, books: DataFrame, *, chase: float, delays: Sequence[int],
+                  rate: float, chunk: int) -> DataFrame:
+    """Bounded entry attempts: each may pay up to its own ask plus ``chase``; first fill counts.
+
+    Attempt i is sent against the book at ``delays[i]`` and meets the one at
+    ``delays[i + 1]``; the drift in cents of the first attempt is kept for all signals.
+    """
+    tries = len(delays) - 1
+    rows = signals.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
+    pick = lambda i: F.get(F.array(*[F.lit(d).cast("long") for d in delays]), i)
+    for name, i in (("_seen", F.col("attempt")), ("_met", F.col("attempt") + 1)):
+        rows = asof_join(rows, books, by=["instrument"], at=F.col("ts") + pick(i),
+                         take={"asks": name}, tie="seq", chunk=chunk)
+    cap = L.best(F.col("_seen")) + chase
+    rows = rows.withColumn("_x", L.sweep(F.col("_met"), F.col("size"), cap, "buy"))
+    px = F.when(F.col("_x.qty") > EPS, F.col("_x.vwap")).otherwise(L.best(F.col("_met")))
+    drift = (px - F.col("signal_ask")) * 100
+    keys = [c for c in signals.columns]
+    out = rows.groupBy(*keys).agg(
+        F.max(F.when(F.col("attempt") == 0, drift)).alias("drift_c"),
+        F.min_by(F.struct("attempt", "_x"), F.when(F.col("_x.qty") > EPS, F.col("attempt")))
+        .alias("_f"))
+    qty, vwap = F.col("_f._x.qty"), F.col("_f._x.vwap")
+    return out.select(*keys, "drift_c", F.col("_f.attempt").alias("attempt"), qty.alias("qty"),
+                      vwap.alias("vwap"), P.fee(vwap, qty, rate=rate).alias("fee"))
+
+
+def translate_closes(closes: DataFrame) -> DataFrame:
+    """Buys of the complement booked as fee-free sells of the held side at 1 - p."""
+    return closes.select(
+        F.concat_ws("-cl", "order_id", F.col("seq").cast("string")).alias("venue_trade_id"),
+        "order_id", I.complement(F.col("instrument")).alias("instrument"),
+        F.lit("Sell").alias("side"), "qty", P.close_price(F.col("px")).alias("px"),
+        F.lit(0.0).alias("fee"), "ts", "seq")
+
+
+# ── attribution and audits ───────────────────────────────────────────────────
+
+def attribute_fills(fills: DataFrame, orders: DataFrame, signals: DataFrame) -> DataFrame:
+    """Fill to order to trade to signal; the trade id heads the client id."""
+    parts = F.split("client_id", ":")
+    sent = orders.select("order_id", "client_id", F.get(parts, F.lit(0)).alias("trade_id"),
+                         F.get(parts, F.lit(1)).alias("leg"),
+                         F.get(parts, F.lit(2)).try_cast("int").alias("attempt"))
+    return fills.join(sent, "order_id").join(signals, "trade_id", "left")
+
+
+def lost_acks(fills: DataFrame, orders: DataFrame) -> DataFrame:
+    return fills.join(orders, "order_id", "left_anti")
+
+
+def audit_positions(ours: DataFrame, venue: DataFrame, eps: float = EPS) -> DataFrame:
+    """Markets whose net quantity differs from the venue's, missing ones counting as zero."""
+    both = ours.select("market_id", F.col("net").alias("ours")).join(
+        venue.select("market_id", F.col("net").alias("venue")), "market_id", "full")
+    gap = F.coalesce("ours", F.lit(0.0)) - F.coalesce("venue", F.lit(0.0))
+    return both.withColumn("diff", gap).filter(F.abs("diff") > eps)
+
+
+def conflicting_fills(reports: DataFrame) -> DataFrame:
+    """Ids reported with more than one quantity or price."""
+    return reports.groupBy("venue_trade_id").agg(
+        F.min("qty").alias("min_qty"), F.max("qty").alias("max_qty"), F.min("px").alias("min_px"),
+        F.max("px").alias("max_px")).filter(
+        (F.col("min_qty") != F.col("max_qty")) | (F.col("min_px") != F.col("max_px")))
+
+
+def signal_funnel(signals: DataFrame, rejects: DataFrame, attempts: DataFrame,
+                  fills: DataFrame) -> DataFrame:
+    """Each signal ends in one stage: rejected by a reason, attempted, filled or unexplained."""
+    why = rejects.groupBy("trade_id").agg(F.min("reason").alias("reason"))
+    tried = attempts.select("trade_id").distinct().withColumn("_t", F.lit(True))
+    done = fills.select("trade_id").distinct().withColumn("_f", F.lit(True))
+    rows = (signals.join(why, "trade_id", "left").join(tried, "trade_id", "left")
+            .join(done, "trade_id", "left"))
+    stage = F.when(F.col("_f"), "filled").when(F.col("_t"), "attempted").when(
+        F.col("reason").isNotNull(), F.concat(F.lit("rejected: "), F.col("reason"))
+    ).otherwise("unexplained")
+    return rows.groupBy(stage.alias("stage")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def latency_of_signals(samples: DataFrame, signals: DataFrame) -> DataFrame:
+    """Latency samples joined back to their signal by origin time, strategy and target."""
+    keyed = signals.withColumnRenamed("ts_ns", "origin_ts_ns")
+    return samples.join(keyed, ["origin_ts_ns", "strategy", "target"])
+
+
+def rate_limited(signals: DataFrame, *, limit: int, span: int, by: Sequence[str],
+                 ts: str = "ts", order: str = "seq", chunk: int) -> DataFrame:
+    """Accepted flag under at most ``limit`` accepted signals per sliding ``span``.
+
+    Only accepted ones count. A quiet ``span`` empties the window, so stretches between
+    such pauses are independent.
+    """
+    keys = list(by)
+    rows = C.previous(signals, {ts: "_p"}, by=keys, ts=ts, order=[order], chunk=chunk)
+    fresh = (F.col("_p").isNull() | (F.col(ts) - F.col("_p") > span)).cast("long")
+    rows = C.running_sum(rows, fresh, "_g", by=keys, ts=ts, order=[order], chunk=chunk)
+
+    def run(key, d):
+        kept, ok, head = [], np.zeros(len(d[ts]), dtype=bool), 0
+        for i, t in enumerate(d[ts]):
+            while head < len(kept) and kept[head] < t - span:
+                head += 1
+            if len(kept) - head < limit:
+                ok[i] = True
+                kept.append(t)
+        return {**{k: [v] * len(ok) for k, v in zip(keys, key)}, order: d[order], "accepted": ok}
+
+    schema = T.StructType([*[signals.schema[k] for k in keys], signals.schema[order],
+                           T.StructField("accepted", T.BooleanType())])
+    return folds.fold_groups(rows.select(*keys, "_g", ts, order), [*keys, "_g"], [ts, order], run,
+                             schema)

@@ -1,6 +1,7 @@
 """All registered queries."""
 
-from tickloom.plans import grid_queries, report_queries, source_queries, time_queries  # noqa: F401
+from tickloom.plans import (  # noqa: F401
+    book_queries, grid_queries, report_queries, source_queries, time_queries)
 from tickloom.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

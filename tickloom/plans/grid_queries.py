@@ -305,7 +305,8 @@ w AS (SELECT kind, n, ts, seq, CASE WHEN status = 'Live' THEN instrument END AS
   SELECT m.kind, m.n, m.ts, m.seq, CASE WHEN m.status = 'Live' THEN m.instrument
     WHEN m.status = 'Expired' AND m.instrument = w.link THEN NULL ELSE w.link END
   FROM w JOIN m ON m.kind = w.kind AND m.n = w.n + 1),
-day_end AS (SELECT kind, ts, arg_max(link, n) AS link, max(n) AS n FROM w GROUP BY 1, 2),
+day_end AS (SELECT kind, ts, link FROM w
+  QUALIFY row_number() OVER (PARTITION BY kind, ts ORDER BY n DESC) = 1),
 probe AS (SELECT 'M' || (c_custkey % 40) AS kind, c_custkey AS id,
   epoch_us(TIMESTAMP '1996-01-01') + c_custkey * {6 * HOUR} + 1 AS ts FROM customer)
 SELECT p.id, d.link AS target FROM probe p ASOF LEFT JOIN day_end d ON p.kind = d.kind AND p.ts >= d.ts""")

@@ -6,6 +6,8 @@ Times in nanoseconds stay BIGINT: timestamps here are only microseconds. Unsigne
 
 from __future__ import annotations
 
+from pyspark.sql import types as T
+
 LADDER = "ARRAY<STRUCT<px: DOUBLE, qty: DOUBLE>>"
 RAW_LADDER = "ARRAY<ARRAY<DOUBLE>>"
 
@@ -81,3 +83,11 @@ MODEL = ("arch STRUCT<hidden: INT, clamp: DOUBLE, act: STRING, logit: STRING, mo
          "type STRING, rho_bar DOUBLE, rho_cb DOUBLE, rho_kr DOUBLE, b_scale DOUBLE, "
          "extras ARRAY<STRING>, mu ARRAY<DOUBLE>, sd ARRAY<DOUBLE>, "
          "layers ARRAY<STRUCT<w: ARRAY<ARRAY<DOUBLE>>, b: ARRAY<DOUBLE>>>")
+
+
+def struct_of(fields: str, *first: T.StructField) -> T.StructType:
+    """StructType of plain ``name TYPE`` pairs, usable before a session exists."""
+    kinds = {"BIGINT": T.LongType(), "INT": T.IntegerType(), "DOUBLE": T.DoubleType(),
+             "STRING": T.StringType(), "BOOLEAN": T.BooleanType()}
+    pairs = [f.split() for f in fields.split(",")]
+    return T.StructType([*first, *[T.StructField(n, kinds[k]) for n, k in pairs]])

@@ -18,7 +18,7 @@ def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     body = F.from_json(F.col(column), f"{schema.EVENT}, {BAD} STRING",
                        {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD})
     keep = [c for c in lines.columns if c != column]
-    return lines.select(*keep, body.alias("_e")).select(*keep, "_e.*")
+    return lines.select(*keep, F.explode(F.array(body)).alias("_e")).select(*keep, "_e.*")
 
 
 def read_events(spark: SparkSession, base: str, stream: str | None = None,

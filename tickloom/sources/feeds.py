@@ -39,7 +39,8 @@ def string_array(text: Column) -> Column:
 
 
 def _decode(df: DataFrame, fields: str, column: str = "raw") -> DataFrame:
-    return df.withColumn("_m", F.from_json(column, fields))
+    """Parse once: behind a generator, later filters cannot pull copies of the parse down."""
+    return df.select("*", F.explode(F.array(F.from_json(column, fields))).alias("_m"))
 
 
 # ── exchange with reflected yes/no bids ──────────────────────────────────────
@@ -243,7 +244,7 @@ def perp_depth(df: DataFrame) -> DataFrame:
         *[c for c in df.columns if c != "raw"], first.alias("first_id"), last.alias("last_id"),
         F.coalesce(F.get_json_object("raw", "$.pu").try_cast("long"), F.lit(-1)).alias("prev_id"),
         levels("$.b").alias("bids"), levels("$.a").alias("asks"),
-        (F.coalesce(at.try_cast("long"), F.floor(F.col("recv_ts_ns") / US)) * US)
+        (F.coalesce(at.try_cast("long"), I.int_div(F.col("recv_ts_ns"), US)) * US)
         .alias("exch_ts_ns"))
 
 
@@ -265,7 +266,7 @@ def perp_ticker(df: DataFrame) -> DataFrame:
     df = _data(df)
     kind = F.get_json_object("raw", "$.e")
     at = F.coalesce(F.get_json_object("raw", "$.T"), F.get_json_object("raw", "$.E"))
-    exch = F.coalesce(at.try_cast("long"), F.floor(F.col("recv_ts_ns") / US)) * US
+    exch = F.coalesce(at.try_cast("long"), I.int_div(F.col("recv_ts_ns"), US)) * US
     return _ticker(df, "$.b", "$.a", "$.B", "$.A",
                    keep_if=kind.isNull() | (kind == "bookTicker"), exch=exch)
 
@@ -347,7 +348,7 @@ def market_pages(pages: DataFrame) -> DataFrame:
             "expiration_value: STRING>")
     rows = pages.select(F.explode(F.from_json("raw", f"markets ARRAY<{item}>")["markets"])
                         .alias("m"))
-    close_ts = F.floor(I.rfc3339_ns(F.col("m.close_time")) / NS)
+    close_ts = I.int_div(I.rfc3339_ns(F.col("m.close_time")), NS)
     return rows.select(
         "m.ticker", (close_ts - 900).alias("open_ts"), close_ts.alias("close_ts"),
         F.col("m.floor_strike").alias("strike"), "m.result", "m.expiration_value").filter(
@@ -359,14 +360,14 @@ def trade_pages(pages: DataFrame) -> DataFrame:
     rows = pages.select("ticker", F.explode(F.from_json(
         "raw", f"trades ARRAY<{item}>")["trades"]).alias("t"))
     px = F.coalesce(num(F.col("t.yes_price_dollars")), num(F.col("t.yes_price")))
-    return rows.select("ticker", F.floor(I.rfc3339_ns(F.col("t.created_time")) / NS).alias("t"),
+    return rows.select("ticker", I.int_div(I.rfc3339_ns(F.col("t.created_time")), NS).alias("t"),
                        px.alias("px")).filter(F.col("px").isNotNull() & F.col("t").isNotNull())
 
 
 def kline_pages(pages: DataFrame) -> DataFrame:
     """Second and close of each candle row ``[open_ms, o, h, l, close, ...]``."""
     rows = pages.select("ticker", F.explode(F.from_json("raw", "ARRAY<ARRAY<STRING>>")).alias("k"))
-    return rows.select("ticker", F.floor(F.get("k", F.lit(0)).cast("long") / 1000).alias("t"),
+    return rows.select("ticker", I.int_div(F.get("k", F.lit(0)).cast("long"), 1000).alias("t"),
                        num(F.get("k", F.lit(4))).alias("spot"))
 
 

@@ -82,9 +82,9 @@ def parse_log(lines: DataFrame, kind: str, column: str = "value") -> DataFrame:
     # one pass of the pattern per line: groups are rewritten to a separated list
     whole = (pattern if pattern.startswith("^") else f"^.*?{pattern}") + ".*$"
     groups = MARK + MARK.join(f"${i}" for i in range(1, len(fields) + 1))
-    parts = lines.select(*keep, F.regexp_replace(clean, whole, groups).alias("_line"))
-    parts = parts.filter(F.col("_line").startswith(MARK)).select(
-        *keep, F.split("_line", MARK).alias("_p"))
+    split = F.split(F.regexp_replace(clean, whole, groups), MARK)
+    parts = lines.select(*keep, F.explode(F.array(split)).alias("_p"))
+    parts = parts.filter(F.size("_p") == len(fields) + 1)
     cols = []
     for i, (name, dtype) in enumerate(fields, start=1):
         value = F.get("_p", F.lit(i))
