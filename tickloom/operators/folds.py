@@ -47,33 +47,36 @@ def fold_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str], fn,
         pending, current = [], None
 
         def close():
-            cols = {c: np.concatenate([p[c].to_numpy() for p in pending]) for c in pending[0]}
-            return fn(current, cols)
+            if len(pending) == 1:
+                return fn(current, pending[0])
+            return fn(current, {c: np.concatenate([p[c] for p in pending]) for c in pending[0]})
+
+        def table(results):
+            results = [r for r in results if r is not None]
+            if results:
+                cols = {n: [r[n] for r in results] for n in names}
+                yield pd.DataFrame({n: v[0] if len(v) == 1 else np.concatenate(
+                    [np.asarray(x) for x in v]) for n, v in cols.items()})
 
         for pdf in batches:
             if pdf.empty:
                 continue
+            cols = {c: pdf[c].to_numpy() for c in pdf.columns}
             moved = np.zeros(len(pdf), dtype=bool)
             for k in keys:
-                col = pdf[k].to_numpy()
-                moved[1:] |= col[1:] != col[:-1]
+                moved[1:] |= cols[k][1:] != cols[k][:-1]
             starts = np.r_[0, np.flatnonzero(moved), len(pdf)]
             done = []
             for a, b in zip(starts[:-1], starts[1:]):
-                part = pdf.iloc[a:b]
-                key = tuple(part[k].iat[0] for k in keys)
+                key = tuple(cols[k][a] for k in keys)
                 if pending and key != current:
                     done.append(close())
-                    pending = []
+                    pending.clear()
                 current = key
-                pending.append(part)
-            done = [pd.DataFrame(d) for d in done if d is not None]
-            if done:
-                yield pd.concat(done, ignore_index=True)[names]
+                pending.append({c: v[a:b] for c, v in cols.items()})
+            yield from table(done)
         if pending:
-            last = close()
-            if last is not None:
-                yield pd.DataFrame(last)[names]
+            yield from table([close()])
 
     parts = df.repartition(*keys).sortWithinPartitions(*keys, *order)
     return parts.mapInPandas(run, schema)
@@ -200,33 +203,46 @@ def hysteresis(df: DataFrame, sig: str, *, enter: float, leave: float, by: Seque
     base = df.filter(value.isNotNull()).withColumn(
         "_s", F.when(F.abs(value) <= leave, 0).otherwise(F.signum(value).cast("int")))
     base = with_chunk(base, ts, chunk)
-    base = chunk_carry(base, by, {"_tail": F.max_by("_s", at)}, {"_before": ("_tail", "last")})
     win = chunk_window(by, ts, *order)
-    prior = F.coalesce(F.lag("_s").over(win), F.col("_before"))
-    base = base.withColumn(
-        "_start", (prior.isNull() | (prior != F.col("_s"))).cast("long")).drop("_before")
-    base = chunk_carry(base, by, {"_n": F.sum("_start")}, {"_runs": ("_n", "sum")})
+    before = F.lag("_s").over(win)
+    base = base.withColumn("_start", before.isNull() | (before != F.col("_s")))
     frame = win.rowsBetween(Window.unboundedPreceding, 0)
-    base = base.withColumn("_run", F.col("_runs") + F.sum("_start").over(frame))
+    base = base.withColumn("_run", F.sum(F.col("_start").cast("long")).over(frame))
 
+    # one row per run of a chunk; everything below works on this smaller table
     over = F.abs(value) >= enter
-    first = F.col("_start") == 1
-    runs = base.groupBy(*by, "_run").agg(
-        F.min(ts).alias("_at"), F.max("_s").alias("_s"),
-        F.min_by(packed, F.when(first & over, at)).alias("_head"),
-        F.min_by(packed, F.when(~first & over, at)).alias("_later"))
+    runs = base.groupBy(*by, CHUNK, "_run").agg(
+        F.max("_s").alias("_s"), F.min(at).alias("_at"),
+        F.min_by(packed, F.when(F.col("_start") & over, at)).alias("_head"),
+        F.min_by(packed, F.when(~F.col("_start") & over, at)).alias("_later"))
+    runs = materialize(runs, "runs")
+
+    # a chunk's first run may continue the last one of the chunk before
+    runs = chunk_carry(runs, by, {"_tail": F.max_by("_s", "_run")}, {"_before": ("_tail", "last")})
+    goes_on = (F.col("_run") == 1) & F.coalesce(F.col("_before") == F.col("_s"), F.lit(False))
+    runs = runs.withColumn("_goes_on", goes_on).drop("_before")
+    new = (~F.col("_goes_on")).cast("long")
+    runs = chunk_carry(runs, by, {"_n": F.sum(new)}, {"_runs": ("_n", "sum")})
+    local = Window.partitionBy(*by, CHUNK).orderBy("_run").rowsBetween(Window.unboundedPreceding, 0)
+    runs = runs.withColumn("_id", F.col("_runs") + F.sum(new).over(local))
+    inside = F.when(F.col("_goes_on"), F.coalesce("_head", "_later")).otherwise(F.col("_later"))
+    runs = runs.withColumn("_inside", inside).groupBy(*by, "_id").agg(
+        F.max("_s").alias("_s"), F.min(f"_at.{ts}").alias("_ts"),
+        F.min_by("_head", F.when(~F.col("_goes_on"), F.col("_at"))).alias("_head"),
+        F.min_by("_inside", F.when(F.col("_inside").isNotNull(), F.col("_at"))).alias("_later"))
+
     head, later = F.col("_head").isNotNull(), F.col("_later").isNotNull()
     decided = F.col("_s").eqNullSafe(0) | later | ~head
     runs = runs.withColumn("_known", F.when(decided, F.struct(
-        F.col("_run").alias("run"), later.alias("fired"))))
-    runs = with_chunk(runs, "_at", chunk)
-    runs = chunk_carry(runs, by, {"_tail": F.max_by("_known", F.when(decided, F.col("_run")))},
+        F.col("_id").alias("run"), later.alias("fired"))))
+    runs = with_chunk(runs, "_ts", chunk)
+    runs = chunk_carry(runs, by, {"_tail": F.max_by("_known", F.when(decided, F.col("_id")))},
                        {"_before": ("_tail", "last")})
-    past = (Window.partitionBy(*by, CHUNK).orderBy("_run")
+    past = (Window.partitionBy(*by, CHUNK).orderBy("_id")
             .rowsBetween(Window.unboundedPreceding, -1))
     known = F.coalesce(F.last("_known", ignorenulls=True).over(past), F.col("_before"))
     runs = runs.withColumn("_base", known)
-    back = F.col("_run") - 1 - F.coalesce(F.col("_base.run"), F.lit(0))
+    back = F.col("_id") - 1 - F.coalesce(F.col("_base.run"), F.lit(0))
     flips = F.pmod(back, F.lit(2)) == 1
     fired_before = F.coalesce(F.col("_base.fired"), F.lit(False)) != flips
     row = F.when(head & ~fired_before, F.col("_head")).when(later, F.col("_later"))

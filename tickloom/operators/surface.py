@@ -169,16 +169,19 @@ def logit_column(model: Model, *, px: Sequence[Column], tte: Column, strike: Col
         units = F.array(*[F.struct(F.array(*[F.lit(float(v)) for v in row]).alias("w"),
                                    F.lit(float(c)).alias("b")) for row, c in zip(w, bias)])
         last = i == len(model.layers) - 1
-        h = F.transform(units, lambda u, x=h, last=last: _unit(u, x, last))
+        h = F.transform(units, _unit(h, last))
     raw = F.get(h, F.lit(0))
     if model.mode == "structured":
         return first * F.exp(F.lit(model.clamp) * F.tanh(raw / model.clamp))
     return raw
 
 
-def _unit(u: Column, x: Column, linear: bool) -> Column:
-    dot = F.aggregate(F.zip_with(u["w"], x, lambda a, b: a * b), u["b"], lambda s, v: s + v)
-    return dot if linear else F.tanh(dot)
+def _unit(x: Column, linear: bool):
+    """One layer's unit: weights and bias in, activation out."""
+    def value(u):
+        dot = F.aggregate(F.zip_with(u["w"], x, lambda a, b: a * b), u["b"], lambda s, v: s + v)
+        return dot if linear else F.tanh(dot)
+    return value
 
 
 # ── per-event fit ────────────────────────────────────────────────────────────

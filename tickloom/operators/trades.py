@@ -18,6 +18,7 @@ from tickloom.operators.asof import asof_join
 from tickloom.operators.grid import run_length
 from tickloom.operators.ranges import range_join
 from tickloom.schema import struct_of
+from tickloom.session import materialize
 
 EPS = 1e-6
 MAX_ENTRY = 0.99  # fixed value: asks from here on are not bought
@@ -56,8 +57,8 @@ def gap_crossings(rows: DataFrame, delta: float, *, rearm: float, sig: str = "ga
 
     ``cap`` counts crossings, not fills, so gates applied later do not free a slot.
     """
-    hits = folds.hysteresis(rows, sig, enter=delta, leave=rearm, by=by, ts=ts, order=order,
-                            chunk=chunk)
+    hits = materialize(folds.hysteresis(rows, sig, enter=delta, leave=rearm, by=by, ts=ts,
+                                        order=order, chunk=chunk), "crossings")
     if tte_min is not None:
         hits = hits.filter(F.col("tte_s") > tte_min)
     hits = C.previous(hits, {ts: "prev_cross"}, by=by, ts=ts, order=order, chunk=chunk)
@@ -253,10 +254,10 @@ def maker_entries(hits: DataFrame, rows: DataFrame, *, rest: int | None, by: str
     yes = F.col("side_yes") == 1
     bid = F.when(yes, F.col("ybid")).otherwise(1.0 - F.col("yask"))
     live = hits.withColumn("limit", bid).filter(F.col("limit") > 0.005)
-    quotes = rows.select(by, F.col(ts).alias("_t"), F.col("ybid").alias("_b"),
-                         F.col("yask").alias("_a"))
-    cross = F.when(yes, F.col("_a") <= F.col("limit") + 1e-9).otherwise(
-        1.0 - F.col("_b") <= F.col("limit") + 1e-9)
+    quotes = rows.select(by, F.col(ts).alias("_t"), F.col("ybid").alias("_qb"),
+                         F.col("yask").alias("_qa"))
+    cross = F.when(yes, F.col("_qa") <= F.col("limit") + 1e-9).otherwise(
+        1.0 - F.col("_qb") <= F.col("limit") + 1e-9)
     if rest is None:
         pairs = live.join(quotes, by).filter(F.col("_t") > F.col(ts))
     else:
@@ -356,6 +357,7 @@ def position_ledger(fills: DataFrame, *, chunk: int, by: str = "instrument", ts:
         add.alias("b"), sold.alias("sold"), F.when(ok, fee).otherwise(0.0).alias("fee"),
         F.when(ok & ~buy, F.col("_q") * F.col("px") - fee).otherwise(0.0).alias("income"),
         before.alias("before"), F.col("_held").alias("held"), cash.alias("cash"), "violation")
+    slim = materialize(slim, "ledger")
 
     key_field, order_field = fills.schema[by], fills.schema[order]
     double = T.DoubleType()
@@ -401,6 +403,7 @@ def position_ledger(fills: DataFrame, *, chunk: int, by: str = "instrument", ts:
             order_field, *[T.StructField(n, double) for n in (
                 "basis", "gain", "fee", "cash", "held")],
             T.StructField("violation", T.BooleanType())])).drop(C.CHUNK)
+    done = materialize(done, "ledger")
     kw = dict(by=[by], ts=ts, order=[order], chunk=chunk)
     done = C.with_chunk(done, ts, chunk)
     sums = {"realized": "gain", "fees_paid": "fee", "cash": "cash"}

@@ -83,21 +83,23 @@ def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Executed fills: order lines, ordered by ship date then line identity."""
     return table(spark, sf_dir, "lineitem").select(
         F.concat(F.lit("part."), F.col("l_partkey").cast("string")).alias("instrument"),
-        F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
-        .alias("venue_trade_id"),
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"),
+        F.concat_ws("-", *[F.col(c).cast("string") for c in (
+            "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]).alias("venue_trade_id"),
+        ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000 + F.col("l_suppkey"))
+        .alias("seq"),
         F.when(F.col("l_returnflag") == "R", "Sell").otherwise("Buy").alias("side"),
         F.col("l_quantity").alias("qty"),
-        (F.col("l_extendedprice") / F.col("l_quantity") / 10000).alias("px"),
+        (F.col("l_extendedprice") / F.col("l_quantity") / 9973).alias("px"),
         F.col("l_tax").alias("fee"), micros("l_shipdate").alias("ts"),
         F.col("l_orderkey").alias("order_id"), F.col("l_suppkey").alias("market_id"))
 
 
 FILLS = """fills AS (
-  SELECT 'part.' || l_partkey AS instrument, l_orderkey || '-' || l_linenumber AS venue_trade_id,
-         l_orderkey * 10 + l_linenumber AS seq,
+  SELECT 'part.' || l_partkey AS instrument, 
+         l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS venue_trade_id,
+         (l_orderkey * 10 + l_linenumber) * 1000000 + l_suppkey AS seq,
          CASE WHEN l_returnflag = 'R' THEN 'Sell' ELSE 'Buy' END AS side, l_quantity AS qty,
-         l_extendedprice / l_quantity / 10000 AS px, l_tax AS fee, epoch_us(l_shipdate) AS ts,
+         l_extendedprice / l_quantity / 9973 AS px, l_tax AS fee, epoch_us(l_shipdate) AS ts,
          l_orderkey AS order_id, l_suppkey AS market_id
   FROM lineitem)"""
 
