@@ -65,8 +65,9 @@ def gap_crossings(rows: DataFrame, delta: float, *, rearm: float, sig: str = "ga
     if cap:
         hits = C.running_sum(hits, F.lit(1), "_k", by=by, ts=ts, order=order, chunk=chunk)
         hits = hits.filter(F.col("_k") <= cap).drop("_k")
-    return hits.withColumn("delta", F.lit(delta)).withColumn(
+    hits = hits.withColumn("delta", F.lit(delta)).withColumn(
         "side_yes", (F.col(sig) > 0).cast("int"))
+    return materialize(hits, "crossings")
 
 
 def move_crossings(rows: DataFrame, delta: float, *, dominance: float = 2.0, rearm: float = 0.5,
