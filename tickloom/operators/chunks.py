@@ -89,6 +89,24 @@ def running_sum(df: DataFrame, value: Column, out: str, *, by: Sequence[str], ts
     return base.withColumn(out, total).drop("_v", "_before", CHUNK)
 
 
+def running_sum_min(df: DataFrame, value: Column, total: str, low: str, *, by: Sequence[str],
+                    ts: str, order: Sequence[str] = (), chunk: int) -> DataFrame:
+    """Running total and the lowest it has been so far, current row included in both."""
+    base = with_chunk(df.withColumn("_v", value), ts, chunk)
+    frame = chunk_window(by, ts, *order).rowsBetween(Window.unboundedPreceding, 0)
+    base = base.withColumn("_local", F.sum("_v").over(frame))
+    keys = [*by, CHUNK]
+    table = base.groupBy(*keys).agg(F.sum("_v").alias("_t"), F.min("_local").alias("_m"))
+    earlier = (Window.partitionBy(*(by or [F.lit(0)])).orderBy(CHUNK)
+               .rowsBetween(Window.unboundedPreceding, -1))
+    table = table.withColumn("_opening", F.coalesce(F.sum("_t").over(earlier), F.lit(0)))
+    table = table.withColumn("_floor", F.min(F.col("_opening") + F.col("_m")).over(earlier))
+    base = base.join(table.select(*keys, "_opening", "_floor"), keys, "left")
+    base = base.withColumn(total, F.col("_opening") + F.col("_local"))
+    return base.withColumn(low, F.least(F.min(total).over(frame), F.col("_floor"))).drop(
+        "_v", "_local", "_opening", "_floor", CHUNK)
+
+
 def previous(df: DataFrame, columns: dict[str, str], *, by: Sequence[str], ts: str,
              order: Sequence[str] = (), chunk: int) -> DataFrame:
     """``lag`` by one row per key; ``columns`` maps source to output name."""

@@ -189,61 +189,83 @@ def hysteresis(df: DataFrame, sig: str, *, enter: float, leave: float, by: Seque
     A crossing disarms. A disarmed key re-arms on a row with ``sig * direction <= leave``
     (direction = sign of the disarming row), and that row itself never crosses.
 
-    Between rows with ``|sig| <= leave`` the series is a train of same-sign runs, and a
-    run is entered either armed or disarmed against the opposite sign. So a run that
-    has a crossing beyond its first row always fires; one whose only crossing is its
-    first row fires exactly when the run before did not. Counting such undecided runs
-    back to the last decided one gives the answer by parity.
+    Rows are first reduced to runs of one sign, with rows of ``|sig| <= leave`` as runs of
+    sign 0. What a run does depends only on the state it is entered with (armed, or
+    disarmed up or down), so each chunk is a map of three states, and the maps of a key
+    are chained.
     """
     if not 0 <= leave < enter:
         raise ValueError("need 0 <= leave < enter")
+    keys = list(by)
     at = F.struct(ts, *order)
     packed = F.struct(*[F.col(c) for c in df.columns])
     value = F.col(sig)
     base = df.filter(value.isNotNull()).withColumn(
         "_s", F.when(F.abs(value) <= leave, 0).otherwise(F.signum(value).cast("int")))
     base = with_chunk(base, ts, chunk)
-    win = chunk_window(by, ts, *order)
+    win = chunk_window(keys, ts, *order)
     before = F.lag("_s").over(win)
     base = base.withColumn("_start", before.isNull() | (before != F.col("_s")))
     frame = win.rowsBetween(Window.unboundedPreceding, 0)
     base = base.withColumn("_run", F.sum(F.col("_start").cast("long")).over(frame))
-
-    # one row per run of a chunk; everything below works on this smaller table
     over = F.abs(value) >= enter
-    runs = base.groupBy(*by, CHUNK, "_run").agg(
-        F.max("_s").alias("_s"), F.min(at).alias("_at"),
+    runs = base.groupBy(*keys, CHUNK, "_run").agg(
+        F.max("_s").alias("_s"),
         F.min_by(packed, F.when(F.col("_start") & over, at)).alias("_head"),
         F.min_by(packed, F.when(~F.col("_start") & over, at)).alias("_later"))
     runs = materialize(runs, "runs")
+    slim = runs.select(*keys, CHUNK, "_run", "_s", F.col("_head").isNotNull().alias("_h"),
+                       F.col("_later").isNotNull().alias("_l"))
+
+    def step(state, s, head, later):
+        """State after the run and which of its rows fires: 0 first, 1 later, -1 none."""
+        if s == 0 or state == s:
+            return (0 if s == 0 else state), -1
+        if state == 0 and head:
+            return s, 0
+        return (s, 1) if later else (0, -1)
+
+    def walk(state, cols):
+        fired = []
+        for s, head, later in zip(cols["_s"].tolist(), cols["_h"].tolist(), cols["_l"].tolist()):
+            state, which = step(state, s, head, later)
+            fired.append(which)
+        return state, fired
 
-    # a chunk's first run may continue the last one of the chunk before
-    runs = chunk_carry(runs, by, {"_tail": F.max_by("_s", "_run")}, {"_before": ("_tail", "last")})
-    goes_on = (F.col("_run") == 1) & F.coalesce(F.col("_before") == F.col("_s"), F.lit(False))
-    runs = runs.withColumn("_goes_on", goes_on).drop("_before")
-    new = (~F.col("_goes_on")).cast("long")
-    runs = chunk_carry(runs, by, {"_n": F.sum(new)}, {"_runs": ("_n", "sum")})
-    local = Window.partitionBy(*by, CHUNK).orderBy("_run").rowsBetween(Window.unboundedPreceding, 0)
-    runs = runs.withColumn("_id", F.col("_runs") + F.sum(new).over(local))
-    inside = F.when(F.col("_goes_on"), F.coalesce("_head", "_later")).otherwise(F.col("_later"))
-    runs = runs.withColumn("_inside", inside).groupBy(*by, "_id").agg(
-        F.max("_s").alias("_s"), F.min(f"_at.{ts}").alias("_ts"),
-        F.min_by("_head", F.when(~F.col("_goes_on"), F.col("_at"))).alias("_head"),
-        F.min_by("_inside", F.when(F.col("_inside").isNotNull(), F.col("_at"))).alias("_later"))
-
-    head, later = F.col("_head").isNotNull(), F.col("_later").isNotNull()
-    decided = F.col("_s").eqNullSafe(0) | later | ~head
-    runs = runs.withColumn("_known", F.when(decided, F.struct(
-        F.col("_id").alias("run"), later.alias("fired"))))
-    runs = with_chunk(runs, "_ts", chunk)
-    runs = chunk_carry(runs, by, {"_tail": F.max_by("_known", F.when(decided, F.col("_id")))},
-                       {"_before": ("_tail", "last")})
-    past = (Window.partitionBy(*by, CHUNK).orderBy("_id")
-            .rowsBetween(Window.unboundedPreceding, -1))
-    known = F.coalesce(F.last("_known", ignorenulls=True).over(past), F.col("_before"))
-    runs = runs.withColumn("_base", known)
-    back = F.col("_id") - 1 - F.coalesce(F.col("_base.run"), F.lit(0))
-    flips = F.pmod(back, F.lit(2)) == 1
-    fired_before = F.coalesce(F.col("_base.fired"), F.lit(False)) != flips
-    row = F.when(head & ~fired_before, F.col("_head")).when(later, F.col("_later"))
-    return runs.withColumn("_row", row).filter(F.col("_row").isNotNull()).select("_row.*")
+    def summarise(key, cols):
+        out = {f"_f{i}": [walk(q, cols)[0]] for i, q in enumerate((0, 1, -1))}
+        return {**{n: [v] for n, v in zip([*keys, CHUNK], key)}, **out}
+
+    def chain(key, cols):
+        state, opening = 0, []
+        for maps in zip(*[cols[f"_f{i}"].tolist() for i in range(3)]):
+            opening.append(state)
+            state = maps[(0, 1, -1).index(state)]
+        size = len(opening)
+        return {**{n: np.full(size, v) for n, v in zip(keys, key)}, CHUNK: cols[CHUNK],
+                "_open": opening}
+
+    def finish(key, cols):
+        _, fired = walk(int(cols["_open"][0]), cols)
+        fired = np.asarray(fired)
+        hit = fired >= 0
+        if not hit.any():
+            return None
+        size = int(hit.sum())
+        return {**{n: np.full(size, v) for n, v in zip([*keys, CHUNK], key)},
+                "_run": cols["_run"][hit], "_which": fired[hit]}
+
+    key_fields = [df.schema[k] for k in keys]
+    chunk_field = T.StructField(CHUNK, T.LongType())
+
+    def fields(*names):
+        return T.StructType([*key_fields, chunk_field, *[
+            T.StructField(n, T.LongType()) for n in names]])
+
+    place = [*keys, CHUNK]
+    maps = fold_groups(slim, place, ["_run"], summarise, fields("_f0", "_f1", "_f2"))
+    opening = fold_groups(maps, keys, [CHUNK], chain, fields("_open"))
+    hits = fold_groups(slim.join(opening, place), place, ["_run"], finish,
+                       fields("_run", "_which"))
+    row = F.when(F.col("_which") == 0, F.col("_head")).otherwise(F.col("_later"))
+    return runs.join(hits, [*place, "_run"]).select(row.alias("_row")).select("_row.*")

@@ -280,7 +280,7 @@ def spread_stats(book: DataFrame, by: str = "instrument", width: float = 0.01) -
     mid = (F.col("ask") + F.col("bid")) / 2
     out = rows.groupBy(by).agg(
         F.count(F.lit(1)).alias("n"), F.avg("spread").alias("mean"), F.min("spread").alias("min"),
-        F.avg(F.col("spread") / mid * 1e4).alias("bps"))
+        F.avg(F.try_divide(F.col("spread"), mid) * 1e4).alias("bps"))
     med = S.quantiles(rows, F.col("spread"), {"median": 0.5}, by=[by], width=width)
     return out.join(med, by)
 

@@ -325,102 +325,97 @@ def position_ledger(fills: DataFrame, *, chunk: int, by: str = "instrument", ts:
                     order: str = "seq") -> DataFrame:
     """Average-cost position after every fill, for any number of fills per instrument.
 
-    Cost basis follows basis' = a * basis + b with a and b known once the held quantity is:
-    buys add their cost, sells keep the remaining share. Such steps compose, so chunks are
-    reduced to one (a, b) pair each, chained per instrument, and finished in parallel.
+    Once the held quantity is known, each fill maps the cost basis to ``a * basis + b``
+    (buys add their cost, sells keep the remaining share), and what a sell realises is
+    linear in the basis too. So a chunk is reduced to a few numbers, chunks are chained
+    per instrument, and each is finished from the state it opens with. A flat position
+    shows cost 0.
+
     Selling more than is held (or undoing more than was bought) is flagged, and the ledger
     of that instrument stands still from there on, as its state can no longer be trusted.
     """
     signed = F.col("sign") if "sign" in fills.columns else F.lit(1.0)
     buy = F.col("side") == "Buy"
-    rows = fills.withColumn("_q", signed * F.col("qty"))
-    step = F.when(buy, F.col("_q")).otherwise(-F.col("_q"))
-    rows = C.running_sum(rows, step, "_held", by=[by], ts=ts, order=[order], chunk=chunk)
-    rows = rows.withColumn("_held", F.round("_held", 6))
-    bad = F.col("_held") < -EPS
-    rows = C.running_sum(rows, bad.cast("long"), "_bad", by=[by], ts=ts, order=[order], chunk=chunk)
-    rows = rows.withColumn("violation", F.col("_bad") > 0)
-    ok = ~F.col("violation")
-    before = F.col("_held") - step
-    keep = F.when(~ok | buy, 1.0).otherwise(
-        F.when(before > EPS, F.greatest(F.col("_held"), F.lit(0.0)) / F.when(before > EPS, before))
-        .otherwise(0.0))
+    step = F.when(buy, signed * F.col("qty")).otherwise(-signed * F.col("qty"))
+    rows = C.running_sum_min(fills, step, "_held", "_low", by=[by], ts=ts, order=[order],
+                             chunk=chunk)
+    violation = F.round("_low", 6) < -EPS
+    held = F.round("_held", 6)
+    before = F.round(F.col("_held") - step, 6)
+    cash = signed * F.col("qty") * F.col("px")
     fee = signed * F.col("fee")
-    add = F.when(ok & buy, F.col("_q") * F.col("px") + fee).otherwise(0.0)
-    # an emptied position keeps no basis
-    keep = F.when(ok & (F.col("_held") <= EPS), 0.0).otherwise(keep)
-    add = F.when(ok & (F.col("_held") <= EPS), 0.0).otherwise(add)
-    cash = F.when(ok, F.when(buy, -(F.col("_q") * F.col("px") + fee)).otherwise(
-        F.col("_q") * F.col("px") - fee)).otherwise(0.0)
-    sold = F.when(ok & ~buy, F.col("_q")).otherwise(0.0)
-    slim = rows.select(
-        by, ts, order, C.chunk_start(F.col(ts), chunk).alias(C.CHUNK), keep.alias("a"),
-        add.alias("b"), sold.alias("sold"), F.when(ok, fee).otherwise(0.0).alias("fee"),
-        F.when(ok & ~buy, F.col("_q") * F.col("px") - fee).otherwise(0.0).alias("income"),
-        before.alias("before"), F.col("_held").alias("held"), cash.alias("cash"), "violation")
-    slim = materialize(slim, "ledger")
+    slim = materialize(rows.select(
+        by, ts, order, C.chunk_start(F.col(ts), chunk).alias(C.CHUNK), buy.alias("buy"),
+        (signed * F.col("qty")).alias("q"), cash.alias("value"), fee.alias("fee"),
+        before.alias("before"), held.alias("held"), violation.alias("violation")), "ledger")
 
     key_field, order_field = fills.schema[by], fills.schema[order]
-    double = T.DoubleType()
-
-    def reduce_chunk(key, d):
-        a, b = 1.0, 0.0
-        for x, y in zip(d["a"], d["b"]):
-            a, b = a * x, b * x + y
-        return {by: [key[0]], C.CHUNK: [key[1]], "a": [a], "b": [b]}
-
-    parts = folds.fold_groups(
-        slim.select(by, C.CHUNK, ts, order, "a", "b"), [by, C.CHUNK], [ts, order], reduce_chunk,
-        T.StructType([key_field, T.StructField(C.CHUNK, T.LongType()),
-                      T.StructField("a", double), T.StructField("b", double)]))
+    double, place = T.DoubleType(), [by, C.CHUNK]
+    names = ("buy", "q", "value", "fee", "before", "held", "violation")
+
+    def fields(*extra):
+        return T.StructType([key_field, T.StructField(C.CHUNK, T.LongType()),
+                             *[T.StructField(n, double) for n in extra]])
+
+    def summarise(key, d):
+        a, b, g0, g1, fees, money, last = 1.0, 0.0, 0.0, 0.0, 0.0, 0.0, np.nan
+        for is_buy, q, value, cost, was, now, bad in zip(*[d[n].tolist() for n in names]):
+            if bad:
+                continue
+            fees += cost
+            if is_buy:
+                b, money = b + value + cost, money - value - cost
+            else:
+                part = q / was if was > EPS else 0.0
+                g0, g1 = g0 + value - cost - part * b, g1 - part * a
+                a, b, money = a * (1 - part), b * (1 - part), money + value - cost
+            if now <= EPS:
+                a, b = 0.0, 0.0
+            last = now
+        return {by: [key[0]], C.CHUNK: [key[1]], "a": [a], "b": [b], "g0": [g0], "g1": [g1],
+                "fees": [fees], "money": [money], "last": [last]}
 
     def chain(key, d):
-        basis, opening = 0.0, []
-        for x, y in zip(d["a"], d["b"]):
-            opening.append(basis)
-            basis = basis * x + y
-        return {by: [key[0]] * len(opening), C.CHUNK: d[C.CHUNK], "_open": opening}
+        basis = gain = fees = money = qty = 0.0
+        out = []
+        for a, b, g0, g1, f, m, last in zip(*[d[n].tolist() for n in (
+                "a", "b", "g0", "g1", "fees", "money", "last")]):
+            out.append((basis, gain, fees, money, qty))
+            gain, basis, fees, money = gain + g0 + g1 * basis, a * basis + b, fees + f, money + m
+            qty = qty if np.isnan(last) else last
+        cols = dict(zip(("o_basis", "o_gain", "o_fees", "o_money", "o_qty"), map(list, zip(*out))))
+        return {by: [key[0]] * len(out), C.CHUNK: d[C.CHUNK], **cols}
 
-    opening = folds.fold_groups(
-        parts, [by], [C.CHUNK], chain, T.StructType([
-            key_field, T.StructField(C.CHUNK, T.LongType()), T.StructField("_open", double)]))
+    opened = ("o_basis", "o_gain", "o_fees", "o_money", "o_qty")
 
     def finish(key, d):
-        basis, n = float(d["_open"][0]), len(d["a"])
-        cost, realized, held_out = np.zeros(n), np.zeros(n), np.zeros(n)
-        for i in range(n):
-            avg = basis / d["before"][i] if d["before"][i] > EPS else 0.0
-            if not d["violation"][i]:
-                realized[i] = d["income"][i] - d["sold"][i] * avg
-                basis = basis * d["a"][i] + d["b"][i]
-            cost[i] = basis
-        return {by: [key[0]] * n, C.CHUNK: [key[1]] * n, ts: d[ts], order: d[order],
-                "basis": cost, "gain": realized, "fee": d["fee"], "cash": d["cash"],
-                "held": d["held"], "violation": d["violation"]}
-
-    done = folds.fold_groups(
-        slim.join(opening, [by, C.CHUNK]), [by, C.CHUNK], [ts, order], finish, T.StructType([
-            key_field, T.StructField(C.CHUNK, T.LongType()), T.StructField(ts, T.LongType()),
-            order_field, *[T.StructField(n, double) for n in (
-                "basis", "gain", "fee", "cash", "held")],
-            T.StructField("violation", T.BooleanType())])).drop(C.CHUNK)
-    done = materialize(done, "ledger")
-    kw = dict(by=[by], ts=ts, order=[order], chunk=chunk)
-    done = C.with_chunk(done, ts, chunk)
-    sums = {"realized": "gain", "fees_paid": "fee", "cash": "cash"}
-    live = F.when(~F.col("violation"), F.greatest(F.col("held"), F.lit(0.0)))
-    done = done.withColumn("_live", live)
-    done = C.chunk_carry(done, [by], {
-        **{f"_n_{n}": F.sum(c) for n, c in sums.items()},
-        "_q": F.max_by("_live", F.when(~F.col("violation"), F.struct(ts, order)))},
-        {**{f"_c_{n}": (f"_n_{n}", "sum") for n in sums}, "_q0": ("_q", "last")})
-    frame = C.chunk_window([by], ts, order).rowsBetween(Window.unboundedPreceding, 0)
-    qty = F.coalesce(F.last("_live", ignorenulls=True).over(frame), F.col("_q0"), F.lit(0.0))
-    return done.select(
-        by, ts, order, qty.alias("qty_after"), F.when(qty > EPS, F.col("basis") / F.when(
-            qty > EPS, qty)).otherwise(0.0).alias("avg_cost"),
-        *[(F.col(f"_c_{n}") + F.sum(c).over(frame)).alias(n) for n, c in sums.items()],
-        "violation")
+        basis, gain, fees, money, qty = (float(d[n][0]) for n in opened)
+        out = []
+        for is_buy, q, value, cost, was, now, bad in zip(*[d[n].tolist() for n in names]):
+            if not bad:
+                fees += cost
+                if is_buy:
+                    basis, money = basis + value + cost, money - value - cost
+                else:
+                    part = q / was if was > EPS else 0.0
+                    gain, money = gain + value - cost - part * basis, money + value - cost
+                    basis *= 1 - part
+                qty = max(now, 0.0)
+                if qty <= EPS:
+                    basis = 0.0
+            out.append((qty, basis / qty if qty > EPS else 0.0, gain, fees, money))
+        cols = dict(zip(("qty_after", "avg_cost", "realized", "fees_paid", "cash"),
+                        map(list, zip(*out))))
+        return {by: [key[0]] * len(out), ts: d[ts], order: d[order], **cols,
+                "violation": d["violation"]}
+
+    parts = folds.fold_groups(slim, place, [ts, order], summarise, fields(
+        "a", "b", "g0", "g1", "fees", "money", "last"))
+    opening = folds.fold_groups(parts, [by], [C.CHUNK], chain, fields(*opened))
+    schema = T.StructType([key_field, T.StructField(ts, T.LongType()), order_field, *[
+        T.StructField(n, double) for n in ("qty_after", "avg_cost", "realized", "fees_paid", "cash")],
+        T.StructField("violation", T.BooleanType())])
+    return folds.fold_groups(slim.join(opening, place), place, [ts, order], finish, schema)
 
 
 def settle_positions(positions: DataFrame, markets: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from tickloom.operators import features as X
 from tickloom.operators import study
 from tickloom.plans.registry import query
 from tickloom.plans.roles import DAY, HOUR, MINUTE, SCORED, TICKS, micros, scored, table, ticks
+from tickloom.plans.source_queries import S
 from tickloom.sources import feeds
 
 R = 6
@@ -267,8 +268,7 @@ SELECT t, round((px + 100 + px + 101) / 2, 6) AS mid, round(1 / ((px + 100 + px
     + 0.0 AS band25 FROM g""")
 def l2_second_features(spark, sf):
     px = F.round(F.col("px") + 100, 2)
-    text = lambda a, q, b, r: F.format_string(
-        "[[%s,%s],[%s,%s]]", a.cast("string"), q.cast("string"), b.cast("string"), r.cast("string"))
+    text = lambda *v: S("[[%s,%s],[%s,%s]]", *v)
     snaps = ticks(spark, sf).select(
         (F.expr(f"ts div {HOUR}") * 1_000_000_000 + F.expr(f"(ts % {HOUR}) div 4")).alias("recv_ts_ns"),
         text(px, F.col("user_id"), px - 50, F.lit(1)).alias("bids_json"),
@@ -281,7 +281,7 @@ def l2_second_features(spark, sf):
 SELECT ts // 1000 AS t_ms, round((user_id - k) / (user_id + k)::DOUBLE, 6) + 0.0 AS imb1,
   round(px + 0.5::DOUBLE, 6) AS mid FROM ticks WHERE user_id + k > 0""")
 def l1_fast_parse(spark, sf):
-    one = lambda p, q: F.format_string("[[%s, %d], [1, 1]]", p.cast("string"), q)
+    one = lambda p, q: S("[[%s, %d], [1, 1]]", p, q)
     snaps = ticks(spark, sf).select(
         (F.col("ts") * 1000).alias("recv_ts_ns"), one(F.col("px"), F.col("user_id")).alias("bids_json"),
         one(F.round(F.col("px") + 1, 2), F.col("k")).alias("asks_json"))

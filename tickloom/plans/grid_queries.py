@@ -60,7 +60,7 @@ def mid_changes(spark, sf):
   SELECT instrument, ts, seq, px, lag(px) OVER ({W}) AS prev FROM ticks),
 ch AS (SELECT * FROM m WHERE prev IS NULL OR abs(px - prev) > 1e-9),
 p AS (SELECT *, ts - {6 * HOUR} AS want FROM ticks)
-SELECT p.seq, round((p.px / q.px - 1) * 10000, 4) + 0.0 AS move_bps,
+SELECT p.seq, round((p.px / nullif(q.px, 0) - 1) * 10000, 4) + 0.0 AS move_bps,
        round(p.px - q.px, 6) + 0.0 AS move_abs
 FROM p ASOF LEFT JOIN ch q ON p.instrument = q.instrument AND p.want >= q.ts""")
 def window_move(spark, sf):
@@ -129,7 +129,7 @@ def interpolate_limited(spark, sf):
 
 
 @query("grid_log_return", f"""WITH {TICKS}, {GRID_SQL}
-SELECT instrument, ts, round(ln(px) - lag(ln(px), 4) OVER (PARTITION BY instrument ORDER BY ts), 6)
+SELECT instrument, ts, round(ln(nullif(px, 0)) - lag(ln(nullif(px, 0)), 4) OVER (PARTITION BY instrument ORDER BY ts), 6)
   + 0.0 AS ret FROM grid""")
 def grid_log_return(spark, sf):
     rows = G.grid_return(hourly(spark, sf), "px", 4, "ret", by=["instrument"], ts="ts", step=HOUR,

@@ -31,7 +31,7 @@ def link_rows(spark, sf):
 
 @query("reference_move_signals", f"""WITH RECURSIVE {TICKS}, r AS (SELECT ts, seq, px FROM ticks WHERE instrument = 'view'),
 w AS (SELECT *, ts - {WINDOW} AS want FROM r),
-m AS (SELECT w.ts, w.seq, (w.px / p.px - 1) * 10000 AS bps FROM w ASOF JOIN r p ON w.want >= p.ts),
+m AS (SELECT w.ts, w.seq, (w.px / nullif(p.px, 0) - 1) * 10000 AS bps FROM w ASOF JOIN r p ON w.want >= p.ts),
 l AS (SELECT *, CASE (ts // {DAY}) % 3 WHEN 0 THEN 'click' WHEN 1 THEN 'error' ELSE 'signup' END AS target FROM m
   WHERE abs(bps) >= 5000 AND ts % {DAY} < {20 * HOUR} AND {23 * HOUR} - ts % {DAY} >= {4 * HOUR}),
 q AS (SELECT l.*, t.px AS yes, l.ts - {WINDOW} AS want FROM l ASOF JOIN ticks t ON l.target = t.instrument AND l.ts >= t.ts),

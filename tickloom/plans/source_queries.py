@@ -6,6 +6,8 @@ oracle computes the expected values straight from the columns.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tickloom.functions import instruments as I
@@ -17,7 +19,21 @@ from tickloom.plans.roles import DAY, HOUR, SCORED, TICKS, scored, table, ticks
 from tickloom.sources import events as EV
 from tickloom.sources import feeds, files, logs
 
-S = F.format_string
+
+
+def S(template, *args):
+    """Text with ``%s``, ``%d`` and zero-padded ``%0nd`` places, as one concatenation."""
+    parts, values = re.split(r"%(s|d|0\dd)", template), list(args)
+    out = []
+    for i, part in enumerate(parts):
+        if i % 2 == 0:
+            if part:
+                out.append(F.lit(part))
+            continue
+        value = values.pop(0)
+        value = (F.col(value) if isinstance(value, str) else value).cast("string")
+        out.append(F.lpad(value, int(part[1]), "0") if part.startswith("0") else value)
+    return F.concat(*out)
 
 
 def text(c):

@@ -20,7 +20,7 @@ TIMELINE = MOVES + f""", tgt AS (SELECT ts, px FROM ticks WHERE instrument = 'cl
 b0 AS (SELECT *, t0 + ({BASE}) AS want FROM moves),
 b1 AS (SELECT b0.event_id, b0.t0, b0.dir, t.px AS base FROM b0 ASOF JOIN tgt t ON b0.want > t.ts),
 o AS (SELECT *, t0 + off AS want FROM b1, (SELECT unnest([{', '.join(map(str, OFFS))}]) AS off)),
-tl AS (SELECT o.event_id, o.off, o.base, t.px AS level, o.dir * (ln(t.px) - ln(o.base)) * 1e4 AS move
+tl AS (SELECT o.event_id, o.off, o.base, t.px AS level, o.dir * (ln(nullif(t.px, 0)) - ln(nullif(o.base, 0))) * 1e4 AS move
   FROM o ASOF JOIN tgt t ON o.want > t.ts)"""
 
 
@@ -163,7 +163,7 @@ def sweep_timing(spark, sf):
 # ── lead-lag ─────────────────────────────────────────────────────────────────
 LAGS = list(range(-3, 4))
 XY = GRID_SQL + f""", x AS (SELECT ts, px FROM grid WHERE instrument = 'view'),
-xy AS (SELECT y.instrument, y.ts, y.ts // {5 * DAY} AS win, ln(x.px) AS lx, ln(y.px) AS ly
+xy AS (SELECT y.instrument, y.ts, y.ts // {5 * DAY} AS win, ln(nullif(x.px, 0)) AS lx, ln(nullif(y.px, 0)) AS ly
   FROM grid y JOIN x ON x.ts = y.ts WHERE y.instrument <> 'view' AND x.px IS NOT NULL AND y.px IS NOT NULL),
 d AS (SELECT instrument, win, ts, lx - lag(lx) OVER (PARTITION BY instrument ORDER BY ts) AS x,
   ly - lag(ly) OVER (PARTITION BY instrument ORDER BY ts) AS y FROM xy),

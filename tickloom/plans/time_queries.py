@@ -96,7 +96,7 @@ WITH RECURSIVE {PAIR},
 probe AS (SELECT ts, px, ts - {RESPONSE_W} AS want FROM ref),
 moved AS (
   SELECT p.ts, p.px,
-         CASE WHEN p.want - r.ts <= {RESPONSE_TOL} THEN (p.px / r.px - 1) * 10000 END AS bps
+         CASE WHEN p.want - r.ts <= {RESPONSE_TOL} THEN (p.px / nullif(r.px, 0) - 1) * 10000 END AS bps
   FROM probe p ASOF LEFT JOIN ref r ON p.want >= r.ts),
 flags AS (
   SELECT ts, bps, coalesce(abs(bps) >= {RESPONSE_BPS}, false) AS hot,
@@ -116,7 +116,7 @@ def reference_events(spark, sf):
     ref, tgt = pair(spark, sf)
     moved = A.asof_join(ref, ref, at=F.col("ts") - RESPONSE_W, tol=RESPONSE_TOL,
                         take={"px": "past"}, chunk=5 * DAY)
-    moved = moved.withColumn("bps", (F.col("px") / F.col("past") - 1) * 10_000)
+    moved = moved.withColumn("bps", (F.try_divide("px", "past") - 1) * 10_000)
     edges = folds.rising_edges(moved, F.abs("bps") >= RESPONSE_BPS, by=[], ts="ts", chunk=5 * DAY)
     return folds.refractory(edges.select("ts", "bps").withColumn("key", F.lit(0)), by=["key"],
                             ts="ts", gap=RESPONSE_GAP, chunk=10 * DAY), tgt

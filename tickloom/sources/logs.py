@@ -65,6 +65,9 @@ KINDS: dict[str, tuple[str, list[tuple[str, str]]]] = {
          ("p90", "double"), ("p99", "double"), ("max", "double"), ("delta", "double"),
          ("ge_delta", "long")]),
 }
+WORDS = {"fairlog": "fairlog", "calib": "calib ", "chase": "CHASE trade=", "hold": "HOLD trade=",
+         "maker": "MAKER trade=", "pxmeta": "PXMETA trade=", "pxprobe": "PXPROBE trade=",
+         "pxvol": "PXVOL trade=", "episode": "ARM tte=", "gapstats": "delta_stats n="}
 TRADE_JSON = ("trade_id STRING, outcome STRING, instrument STRING, direction INT, "
               "pnl_gross DOUBLE, pnl_net DOUBLE, slippage_entry_c DOUBLE, slippage_exit_c DOUBLE")
 
@@ -83,7 +86,9 @@ def parse_log(lines: DataFrame, kind: str, column: str = "value") -> DataFrame:
     whole = (pattern if pattern.startswith("^") else f"^.*?{pattern}") + ".*$"
     groups = MARK + MARK.join(f"${i}" for i in range(1, len(fields) + 1))
     split = F.split(F.regexp_replace(clean, whole, groups), MARK)
-    parts = lines.select(*keep, F.explode(F.array(split)).alias("_p"))
+    # a plain substring test spares most lines the pattern
+    parts = lines.filter(F.col(column).contains(WORDS[kind])).select(
+        *keep, F.explode(F.array(split)).alias("_p"))
     parts = parts.filter(F.size("_p") == len(fields) + 1)
     cols = []
     for i, (name, dtype) in enumerate(fields, start=1):
