@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tickloom.operators import stats as S
 from tickloom.operators.asof import asof_join
+from tickloom.operators.chunks import attach_row
 
 
 def usable_events(rows: DataFrame, meta: DataFrame, *, fit_above: float = 300.0,
@@ -65,7 +66,7 @@ def compare_series(a: DataFrame, b: DataFrame, value: str, *, keys=("ticker", "t
     out = rows.agg(F.count(F.lit(1)).alias("n"), F.max("_d").alias("max"),
                    F.sqrt(F.avg(F.col("_d") * F.col("_d"))).alias("rms"))
     q = S.quantiles(rows, F.col("_d"), {"p99": 0.99}, by=[], width=width)
-    return out.crossJoin(F.broadcast(q))  # one row each
+    return attach_row(out, q)
 
 
 def error_summary(errors: DataFrame, column: str, width: float = 0.001) -> DataFrame:
@@ -73,4 +74,4 @@ def error_summary(errors: DataFrame, column: str, width: float = 0.001) -> DataF
     rows = errors.select(F.abs(column).alias("_e"))
     out = rows.agg(F.count("_e").alias("n"), F.max("_e").alias("max"))
     q = S.quantiles(rows, F.col("_e"), {"median": 0.5, "p90": 0.9}, by=[], width=width)
-    return out.crossJoin(F.broadcast(q))  # one row each
+    return attach_row(out, q)

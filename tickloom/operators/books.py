@@ -99,7 +99,7 @@ def book_at(instants: DataFrame, updates: DataFrame, *, chunk: int, n: int = 10)
     alive = level_lifetimes(updates, chunk=chunk).filter(
         (F.col("qty") > 0) & (F.col("until") > F.col("ts")))
     last = instants.agg(F.max("ts").alias("_last"))
-    alive = alive.crossJoin(F.broadcast(last))  # one row
+    alive = C.attach_row(alive, last)
     stop = F.least(F.col("until") - 1, "_last")
     alive = alive.filter(stop >= F.col("ts")).select(
         "instrument", F.col("ts").alias("_from"), "until", "side", "px_micro", "qty",

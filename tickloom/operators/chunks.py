@@ -21,6 +21,11 @@ CHUNK = "_chunk"
 HOME = "_home"
 
 
+def attach_row(df: DataFrame, row: DataFrame) -> DataFrame:
+    """Columns of a one-row table on every row, as scalar subqueries instead of a join."""
+    return df.select("*", *[row.select(c).scalar().alias(c) for c in row.columns])
+
+
 def chunk_start(ts: Column, length: int) -> Column:
     """Start of the chunk holding ``ts``; integer arithmetic, exact for nanoseconds."""
     return ts - F.pmod(ts, F.lit(length))

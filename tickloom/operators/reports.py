@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import buckets as B
 from tickloom.operators import stats as S
+from tickloom.operators.chunks import attach_row
 
 
 def with_panel(df: DataFrame, fresh_from: str | None) -> DataFrame:
@@ -155,7 +156,7 @@ def gap_summary(samples: DataFrame, delta: float, by: Sequence[str],
         F.max(size).alias("max"), F.sum((size >= delta).cast("long")).alias("ge_delta"))
     qs = S.quantiles(samples, size, {"p50": 0.5, "p90": 0.9, "p99": 0.99}, by=by,
                      method="nearest", width=width)
-    return base.join(qs, by) if by else base.crossJoin(F.broadcast(qs)).filter("n > 0")
+    return base.join(qs, by) if by else attach_row(base, qs).filter("n > 0")
 
 
 def event_bias(scored: DataFrame, tte_min: float = 60.0, tte_max: float = 300.0,

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.chunks import CHUNK, chunk_carry
+from tickloom.operators.chunks import CHUNK, attach_row, chunk_carry
 
 P_CLIP = 0.01
 REPORT_CLIP = 0.005
@@ -78,7 +78,7 @@ def order_stats(df: DataFrame, value: Column, *, by: Sequence[str], width: float
     spans = hist.select(*by, "value", (upto - F.col("_c")).alias("first"),
                         (upto - 1).alias("last"))
     if not by:
-        return spans.crossJoin(F.broadcast(total))  # one row
+        return attach_row(spans, total)
     return spans.join(total, list(by))
 
 
@@ -127,7 +127,7 @@ def fit_scaler(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def apply_scaler(df: DataFrame, scaler: DataFrame, columns: Sequence[str],
                  limit: float = 5.0) -> DataFrame:
-    wide = df.crossJoin(F.broadcast(scaler))  # one row
+    wide = attach_row(df, scaler)
     for c in columns:
         z = (F.col(c) - F.col(f"{c}_mu")) / F.col(f"{c}_sd")
         wide = wide.withColumn(c, clip(z, -limit, limit))

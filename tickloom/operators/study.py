@@ -248,15 +248,14 @@ def hold_curve(probes: DataFrame, width: float = 1.0) -> DataFrame:
         F.avg("net_c").alias("net_c"), F.avg("exit").alias("exit"))
     med = S.quantiles(probes, F.col("net_c"), {"net_median_c": 0.5}, by=["hold_ms"], width=width)
     best = out.agg(F.max_by("hold_ms", F.struct(F.col("net_c"), -F.col("hold_ms"))).alias("_b"))
-    return out.join(med, "hold_ms").crossJoin(F.broadcast(best)).withColumn(
-        "best", F.col("hold_ms") == F.col("_b")).drop("_b")  # one row
+    return out.join(med, "hold_ms").withColumn("best", F.col("hold_ms") == best.scalar())
 
 
 def maker_mix(probes: DataFrame) -> DataFrame:
     total = probes.agg(F.count(F.lit(1)).alias("_all"))
     out = probes.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"),
                                         F.avg("gain_c").alias("gain_c"))
-    return out.crossJoin(F.broadcast(total)).select(  # one row
+    return C.attach_row(out, total).select(
         "outcome", "n", (F.col("n") / F.col("_all")).alias("share"), "gain_c")
 
 

@@ -455,7 +455,7 @@ def split_events(meta: DataFrame, frac: float = 0.1, *, open_ts: str = "open_ts"
     width = 86_400_000_000
     ranked = C.running_sum(meta, F.lit(1), "_i", by=[], ts=open_ts, order=["ticker"], chunk=width)
     hold = F.greatest(F.lit(1), F.floor(F.col("_n") * frac))
-    return ranked.crossJoin(F.broadcast(n)).withColumn(  # one row
+    return C.attach_row(ranked, n).withColumn(
         "split", F.when(F.col("_i") > F.col("_n") - hold, "val").otherwise("train")).drop("_i", "_n")
 
 

@@ -15,6 +15,7 @@ from tickloom.operators import audit
 from tickloom.operators import stats as S
 from tickloom.operators import surface as U
 from tickloom.operators.asof import asof_join
+from tickloom.operators.chunks import attach_row
 from tickloom.operators.study import gap_slope
 from tickloom.session import materialize
 
@@ -94,7 +95,7 @@ def rehearse(rows: DataFrame, model: U.Model, *, px: Sequence[str], second: int,
     events = scored.groupBy("ticker").agg(F.avg(brier("fair")).alias("b"), F.avg(brier("mid")).alias("m"))
     out = events.agg(F.count(F.lit(1)).alias("events"), F.avg("b").alias("brier_model"),
                      F.avg("m").alias("brier_market"))
-    return out.crossJoin(F.broadcast(slope))  # one row each
+    return attach_row(out, slope)
 
 
 def train_lead(rows: DataFrame, *, horizon: int, slack: int, chunk: int, steps: int = 10,

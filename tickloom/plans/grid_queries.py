@@ -238,8 +238,8 @@ SELECT event_id, instrument, CAST(coalesce(sum(user_id), 0) AS BIGINT) AS volume
 FROM moves JOIN ticks ON ts > t0 - {PRE} AND ts <= t0 + {POST} GROUP BY 1, 2""")
 def volume_between(spark, sf):
     t = ticks(spark, sf)
-    names = t.select("instrument").distinct()
-    probes = moves(spark, sf).crossJoin(F.broadcast(names))  # event kinds, a handful
+    kinds = t.agg(F.collect_set("instrument").alias("k"))  # event kinds, a handful
+    probes = moves(spark, sf).withColumn("instrument", F.explode(kinds.scalar()))
     out = R.window_totals(probes, t, {"volume": F.col("user_id"), "n": F.lit(1)},
                           start=F.col("t0") - PRE, end=F.col("t0") + POST, by=["instrument"],
                           chunk=2 * DAY, closed="right")
