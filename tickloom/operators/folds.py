@@ -82,6 +82,45 @@ def fold_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str], fn,
     return parts.mapInPandas(run, schema)
 
 
+def fold_stream(df: DataFrame, keys: Sequence[str], order: Sequence[str], start,
+                schema: T.StructType) -> DataFrame:
+    """Sequential rule over sorted rows with bounded memory, however long a group is.
+
+    ``start(key)`` gives the rule of one group: ``step(columns)`` takes the next stretch of
+    its rows, ``end()`` closes it; both return a dict of equally long arrays or None.
+    """
+    keys, names = list(keys), schema.names
+
+    def run(batches):
+        rule, current = None, None
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            cols = {c: pdf[c].to_numpy() for c in pdf.columns}
+            moved = np.zeros(len(pdf), dtype=bool)
+            for k in keys:
+                moved[1:] |= cols[k][1:] != cols[k][:-1]
+            starts = np.r_[0, np.flatnonzero(moved), len(pdf)]
+            done = []
+            for a, b in zip(starts[:-1], starts[1:]):
+                key = tuple(cols[k][a] for k in keys)
+                if rule is None or key != current:
+                    if rule is not None:
+                        done.append(rule.end())
+                    rule, current = start(key), key
+                done.append(rule.step({c: v[a:b] for c, v in cols.items()}))
+            done = [pd.DataFrame(d) for d in done if d is not None]
+            if done:
+                yield pd.concat(done, ignore_index=True)[names]
+        if rule is not None:
+            last = rule.end()
+            if last is not None:
+                yield pd.DataFrame(last)[names]
+
+    parts = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    return parts.mapInPandas(run, schema)
+
+
 def _chain_end(times: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
     """Index of the next acceptable time after each, and of the last one it leads to."""
     nxt = np.searchsorted(times, times + gap, side="left")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Sequence
 
 import numpy as np
@@ -637,24 +638,30 @@ def rate_limited(signals: DataFrame, *, limit: int, span: int, by: Sequence[str]
     """Accepted flag under at most ``limit`` accepted signals per sliding ``span``.
 
     Only accepted ones count. A quiet ``span`` empties the window, so stretches between
-    such pauses are independent.
+    such pauses are independent; one stretch is read in order with ``limit`` times in memory.
     """
     keys = list(by)
     rows = C.previous(signals, {ts: "_p"}, by=keys, ts=ts, order=[order], chunk=chunk)
     fresh = (F.col("_p").isNull() | (F.col(ts) - F.col("_p") > span)).cast("long")
     rows = C.running_sum(rows, fresh, "_g", by=keys, ts=ts, order=[order], chunk=chunk)
 
-    def run(key, d):
-        kept, ok, head = [], np.zeros(len(d[ts]), dtype=bool), 0
-        for i, t in enumerate(d[ts]):
-            while head < len(kept) and kept[head] < t - span:
-                head += 1
-            if len(kept) - head < limit:
-                ok[i] = True
-                kept.append(t)
-        return {**{k: [v] * len(ok) for k, v in zip(keys, key)}, order: d[order], "accepted": ok}
+    class SlidingLimit:
+        def __init__(self, key):
+            self.key, self.kept = key, deque(maxlen=limit)
+
+        def step(self, d):
+            ok = np.zeros(len(d[ts]), dtype=bool)
+            for i, t in enumerate(d[ts].tolist()):
+                if len(self.kept) < limit or self.kept[0] < t - span:
+                    ok[i] = True
+                    self.kept.append(t)
+            return {**{k: [v] * len(ok) for k, v in zip(keys, self.key)}, order: d[order],
+                    "accepted": ok}
+
+        def end(self):
+            return None
 
     schema = T.StructType([*[signals.schema[k] for k in keys], signals.schema[order],
                            T.StructField("accepted", T.BooleanType())])
-    return folds.fold_groups(rows.select(*keys, "_g", ts, order), [*keys, "_g"], [ts, order], run,
-                             schema)
+    return folds.fold_stream(rows.select(*keys, "_g", ts, order), [*keys, "_g"], [ts, order],
+                             SlidingLimit, schema)
