@@ -54,9 +54,16 @@ def bid_epochs(messages: DataFrame, *, chunk: int) -> DataFrame:
     rows = C.previous(rows, {"book_seq": "_p"}, **kw)
     gap = ~snap & F.coalesce(F.col("book_seq") != F.col("_p") + 1, F.lit(False))
     rows = rows.withColumn("gap", gap)
-    rows = C.running_sum(rows, gap.cast("long"), "_g", by=["instrument", "epoch"], ts="ts",
-                         order=["seq"], chunk=chunk)
-    return rows.withColumn("valid", (F.col("epoch") > 0) & (F.col("_g") == 0)).drop("_p", "_g")
+    rows = _valid_until_gap(rows.drop("_p"), "ts", "seq")
+    return rows.withColumn("valid", (F.col("epoch") > 0) & F.col("valid"))
+
+
+def _valid_until_gap(rows: DataFrame, *order: str) -> DataFrame:
+    """Rows before the first gap of their epoch; gaps are rare, so this is a small join."""
+    at = F.struct(*order)
+    first = rows.filter(F.col("gap")).groupBy("instrument", "epoch").agg(F.min(at).alias("_gap"))
+    out = rows.join(first, ["instrument", "epoch"], "left")
+    return out.withColumn("valid", F.coalesce(at < F.col("_gap"), F.lit(True))).drop("_gap")
 
 
 def depth_epochs(snapshots: DataFrame, updates: DataFrame, *, chunk: int) -> DataFrame:
@@ -75,8 +82,8 @@ def depth_epochs(snapshots: DataFrame, updates: DataFrame, *, chunk: int) -> Dat
     first = F.col("_p").isNull()
     bad = F.when(first, F.col("first_id") > F.col("epoch")).otherwise(
         F.col("prev_id") != F.col("_p"))
-    rows = C.running_sum(rows, bad.cast("long"), "_b", **kw)
-    return rows.withColumn("gap", bad).withColumn("valid", F.col("_b") == 0).drop("_p", "_b")
+    rows = rows.withColumn("gap", bad).drop("_p")
+    return _valid_until_gap(rows, "last_id")
 
 
 def level_lifetimes(updates: DataFrame, *, chunk: int) -> DataFrame:

@@ -322,13 +322,13 @@ j AS (SELECT q.*, p.mid AS p, p.b, p.a, CASE WHEN q.ts - c.ts <= {5 * SEC} THEN
 av AS (SELECT q.seq, avg((s.b - s.a) / (s.b + s.a)) AS m FROM q JOIN (
   SELECT ts - ts % {SEC} AS sec, min(ts) AS ts, arg_min(b, ts) AS b, arg_min(a, ts) AS a FROM perp WHERE b + a > 0 GROUP BY 1) s
   ON s.ts BETWEEN q.ts - {30 * SEC} AND q.ts GROUP BY 1)
-SELECT j.seq, round(CASE WHEN p IS NOT NULL THEN c - p END, 6) + 0.0 AS basis,
-  round(CASE WHEN c IS NOT NULL THEN (b - a) / nullif(b + a, 0) END, 6) + 0.0 AS imb1,
-  round(CASE WHEN c IS NOT NULL AND p IS NOT NULL THEN m END, 6) + 0.0 AS imb1avg30,
-  round(CASE WHEN c IS NOT NULL THEN p - p12 END, 6) + 0.0 AS mom12,
-  round(CASE WHEN c IS NOT NULL THEN (p - p12) / nullif(p12, 0) END, 6) + 0.0 AS pmom12,
-  round(CASE WHEN p IS NOT NULL THEN (c - c12) / nullif(c12, 0) END, 6) + 0.0 AS pcbmom12,
-  round(CASE WHEN c IS NOT NULL AND p IS NOT NULL AND v0 - vl > 0 THEN (v0 - vs) / (v0 - vl) END, 6) + 0.0 AS vsurge12_60
+SELECT j.seq, round(CASE WHEN p IS NOT NULL THEN c - p END, 9) + 0.0 AS basis,
+  round(CASE WHEN c IS NOT NULL THEN (b - a) / nullif(b + a, 0) END, 9) + 0.0 AS imb1,
+  round(CASE WHEN c IS NOT NULL AND p IS NOT NULL THEN m END, 9) + 0.0 AS imb1avg30,
+  round(CASE WHEN c IS NOT NULL THEN p - p12 END, 9) + 0.0 AS mom12,
+  round(CASE WHEN c IS NOT NULL THEN (p - p12) / nullif(p12, 0) END, 9) + 0.0 AS pmom12,
+  round(CASE WHEN p IS NOT NULL THEN (c - c12) / nullif(c12, 0) END, 9) + 0.0 AS pcbmom12,
+  round(CASE WHEN c IS NOT NULL AND p IS NOT NULL AND v0 - vl > 0 THEN (v0 - vs) / (v0 - vl) END, 9) + 0.0 AS vsurge12_60
 FROM j LEFT JOIN av USING (seq)""")
 def feed_features(spark, sf):
     t = ticks(spark, sf)
@@ -341,7 +341,7 @@ def feed_features(spark, sf):
     names = ["basis", "imb1", "imb1avg30", "mom12", "pmom12", "pcbmom12", "vsurge12_60"]
     rows = X.feed_features(kind("signup").select("seq", "ts"), names, second=SEC, chunk=2 * DAY,
                            perp=perp, cb=cb, volume=volume)
-    return rows.select("seq", *r6(*names))
+    return rows.select("seq", *[F.round(n, 9).alias(n) for n in names])
 
 
 @query("standardized_complete_rows", f"""WITH {SCORED}, r AS (
