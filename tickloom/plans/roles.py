@@ -86,9 +86,10 @@ def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(
         F.concat(F.lit("part."), F.col("l_partkey").cast("string")).alias("instrument"),
         F.concat_ws("-", *[F.col(c).cast("string") for c in (
-            "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]).alias("venue_trade_id"),
-        ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000 + F.col("l_suppkey"))
-        .alias("seq"),
+            "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")],
+            F.col("l_quantity").cast("int").cast("string")).alias("venue_trade_id"),
+        (((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000 + F.col("l_suppkey")) * 100
+         + F.col("l_quantity").cast("int")).alias("seq"),
         F.when(F.col("l_returnflag") == "R", "Sell").otherwise("Buy").alias("side"),
         F.col("l_quantity").alias("qty"),
         (F.col("l_extendedprice") / F.col("l_quantity") / 9973).alias("px"),
@@ -98,8 +99,9 @@ def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FILLS = """fills AS (
   SELECT 'part.' || l_partkey AS instrument, 
-         l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS venue_trade_id,
-         (l_orderkey * 10 + l_linenumber) * 1000000 + l_suppkey AS seq,
+         l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey
+           || '-' || CAST(l_quantity AS INTEGER) AS venue_trade_id,
+         ((l_orderkey * 10 + l_linenumber) * 1000000 + l_suppkey) * 100 + CAST(l_quantity AS INTEGER) AS seq,
          CASE WHEN l_returnflag = 'R' THEN 'Sell' ELSE 'Buy' END AS side, l_quantity AS qty,
          l_extendedprice / l_quantity / 9973 AS px, l_tax AS fee, epoch_us(l_shipdate) AS ts,
          l_orderkey AS order_id, l_suppkey AS market_id
