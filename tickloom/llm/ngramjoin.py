@@ -1,6 +1,7 @@
 """N-gram Jaccard join: links between shingle sets, by set-relation skipping.
 
-Documents link when ``100 * intersection >= 90 * union`` of their three-word shingles. Equal sets are
+Documents link when ``100 * intersection >= percent * union`` of their word shingles (90 % of three
+words by default). Equal sets are
 one class. Shingles are ordered rare first by a sketch of counts over the whole corpus, and only the
 first shingles of a set, its prefix, are indexed: two sets that link share one of them.
 
@@ -32,8 +33,7 @@ from tickloom.llm.registry import documents, query
 from tickloom.session import materialize
 
 WORDS = 3
-#: a link's symmetric difference is at most (size + size) * NEAR // FAR
-NEAR, FAR = 1, 19
+PERCENT = 90
 SKETCH = 1 << 18
 SKETCH_PARTS = 64
 
@@ -91,13 +91,13 @@ def ordered(own: np.ndarray, rarity: np.ndarray) -> np.ndarray:
     return np.sort((level << np.uint64(56)) | (own >> np.uint64(8)))
 
 
-def prefix_length(n: int) -> int:
+def prefix_length(n: int, percent: int) -> int:
     """Shingles to index: any partner of a link shares one of the first so many."""
-    least = -(-9 * n // 10)  # smallest overlap of a link of a set of n
+    least = -(-percent * n // 100)  # smallest overlap of a link of a set of n
     return n - least + 1 if n else 0
 
 
-def set_rows(docs: DataFrame, rarity, key: str, text: str, k: int) -> DataFrame:
+def set_rows(docs: DataFrame, rarity, key: str, text: str, k: int, percent: int) -> DataFrame:
     """Size, two fingerprints and the prefix of every document's set."""
 
     def rows(batches):
@@ -109,7 +109,7 @@ def set_rows(docs: DataFrame, rarity, key: str, text: str, k: int) -> DataFrame:
                 fp1.append(int(np.sum(own, dtype=np.uint64)))
                 fp2.append(int(np.bitwise_xor.reduce(own * np.uint64(0x9E3779B97F4A7C15) ^ (own >> np.uint64(29)),
                                                      initial=np.uint64(0))))
-                prefix.append(tokens[:prefix_length(len(own))].view(np.int64))
+                prefix.append(tokens[:prefix_length(len(own), percent)].view(np.int64))
             lengths = np.cumsum([0, *map(len, prefix)])
             flat = np.concatenate(prefix) if prefix else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([
@@ -122,9 +122,9 @@ def set_rows(docs: DataFrame, rarity, key: str, text: str, k: int) -> DataFrame:
         rows, "doc_id long, n long, fp1 long, fp2 long, prefix array<long>")
 
 
-def allowed(n: str, m: str) -> str:
+def allowed(n: str, m: str, percent: int) -> str:
     """Largest symmetric difference with which sets of these sizes link."""
-    return f"(({n}) + ({m})) * {NEAR} div {FAR}"
+    return f"(({n}) + ({m})) * {100 - percent} div {100 + percent}"
 
 
 def compared(pairs: DataFrame, docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
@@ -167,14 +167,15 @@ def components(links: DataFrame) -> DataFrame:
         labels = better.select("id", "component")
 
 
-def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORDS) -> DataFrame:
+def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORDS,
+                       percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row."""
     spark = docs.sparkSession
     rarity = spark.sparkContext.broadcast(shingle_sketch(docs, text, k))
-    sets = materialize(set_rows(docs, rarity, key, text, k), "sets")
+    sets = materialize(set_rows(docs, rarity, key, text, k, percent), "sets")
     classes = materialize(sets.filter("n > 0").groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("rep")), "classes")
-    # below ten shingles only equal sets link
-    entries = sets.filter("n >= 10").join(classes, ["n", "fp1", "fp2"]).filter("doc_id = rep").dropDuplicates(
+    # of smaller sets only equal ones link
+    entries = sets.filter(f"n * {100 - percent} >= {percent}").join(classes, ["n", "fp1", "fp2"]).filter("doc_id = rep").dropDuplicates(
         ["doc_id", "fp1", "fp2"]).select(F.col("rep").alias("id"), "n", F.posexplode("prefix").alias("pos", "token"))
     token = Window.partitionBy("token")
     lists = materialize(entries.withColumn("size", F.count("*").over(token)).filter("size > 1").withColumn(
@@ -183,7 +184,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         F.col("pivot.id").alias("a"), F.col("id").alias("b"), F.col("pivot.n").alias("na"), F.col("n").alias("nb")
     ).distinct(), "stars")
     measured = materialize(stars.join(compared(stars.select("a", "b"), docs, key, text, k), ["a", "b"]), "measured")
-    links = materialize(measured.filter(f"distance <= {allowed('na', 'nb')}").select("a", "b"), "links")
+    links = materialize(measured.filter(f"distance <= {allowed('na', 'nb', percent)}").select("a", "b"), "links")
     first = components(links)
     # pairs of a list that are still apart and that their distances to the pivot leave open
     known = lists.select("token", "id", "n", "pos", F.col("pivot.id").alias("pivot")).join(
@@ -195,17 +196,16 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         "highest", F.max("component").over(token)).filter("lowest <> highest and distance > 0").drop("lowest", "highest"),
         "open")
     x, y = split.alias("x"), split.alias("y")
-    need = "(x.n + y.n) * 9 / 19"
     open_pairs = x.join(y, F.expr(
         "x.token = y.token and x.id < y.id and x.component <> y.component"
-        " and 10 * x.n >= 9 * y.n and 10 * y.n >= 9 * x.n"
-        f" and least(x.n - x.pos, y.n - y.pos) >= {need}"
-        f" and abs(x.distance - y.distance) <= {allowed('x.n', 'y.n')}")).select(
+        f" and 100 * x.n >= {percent} * y.n and 100 * y.n >= {percent} * x.n"
+        f" and {100 + percent} * least(x.n - x.pos, y.n - y.pos) >= {percent} * (x.n + y.n)"
+        f" and abs(x.distance - y.distance) <= {allowed('x.n', 'y.n', percent)}")).select(
         F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct()
     rest = materialize(open_pairs.join(measured.select("a", "b"), ["a", "b"], "left_anti").join(
         measured.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), "rest")
     more = rest.join(compared(rest.select("a", "b"), docs, key, text, k), ["a", "b"]).filter(
-        f"distance <= {allowed('na', 'nb')}").select("a", "b")
+        f"distance <= {allowed('na', 'nb', percent)}").select("a", "b")
     final = components(materialize(links.union(more), "links"))
     named = classes.join(final.withColumnRenamed("id", "rep"), "rep", "left").select(
         "n", "fp1", "fp2", F.coalesce("component", "rep").alias("component_id"))
@@ -213,9 +213,10 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORDS,
+                  percent: int = PERCENT) -> DataFrame:
     """The document with the smallest id of every group, with its own columns."""
-    groups = jaccard_components(docs, key, text)
+    groups = jaccard_components(docs, key, text, k, percent)
     keep = groups.filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select("doc_id").distinct()
     return docs.join(keep.withColumnRenamed("doc_id", "__keep"),
                      docs[key].cast("long").eqNullSafe(F.col("__keep")), "left_semi")
