@@ -134,6 +134,24 @@ def test_ledger_oversell_is_flagged(frame):
     assert [r.violation for r in rows] == [False, True] and rows[-1].qty_after == 10
 
 
+def test_ledger_goes_on_after_an_oversell(frame):
+    last = ledger(frame, [("a", "Confirmed", "Buy", 10.0, 0.40), ("b", "Confirmed", "Sell", 11.0, 0.45),
+                          ("c", "Confirmed", "Buy", 5.0, 0.50), ("d", "Confirmed", "Sell", 5.0, 0.60)])[-1]
+    assert last.qty_after == 10 and last.realized == pytest.approx(5 * (0.6 - 6.5 / 15)) and not last.violation
+
+
+def test_ledger_closing_sell_fails(frame):
+    last = ledger(frame, [("a", "Confirmed", "Buy", 10.0, 0.40), ("b", "Matched", "Sell", 10.0, 0.60),
+                          ("b", "Failed", "Sell", 10.0, 0.60)])[-1]
+    assert (last.qty_after, last.realized, last.avg_cost) == (10, pytest.approx(0), pytest.approx(0.4))
+
+
+def test_ledger_refused_fill_has_nothing_to_undo(frame):
+    rows = ledger(frame, [("a", "Confirmed", "Buy", 10.0, 0.40), ("b", "Matched", "Sell", 11.0, 0.60),
+                          ("b", "Failed", "Sell", 11.0, 0.60)])
+    assert [r.violation for r in rows] == [False, True, False] and rows[-1].qty_after == 10 and rows[-1].cash == -4
+
+
 def test_settlement(frame):
     pos = frame([("kalshi.M.YES", 20.0, 0.4), ("kalshi.M.NO", 5.0, 0.5)],
                 "instrument STRING, qty DOUBLE, avg_cost DOUBLE")

@@ -125,25 +125,38 @@ def test_islands_and_edges(frame, chunk):
 
 @pytest.mark.parametrize("chunk", [9, 10_000])
 def test_ledger(frame, chunk):
+    """Oversells are refused one by one; reversals undo only what was applied."""
     rng = random.Random(4)
-    rows, held = [], 0
+    rows = []
     for i in range(250):
-        side = "Sell" if held and rng.random() < 0.5 else "Buy"
-        q = rng.randint(1, min(held, 9)) if side == "Sell" else rng.randint(1, 9)
-        held += q if side == "Buy" else -q
-        rows.append(("hot", i // 2, i, side, float(q), round(rng.random(), 3), 0.01))
-    df = frame(rows, "instrument STRING, ts LONG, seq LONG, side STRING, qty DOUBLE, px DOUBLE, fee DOUBLE")
+        side = "Sell" if rng.random() < 0.5 else "Buy"
+        rows.append(("hot", i // 2, i, f"f{i}", side, float(rng.randint(1, 9)), round(rng.random(), 3), 0.01, 1.0))
+    for i in rng.sample(range(200), 40):  # undone a few rows later, across chunk edges too
+        k, t, _, fill, side, q, px, fee, _ = rows[i]
+        rows.append((k, t + 7, 1000 + i, fill, side, q, px, fee, -1.0))
+    rows.sort(key=lambda r: (r[1], r[2]))
+    df = frame(rows, "instrument STRING, ts LONG, seq LONG, venue_trade_id STRING, side STRING, qty DOUBLE, px DOUBLE,"
+                     " fee DOUBLE, sign DOUBLE")
     got = {r.seq: r for r in T.position_ledger(df, chunk=chunk).collect()}
     qty = avg = gain = cash = 0.0
-    for _, _, seq, side, q, px, fee in rows:
-        if side == "Buy":
-            avg = (qty * avg + q * px + fee) / (qty + q)
-            qty, cash = qty + q, cash - q * px - fee
-        else:
-            gain, qty, cash = gain + q * (px - avg) - fee, qty - q, cash + q * px - fee
+    refused, flags = set(), 0
+    for _, _, seq, fill, side, q, px, fee, sign in rows:
+        step, bad = sign * q if side == "Buy" else -sign * q, False
+        if not (sign < 0 and fill in refused):
+            bad = qty + step < -1e-6
+            if bad:
+                refused |= {fill} if sign > 0 else set()
+            elif side == "Buy":
+                cash -= sign * (q * px + fee)
+                avg = (qty * avg + sign * (q * px + fee)) / (qty + step) if qty + step > 1e-6 else avg
+                qty += step
+            else:
+                gain, qty, cash = gain + sign * (q * (px - avg) - fee), qty + step, cash + sign * (q * px - fee)
         r = got[seq]
-        assert r.qty_after == pytest.approx(qty) and r.realized == pytest.approx(gain)
-        assert r.cash == pytest.approx(cash) and r.avg_cost == pytest.approx(avg if qty else 0)
+        flags += bad
+        assert r.violation == bad and r.qty_after == pytest.approx(qty) and r.realized == pytest.approx(gain)
+        assert r.cash == pytest.approx(cash) and r.avg_cost == pytest.approx(avg)
+    assert flags > 10
 
 
 @pytest.mark.parametrize("chunk", [11, 10_000])

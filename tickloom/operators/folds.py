@@ -34,6 +34,15 @@ def rising_edges(df: DataFrame, on: Column, *, by: Sequence[str], ts: str,
             .drop("_on", "_was", "_before", CHUNK))
 
 
+def together(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of a group in one partition, by a hash of the keys.
+
+    A repartition by the keys themselves is dropped below a join on them, and adaptive
+    execution may then turn that join into one that scatters the groups again.
+    """
+    return df.repartition(F.xxhash64(*keys))
+
+
 def fold_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str], fn,
                 schema: T.StructType) -> DataFrame:
     """Run ``fn(key, columns)`` on each group, rows in ``order``, ``columns`` as numpy arrays.
@@ -78,7 +87,7 @@ def fold_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str], fn,
         if pending:
             yield from table([close()])
 
-    parts = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    parts = together(df, keys).sortWithinPartitions(*keys, *order)
     return parts.mapInPandas(run, schema)
 
 
@@ -117,7 +126,7 @@ def fold_stream(df: DataFrame, keys: Sequence[str], order: Sequence[str], start,
             if last is not None:
                 yield pd.DataFrame(last)[names]
 
-    parts = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    parts = together(df, keys).sortWithinPartitions(*keys, *order)
     return parts.mapInPandas(run, schema)
 
 

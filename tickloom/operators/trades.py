@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections import deque
 from collections.abc import Sequence
 
@@ -322,101 +323,158 @@ def effective_fills(reports: DataFrame) -> DataFrame:
     return rows.withColumn("sign", sign).filter(F.col("sign").isNotNull()).drop("_good", "_was")
 
 
+def _accepted(qty: float, step: float) -> bool:
+    """May the position move by ``step``? Long only, up to rounding."""
+    return round(qty + step, 6) >= -EPS
+
+
+def quantity_map(steps, ids, undone) -> list[tuple[float, float, list]]:
+    """What a run of fills does to the quantity it opens with.
+
+    Pieces (from, shift, refused ids): a sell larger than what is held is refused and moves
+    nothing, so an opening quantity from ``from`` on, up to the next piece, leaves shifted.
+    """
+    pieces = [(0.0, 0.0, frozenset())]
+    for step, fill, undo in zip(steps, ids, undone):
+        out = []
+        for i, (low, shift, refused) in enumerate(pieces):
+            high = pieces[i + 1][0] if i + 1 < len(pieces) else float("inf")
+            if undo and fill in refused:
+                out.append((low, shift, refused))
+                continue
+            need = -(shift + step)
+            if need > low and step < 0:
+                out.append((low, shift, refused if undo else refused | {fill}))
+            if need < high:
+                out.append((max(low, need), shift + step, refused))
+        pieces = [q for i, q in enumerate(out) if i == 0 or q[1:] != out[i - 1][1:]]
+    return [(low, shift, sorted(refused)) for low, shift, refused in pieces]
+
+
 def position_ledger(fills: DataFrame, *, chunk: int, by: str = "instrument", ts: str = "ts",
                     order: str = "seq") -> DataFrame:
     """Average-cost position after every fill, for any number of fills per instrument.
 
-    Once the held quantity is known, each fill maps the cost basis to ``a * basis + b``
-    (buys add their cost, sells keep the remaining share), and what a sell realises is
-    linear in the basis too. So a chunk is reduced to a few numbers, chunks are chained
-    per instrument, and each is finished from the state it opens with. A flat position
-    shows cost 0.
+    A fill that would sell more than is held (or undo more than was bought) is refused and
+    flagged; it moves nothing, the next one is judged by itself, and a refused fill has
+    nothing to undo later. A flat position keeps its last average cost, so a closing sell can
+    be undone.
 
-    Selling more than is held (or undoing more than was bought) is flagged, and the ledger
-    of that instrument stands still from there on, as its state can no longer be trusted.
+    A chunk is first reduced to its quantity map, a few pieces; chained, they give every
+    chunk's opening quantity and so which fills count. Each counted buy then maps the average
+    cost to ``a * cost + b`` and what a sell realises is linear in it: chunks are reduced to
+    these numbers, chained, and each finished from the state it opens with. Ids refused in
+    one chunk are known in the next through the chain.
     """
+    named = "venue_trade_id" in fills.columns
     signed = F.col("sign") if "sign" in fills.columns else F.lit(1.0)
     buy = F.col("side") == "Buy"
-    step = F.when(buy, signed * F.col("qty")).otherwise(-signed * F.col("qty"))
-    rows = C.running_sum_min(fills, step, "_held", "_low", by=[by], ts=ts, order=[order],
-                             chunk=chunk)
-    violation = F.round("_low", 6) < -EPS
-    held = F.round("_held", 6)
-    before = F.round(F.col("_held") - step, 6)
-    cash = signed * F.col("qty") * F.col("px")
-    fee = signed * F.col("fee")
-    slim = materialize(rows.select(
+    slim = materialize(fills.select(
         by, ts, order, C.chunk_start(F.col(ts), chunk).alias(C.CHUNK), buy.alias("buy"),
-        (signed * F.col("qty")).alias("q"), cash.alias("value"), fee.alias("fee"),
-        before.alias("before"), held.alias("held"), violation.alias("violation")), "ledger")
-
+        (signed * F.col("qty")).alias("q"), (signed * F.col("qty") * F.col("px")).alias("value"),
+        (signed * F.col("fee")).alias("fee"), (signed < 0).alias("undo"),
+        (F.col("venue_trade_id") if named else F.lit("")).alias("fill")), "ledger")
     key_field, order_field = fills.schema[by], fills.schema[order]
-    double, place = T.DoubleType(), [by, C.CHUNK]
-    names = ("buy", "q", "value", "fee", "before", "held", "violation")
+    double, text, place = T.DoubleType(), T.StringType(), [by, C.CHUNK]
 
-    def fields(*extra):
+    def fields(kind, *extra):
         return T.StructType([key_field, T.StructField(C.CHUNK, T.LongType()),
-                             *[T.StructField(n, double) for n in extra]])
-
-    def summarise(key, d):
-        a, b, g0, g1, fees, money, last = 1.0, 0.0, 0.0, 0.0, 0.0, 0.0, np.nan
-        for is_buy, q, value, cost, was, now, bad in zip(*[d[n].tolist() for n in names]):
-            if bad:
+                             *[T.StructField(n, kind) for n in extra]])
+
+    def columns(d):
+        q = d["q"].astype(float)
+        steps = np.where(d["buy"], q, -q).tolist()
+        return steps, [d[n].tolist() for n in ("buy", "q", "value", "fee", "undo", "fill")]
+
+    def reduce_quantity(key, d):
+        """Quantity maps, cut where a fill is undone that the map has not seen itself."""
+        steps, (*_, undo, ids) = columns(d)
+        maps, first, seen = [], 0, set()
+        for i, (is_undo, fill) in enumerate(zip(undo, ids)):
+            if is_undo and named and fill not in seen:
+                maps.append((quantity_map(steps[first:i], ids[first:i], undo[first:i]), [fill, steps[i]]))
+                first, seen = i + 1, set()
+            seen.add(fill)
+        maps.append((quantity_map(steps[first:], ids[first:], undo[first:]), None))
+        return {by: [key[0]], C.CHUNK: [key[1]], "pieces": [json.dumps(maps)]}
+
+    def chain_quantity(key, d):
+        qty, refused, out = 0.0, [], []
+        for raw in d["pieces"]:
+            out.append(json.dumps([qty, refused]))
+            for pieces, undo in json.loads(raw):
+                at = max(i for i, p in enumerate(pieces) if i == 0 or _accepted(qty, -p[0]))
+                qty, refused = max(qty + pieces[at][1], 0.0), refused + pieces[at][2]
+                if undo and undo[0] not in refused and _accepted(qty, undo[1]):
+                    qty = max(qty + undo[1], 0.0)
+        return {by: [key[0]] * len(out), C.CHUNK: d[C.CHUNK], "o_quantity": out}
+
+    def walk(d):
+        """Rows of a chunk with the quantity before each; refused ones say so."""
+        steps, (buys, qs, values, fees, undone, ids) = columns(d)
+        qty, known = json.loads(d["o_quantity"][0])
+        refused = set(known)
+        for step, is_buy, q, value, fee, undo, fill in zip(steps, buys, qs, values, fees, undone, ids):
+            void = undo and named and fill in refused
+            bad = not void and not _accepted(qty, step)
+            after = qty if void or bad else max(qty + step, 0.0)
+            if bad and not undo and named:
+                refused.add(fill)
+            yield is_buy, q, value, fee, void or bad, bad, qty, after
+            qty = after
+
+    def reduce_cost(key, d):
+        a, b, g0, g1, fees, money = 1.0, 0.0, 0.0, 0.0, 0.0, 0.0
+        for is_buy, q, value, fee, skip, _, was, now in walk(d):
+            if skip:
                 continue
-            fees += cost
+            fees += fee
             if is_buy:
-                b, money = b + value + cost, money - value - cost
+                money -= value + fee
+                if now > EPS:
+                    a, b = a * was / now, (b * was + value + fee) / now
             else:
-                part = q / was if was > EPS else 0.0
-                g0, g1 = g0 + value - cost - part * b, g1 - part * a
-                a, b, money = a * (1 - part), b * (1 - part), money + value - cost
-            if now <= EPS:
-                a, b = 0.0, 0.0
-            last = now
+                g0, g1, money = g0 + value - fee - q * b, g1 - q * a, money + value - fee
         return {by: [key[0]], C.CHUNK: [key[1]], "a": [a], "b": [b], "g0": [g0], "g1": [g1],
-                "fees": [fees], "money": [money], "last": [last]}
+                "fees": [fees], "money": [money]}
 
-    def chain(key, d):
-        basis = gain = fees = money = qty = 0.0
+    def chain_cost(key, d):
+        cost = gain = fees = money = 0.0
         out = []
-        for a, b, g0, g1, f, m, last in zip(*[d[n].tolist() for n in (
-                "a", "b", "g0", "g1", "fees", "money", "last")]):
-            out.append((basis, gain, fees, money, qty))
-            gain, basis, fees, money = gain + g0 + g1 * basis, a * basis + b, fees + f, money + m
-            qty = qty if np.isnan(last) else last
-        cols = dict(zip(("o_basis", "o_gain", "o_fees", "o_money", "o_qty"), map(list, zip(*out))))
+        for a, b, g0, g1, f, m in zip(*[d[n].tolist() for n in ("a", "b", "g0", "g1", "fees", "money")]):
+            out.append((cost, gain, fees, money))
+            gain, cost, fees, money = gain + g0 + g1 * cost, a * cost + b, fees + f, money + m
+        cols = dict(zip(("o_cost", "o_gain", "o_fees", "o_money"), map(list, zip(*out))))
         return {by: [key[0]] * len(out), C.CHUNK: d[C.CHUNK], **cols}
 
-    opened = ("o_basis", "o_gain", "o_fees", "o_money", "o_qty")
-
     def finish(key, d):
-        basis, gain, fees, money, qty = (float(d[n][0]) for n in opened)
+        cost, gain, fees, money = (float(d[n][0]) for n in ("o_cost", "o_gain", "o_fees", "o_money"))
         out = []
-        for is_buy, q, value, cost, was, now, bad in zip(*[d[n].tolist() for n in names]):
-            if not bad:
-                fees += cost
+        for is_buy, q, value, fee, skip, bad, was, now in walk(d):
+            if not skip:
+                fees += fee
                 if is_buy:
-                    basis, money = basis + value + cost, money - value - cost
+                    money -= value + fee
+                    if now > EPS:
+                        cost = (cost * was + value + fee) / now
                 else:
-                    part = q / was if was > EPS else 0.0
-                    gain, money = gain + value - cost - part * basis, money + value - cost
-                    basis *= 1 - part
-                qty = max(now, 0.0)
-                if qty <= EPS:
-                    basis = 0.0
-            out.append((qty, basis / qty if qty > EPS else 0.0, gain, fees, money))
-        cols = dict(zip(("qty_after", "avg_cost", "realized", "fees_paid", "cash"),
+                    gain, money = gain + value - fee - q * cost, money + value - fee
+            out.append((now, cost, gain, fees, money, bad))
+        cols = dict(zip(("qty_after", "avg_cost", "realized", "fees_paid", "cash", "violation"),
                         map(list, zip(*out))))
-        return {by: [key[0]] * len(out), ts: d[ts], order: d[order], **cols,
-                "violation": d["violation"]}
-
-    parts = folds.fold_groups(slim, place, [ts, order], summarise, fields(
-        "a", "b", "g0", "g1", "fees", "money", "last"))
-    opening = folds.fold_groups(parts, [by], [C.CHUNK], chain, fields(*opened))
+        return {by: [key[0]] * len(out), ts: d[ts], order: d[order], **cols}
+
+    maps = folds.fold_groups(slim, place, [ts, order], reduce_quantity, fields(text, "pieces"))
+    opened = folds.fold_groups(maps, [by], [C.CHUNK], chain_quantity, fields(text, "o_quantity"))
+    counted = slim.join(materialize(opened, "opening"), place)
+    parts = folds.fold_groups(counted, place, [ts, order], reduce_cost,
+                              fields(double, "a", "b", "g0", "g1", "fees", "money"))
+    opening = folds.fold_groups(parts, [by], [C.CHUNK], chain_cost,
+                                fields(double, "o_cost", "o_gain", "o_fees", "o_money"))
     schema = T.StructType([key_field, T.StructField(ts, T.LongType()), order_field, *[
         T.StructField(n, double) for n in ("qty_after", "avg_cost", "realized", "fees_paid", "cash")],
         T.StructField("violation", T.BooleanType())])
-    return folds.fold_groups(slim.join(opening, place), place, [ts, order], finish, schema)
+    return folds.fold_groups(counted.join(opening, place), place, [ts, order], finish, schema)
 
 
 def settle_positions(positions: DataFrame, markets: DataFrame) -> DataFrame:

@@ -175,24 +175,28 @@ def maker_entries(spark, sf):
 
 
 # ── ledger ───────────────────────────────────────────────────────────────────
-LEDGER = f"""WITH RECURSIVE {FILLS},
-f AS (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY ts, seq) AS n FROM fills),
+def ledger_sql(entries: str) -> str:
+    """Recursion over ``entries`` (signed fills): a fill that oversells is refused by itself."""
+    return f"""WITH RECURSIVE {entries},
+f AS (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY ts, seq) AS n,
+  CASE WHEN side = 'Buy' THEN sign * qty ELSE -sign * qty END AS d, sign * (qty * px) AS v, sign * fee AS c FROM entries),
 w AS (
-  SELECT instrument, n, ts, seq, side = 'Sell' AS bad, CASE WHEN side = 'Buy' THEN qty ELSE 0 END AS q,
-    CASE WHEN side = 'Buy' THEN qty * px + fee ELSE 0 END AS basis, 0.0::DOUBLE AS realized,
-    CASE WHEN side = 'Buy' THEN fee ELSE 0 END AS fees, CASE WHEN side = 'Buy' THEN -(qty * px + fee) ELSE 0 END AS cash
-  FROM f WHERE n = 1
+  SELECT DISTINCT instrument, 0::BIGINT AS n, 0::BIGINT AS ts, 0::BIGINT AS seq, false AS bad, 0.0::DOUBLE AS q, 0.0::DOUBLE AS cost,
+    0.0::DOUBLE AS realized, 0.0::DOUBLE AS fees, 0.0::DOUBLE AS cash, []::VARCHAR[] AS refused FROM f
   UNION ALL
-  SELECT f.instrument, f.n, f.ts, f.seq, w.bad OR (f.side = 'Sell' AND round(w.q - f.qty, 6) < -1e-6),
-    CASE WHEN w.bad OR (f.side = 'Sell' AND round(w.q - f.qty, 6) < -1e-6) THEN w.q WHEN f.side = 'Buy' THEN w.q + f.qty
-      ELSE greatest(w.q - f.qty, 0) END,
-    CASE WHEN w.bad OR (f.side = 'Sell' AND round(w.q - f.qty, 6) < -1e-6) THEN w.basis WHEN f.side = 'Buy' THEN w.basis + f.qty * f.px + f.fee
-      WHEN w.q - f.qty <= 1e-6 THEN 0 ELSE w.basis * (w.q - f.qty) / w.q END,
-    CASE WHEN w.bad OR f.side = 'Buy' OR round(w.q - f.qty, 6) < -1e-6 THEN w.realized ELSE w.realized + f.qty * (f.px - w.basis / w.q) - f.fee END,
-    CASE WHEN w.bad OR (f.side = 'Sell' AND round(w.q - f.qty, 6) < -1e-6) THEN w.fees ELSE w.fees + f.fee END,
-    CASE WHEN w.bad OR (f.side = 'Sell' AND round(w.q - f.qty, 6) < -1e-6) THEN w.cash WHEN f.side = 'Buy' THEN w.cash - f.qty * f.px - f.fee
-      ELSE w.cash + f.qty * f.px - f.fee END
-  FROM w JOIN f ON f.instrument = w.instrument AND f.n = w.n + 1)"""
+  SELECT instrument, n, ts, seq, bad, CASE WHEN act THEN greatest(q + d, 0) ELSE q END,
+    CASE WHEN act AND side = 'Buy' AND q + d > 1e-6 THEN (q * cost + v + c) / (q + d) ELSE cost END,
+    CASE WHEN act AND side = 'Sell' THEN realized + v - sign * qty * cost - c ELSE realized END,
+    CASE WHEN act THEN fees + c ELSE fees END,
+    CASE WHEN NOT act THEN cash WHEN side = 'Buy' THEN cash - v - c ELSE cash + v - c END,
+    CASE WHEN bad AND sign > 0 THEN list_append(refused, venue_trade_id) ELSE refused END
+  FROM (SELECT *, NOT skip AND NOT bad AS act FROM (SELECT *, NOT skip AND round(q + d, 6) < -1e-6 AS bad FROM (
+    SELECT f.*, w.q, w.cost, w.realized, w.fees, w.cash, w.refused,
+      sign < 0 AND list_contains(w.refused, f.venue_trade_id) AS skip
+    FROM w JOIN f ON f.instrument = w.instrument AND f.n = w.n + 1))))"""
+
+
+LEDGER = ledger_sql(FILLS + ", entries AS (SELECT *, 1.0::DOUBLE AS sign FROM fills)")
 
 
 def ledger(spark, sf):
@@ -200,15 +204,15 @@ def ledger(spark, sf):
 
 
 @query("position_ledger", LEDGER + """
-SELECT instrument, seq, round(q, 6) AS qty_after, round(CASE WHEN q > 1e-6 THEN basis / q ELSE 0 END, 8) AS avg_cost,
-  round(realized, 6) + 0.0 AS realized, round(fees, 6) AS fees_paid, round(cash, 6) + 0.0 AS cash, bad AS violation FROM w""")
+SELECT instrument, seq, round(q, 6) AS qty_after, round(cost, 8) AS avg_cost,
+  round(realized, 6) + 0.0 AS realized, round(fees, 6) AS fees_paid, round(cash, 6) + 0.0 AS cash, bad AS violation FROM w WHERE n > 0""")
 def position_ledger(spark, sf):
     return ledger(spark, sf).select("instrument", "seq", "violation", F.round("avg_cost", 8).alias("avg_cost"),
                                     *r6("qty_after", "realized", "fees_paid", "cash"))
 
 
 @query("daily_ledger_totals", LEDGER + """, d AS (SELECT *, lag(realized) OVER p AS pr, lag(fees) OVER p AS pf, lag(cash) OVER p AS pc
-  FROM w WINDOW p AS (PARTITION BY instrument ORDER BY ts, seq))
+  FROM w WHERE n > 0 WINDOW p AS (PARTITION BY instrument ORDER BY ts, seq))
 SELECT strftime(make_timestamp(ts), '%Y-%m-%d') AS date, round(sum(realized - coalesce(pr, 0)), 6) + 0.0 AS realized,
   round(sum(fees - coalesce(pf, 0)), 6) + 0.0 AS fees, round(sum(cash - coalesce(pc, 0)), 6) + 0.0 AS cash, count(*) AS n FROM d GROUP BY 1""")
 def daily_ledger_totals(spark, sf):
@@ -216,9 +220,13 @@ def daily_ledger_totals(spark, sf):
     return out.select("date", "n", *r6("realized", "fees", "cash"))
 
 
-REPORTS = FILLS + """, rep AS (SELECT venue_trade_id, seq, qty, px, ts, instrument, unnest(CASE order_id % 4 WHEN 0 THEN ['Matched', 'Confirmed']
+REPORTS = FILLS + """, rep AS (SELECT venue_trade_id, seq, side, qty, px, fee, ts, instrument, unnest(CASE order_id % 4 WHEN 0 THEN ['Matched', 'Confirmed']
   WHEN 1 THEN ['Matched', 'Failed'] WHEN 2 THEN ['Failed', 'Confirmed', 'Confirmed'] ELSE ['Failed'] END) AS status,
   unnest(CASE order_id % 4 WHEN 2 THEN [0, 1, 2] WHEN 3 THEN [0] ELSE [0, 1] END) AS i FROM fills)"""
+ENTRIES = REPORTS + """, g AS (SELECT *, status <> 'Failed' AS good,
+  lag(status <> 'Failed') OVER (PARTITION BY venue_trade_id ORDER BY i) AS was FROM rep),
+entries AS (SELECT * REPLACE (ts + i AS ts), CASE WHEN good THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS sign FROM g
+  WHERE (good AND NOT coalesce(was, false)) OR (NOT good AND coalesce(was, false)))"""
 
 
 def fill_reports(spark, sf):
@@ -239,7 +247,9 @@ def effective_fills(spark, sf):
     return T.effective_fills(fill_reports(spark, sf)).select("venue_trade_id", "i", "sign")
 
 
-@query("ledger_with_reversals")
+@query("ledger_with_reversals", ledger_sql(ENTRIES) + """
+SELECT instrument, seq, bad AS violation, round(q, 6) AS qty_after, round(cost, 6) AS avg_cost, round(realized, 6) + 0.0 AS realized,
+  round(cash, 6) + 0.0 AS cash FROM w WHERE n > 0""")
 def ledger_with_reversals(spark, sf):
     entries = T.effective_fills(fill_reports(spark, sf))
     return T.position_ledger(entries, chunk=2 * 365 * DAY).select(
