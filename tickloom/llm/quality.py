@@ -1,8 +1,8 @@
 """Quality rules with risk-controlled thresholds, in DataFrame expressions only.
 
 Base features are counted over whole texts. On labelled documents, every rule's cutoff is the
-lowest on its grid for which an exact binomial test shows that at most ``risk`` of the good
-documents of a stratum are rejected. Cutoffs are tested from the mildest down and testing stops
+lowest on its grid for which an exact binomial test shows that at most its share of ``risk`` of the
+good documents of a stratum are rejected; all rules together stay below ``risk``. Cutoffs are tested from the mildest down and testing stops
 at the first that fails, so a grid needs no correction of its own; the error rate is divided by
 the number of (stratum, rule) pairs. A stratum with too few labels gets no cutoff.
 
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from tickloom.llm.registry import documents, query
 from tickloom.session import materialize
 
+#: good documents of a stratum that all rules together may reject
 RISK = 0.02
 ERROR = 0.05
 #: share of a text that a rule may object to, mildest first
@@ -39,34 +40,33 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
 def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with its counts in a struct column ``q``; every other column stays as it is."""
+    """``row``, the given row as a struct, and ``q``, its counts; no names of ``docs`` can clash."""
     body = F.coalesce(F.col(text), F.lit(""))
-    names = docs.columns
     words = docs.select(
-        *names, F.array_remove(F.split(body, r"[\x20\x09-\x0D]+"), "").alias("__words"),
-        F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("__lines"),
-        F.length(F.regexp_replace(body, r"[^#*$%&|<>]+", "")).alias("__symbols"),
-        F.length(F.regexp_replace(body, r"[^A-Z]+", "")).alias("__capitals"))
-    windows = words.withColumn("__n", F.size("__words")).withColumn("__w8", F.expr(
-        "if(__n < 8, cast(array() as array<bigint>),"
-        " transform(sequence(1, greatest(__n - 7, 1)), i -> xxhash64(slice(__words, i, 8))))"))
+        F.struct("*").alias("row"), F.array_remove(F.split(body, r"[\x20\x09-\x0D]+"), "").alias("words"),
+        F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
+        F.length(F.regexp_replace(body, r"[^#*$%&|<>]+", "")).alias("symbols"),
+        F.length(F.regexp_replace(body, r"[^A-Z]+", "")).alias("capitals"))
+    windows = words.withColumn("n", F.size("words")).withColumn("w8", F.expr(
+        "if(n < 8, cast(array() as array<bigint>),"
+        " transform(sequence(1, greatest(n - 7, 1)), i -> xxhash64(slice(words, i, 8))))"))
     # only a text with a repeated window is sorted; equal windows then stand side by side
-    ordered = windows.withColumn("__sorted", F.expr(
-        "if(size(array_distinct(__w8)) < size(__w8),"
-        " array_sort(transform(__w8, (h, i) -> struct(h, i))), cast(array() as array<struct<h:bigint,i:int>>))"))
-    found = ordered.withColumn("__hits", F.expr(
-        "array_sort(transform(filter(__sorted, (x, j) -> (j > 0 and __sorted[greatest(j - 1, 0)].h = x.h)"
-        " or (j + 1 < size(__sorted) and __sorted[least(j + 1, size(__sorted) - 1)].h = x.h)), x -> x.i))"))
-    covered = F.expr("aggregate(__hits, struct(0 as upto, 0 as total), (a, p) -> struct("
+    ordered = windows.withColumn("sorted", F.expr(
+        "if(size(array_distinct(w8)) < size(w8),"
+        " array_sort(transform(w8, (h, i) -> struct(h, i))), cast(array() as array<struct<h:bigint,i:int>>))"))
+    found = ordered.withColumn("hits", F.expr(
+        "array_sort(transform(filter(sorted, (x, j) -> (j > 0 and sorted[greatest(j - 1, 0)].h = x.h)"
+        " or (j + 1 < size(sorted) and sorted[least(j + 1, size(sorted) - 1)].h = x.h)), x -> x.i))"))
+    covered = F.expr("aggregate(hits, struct(0 as upto, 0 as total), (a, p) -> struct("
                      "p + 8 as upto, a.total + p + 8 - greatest(p, a.upto) as total), a -> a.total)")
-    return found.select(*names, F.struct(
-        F.col("__n").cast("long").alias("n_words"),
-        F.length(F.array_join("__words", "")).cast("long").alias("word_chars"),
-        F.col("__symbols").cast("long").alias("n_symbols"),
-        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
+    return found.select("row", F.struct(
+        F.col("n").cast("long").alias("n_words"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        F.col("symbols").cast("long").alias("n_symbols"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         covered.cast("long").alias("n_repeat_words"),
-        F.size("__lines").cast("long").alias("n_lines"),
-        F.col("__capitals").cast("long").alias("n_capitals")).alias("q"))
+        F.size("lines").cast("long").alias("n_lines"),
+        F.col("capitals").cast("long").alias("n_capitals")).alias("q"))
 
 
 def scores() -> dict[str, F.Column]:
@@ -97,7 +97,8 @@ def cutoffs(scored: DataFrame, labels: DataFrame, key: str = "doc_id", stratum:
     good = labels.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg(
         F.min("quality").alias("__quality")).filter("__quality = 1")
     rules = scores()
-    held = scored.select(F.col(key).alias("__key"), F.col(stratum).alias("stratum"),
+    share = risk / len(rules)
+    held = scored.select(F.col("row")[key].alias("__key"), F.col("row")[stratum].alias("stratum"),
                          *[rule.alias(name) for name, rule in rules.items()]).join(good, "__key")
     tried = materialize(held.groupBy("stratum").agg(F.count("*").alias("n"), *[
         F.count_if(F.col(name) > cut).alias(f"{name}_{j}") for name in rules for j, cut in enumerate(GRID)]), "tests")
@@ -109,7 +110,7 @@ def cutoffs(scored: DataFrame, labels: DataFrame, key: str = "doc_id", stratum:
     level = math.log(error / (len(rules) * strata))
     # the exact tail is wanted only where the rejected share is below the risk at all
     passed = tests.withColumn("ok", F.when(
-        F.col("rejected") < F.col("n") * risk, log_tail("n", "rejected", risk) <= level).otherwise(False))
+        F.col("rejected") < F.col("n") * share, log_tail("n", "rejected", share) <= level).otherwise(False))
     steps = passed.groupBy("stratum", "rule").agg(
         F.coalesce(F.min(F.when(~F.col("ok"), F.col("step"))), F.lit(len(GRID))).alias("failed"))
     chosen = steps.withColumn("cutoff", F.when(
@@ -119,31 +120,29 @@ def cutoffs(scored: DataFrame, labels: DataFrame, key: str = "doc_id", stratum:
 
 
 def judged(scored: DataFrame, limits: DataFrame, stratum: str = "lang") -> DataFrame:
-    """``scored`` with booleans ``base_failed`` and ``kept`` in a struct column ``verdict``."""
+    """``scored`` with booleans ``base_failed`` and ``kept``."""
     rejected = F.lit(False)
     for name, rule in scores().items():
         rejected = rejected | F.coalesce(rule > F.col(f"cut.{name}"), F.lit(False))
     limits = limits.withColumnRenamed("stratum", "__stratum")
     if limits.count() <= MOST_STRATA:
         limits = F.broadcast(limits)
-    return scored.join(limits, scored[stratum].eqNullSafe(limits["__stratum"]), "left").withColumn(
-        "verdict", F.struct(base_failed().alias("base_failed"),
-                            (~base_failed() & ~rejected).alias("kept"))).drop("__stratum", "cut")
+    return scored.join(limits, F.col("row")[stratum].eqNullSafe(F.col("__stratum")), "left").select(
+        "row", "q", base_failed().alias("base_failed"), (~base_failed() & ~rejected).alias("kept"))
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that pass, with their own columns only."""
     scored = materialize(with_features(docs), "scored")
     limits = materialize(cutoffs(scored, labels), "cutoffs")
-    return judged(scored, limits).filter("verdict.kept").select(*docs.columns)
+    return judged(scored, limits).filter("kept").select("row.*")
 
 
 @query("op9_quality_rules")
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document, cutoffs certified per language."""
     docs = documents(spark, sf_dir)
-    scored = materialize(with_features(docs).select("doc_id", "lang", "q"), "scored")
+    scored = materialize(with_features(docs).select(F.struct("row.doc_id", "row.lang").alias("row"), "q"), "scored")
     limits = materialize(cutoffs(scored, spark.read.parquet(f"{sf_dir}/labels.parquet")), "cutoffs")
     return judged(scored, limits).select(
-        "doc_id", *[F.col(f"q.{c}").alias(c) for c in COUNTS],
-        F.col("verdict.base_failed").alias("base_failed"), F.col("verdict.kept").alias("kept"), "lang")
+        "row.doc_id", *[F.col(f"q.{c}").alias(c) for c in COUNTS], "base_failed", "kept", "row.lang")
