@@ -1,9 +1,10 @@
 """Transcript parsing: a hidden Markov model recovers who speaks, then turns are rendered.
 
-The hidden states are the roles; a line shows its speaker marker (or none), its length class and
-whether it asks. Start, transition and emission counts are summed over all labelled transcripts; the
+A hidden state is a role and whether the line opens a turn; a line shows its speaker marker (or none),
+its length class and whether it asks. So a turn whose marker is missing is found where the roles of the
+marked turns around it could not follow each other. Start, transition and emission counts are summed over all labelled transcripts; the
 tables have a fixed size. The most likely roles of a transcript's lines are found by the Viterbi
-recursion, neighbouring lines of one role become a turn, and turns are written in one canonical form.
+recursion, an opening line and those that go on become a turn, and turns are written in one canonical form.
 
 Conversations are gathered in parts of ``PART_TURNS`` turns; a longer one is decoded part by part.
 
@@ -34,6 +35,8 @@ MARKER = re.compile(
 LENGTHS = [20, 60, 150]
 SYMBOLS = (len(ROLES) + 1) * (len(LENGTHS) + 1) * 2
 PART_TURNS = 1024
+#: state 2 * role opens a turn of the role, the next number goes on with it
+STATES = 2 * len(ROLES)
 
 
 def observed(line: str) -> tuple[int, str]:
@@ -56,11 +59,11 @@ class Model:
         self.move = log(np.asarray(move, float)).tolist()
         self.show = log(np.asarray(show, float)).T.tolist()
 
-    def roles(self, symbols: list[int]) -> list[int]:
-        """Most likely role of every line (Viterbi); the first role wins ties."""
+    def states(self, symbols: list[int]) -> list[int]:
+        """Most likely state of every line (Viterbi); the first state wins ties."""
         if not symbols:
             return []
-        states = range(len(ROLES))
+        states = range(STATES)
         score = [self.start[s] + self.show[symbols[0]][s] for s in states]
         back = []
         for symbol in symbols[1:]:
@@ -84,10 +87,9 @@ class Model:
         """Roles and texts of a transcript's turns."""
         seen = [observed(line) for line in text.split("\n")]
         out: list[tuple[int, list[str]]] = []
-        for role, (symbol, line) in zip(self.roles([s for s, _ in seen]), seen, strict=True):
-            marked = symbol >= (len(LENGTHS) + 1) * 2
-            if not out or out[-1][0] != role or marked:
-                out.append((role, []))
+        for state, (_, line) in zip(self.states([s for s, _ in seen]), seen, strict=True):
+            if not out or state % 2 == 0 or out[-1][0] != state // 2:
+                out.append((state // 2, []))
             out[-1][1].append(line)
         return [(ROLES[r], "\n".join(lines).strip("\n")) for r, lines in out]
 
@@ -101,33 +103,38 @@ def learned(labelled: DataFrame) -> Model:
     """Model from ``text, roles, lines``: a transcript, each turn's role and its number of lines."""
 
     def count(batches):
-        start = np.zeros(len(ROLES), np.int64)
-        move = np.zeros((len(ROLES), len(ROLES)), np.int64)
-        show = np.zeros((len(ROLES), SYMBOLS), np.int64)
+        start = np.zeros(STATES, np.int64)
+        move = np.zeros((STATES, STATES), np.int64)
+        show = np.zeros((STATES, SYMBOLS), np.int64)
         for batch in batches:
             for text, roles, sizes in zip(*[batch.column(c).to_pylist() for c in ("text", "roles", "lines")], strict=True):
-                at = [ROLES.index(r) if r in ROLES else -1 for r, n in zip(roles, sizes, strict=True) for _ in range(n)]
+                at = [2 * ROLES.index(r) + (k > 0) if r in ROLES else -1
+                      for r, n in zip(roles, sizes, strict=True) for k in range(n)]
                 symbols = [observed(line)[0] for line in text.split("\n")]
                 if at and at[0] >= 0:
                     start[at[0]] += 1
-                for k, (role, symbol) in enumerate(zip(at, symbols, strict=True)):
-                    if role >= 0:
-                        show[role, symbol] += 1
+                for k, (state, symbol) in enumerate(zip(at, symbols, strict=True)):
+                    if state >= 0:
+                        show[state, symbol] += 1
                         if k and at[k - 1] >= 0:
-                            move[at[k - 1], role] += 1
+                            move[at[k - 1], state] += 1
         flat = np.concatenate([start, move.ravel(), show.ravel()])
         yield pa.RecordBatch.from_arrays([pa.array(range(len(flat)), pa.int32()), pa.array(flat)], names=["cell", "n"])
 
     cells = labelled.select("text", "roles", "lines").mapInArrow(count, "cell int, n long")
-    flat = np.zeros(len(ROLES) * (1 + len(ROLES) + SYMBOLS), np.int64)
-    for cell, n in cells.groupBy("cell").agg(F.sum("n")).collect():  # a fixed number of cells
-        flat[cell] = n
-    r = len(ROLES)
-    return Model(flat[:r], flat[r:r + r * r].reshape(r, r), flat[r + r * r:].reshape(r, SYMBOLS))
+    n = STATES
+    flat = np.zeros(n * (1 + n + SYMBOLS), np.int64)
+    for cell, total in cells.groupBy("cell").agg(F.sum("n")).collect():  # a fixed number of cells
+        flat[cell] = total
+    return Model(flat[:n], flat[n:n + n * n].reshape(n, n), flat[n + n * n:].reshape(n, SYMBOLS))
 
 
 def parsed(transcripts: DataFrame, model: Model) -> DataFrame:
-    """Every row of ``transcripts`` (a column ``text``) with ``turns`` and the canonical ``chat``."""
+    """Every row of ``transcripts`` (a column ``text``) with ``turns`` and the canonical ``chat``.
+
+    Columns that have these two names already are replaced.
+    """
+    transcripts = transcripts.drop("turns", "chat")
     shared = transcripts.sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))
 
