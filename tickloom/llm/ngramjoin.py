@@ -16,6 +16,9 @@ than a link allows cannot link. Only pairs of one list that are still in differe
 that the pivot cannot decide are compared themselves. So a group of copies costs one comparison
 per set, not one per pair.
 
+Before texts are read for a comparison, the parities of both sets' shingles in a small bit field bound
+their difference from below; pairs beyond what a link allows need no text.
+
 Defined results: a text of one or two words has its whole sequence as its only shingle; without words
 (or null) a set is empty and links with nothing; equal sets link; repeated ids are one document with
 the smallest id of what any of its rows reaches; an empty table gives no rows.
@@ -97,12 +100,43 @@ def prefix_length(n: int, percent: int) -> int:
     return n - least + 1 if n else 0
 
 
+def parities(own: np.ndarray) -> bytes:
+    """For each of at least ``2 n`` places, whether an odd number of shingles falls there."""
+    size = 64
+    while size < 2 * len(own):
+        size *= 2
+    return np.packbits(np.bincount((own % np.uint64(size)).astype(np.int64), minlength=size) & 1).tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """No two sets with these parities differ in fewer shingles; a longer field is folded."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    size = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(z.reshape(-1, size), axis=0) for z in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def bounded(pairs: DataFrame, fields: DataFrame) -> DataFrame:
+    """``pairs`` with ``low``, a lower bound of their difference, from ``fields`` (id, bits)."""
+    both = pairs.join(fields.toDF("a", "__x"), "a").join(fields.toDF("b", "__y"), "b")
+    names = pairs.columns
+
+    def bound(batches):
+        for batch in batches:
+            low = [least_difference(x, y) for x, y in
+                   zip(batch.column("__x").to_pylist(), batch.column("__y").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(low, pa.int64())],
+                                             names=[*names, "low"])
+
+    return both.select(*names, "__x", "__y").mapInArrow(bound, ", ".join(f"{c} long" for c in [*names, "low"]))
+
+
 def set_rows(docs: DataFrame, rarity, key: str, text: str, k: int, percent: int) -> DataFrame:
     """Size, two fingerprints and the prefix of every document's set."""
 
     def rows(batches):
         for batch in batches:
-            sizes, fp1, fp2, prefix = [], [], [], []
+            sizes, fp1, fp2, prefix, bits = [], [], [], [], []
             for own in row_sets(batch, "text", k):
                 tokens = ordered(own, rarity.value)
                 sizes.append(len(own))
@@ -110,16 +144,17 @@ def set_rows(docs: DataFrame, rarity, key: str, text: str, k: int, percent: int)
                 fp2.append(int(np.bitwise_xor.reduce(own * np.uint64(0x9E3779B97F4A7C15) ^ (own >> np.uint64(29)),
                                                      initial=np.uint64(0))))
                 prefix.append(tokens[:prefix_length(len(own), percent)].view(np.int64))
+                bits.append(parities(own))
             lengths = np.cumsum([0, *map(len, prefix)])
             flat = np.concatenate(prefix) if prefix else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), pa.array(sizes, pa.int64()),
                 pa.array(np.array(fp1, np.uint64).view(np.int64)), pa.array(np.array(fp2, np.uint64).view(np.int64)),
-                pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(flat))],
-                names=["doc_id", "n", "fp1", "fp2", "prefix"])
+                pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(flat)), pa.array(bits, pa.binary())],
+                names=["doc_id", "n", "fp1", "fp2", "prefix", "bits"])
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        rows, "doc_id long, n long, fp1 long, fp2 long, prefix array<long>")
+        rows, "doc_id long, n long, fp1 long, fp2 long, prefix array<long>, bits binary")
 
 
 def allowed(n: str, m: str, percent: int) -> str:
@@ -129,7 +164,7 @@ def allowed(n: str, m: str, percent: int) -> str:
 
 def compared(pairs: DataFrame, docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
     """``a, b`` with ``distance``, the exact symmetric difference of their sets."""
-    ids = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "id")
+    ids = materialize(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "id"), "ids")
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     wanted = materialize(texts.join(ids, "id", "left_semi").dropDuplicates(["id"]), "wanted")
     both = pairs.join(wanted.toDF("a", "ta"), "a").join(wanted.toDF("b", "tb"), "b")
@@ -175,35 +210,46 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     sets = materialize(set_rows(docs, rarity, key, text, k, percent), "sets")
     classes = materialize(sets.filter("n > 0").groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("rep")), "classes")
     # of smaller sets only equal ones link
-    entries = sets.filter(f"n * {100 - percent} >= {percent}").join(classes, ["n", "fp1", "fp2"]).filter("doc_id = rep").dropDuplicates(
-        ["doc_id", "fp1", "fp2"]).select(F.col("rep").alias("id"), "n", F.posexplode("prefix").alias("pos", "token"))
+    unique = materialize(sets.filter(f"n * {100 - percent} >= {percent}").join(classes, ["n", "fp1", "fp2"]).filter(
+        "doc_id = rep").dropDuplicates(["doc_id", "fp1", "fp2"]).select(
+        F.col("rep").alias("id"), "n", "prefix", "bits"), "unique")
+    fields = unique.select("id", "bits").dropDuplicates(["id"])
     token = Window.partitionBy("token")
+    entries = unique.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
     lists = materialize(entries.withColumn("size", F.count("*").over(token)).filter("size > 1").withColumn(
         "pivot", F.min(F.struct("pos", "id", "n")).over(token)).drop("size"), "lists")
-    stars = materialize(lists.filter("id <> pivot.id").select(
+    # the first shared shingle bounds the overlap best
+    room = F.expr("least(n - pos, pivot.n - pivot.pos)")
+    near = f"100 * na >= {percent} * nb and 100 * nb >= {percent} * na and {100 + percent} * room >= {percent} * (na + nb)"
+    stars = lists.filter("id <> pivot.id").groupBy(
         F.col("pivot.id").alias("a"), F.col("id").alias("b"), F.col("pivot.n").alias("na"), F.col("n").alias("nb")
-    ).distinct(), "stars")
-    measured = materialize(stars.join(compared(stars.select("a", "b"), docs, key, text, k), ["a", "b"]), "measured")
+    ).agg(F.max(room).cast("long").alias("room"))
+    close = materialize(bounded(stars.filter(near), fields), "close")
+    todo = close.filter(f"low <= {allowed('na', 'nb', percent)}")
+    measured = materialize(todo.join(compared(todo.select("a", "b"), docs, key, text, k), ["a", "b"]), "measured")
     links = materialize(measured.filter(f"distance <= {allowed('na', 'nb', percent)}").select("a", "b"), "links")
     first = components(links)
     # pairs of a list that are still apart and that their distances to the pivot leave open
-    known = lists.select("token", "id", "n", "pos", F.col("pivot.id").alias("pivot")).join(
-        measured.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "distance"), ["pivot", "id"], "left"
-    ).join(first, "id", "left").select(
-        "token", "id", "n", "pos", F.coalesce("distance", F.lit(0)).alias("distance"),
+    answers = close.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "low").join(
+        measured.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "distance"), ["pivot", "id"], "left")
+    known = lists.select("token", "id", "n", "pos", F.col("pivot.id").alias("pivot")).filter("id <> pivot").join(
+        answers, ["pivot", "id"], "left").join(first, "id", "left").select(
+        "token", "id", "n", "pos", F.coalesce("distance", "low", F.lit(0)).alias("low"), F.col("distance").alias("high"),
         F.coalesce("component", "id").alias("component"))
     split = materialize(known.withColumn("lowest", F.min("component").over(token)).withColumn(
-        "highest", F.max("component").over(token)).filter("lowest <> highest and distance > 0").drop("lowest", "highest"),
-        "open")
+        "highest", F.max("component").over(token)).filter("lowest <> highest").drop("lowest", "highest"), "open")
     x, y = split.alias("x"), split.alias("y")
-    open_pairs = x.join(y, F.expr(
+    reach = allowed("x.n", "y.n", percent)
+    open_pairs = materialize(x.join(y, F.expr(
         "x.token = y.token and x.id < y.id and x.component <> y.component"
         f" and 100 * x.n >= {percent} * y.n and 100 * y.n >= {percent} * x.n"
         f" and {100 + percent} * least(x.n - x.pos, y.n - y.pos) >= {percent} * (x.n + y.n)"
-        f" and abs(x.distance - y.distance) <= {allowed('x.n', 'y.n', percent)}")).select(
-        F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct()
-    rest = materialize(open_pairs.join(measured.select("a", "b"), ["a", "b"], "left_anti").join(
-        measured.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), "rest")
+        f" and coalesce(x.low - y.high <= {reach}, true) and coalesce(y.low - x.high <= {reach}, true)")).select(
+        F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct(),
+        "pairs")
+    done = close.select("a", "b").union(close.select("b", "a"))
+    rest = materialize(bounded(open_pairs.join(done, ["a", "b"], "left_anti"), fields).filter(
+        f"low <= {allowed('na', 'nb', percent)}"), "rest")
     more = rest.join(compared(rest.select("a", "b"), docs, key, text, k), ["a", "b"]).filter(
         f"distance <= {allowed('na', 'nb', percent)}").select("a", "b")
     final = components(materialize(links.union(more), "links"))
