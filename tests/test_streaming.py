@@ -103,9 +103,12 @@ def test_refits(spark, tmp_path):
 def test_latest_and_conflation(spark, tmp_path):
     rows = [("a", i, i, float(i) if i % 2 else None, None if i % 3 else float(-i)) for i in range(1, 30)]
     ddl = "key STRING, ts LONG, seq LONG, bid DOUBLE, ask DOUBLE"
-    got = drain(spark, tmp_path, ST.keyed(feed(spark, tmp_path, rows, ddl), "key", ST.Latest(["bid", "ask"], "key"), ddl))
-    last = got.orderBy(F.desc("ts")).first()
-    assert (last.ts, last.bid, last.ask) == (29, 29.0, -27.0)
+    out = "key STRING, version LONG, ts LONG, seq LONG, bid DOUBLE, ask DOUBLE"
+    for files in (1, 2, 7):  # any number of files, in any order
+        random.Random(files).shuffle(rows)
+        stream = feed(spark, tmp_path / str(files), rows, ddl, files)
+        got = ST.current(drain(spark, tmp_path / str(files), ST.keyed(stream, "key", ST.Latest(["bid", "ask"], "key"), out)), "key")
+        assert [tuple(r) for r in got.collect()] == [("a", 29, 29, 29.0, -27.0)]
     batches = []
     q = ST.conflated(feed(spark, tmp_path / "c", rows, ddl), ["key"], lambda df, i: batches.append(df.count()))
     q.option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start().awaitTermination()

@@ -101,8 +101,12 @@ def level_lifetimes(updates: DataFrame, *, chunk: int) -> DataFrame:
         "_neg", "_negseq", "_next", "_nextseq", "_end")
 
 
-def book_at(instants: DataFrame, updates: DataFrame, *, chunk: int, n: int = 10) -> DataFrame:
-    """Top ``n`` levels of each side at each ``(instrument, ts)`` instant."""
+def _cut(side, n: int | None):
+    return side if n is None else L.top_n(side, n)
+
+
+def book_at(instants: DataFrame, updates: DataFrame, *, chunk: int, n: int | None = None) -> DataFrame:
+    """Levels of each side at each ``(instrument, ts)`` instant, all of them or the top ``n``."""
     alive = level_lifetimes(updates, chunk=chunk).filter(
         (F.col("qty") > 0) & (F.col("until") > F.col("ts")))
     last = instants.agg(F.max("ts").alias("_last"))
@@ -124,7 +128,7 @@ def book_at(instants: DataFrame, updates: DataFrame, *, chunk: int, n: int = 10)
     empty = F.array().cast("ARRAY<STRUCT<px: DOUBLE, qty: DOUBLE>>")
     return full.select(
         "instrument", "ts",
-        *[L.top_n(L.normalize(F.coalesce(F.col(f"{s}s"), empty), s), n).alias(f"{s}s")
+        *[_cut(L.normalize(F.coalesce(F.col(f"{s}s"), empty), s), n).alias(f"{s}s")
           for s in ("bid", "ask")])
 
 

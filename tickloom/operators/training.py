@@ -49,21 +49,26 @@ def train_and_test(rows: DataFrame, start: U.Model, *, px: Sequence[str], second
 
 def ablate(rows: DataFrame, sets: dict[str, Sequence[str]], *, px: Sequence[str], second: int,
            fit_above: float = 300.0, hidden: int = 32, steps: int = 10, event_steps: int = 20,
-           base: str = "base") -> DataFrame:
-    """Held-out KL and outcome loss per feature set, with paired differences to the base set."""
+           base: str = "base", frac: float = 0.1) -> DataFrame:
+    """Held-out KL and outcome loss per feature set, with paired differences to the base set.
+
+    Features are scaled by moments of the training events alone.
+    """
     rows = materialize(rows, "ablation")
+    split = U.split_events(rows.groupBy("ticker").agg(F.min("ts").alias("open_ts")), frac)
+    training = rows.join(split.filter("split = 'train'").select("ticker"), "ticker", "left_semi")
     parts = None
     for name, extras in sets.items():
         part = rows
         if extras:
-            mom = rows.agg(*[f(c).alias(f"{c}{i}") for c in extras
+            mom = training.agg(*[f(c).alias(f"{c}{i}") for c in extras
                              for i, f in enumerate((F.avg, F.stddev_pop))]).first()
             mu = tuple(float(mom[f"{c}0"]) for c in extras)
             sd = tuple(float(mom[f"{c}1"]) + 1e-9 for c in extras)
         else:
             mu = sd = ()
         start = replace(U.seeded_model(len(px), extras, hidden, rho=1.5), mu=mu, sd=sd)
-        _, events = train_and_test(part, start, px=px, second=second, fit_above=fit_above, steps=steps,
+        _, events = train_and_test(part, start, px=px, second=second, fit_above=fit_above, frac=frac, steps=steps,
                                    event_steps=event_steps)
         events = events.withColumn("features", F.lit(name))
         parts = events if parts is None else parts.unionByName(events)

@@ -179,7 +179,7 @@ FROM inst i LEFT JOIN l ON l.instrument = i.instrument AND l.at = i.at GROUP BY
 def book_at_instants(spark, sf):
     inst = ticks(spark, sf).select("instrument", (
         C.chunk_start(F.col("ts"), 4 * HOUR) + 4 * HOUR).alias("ts")).distinct()
-    books = K.book_at(inst, level_updates(spark, sf), chunk=2 * DAY, n=50)
+    books = K.book_at(inst, level_updates(spark, sf), chunk=2 * DAY)
     b, a = F.col("bids"), F.col("asks")
     return books.select("instrument", "ts", F.round(L.best(b), 6).alias("bid"),
                         F.round(L.best(a), 6).alias("ask"), L.total_qty(b).alias("bid_depth"),
@@ -238,7 +238,7 @@ def bid_sequence_validity(spark, sf):
     l_orderkey * 10 + l_linenumber AS last_id FROM lineitem),
 p AS (SELECT *, coalesce(lag(last_id) OVER (PARTITION BY instrument ORDER BY last_id), -1)
     + CASE WHEN last_id % 17 = 0 THEN 1 ELSE 0 END AS prev_id FROM u),
-s AS (SELECT s_suppkey AS instrument, x * 15000 + s_suppkey AS sid FROM supplier, (SELECT unnest(range(0, 10)) AS x)),
+s AS (SELECT s_suppkey AS instrument, s_suppkey AS sid FROM supplier UNION SELECT instrument, last_id FROM u WHERE last_id % 20 = 0),
 j AS (SELECT p.*, s.sid AS epoch FROM p ASOF JOIN s ON s.instrument = p.instrument AND p.last_id >= s.sid),
 b AS (SELECT *, lag(last_id) OVER w AS pl FROM j WINDOW w AS (PARTITION BY instrument, epoch ORDER BY last_id)),
 c AS (SELECT *, CASE WHEN pl IS NULL THEN first_id > epoch ELSE prev_id <> pl END AS gap FROM b)
@@ -252,10 +252,10 @@ def depth_snapshot_sync(spark, sf):
     u = C.previous(u, {"last_id": "_p"}, by=["instrument"], ts="last_id", chunk=20_000)
     u = u.withColumn("prev_id", F.coalesce("_p", F.lit(-1)) + F.when(
         F.col("last_id") % 17 == 0, 1).otherwise(0)).drop("_p")
+    # one snapshot at the start of every instrument, and one at every update whose id ends a twenty
     snaps = table(spark, sf, "supplier").select(
-        F.col("s_suppkey").alias("instrument"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("x"))
-    snaps = snaps.select("instrument", (F.col("x") * 15_000 + F.col("instrument"))
-                         .alias("last_update_id"))
+        F.col("s_suppkey").alias("instrument"), F.col("s_suppkey").alias("last_update_id")).union(
+        u.filter("last_id % 20 = 0").select("instrument", "last_id")).distinct()
     return K.depth_epochs(snaps, u, chunk=20_000).select(
         "instrument", "last_id", "epoch", "gap", "valid")
 

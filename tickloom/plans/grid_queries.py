@@ -350,7 +350,7 @@ def post_latency_book(spark, sf):
 
 
 @query("calibration_at_boundary", f"""WITH {SCORED}, logged AS (
-  SELECT ticker, tte_s, seq AS d_b FROM scored WHERE seq % 9 = 0),
+  SELECT ticker, tte_s, seq AS d_b FROM scored),
 bounds AS (SELECT ticker, CAST(unnest([300, 240, 180, 120, 60]) AS INTEGER) AS boundary
   FROM (SELECT DISTINCT ticker FROM logged)),
 near AS (SELECT b.ticker, b.boundary, arg_min(l.d_b, (abs(l.tte_s - b.boundary), -l.tte_s)) AS d_b
@@ -361,6 +361,6 @@ f AS (SELECT ticker, boundary, last_value(d_b IGNORE NULLS) OVER (PARTITION BY t
 SELECT * FROM f WHERE d_b IS NOT NULL""")
 def calibration_at_boundary(spark, sf):
     from tickloom.operators.calibrate import calib_at
-    logged = scored(spark, sf).filter("seq % 9 = 0").select(
+    logged = scored(spark, sf).select(
         "ticker", "tte_s", F.col("seq").alias("d_b"))
     return calib_at(logged, ["d_b"], tte_max=300, step=60).select("ticker", "boundary", "d_b")

@@ -133,8 +133,7 @@ def concatenated_levels(spark, sf):
     return dedupe_last(t, by=[], ts="t", order=["user_id", "seq"]).select("t", F.col("px").alias("level"))
 
 
-@query("aligned_sampler_grid", f"""WITH {TICKS}, mk AS (SELECT instrument AS ticker, min(ts) AS s, min(ts) + {40 * HOUR} AS e FROM ticks
-  WHERE instrument IN ('click', 'signup') GROUP BY 1),
+@query("aligned_sampler_grid", f"""WITH {TICKS}, mk AS (SELECT instrument AS ticker, min(ts) AS s, max(ts) AS e FROM ticks GROUP BY 1),
 g AS (SELECT ticker, e, unnest(range(CAST(ceil(s / {15 * MINUTE}) AS BIGINT) * {15 * MINUTE}, e + 1, {15 * MINUTE})) AS ts FROM mk),
 a AS (SELECT g.*, t.px AS y FROM g ASOF JOIN ticks t ON t.instrument = g.ticker AND g.ts >= t.ts),
 b AS (SELECT a.*, p.px AS perp_bid, a.ts - p.ts AS perp_age FROM a ASOF LEFT JOIN (SELECT * FROM ticks WHERE instrument = 'view') p ON a.ts >= p.ts)
@@ -142,9 +141,8 @@ SELECT b.ticker, b.ts, b.e - b.ts AS tte, b.y AS ybid, perp_bid, perp_age, c.px
 ASOF LEFT JOIN (SELECT * FROM ticks WHERE instrument = 'purchase') c ON b.ts >= c.ts""")
 def aligned_sampler_grid(spark, sf):
     t = ticks(spark, sf)
-    markets = t.filter(F.col("instrument").isin("click", "signup")).groupBy(
-        F.col("instrument").alias("ticker")).agg(F.min("ts").alias("start_ts")).withColumn(
-        "expiry", F.col("start_ts") + 40 * HOUR)
+    markets = t.groupBy(F.col("instrument").alias("ticker")).agg(
+        F.min("ts").alias("start_ts"), F.max("ts").alias("expiry"))
     target = t.select(F.col("instrument").alias("ticker"), "ts", "seq", F.col("px").alias("ybid"),
                       (F.col("px") + 1).alias("yask"))
     src = lambda k: t.filter(F.col("instrument") == k).select(
@@ -240,7 +238,7 @@ def lead_model(spark, sf):
 def fair_replay_audit(spark, sf):
     from tickloom.operators import training as TR
     rows = scored(spark, sf).drop("fair", "gap").withColumn("d_b", F.lit(0.001)).withColumn("d_rho", F.lit(0.0))
-    logged = U.score(rows.filter("seq % 5 = 0"), ONE, px=["spot"]).select(
+    logged = U.score(rows, ONE, px=["spot"]).select(
         "ticker", (F.col("ts") + 500).alias("ts"), "tte_s", F.col("spot").alias("px0"), "fair", "d_b", "d_rho")
     return TR.audit_fair(logged, rows.select("ticker", "ts", "spot", "strike"), ONE, px=["spot"],
                          tol=SEC, lead=1000, chunk=DAY)
@@ -280,10 +278,13 @@ def stream_throttle(spark, sf):
 
 
 @query("stream_latest_state", f"""WITH {TICKS}
-SELECT instrument, max(ts) AS ts, arg_max(seq, ts) AS seq, arg_max(px, ts) FILTER (k % 3 = 0) AS bid, arg_max(px, ts) FILTER (k % 3 <> 0) AS ask
+SELECT instrument, max(ts) AS ts, arg_max(seq, (ts, seq)) AS seq, arg_max(px, (ts, seq)) FILTER (k % 3 = 0) AS bid,
+  arg_max(px, (ts, seq)) FILTER (k % 3 <> 0) AS ask
 FROM ticks GROUP BY 1""")
 def stream_latest_state(spark, sf):
     rocks(spark)
     rows = tick_stream(spark, sf).select("instrument", "ts", "seq", F.when(F.col("k") % 3 == 0, F.col("px")).alias("bid"),
                                          F.when(F.col("k") % 3 != 0, F.col("px")).alias("ask"))
-    return streamed(spark, ST.keyed(rows, "instrument", ST.Latest(["bid", "ask"], "instrument"), rows.schema), "latest")
+    out = ST.keyed(rows, "instrument", ST.Latest(["bid", "ask"], "instrument"),
+                   "instrument STRING, version LONG, ts LONG, seq LONG, bid DOUBLE, ask DOUBLE")
+    return ST.current(streamed(spark, out, "latest"), "instrument")

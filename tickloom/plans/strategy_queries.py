@@ -304,13 +304,13 @@ def tops(spark, sf):
 
 
 def probe_rows(spark, sf):
-    """Instants of interest: ticks of one in seven, shifted off the quote times."""
-    return ticks(spark, sf).filter("seq % 7 = 0").select(
+    """Instants of interest: every tick, shifted off the quote times."""
+    return ticks(spark, sf).select(
         "instrument", (F.col("ts") + MINUTE).alias("ts"), F.col("seq").alias("id"),
         (F.col("k") % 9 + 1).cast("double").alias("qty"))
 
 
-PROBES = f""", pb AS (SELECT instrument, ts + {MINUTE} AS ts, seq AS id, (k % 9 + 1)::DOUBLE AS qty FROM ticks WHERE seq % 7 = 0)"""
+PROBES = f""", pb AS (SELECT instrument, ts + {MINUTE} AS ts, seq AS id, (k % 9 + 1)::DOUBLE AS qty FROM ticks)"""
 
 
 @query("mark_to_bid", f"""WITH {TOPS}{PROBES}
@@ -494,14 +494,14 @@ def signal_funnel(spark, sf):
 
 
 @query("latency_per_signal", f"""WITH {TICKS}
-SELECT seq, round(px, 6) AS latency_us, k FROM ticks WHERE seq % 3 = 0 AND k % 2 = 0""")
+SELECT seq, round(px, 6) AS latency_us, k FROM ticks""")
 def latency_per_signal(spark, sf):
     t = ticks(spark, sf)
     key = dict(strategy=F.lit("s"), target=F.col("instrument"))
-    samples = t.filter("seq % 3 = 0").select(F.col("ts").alias("origin_ts_ns"), key["strategy"].alias("strategy"),
-                                             key["target"].alias("target"), F.col("px").alias("latency_us"), "seq")
-    signals = t.filter("k % 2 = 0").select(F.col("ts").alias("ts_ns"), key["strategy"].alias("strategy"),
-                                           key["target"].alias("target"), "k")
+    samples = t.select(F.col("ts").alias("origin_ts_ns"), key["strategy"].alias("strategy"),
+                       key["target"].alias("target"), F.col("px").alias("latency_us"), "seq")
+    signals = t.select(F.col("ts").alias("ts_ns"), key["strategy"].alias("strategy"),
+                       key["target"].alias("target"), "k")
     return T.latency_of_signals(samples, signals).select("seq", "k", *r6("latency_us"))
 
 

@@ -329,15 +329,15 @@ def series_difference(spark, sf):
     return out.select("n", *r6("max", "rms", "p99"))
 
 
-@query("log_sampler_alignment", f"""WITH {SCORED}, logged AS (SELECT ticker, ts + 1000 AS at, fair FROM scored WHERE seq % 5 = 0),
-g AS (SELECT ticker, ts, spot FROM scored WHERE seq % 2 = 0)
+@query("log_sampler_alignment", f"""WITH {SCORED}, logged AS (SELECT ticker, ts + 1000 AS at, fair FROM scored),
+g AS (SELECT ticker, ts, spot FROM scored)
 SELECT count(*) AS n, count(CASE WHEN l.at + 1000 - g.ts <= {2 * HOUR} THEN 1 END) AS matched,
   round(avg(CASE WHEN l.at + 1000 - g.ts <= {2 * HOUR} THEN g.spot END), 6) AS spot
 FROM logged l ASOF LEFT JOIN g ON l.ticker = g.ticker AND l.at + 1000 >= g.ts""")
 def log_sampler_alignment(spark, sf):
     s = scored(spark, sf)
-    logged = s.filter("seq % 5 = 0").select("ticker", (F.col("ts") + 1000).alias("ts"), "fair")
-    rows = asof_join(logged, s.filter("seq % 2 = 0"), by=["ticker"], at=F.col("ts") + 1000,
+    logged = s.select("ticker", (F.col("ts") + 1000).alias("ts"), "fair")
+    rows = asof_join(logged, s, by=["ticker"], at=F.col("ts") + 1000,
                      tol=2 * HOUR, take={"spot": "g_spot"}, chunk=DAY)
     return rows.agg(F.count(F.lit(1)).alias("n"), F.count("g_spot").alias("matched"),
                     F.round(F.avg("g_spot"), 6).alias("spot"))

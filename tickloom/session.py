@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
-import tempfile
+import shutil
 import uuid
 
 from pyspark.sql import SparkSession
@@ -28,11 +29,18 @@ def build_session(master: str | None = None, app: str = "tickloom", **conf) -> S
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder the cluster names for checkpoints; a private one only where none is set."""
+    """Folder for intermediate tables: the one the cluster names for checkpoints.
+
+    Where none is set, a local master gets a folder of its own, removed at exit; on a cluster
+    executors would each write to their own disk, so that is an error.
+    """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not named:
-        named = tempfile.mkdtemp(prefix="tickloom-")
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        named = os.path.join(os.environ.get("TMPDIR", "/tmp"), f"tickloom-{context.applicationId}")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
         context.setCheckpointDir(named)
     return named
 

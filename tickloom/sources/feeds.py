@@ -114,15 +114,19 @@ def bid_market(df: DataFrame, now: Column, kind: str = "binary") -> DataFrame:
     return out.filter(F.col("ticker").isNotNull() & F.col("expiry_ts_ns").isNotNull())
 
 
-def bid_books(snapshots: DataFrame, n: int = 10) -> DataFrame:
-    """Books of both outcomes: asks of one side are the other side's bids at 1 - p."""
+def bid_books(snapshots: DataFrame, n: int | None = None) -> DataFrame:
+    """Books of both outcomes: asks of one side are the other side's bids at 1 - p.
+
+    All levels, or the top ``n`` of each side.
+    """
     yes = L.normalize(F.col("yes_bids"), "bid")
     no = L.normalize(F.col("no_bids"), "bid")
+    cut = lambda side: side if n is None else L.top_n(side, n)
 
     def book(label, own, other):
         return F.struct(
             F.concat(F.lit("kalshi."), F.col("ticker"), F.lit(f".{label}")).alias("instrument"),
-            L.top_n(own, n).alias("bids"), L.top_n(L.reflect(other), n).alias("asks"))
+            cut(own).alias("bids"), cut(L.reflect(other)).alias("asks"))
 
     both = F.explode(F.array(book("YES", yes, no), book("NO", no, yes)))
     keep = [c for c in snapshots.columns if c not in ("yes_bids", "no_bids", "ticker")]

@@ -79,32 +79,48 @@ class Episodes(StatefulProcessor):
 
 
 class Latest(StatefulProcessor):
-    """Latest non-null value of each field per key, one row out per key and micro-batch."""
+    """Latest non-null value of each field per key, one row out per key and micro-batch.
+
+    Every field keeps the (ts, seq) of its value, so a late row fills what it is newest for and
+    nothing else. ``version`` counts a key's rows; ``current`` picks the last one of each key.
+    """
 
     def __init__(self, fields: list[str], key: str):
         self.fields, self.key = fields, key
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        cols = ", ".join(f"{f} DOUBLE" for f in self.fields)
-        self.now = handle.getValueState("now", f"ts BIGINT, seq BIGINT, {cols}")
+        cols = ", ".join(f"{f} DOUBLE, {f}_ts BIGINT, {f}_seq BIGINT" for f in self.fields)
+        self.now = handle.getValueState("now", f"version BIGINT, ts BIGINT, seq BIGINT, {cols}")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any):
         pdf = _ordered(rows)
-        old = self.now.get() if self.now.exists() else None
-        values = []
+        old = tuple(self.now.get()) if self.now.exists() else (0, None, None, *[None] * 3 * len(self.fields))
+        newer = lambda at, was: was[0] is None or at >= was
+        at = int(pdf["ts"].iloc[-1]), int(pdf["seq"].iloc[-1])
+        state = [old[0] + 1, *(at if newer(at, old[1:3]) else old[1:3])]
         for i, f in enumerate(self.fields):
-            seen = pdf[f].dropna()
-            values.append(float(seen.iloc[-1]) if len(seen) else (old[i + 2] if old else None))
-        ts, seq = int(pdf["ts"].iloc[-1]), int(pdf["seq"].iloc[-1])
-        if old and (old[0], old[1]) > (ts, seq):
-            ts, seq = old[0], old[1]
-        self.now.update((ts, seq, *values))
-        yield pd.DataFrame([[key[0], ts, seq, *values]], columns=[self.key, "ts", "seq", *self.fields])
+            value, *was = old[3 + 3 * i:6 + 3 * i]
+            seen = pdf[pdf[f].notna()]
+            if len(seen):
+                last = seen.iloc[-1]
+                at = int(last["ts"]), int(last["seq"])
+                if newer(at, tuple(was)):
+                    value, was = float(last[f]), at
+            state += [value, *was]
+        self.now.update(tuple(state))
+        yield pd.DataFrame([[key[0], state[0], *state[1:3], *state[3::3]]],
+                           columns=[self.key, "version", "ts", "seq", *self.fields])
 
     def close(self) -> None:
         pass
 
 
+def current(rows: DataFrame, key: str) -> DataFrame:
+    """The last version of every key of a ``Latest`` output."""
+    names = [c for c in rows.columns if c not in (key, "version")]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*names), "version").alias("now")).select(key, "now.*")
+
+
 class Moves(StatefulProcessor):
     """Reference-move signals: rows of the reference, target quotes and lifecycle together.
 
