@@ -43,9 +43,20 @@ def ticks(n=240, seed=2):
     return out
 
 
-def test_throttle(spark, tmp_path):
-    stream = feed(spark, tmp_path, ticks(), TICK)
-    got = drain(spark, tmp_path, ST.keyed(stream, "key", ST.Throttle(25), TICK))
+@pytest.mark.parametrize("files", [1, 2, 7])
+def test_throttle(spark, tmp_path, files):
+    """Any number of files, in any order."""
+    rows = ticks()
+    random.Random(files).shuffle(rows)
+    stream = feed(spark, tmp_path, rows, TICK, files)
+    ends = tmp_path / "ends"
+    spark.createDataFrame([], TICK).write.parquet(str(ends))
+    both = stream.union(spark.readStream.schema(TICK).parquet(str(ends)))
+    thin = ST.throttled(both, "key", 25, spark.createDataFrame([], TICK).schema, at=F.timestamp_millis("ts"),
+                        late="5 seconds", per_ms=1)
+    ST.run_to_table(thin, str(tmp_path / "out"), str(tmp_path / "cp"))
+    spark.createDataFrame([("a", 10**6, 0, 0.0), ("b", 10**6, 0, 0.0)], TICK).write.mode("append").parquet(str(ends))
+    got = drain(spark, tmp_path, thin)
     want = folds.refractory(spark.createDataFrame(ticks(), TICK), by=["key"], ts="ts", gap=25, chunk=200)
     assert sorted(r.seq for r in got.collect()) == sorted(r.seq for r in want.collect())
 

@@ -261,6 +261,24 @@ def streamed(spark, df, label):
     return spark.read.schema(df.schema).parquet(f"{out}/table")
 
 
+LATE = 400  # days that files may be out of order
+
+
+def drained(spark, rows, late, build, label, sf):
+    """``build(rows)`` over all files, and over closing rows behind the last, so that nothing still waits."""
+    rocks(spark)
+    out = fresh_path(spark, label)
+    last = ticks(spark, sf).groupBy("user_id").agg((F.max("ts") + 3 * late * DAY).alias("ts"), F.max("seq").alias("seq"))
+    ends = last.select(*[F.col(f.name) if f.name in last.columns else F.lit(None).cast(f.dataType).alias(f.name)
+                         for f in rows.schema])
+    ends.limit(0).write.parquet(f"{out}/ends")
+    df = build(rows.union(spark.readStream.schema(ends.schema).parquet(f"{out}/ends")))
+    ST.run_to_table(df, f"{out}/table", f"{out}/checkpoint")
+    ends.write.mode("append").parquet(f"{out}/ends")
+    ST.run_to_table(df, f"{out}/table", f"{out}/checkpoint")
+    return spark.read.schema(df.schema).parquet(f"{out}/table")
+
+
 def rocks(spark):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass",
                    "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -272,9 +290,39 @@ w AS (SELECT user_id, n, seq, ts, ts AS kept FROM r WHERE n = 1
   ON r.user_id = w.user_id AND r.n = w.n + 1)
 SELECT user_id, ts, seq FROM w WHERE ts = kept""")
 def stream_throttle(spark, sf):
-    rocks(spark)
     rows = tick_stream(spark, sf).select("user_id", "ts", "seq")
-    return streamed(spark, ST.keyed(rows, "user_id", ST.Throttle(8 * HOUR), rows.schema), "throttle")
+    return drained(spark, rows, LATE, lambda both: ST.throttled(
+        both, "user_id", 8 * HOUR, rows.schema, at=F.timestamp_micros("ts"), late=f"{LATE} days"), "throttle", sf)
+
+
+@query("stream_late_volume", f"""WITH {TICKS}
+SELECT instrument, ts - ts % {HOUR} AS start, round(sum(px), 6) AS volume, count(*) AS n FROM ticks GROUP BY 1, 2""")
+def stream_late_volume(spark, sf):
+    rows = tick_stream(spark, sf).select("instrument", "user_id", "ts", "seq", F.col("px").alias("qty"))
+    out = drained(spark, rows, LATE, lambda both: ST.late_volume(
+        both.withColumn("exch_at", F.timestamp_micros("ts")), late=f"{LATE} days", every="1 hour"), "volume", sf)
+    return out.select("instrument", F.unix_micros("start").alias("start"), *r6("volume"), "n")
+
+
+@query("stream_trade_dedupe", f"""WITH {TICKS}
+SELECT instrument, seq AS trade_id, px FROM ticks""")
+def stream_trade_dedupe(spark, sf):
+    """Every trade is polled twice, a minute apart."""
+    rows = tick_stream(spark, sf).select(
+        "instrument", F.col("seq").alias("trade_id"), "px", "ts", F.explode(F.array(F.lit(0), F.lit(1))).alias("poll"))
+    polls = rows.withColumn("at", F.timestamp_micros(F.col("ts") + F.col("poll") * MINUTE))
+    out = ST.dedupe_trades(polls, late=f"{LATE} days").select("instrument", "trade_id", "px")
+    return streamed(spark, out, "trades")
+
+
+@query("stream_fill_dedupe", f"""WITH {TICKS}
+SELECT 'v' || seq AS venue_trade_id, unnest(['Matched', 'Confirmed']) AS status FROM ticks""")
+def stream_fill_dedupe(spark, sf):
+    """Every status of a fill is reported twice."""
+    rows = tick_stream(spark, sf).select(
+        F.concat(F.lit("v"), "seq").alias("venue_trade_id"), F.timestamp_micros("ts").alias("at"),
+        F.explode(F.array(*map(F.lit, ["Matched", "Confirmed", "Matched", "Confirmed"]))).alias("status"))
+    return streamed(spark, ST.dedupe_fills(rows, late=f"{LATE} days").select("venue_trade_id", "status"), "fills")
 
 
 @query("stream_latest_state", f"""WITH {TICKS}

@@ -23,23 +23,54 @@ def _ordered(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
 
 
 class Throttle(StatefulProcessor):
-    """Keep a row when at least ``gap`` has passed since the last one kept of its key."""
+    """Keep a row when at least ``gap`` has passed since the last one kept of its key.
 
-    def __init__(self, gap: int):
-        self.gap = gap
+    Rows wait until the watermark has passed them and are then taken in time order, so files may
+    come in any order within the watermark's delay. ``per_ms`` is the number of ticks of ``ts`` in a
+    millisecond of event time. A key's state is its waiting rows and one time; it is let go
+    ``ttl_ms`` after the last of its rows.
+    """
+
+    def __init__(self, gap: int, fields: str, per_ms: float = 1000, ttl_ms: int = 0):
+        self.gap, self.fields, self.per_ms, self.ttl_ms = gap, fields, per_ms, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.last = handle.getValueState("last", "ts BIGINT")
+        self.held = handle.getListState("held", self.fields)
+        self.names = [f.split()[0] for f in self.fields.split(",")]
+
+    def _due(self, ts: int) -> int:
+        return int(-(-ts // self.per_ms))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any):
-        pdf = _ordered(rows)
-        times = pdf["ts"].to_numpy()
+        pdf = _ordered(rows)[self.names].astype(object)
+        self.held.appendList([tuple(r) for r in pdf.itertuples(index=False)])
+        self.handle.registerTimer(self._due(int(pdf["ts"].iloc[-1])))
+        return iter(())
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any):
+        now = timerValues.getCurrentWatermarkInMs()
+        rows = [tuple(r) for r in self.held.get()] if self.held.exists() else []
+        if not rows:
+            self.last.clear()  # the farewell timer of a key without waiting rows
+            return
+        pdf = pd.DataFrame(rows, columns=self.names).sort_values(["ts", "seq"], ignore_index=True)
+        ready = (pdf["ts"].map(self._due) <= now).to_numpy()
+        times = pdf["ts"].to_numpy()[ready]
         last = self.last.get()[0] if self.last.exists() else None
         at = 0 if last is None else int(np.searchsorted(times, last + self.gap, side="left"))
         kept = []
         while at < len(times):
             kept.append(at)
             at = int(np.searchsorted(times, times[at] + self.gap, side="left"))
+        waiting = [r for r in pdf[~ready].astype(object).itertuples(index=False, name=None)]
+        if waiting:
+            self.held.put(waiting)
+        else:
+            self.held.clear()
+            if self.ttl_ms:
+                self.handle.registerTimer(now + self.ttl_ms)
         if kept:
             self.last.update((int(times[kept[-1]]),))
             yield pdf.iloc[kept]
@@ -239,11 +270,20 @@ class Refits(StatefulProcessor):
         pass
 
 
-def keyed(stream: DataFrame, key: str, processor: StatefulProcessor, schema) -> DataFrame:
-    """Run a processor over the stream, one state per key."""
+def keyed(stream: DataFrame, key: str, processor: StatefulProcessor, schema, *,
+          time_mode: str = "None") -> DataFrame:
+    """Run a processor over the stream, one state per key; ``EventTime`` needs a watermark."""
     return stream.groupBy(key).transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=schema, outputMode="Append",
-        timeMode="None")
+        timeMode=time_mode)
+
+
+def throttled(stream: DataFrame, key: str, gap: int, schema, *, at, late: str, per_ms: float = 1000,
+              ttl_ms: int = 0) -> DataFrame:
+    """Rows of the stream thinned per key in event time ``at``, whatever order they come in within ``late``."""
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
+    timed = stream.withColumn("_at", at).withWatermark("_at", late)
+    return keyed(timed, key, Throttle(gap, fields, per_ms, ttl_ms), schema, time_mode="EventTime")
 
 
 def conflated(stream: DataFrame, keys: list[str], sink: Callable[[DataFrame, int], None]):
