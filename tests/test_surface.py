@@ -144,3 +144,11 @@ def test_feature_grammar():
     assert X.parse("vsurge").args == (60, 600) and X.parse("vsurge120_1200").args == (120, 1200)
     with pytest.raises(ValueError):
         X.parse("surprise5")
+
+
+def test_identity_is_of_the_numbers():
+    from dataclasses import replace
+
+    a, b = U.seeded_model(2, hidden=4), U.seeded_model(2, hidden=4)
+    assert U.identity(a) == U.identity(b) != U.identity(replace(a, b_scale=51.0))
+    assert U.identity(replace(a, digest="d")) == "d"

@@ -276,6 +276,22 @@ def fit_sweep(samples: DataFrame, model: Model, cuts: Sequence[int], *, px: Sequ
     return out
 
 
+def identity(model: Model) -> str:
+    """Name of a model's numbers: the digest of its file, or one of its weights and scales."""
+    import hashlib
+
+    if model.digest:
+        return model.digest
+    parts = [f"{model.mode}|{model.b_scale}|{model.clamp}|{model.rhos}|{model.extras}|{model.mu}|{model.sd}".encode()]
+    parts += [np.ascontiguousarray(a, dtype="<f8").tobytes() for layer in model.layers for a in layer]
+    return hashlib.sha256(b"".join(parts)).hexdigest()
+
+
+def own_calibration(calib: DataFrame, model: Model, column: str = "model_hash") -> DataFrame:
+    """Calibration fitted with this very model; rows of another model, or of none, are refused."""
+    return calib.filter(F.col(column) == identity(model))
+
+
 def with_params(rows: DataFrame, calib: DataFrame, *, tte_max: float, step: int) -> DataFrame:
     """Rows joined to the fit of their segment (B - step, B]; rows without one are dropped."""
     k = F.floor((F.lit(float(tte_max)) - F.col("tte_s")) / step)

@@ -612,14 +612,28 @@ ONE = U.seeded_model(channels=1, hidden=8, rho=1.5)
 def event_calibration(spark, sf):
     samples = U.fit_samples(scored(spark, sf), second=SEC)
     return U.calibrate(samples, ONE, px=["spot"], tte_max=300, step=60, window=240.0, min_rows=10,
-                       first_steps=40, refit_steps=15)
+                       first_steps=150, refit_steps=60)
+
+
+def stored_calibration(spark, sf):
+    """One stored fit per order; every third comes from a wider model, every fifth names none."""
+    k = F.col("o_orderkey")
+    return table(spark, sf, "orders").select(
+        k.alias("id"), (k % 11 / 1000.0).alias("d_b"), F.when(k % 5 == 0, None).when(
+            k % 3 == 0, U.identity(SMALL)).otherwise(U.identity(ONE)).alias("model_hash"))
+
+
+@query("calibration_identity", """
+SELECT o_orderkey AS id, round(o_orderkey % 11 / 1000.0::DOUBLE, 6) AS d_b FROM orders WHERE o_orderkey % 5 <> 0 AND o_orderkey % 3 <> 0""")
+def calibration_identity(spark, sf):
+    return U.own_calibration(stored_calibration(spark, sf), ONE).select("id", *r6("d_b"))
 
 
 @query("causal_fair_series")
 def causal_fair_series(spark, sf):
     rows = scored(spark, sf).drop("fair", "gap")
     return U.fair_series(rows, ONE, px=["spot"], second=SEC, tte_max=300, step=100, window=240.0,
-                         min_rows=10, first_steps=30, refit_steps=10).select(
+                         min_rows=10, first_steps=150, refit_steps=60).select(
         "ticker", "seq", "boundary", *r6("fair", "gap"))
 
 
