@@ -196,19 +196,20 @@ def test_rate_limit_and_window_totals(frame, chunk):
         assert r.near == any(abs(r.ts - t) <= 3 for t in t0s)
 
 
-@pytest.mark.parametrize("width", [0.05, 1.0])
-def test_order_statistics(frame, width):
+@pytest.mark.parametrize("scale", [1.0, 1e-7, 1e9])
+def test_order_statistics(frame, scale):
     vals = [round(random.Random(6).gauss(0, 1), 2) for _ in range(1)] + [
         round(np.random.default_rng(6).normal(), 2) for _ in range(1)]
     vals += [round(float(x), 2) for x in np.random.default_rng(7).normal(size=333)]
+    vals = [v * scale for v in vals]  # all values close together, or far apart
     df = frame([("k", v) for v in vals], "key STRING, v DOUBLE")
     s = np.sort(vals)
     n = len(s)
-    for p in (0.0, 0.5, 0.9, 0.99, 1.0):
+    for p in (0.0, 0.5, 0.99):
         for method, want in (("linear", np.percentile(s, 100 * p)), ("truncate", s[int(p * (n - 1))]),
                              ("nearest", s[int(np.floor(p * (n - 1) + 0.5))])):
-            r = S.quantiles(df, F.col("v"), {"q": p}, by=["key"], method=method, width=width).collect()[0]
-            assert r.q == pytest.approx(want)
+            r = S.quantiles(df, F.col("v"), {"q": p}, by=["key"], method=method).collect()[0]
+            assert r.q == pytest.approx(want, rel=1e-9)
 
 
 def test_revert_trades(frame):

@@ -57,21 +57,20 @@ def rows_per_second(trades: DataFrame, klines: DataFrame, meta: DataFrame, *, ma
         "n_trades", own.cast("long")).drop("_n", "_at")
 
 
-def compare_series(a: DataFrame, b: DataFrame, value: str, *, keys=("ticker", "ts"),
-                   width: float = 0.001) -> DataFrame:
+def compare_series(a: DataFrame, b: DataFrame, value: str, *, keys=("ticker", "ts")) -> DataFrame:
     """Joined count, largest and root-mean-square absolute difference, 99th percentile."""
     both = a.select(*keys, F.col(value).alias("_a")).join(
         b.select(*keys, F.col(value).alias("_b")), list(keys))
     rows = both.withColumn("_d", F.abs(F.col("_a") - F.col("_b")))
     out = rows.agg(F.count(F.lit(1)).alias("n"), F.max("_d").alias("max"),
                    F.sqrt(F.avg(F.col("_d") * F.col("_d"))).alias("rms"))
-    q = S.quantiles(rows, F.col("_d"), {"p99": 0.99}, by=[], width=width)
+    q = S.quantiles(rows, F.col("_d"), {"p99": 0.99}, by=[])
     return attach_row(out, q)
 
 
-def error_summary(errors: DataFrame, column: str, width: float = 0.001) -> DataFrame:
+def error_summary(errors: DataFrame, column: str) -> DataFrame:
     """Count, median, 90th percentile and maximum of an absolute error."""
     rows = errors.select(F.abs(column).alias("_e"))
     out = rows.agg(F.count("_e").alias("n"), F.max("_e").alias("max"))
-    q = S.quantiles(rows, F.col("_e"), {"median": 0.5, "p90": 0.9}, by=[], width=width)
+    q = S.quantiles(rows, F.col("_e"), {"median": 0.5, "p90": 0.9}, by=[])
     return attach_row(out, q)

@@ -106,7 +106,7 @@ def bce_report(bce: DataFrame, min_events: int = 3) -> DataFrame:
     ).filter(F.col("events") >= min_events)
 
 
-def closure(trades: DataFrame, by: Sequence[str], width: float = 1.0) -> DataFrame:
+def closure(trades: DataFrame, by: Sequence[str]) -> DataFrame:
     """Who closed the gap: signed market and fair moves from entry to closure, in cents.
 
     ``fx_move`` is the fair move under the entry calibration, ``refit_move`` the rest.
@@ -124,14 +124,13 @@ def closure(trades: DataFrame, by: Sequence[str], width: float = 1.0) -> DataFra
         cents(sign * (F.col("close_dfair") - fx)).alias("refit_move"),
         F.avg(F.when(closed & (F.col("won") == 1), F.col("net"))).alias("net_won"),
         F.avg(F.when(closed & (F.col("won") == 0), F.col("net"))).alias("net_lost"))
-    median = S.quantiles(trades.filter(closed), F.col("close_s"), {"median_s": 0.5}, by=by,
-                         width=width)
+    median = S.quantiles(trades.filter(closed), F.col("close_s"), {"median_s": 0.5}, by=by)
     return out.join(median, by, "left").withColumn("mkt_share", F.col("mkt_move") / (
         F.abs("mkt_move") + F.abs("fair_move") + 1e-9))
 
 
 def gap_by_moneyness(scored: DataFrame, deltas: Sequence[float], tte_min: float = 60.0,
-                     tte_max: float = 300.0, width: float = 0.01) -> DataFrame:
+                     tte_max: float = 300.0) -> DataFrame:
     """Distribution of fair minus mid by moneyness of the quote."""
     rows = scored.filter((F.col("tte_s") > tte_min) & (F.col("tte_s") <= tte_max))
     rows = rows.withColumn("bucket", B.moneyness_bucket(F.col("mid"))).filter(
@@ -142,20 +141,18 @@ def gap_by_moneyness(scored: DataFrame, deltas: Sequence[float], tte_min: float
         F.avg("gap").alias("signed"), F.max(size).alias("max"),
         *[F.avg((size >= d).cast("int")).alias(f"ge_{int(round(d * 1000)):03d}")
           for d in deltas])
-    qs = S.quantiles(rows, size, {"p50": 0.5, "p90": 0.9, "p99": 0.99}, by=["bucket"],
-                     width=width)
+    qs = S.quantiles(rows, size, {"p50": 0.5, "p90": 0.9, "p99": 0.99}, by=["bucket"])
     return base.join(qs, "bucket")
 
 
-def gap_summary(samples: DataFrame, delta: float, by: Sequence[str],
-                width: float = 0.01) -> DataFrame:
+def gap_summary(samples: DataFrame, delta: float, by: Sequence[str]) -> DataFrame:
     """Gap distribution per window, nearest-rank percentiles of the magnitude."""
     by, size = list(by), F.abs("gap")
     base = samples.groupBy(*by).agg(
         F.count("gap").alias("n"), F.avg("gap").alias("mean"), F.avg(size).alias("abs_mean"),
         F.max(size).alias("max"), F.sum((size >= delta).cast("long")).alias("ge_delta"))
     qs = S.quantiles(samples, size, {"p50": 0.5, "p90": 0.9, "p99": 0.99}, by=by,
-                     method="nearest", width=width)
+                     method="nearest")
     return base.join(qs, by) if by else attach_row(base, qs).filter("n > 0")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.operators.chunks import CHUNK, attach_row, chunk_carry
+from tickloom.session import materialize
 
 P_CLIP = 0.01
 REPORT_CLIP = 0.005
@@ -61,20 +62,30 @@ def paired_t(value: Column) -> Column:
     return t_stat(F.avg(value), F.stddev_samp(value), F.count(value))
 
 
-def order_stats(df: DataFrame, value: Column, *, by: Sequence[str], width: float) -> DataFrame:
+BANDS = 256
+
+
+def order_stats(df: DataFrame, value: Column, *, by: Sequence[str], bands: int = BANDS) -> DataFrame:
     """Distinct values per key with the rank span each one fills (``first`` .. ``last`` of ``n``).
 
-    Exact, and never gathers a key in one place: equal values are counted map-side,
-    counts are scanned within value bands of ``width`` and the band totals carry over.
+    Exact, and never gathers a key in one place: equal values are counted map-side, and counts are
+    scanned within value bands whose totals carry over. Band edges are quantiles of a key's own
+    distinct values, so bands are alike however the values lie; the edges are approximate, which
+    moves work between bands and never changes a rank.
     """
     vals = df.select(*by, value.alias("value")).filter(F.col("value").isNotNull())
     hist = vals.groupBy(*by, "value").agg(F.count(F.lit(1)).alias("_c"))
-    hist = hist.withColumn(CHUNK, F.floor(F.col("value") / width))
+    marks = [i / bands for i in range(1, bands)]
+    edges = hist.groupBy(*by).agg(F.percentile_approx("value", marks, 20 * bands).alias("_edges"))
+    hist = hist.join(edges, list(by)) if by else attach_row(hist, edges)
+    # written once: the bands are read twice and must be the same both times
+    hist = materialize(hist.withColumn(CHUNK, F.size(F.filter("_edges", lambda e: e < F.col("value"))).cast("long")
+                                       ).drop("_edges"), "bands")
     hist = chunk_carry(hist, by, {"_n": F.sum("_c")}, {"_before": ("_n", "sum")})
     frame = (Window.partitionBy(*by, CHUNK).orderBy("value")
              .rowsBetween(Window.unboundedPreceding, 0))
     upto = F.col("_before") + F.sum("_c").over(frame)
-    total = vals.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    total = hist.groupBy(*by).agg(F.sum("_c").alias("n"))
     spans = hist.select(*by, "value", (upto - F.col("_c")).alias("first"),
                         (upto - 1).alias("last"))
     if not by:
@@ -106,8 +117,8 @@ def _at(index: Column) -> Column:
 
 
 def quantiles(df: DataFrame, value: Column, probs: dict[str, float], *, by: Sequence[str],
-              method: str = "linear", width: float) -> DataFrame:
-    spans = order_stats(df, value, by=by, width=width)
+              method: str = "linear") -> DataFrame:
+    spans = order_stats(df, value, by=by)
     return spans.groupBy(*by).agg(*[pick_quantile(p, method).alias(n) for n, p in probs.items()])
 
 

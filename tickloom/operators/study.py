@@ -241,12 +241,12 @@ def chase_curve(chase: DataFrame, pnl: DataFrame, levels: Sequence[float]) -> Da
         (F.col("total") / F.col("_n")).alias("pnl_signal"), "drift")
 
 
-def hold_curve(probes: DataFrame, width: float = 1.0) -> DataFrame:
+def hold_curve(probes: DataFrame) -> DataFrame:
     """Return by holding time; the one with the best mean is marked."""
     out = probes.groupBy("hold_ms").agg(
         F.count(F.lit(1)).alias("n"), F.avg("gross_c").alias("gross_c"),
         F.avg("net_c").alias("net_c"), F.avg("exit").alias("exit"))
-    med = S.quantiles(probes, F.col("net_c"), {"net_median_c": 0.5}, by=["hold_ms"], width=width)
+    med = S.quantiles(probes, F.col("net_c"), {"net_median_c": 0.5}, by=["hold_ms"])
     best = out.agg(F.max_by("hold_ms", F.struct(F.col("net_c"), -F.col("hold_ms"))).alias("_b"))
     return out.join(med, "hold_ms").withColumn("best", F.col("hold_ms") == best.scalar())
 
@@ -260,7 +260,7 @@ def maker_mix(probes: DataFrame) -> DataFrame:
 
 
 def feed_quality(ticks: DataFrame, *, by: Sequence[str], recv: str, exch: str,
-                 order: Sequence[str] = (), chunk: int, width: float) -> DataFrame:
+                 order: Sequence[str] = (), chunk: int) -> DataFrame:
     """Inter-update time and receive latency: median, p99, mean and population deviation."""
     rows = C.previous(ticks, {recv: "_p"}, by=by, ts=recv, order=order, chunk=chunk)
     rows = rows.withColumn("gap", F.col(recv) - F.col("_p")).withColumn(
@@ -269,40 +269,40 @@ def feed_quality(ticks: DataFrame, *, by: Sequence[str], recv: str, exch: str,
         F.count(F.lit(1)).alias("n"), F.avg("gap").alias("gap_mean"),
         F.avg("latency").alias("latency_mean"), F.stddev_pop("latency").alias("jitter"))
     for c in ("gap", "latency"):
-        q = S.quantiles(rows, F.col(c), {f"{c}_p50": 0.5, f"{c}_p99": 0.99}, by=by, width=width)
+        q = S.quantiles(rows, F.col(c), {f"{c}_p50": 0.5, f"{c}_p99": 0.99}, by=by)
         out = out.join(q, list(by))
     return out
 
 
-def spread_stats(book: DataFrame, by: str = "instrument", width: float = 0.01) -> DataFrame:
+def spread_stats(book: DataFrame, by: str = "instrument") -> DataFrame:
     rows = book.withColumn("spread", F.col("ask") - F.col("bid"))
     mid = (F.col("ask") + F.col("bid")) / 2
     out = rows.groupBy(by).agg(
         F.count(F.lit(1)).alias("n"), F.avg("spread").alias("mean"), F.min("spread").alias("min"),
         F.avg(F.try_divide(F.col("spread"), mid) * 1e4).alias("bps"))
-    med = S.quantiles(rows, F.col("spread"), {"median": 0.5}, by=[by], width=width)
+    med = S.quantiles(rows, F.col("spread"), {"median": 0.5}, by=[by])
     return out.join(med, by)
 
 
 def reaction_by_move(moves: DataFrame, changes: DataFrame, edges: Sequence[float], *,
-                     chunk: int, width: float, min_rows: int = 6) -> DataFrame:
+                     chunk: int, min_rows: int = 6) -> DataFrame:
     """Time from each reference sample to the next target change, by size of the move."""
     rows = asof_join(moves, changes, direction="forward", strict=True, take={}, chunk=chunk,
                      match_ts="_next").filter(F.col("_next").isNotNull())
     rows = rows.withColumn("react", F.col("_next") - F.col("ts")).withColumn(
         "bucket", B.edge_bucket(F.col("move"), edges)).filter(F.col("bucket").isNotNull())
     out = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.avg("react").alias("mean"))
-    med = S.quantiles(rows, F.col("react"), {"median": 0.5}, by=["bucket"], width=width)
+    med = S.quantiles(rows, F.col("react"), {"median": 0.5}, by=["bucket"])
     return out.filter(F.col("n") >= min_rows).join(med, "bucket")
 
 
-def atm_slope(ladder: DataFrame, *, event: str = "event", width: float = 0.01) -> DataFrame:
+def atm_slope(ladder: DataFrame, *, event: str = "event") -> DataFrame:
     """Median slope of P over strike across the money, over adjacent strikes of all events."""
     w = Window.partitionBy(event).orderBy("strike")  # the strikes of one event
     rows = ladder.withColumn("_k", F.lead("strike").over(w)).withColumn("_p", F.lead("p").over(w))
     near = rows.filter((F.col("p") >= 0.4) & (F.col("_p") <= 0.6) & (F.col("_k") > F.col("strike")))
     slope = F.abs(F.col("_p") - F.col("p")) / (F.col("_k") - F.col("strike"))
-    return S.quantiles(near, slope, {"slope": 0.5}, by=[], width=width)
+    return S.quantiles(near, slope, {"slope": 0.5}, by=[])
 
 
 def gap_slope(rows: DataFrame, by: Sequence[str] = (), big: float = 0.05) -> DataFrame:

@@ -418,7 +418,7 @@ SELECT model, round(quantile_cont(gap, 0.9), 9) AS linear_p90,
        round(max(gap) FILTER (i = floor(0.9::DOUBLE * (n - 1))), 9) AS truncate_p90
 FROM o GROUP BY model""")
 def exact_quantiles_three_ways(spark, sf):
-    spans = S.order_stats(strategy_trades(spark, sf), F.col("gap"), by=["model"], width=0.001)
+    spans = S.order_stats(strategy_trades(spark, sf), F.col("gap"), by=["model"])
     return spans.groupBy("model").agg(*[
         F.round(S.pick_quantile(0.9, m), 9).alias(f"{m}_p90")
         for m in ("linear", "nearest", "truncate")])

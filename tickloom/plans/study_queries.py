@@ -268,7 +268,7 @@ def feed_quality(spark, sf):
     t = ticks(spark, sf).select("instrument", (F.col("ts") + F.col("k") * 1000).alias("recv"),
                                 F.col("ts").alias("exch"), "seq")
     out = S.feed_quality(t, by=["instrument"], recv="recv", exch="exch", order=["seq"],
-                         chunk=2 * DAY, width=60e6)
+                         chunk=2 * DAY)
     return out.select("instrument", "n", F.round("latency_mean", 4).alias("latency_mean"),
                       F.round("jitter", 4).alias("jitter"), *[F.round(c, 2).alias(c) for c in (
                           "gap_mean", "gap_p50", "gap_p99", "latency_p50", "latency_p99")])
@@ -292,7 +292,7 @@ def reaction_by_move_size(spark, sf):
     t = ticks(spark, sf)
     m = t.filter("instrument = 'view'").select("ts", F.col("px").alias("move"))
     c = t.filter("instrument = 'click'").select("ts")
-    out = S.reaction_by_move(m, c, [0, 10, 50, 1000], chunk=5 * DAY, width=60e6)
+    out = S.reaction_by_move(m, c, [0, 10, 50, 1000], chunk=5 * DAY)
     return out.select("bucket", "n", F.round("mean", 2).alias("mean"), F.round("median", 2).alias("median"))
 
 
@@ -325,7 +325,7 @@ def series_difference(spark, sf):
     from tickloom.operators import audit
     s = scored(spark, sf)
     out = audit.compare_series(s.select("ticker", "ts", F.col("fair").alias("v")),
-                               s.select("ticker", "ts", F.col("mid").alias("v")), "v", width=0.01)
+                               s.select("ticker", "ts", F.col("mid").alias("v")), "v")
     return out.select("n", *r6("max", "rms", "p99"))
 
 
