@@ -610,3 +610,120 @@ def row_eligibility(spark, sf):
         "in_band": F.col("mid").between(0.3, 0.7)}
     return scored(spark, sf).groupBy("ticker").agg(
         *[F.count(F.when(cond, 1)).alias(name) for name, cond in flags.items()])
+
+
+# ── files written from the given tables and read back ────────────────────────
+
+def landed(spark, label: str) -> str:
+    from tickloom.session import fresh_path
+    return fresh_path(spark, label)
+
+
+@query("snapshot_lake_scan", f"""WITH {TICKS}
+SELECT ts * 1000 AS recv_ts_ns, '[[' || user_id || ', 1]]' AS bids_json, '[[' || k || ', 2]]' AS asks_json FROM ticks
+WHERE instrument = 'view' AND strftime(make_timestamp(ts), '%Y-%m-%d') BETWEEN '2024-01-05' AND '2024-01-20'""")
+def snapshot_lake_scan(spark, sf):
+    """One symbol and date range of a partitioned lake."""
+    base = landed(spark, "lake")
+    day = F.timestamp_micros("ts").cast("date")
+    ticks(spark, sf).select(
+        (F.col("ts") * 1000).alias("recv_ts_ns"), (F.col("ts") * 1000 - 5).alias("exch_ts_ns"),
+        S("[[%d, 1]]", "user_id").alias("bids_json"), S("[[%d, 2]]", "k").alias("asks_json"), F.lit("depth").alias("stream"),
+        F.lit("binance").alias("venue"), F.lit("spot").alias("market"), F.col("instrument").alias("symbol"), day.alias("date")
+    ).repartition("symbol", "date").write.partitionBy("stream", "venue", "market", "symbol", "date").parquet(base)
+    return files.read_l2(spark, base, stream="depth", venue="binance", market="spot", symbol="view",
+                         first="2024-01-05", last="2024-01-20")
+
+
+@query("event_rows_scan", f"""WITH {SCORED}
+SELECT ticker, ts // 1000000 AS t, round(spot, 6) AS spot, round(mid, 6) AS prob, outc AS outcome, open_ts // 1000000 AS open_ts,
+  CASE WHEN outc = 1 THEN 'yes' ELSE 'no' END AS result FROM scored""")
+def event_rows_scan(spark, sf):
+    base = landed(spark, "rows")
+    s = scored(spark, sf)
+    second = lambda c: F.expr(f"{c} div 1000000")
+    s.select("ticker", second("ts").alias("t"), "tte_s", "spot", F.col("mid").alias("prob"), F.lit(1).alias("n_trades"),
+             "strike", F.col("outc").alias("outcome")).write.option("header", True).csv(f"{base}/rows.csv")
+    s.groupBy("ticker").agg(
+        second("min(open_ts)").alias("open_ts"), (second("min(open_ts)") + 86_400).alias("close_ts"), F.min("strike").alias("strike"),
+        F.when(F.min("outc") == 1, "yes").otherwise("no").alias("result"), F.lit("").alias("expiration_value"),
+        F.count(F.lit(1)).alias("n_trades")).write.option("header", True).csv(f"{base}/events_meta.csv")
+    return files.read_event_rows(spark, base).select(
+        "ticker", "t", F.round("spot", 6).alias("spot"), F.round("prob", 6).alias("prob"), "outcome", "open_ts", "result")
+
+
+@query("venue_price_scan", f"""WITH {TICKS}
+SELECT 'u' || user_id AS ticker, ts // 1000000 AS t, instrument AS venue, px FROM ticks""")
+def venue_price_scan(spark, sf):
+    path = landed(spark, "venues")
+    ticks(spark, sf).select(S("u%d", "user_id").alias("ticker"), F.expr("ts div 1000000").alias("t"),
+                            F.col("instrument").alias("venue"), "px").write.option("header", True).csv(path)
+    return files.read_venue_px(spark, path)
+
+
+@query("tick_file_scan", f"""WITH {TICKS}
+SELECT instrument, ts, px AS mid FROM ticks WHERE instrument IN ('view', 'click')""")
+def tick_file_scan(spark, sf):
+    """Headerless files, one per source."""
+    base = landed(spark, "ticks")
+    t = ticks(spark, sf)
+    for source in ("view", "click"):
+        t.filter(F.col("instrument") == source).select(
+            F.date_format(F.timestamp_micros("ts"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"), "px").write.csv(f"{base}/{source}.csv")
+    return files.read_ticks(spark, base, "view").union(files.read_ticks(spark, base, "click"))
+
+
+def trade_events(spark, sf):
+    """Every tick as a trade message of the event log."""
+    k = F.col("instrument")
+    line = S('{"topic":"market.kalshi.%s.trade","source":"s","ts_ns":%d,"seq":%d,"payload":{"Trade":{"instrument":"%s",'
+             '"price":%s,"qty":%d,"side":"Buy","exch_ts_ns":%d,"recv_ts_ns":%d}}}', k, F.col("ts") * 1000, "seq", k,
+             F.col("px").cast("string"), "k", F.col("ts") * 1000, F.col("ts") * 1000 + 5)
+    return EV.good(EV.parse_lines(ticks(spark, sf).select(line.alias("value")))).drop(EV.BAD)
+
+
+TRADES = f"""WITH {TICKS}
+SELECT seq AS event_seq, instrument, px AS price, k::DOUBLE AS qty, ts * 1000 AS exch_ts_ns FROM ticks"""
+
+
+@query("event_log_sink", TRADES)
+def event_log_sink(spark, sf):
+    """Written by stream, venue and date, read back by partition."""
+    base = landed(spark, "log")
+    EV.write_events(trade_events(spark, sf), base)
+    from tickloom import schema
+    back = spark.read.schema(f"{schema.EVENT}, stream STRING, venue STRING, date DATE").json(base)
+    return EV.payload(back.filter("stream = 'trade'"), "Trade").select("event_seq", "instrument", "price", "qty", "exch_ts_ns")
+
+
+@query("event_stream_source", TRADES)
+def event_stream_source(spark, sf):
+    """The landed log read as a stream, payloads written to a table."""
+    from tickloom.streaming.state import run_to_table
+    base = landed(spark, "log")
+    EV.write_events(trade_events(spark, sf), f"{base}/log")
+    rows = EV.payload(EV.stream_events(spark, f"{base}/log", 50), "Trade").select(
+        "event_seq", "instrument", "price", "qty", "exch_ts_ns")
+    run_to_table(rows, f"{base}/table", f"{base}/checkpoint")
+    return spark.read.schema(rows.schema).parquet(f"{base}/table")
+
+
+@query("event_stream_sink", TRADES)
+def event_stream_sink(spark, sf):
+    """A stream of the log appended to a second partitioned log."""
+    from tickloom import schema
+    base = landed(spark, "log")
+    EV.write_events(trade_events(spark, sf), f"{base}/log")
+    EV.stream_to_files(EV.stream_events(spark, f"{base}/log").drop("stream", "venue", "date"), f"{base}/copy",
+                       f"{base}/checkpoint", available_now=True).awaitTermination()
+    back = spark.read.schema(f"{schema.EVENT}, stream STRING, venue STRING, date DATE").json(f"{base}/copy")
+    return EV.payload(back, "Trade").select("event_seq", "instrument", "price", "qty", "exch_ts_ns")
+
+
+@query("result_sink", f"""WITH {SCORED}
+SELECT date, count(*) AS n, round(sum(gap), 6) + 0.0 AS gap FROM scored WHERE date >= '2024-01-10' GROUP BY 1""")
+def result_sink(spark, sf):
+    path = landed(spark, "results")
+    EV.write_results(scored(spark, sf).select("ticker", "date", "gap"), path, partition_by=("date",))
+    back = spark.read.schema("ticker STRING, gap DOUBLE, date STRING").parquet(path).filter("date >= '2024-01-10'")
+    return back.groupBy("date").agg(F.count(F.lit(1)).alias("n"), (F.round(F.sum("gap"), 6) + 0.0).alias("gap"))
