@@ -45,9 +45,26 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+#: scratch folders handed out by this process, oldest first
+SCRATCH: list[str] = []
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
     """New path below the shared folder, never reused."""
-    return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    path = os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    SCRATCH.append(path)
+    return path
+
+
+def remove_scratch(spark: SparkSession, paths: list[str], keep=None) -> None:
+    """Delete scratch folders that nothing reads any more; those that ``keep`` reads stay."""
+    read = [f.split(":", 1)[-1].lstrip("/") for f in keep.inputFiles()] if keep is not None else []
+    for path in paths:
+        plain = path.split(":", 1)[-1].lstrip("/") + "/"
+        if path in SCRATCH and not any(f.startswith(plain) for f in read):
+            SCRATCH.remove(path)
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def materialize(df, label: str = "table"):
