@@ -13,7 +13,7 @@ from tickloom.llm.ngramjoin import one_per_group
 from tickloom.llm.packing import pack_documents
 from tickloom.llm.quality import quality_filter
 from tickloom.llm.repeats import cut_texts
-from tickloom.session import materialize
+from tickloom.session import SCRATCH, materialize, remove_scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +41,25 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs)
 
 
-STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates),
-          ("repeated_passages", repeated_passages), ("benchmark_leaks", benchmark_leaks), ("packing", packing)]
+#: scratch folders of the last call of each stage
+_scratch: dict[int, list[str]] = {}
+
+
+def _numbered(number: int, stage):
+    """``stage``, which first removes what the stage before it needed: its result has been written."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        remove_scratch(spark, _scratch.pop(number - 1, []), keep=docs)
+        before = len(SCRATCH)
+        out = stage(spark, docs, sf_dir)
+        _scratch[number] = SCRATCH[before:]
+        return out
+
+    return run_stage
+
+
+STAGES = [(stage.__name__, _numbered(number, stage)) for number, stage in enumerate(
+    [quality_rules, near_duplicates, repeated_passages, benchmark_leaks, packing])]
 ORACLE_SQL = None
 
 

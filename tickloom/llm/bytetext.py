@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
@@ -59,7 +59,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first ``n`` powers of the base and of its inverse, modulo 2**64."""
     have = _powers.get("up")
     if have is None or len(have) < n:
-        size = max(n, BLOCK_BYTES + 1)
+        size = max(n, 2 * BLOCK_BYTES + 1)
         for name, base in (("up", BASE), ("down", BASE_INVERSE)):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
