@@ -22,6 +22,7 @@ from tickloom.schema import struct_of
 
 MID_CLIP, FD_STEP = 0.01, 1e-4  # fixed values of the fit
 FIRST_STEPS, REFIT_STEPS, LEARNING_RATE = 150, 60, 0.05
+EPOCHS, BATCH = 25, 16384  # passes over the training rows, and rows of one step
 
 
 @dataclass(frozen=True)
@@ -397,6 +398,13 @@ def gradient(df: DataFrame, model: Model, *, px: Sequence[str], target: str = "m
 
     Only the gradient itself (one number per weight) reaches the driver.
     """
+    loss, _, g = weighted_gradient(df, model, px=px, target=target, weight=weight)
+    return loss, g
+
+
+def weighted_gradient(df: DataFrame, model: Model, *, px: Sequence[str], target: str = "mid",
+                      weight: str = "weight") -> tuple[float, float, np.ndarray]:
+    """As ``gradient``, with the sum of weights in the middle; without rows all are zero."""
     names = list(model.extras)
     cols = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(
         [*px, "tte_s", "strike", "d_b", "d_rho", target, weight, *names])])
@@ -420,30 +428,63 @@ def gradient(df: DataFrame, model: Model, *, px: Sequence[str], target: str = "m
 
     sums = cols.mapInPandas(partial, "i INT, g DOUBLE").groupBy("i").agg(F.sum("g").alias("g"))
     vec = sums.toPandas().sort_values("i")["g"].to_numpy()  # one value per weight
-    return vec[0] / vec[1], vec[2:] / vec[1]
+    shared.destroy()
+    if not len(vec):
+        return 0.0, 0.0, np.zeros_like(flatten(model))
+    return vec[0] / vec[1], vec[1], vec[2:] / vec[1]
+
+
+def in_batches(df: DataFrame, rows: int, label: str) -> list[DataFrame]:
+    """The table dealt into batches of about ``rows`` rows by a hash of all columns, written once."""
+    from tickloom.session import materialize
+
+    table = materialize(df, label)
+    n = -(-table.count() // rows)
+    if n <= 1:
+        return [table]
+    own = F.pmod(F.xxhash64(*table.columns), F.lit(n)).cast("int")
+    dealt = materialize(table.withColumn("_batch", own).repartition("_batch").sortWithinPartitions("_batch"), label)
+    return [dealt.filter(F.col("_batch") == i).drop("_batch") for i in range(n)]
+
 
+def adam(theta: np.ndarray, batches: Sequence, slope, steps: int, lr: float) -> tuple[np.ndarray, list[float]]:
+    """``steps`` passes, one Adam step per batch; ``slope(batch, theta)`` gives loss, weight and gradient.
 
-def train_net(df: DataFrame, model: Model, *, px: Sequence[str], steps: int, lr: float = 0.01,
+    Returns the weights and the mean loss of each pass, taken as the pass goes.
+    """
+    m, v, losses, t = np.zeros_like(theta), np.zeros_like(theta), [], 0
+    for _ in range(steps):
+        total = weights = 0.0
+        for batch in batches:
+            loss, weight, g = slope(batch, theta)
+            if not weight:
+                continue
+            t, total, weights = t + 1, total + loss * weight, weights + weight
+            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+            theta = theta - lr * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
+        losses.append(total / weights if weights else float("nan"))
+    return theta, losses
+
+
+def train_net(batches: Sequence[DataFrame], model: Model, *, px: Sequence[str], steps: int, lr: float = 0.01,
               target: str = "mid", weight: str = "weight") -> tuple[Model, list[float]]:
-    """Adam on the network, event parameters given as columns of the table."""
-    theta = flatten(model)
-    m, v, losses = np.zeros_like(theta), np.zeros_like(theta), []
-    for t in range(1, steps + 1):
-        loss, g = gradient(df, unflatten(model, theta), px=px, target=target, weight=weight)
-        losses.append(loss)
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        theta = theta - lr * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
+    """Adam on the network, event parameters given as columns of the batches."""
+    def slope(batch, theta):
+        return weighted_gradient(batch, unflatten(model, theta), px=px, target=target, weight=weight)
+
+    theta, losses = adam(flatten(model), batches, slope, steps, lr)
     return unflatten(model, theta), losses
 
 
-def train(rows: DataFrame, model: Model, *, px: Sequence[str], rounds: int = 2, steps: int = 10,
+def train(rows: DataFrame, model: Model, *, px: Sequence[str], rounds: int = 2, steps: int = EPOCHS,
           lr: float = 0.01, second: int = 1_000_000, target: str = "mid",
-          event_steps: int = 20) -> tuple[Model, DataFrame, list[float]]:
+          event_steps: int = FIRST_STEPS) -> tuple[Model, DataFrame, list[float]]:
     """Surface with per-event parameters, each event weighing the same.
 
-    Alternates: events are fitted in parallel with the network fixed, then the network
-    steps on gradient sums with the events fixed. The training table is written once per
-    round, so no plan grows with the number of steps.
+    Alternates: events are fitted in parallel with the network fixed, then the network makes
+    ``steps`` passes over the rows with the events fixed, a step on the gradient sums of each
+    ``BATCH`` rows. The training table is written once per round, so no plan grows with the
+    number of steps. Losses are one per pass.
     """
     from tickloom.operators.stats import event_weight
     from tickloom.session import materialize
@@ -452,10 +493,10 @@ def train(rows: DataFrame, model: Model, *, px: Sequence[str], rounds: int = 2,
     losses: list[float] = []
     params = None
     for _ in range(rounds):
-        params = calibrate(samples, model, px=px, tte_max=1, step=1, window=0, min_rows=1,
-                           first_steps=event_steps).select("ticker", "d_b", "d_rho")
-        table = materialize(event_weight(samples.join(params, "ticker"), "ticker"), "train")
-        model, part = train_net(table, model, px=px, steps=steps, lr=lr, target=target)
+        params = materialize(calibrate(samples, model, px=px, tte_max=1, step=1, window=0, min_rows=1,
+                                       first_steps=event_steps).select("ticker", "d_b", "d_rho"), "params")
+        batches = in_batches(event_weight(samples.join(params, "ticker"), "ticker"), BATCH, "train")
+        model, part = train_net(batches, model, px=px, steps=steps, lr=lr, target=target)
         losses += part
     return model, params, losses
 

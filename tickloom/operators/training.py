@@ -35,8 +35,8 @@ def held_out(rows: DataFrame, model: U.Model, *, px: Sequence[str], second: int,
 
 
 def train_and_test(rows: DataFrame, start: U.Model, *, px: Sequence[str], second: int,
-                   fit_above: float, frac: float = 0.1, rounds: int = 1, steps: int = 10,
-                   event_steps: int = 20, min_rows: int = 1) -> tuple[U.Model, DataFrame]:
+                   fit_above: float, frac: float = 0.1, rounds: int = 2, steps: int = U.EPOCHS,
+                   event_steps: int = U.FIRST_STEPS, min_rows: int = 1) -> tuple[U.Model, DataFrame]:
     """Train on the earlier events, measure on the last ones. Fine-tuning starts from a trained model."""
     meta = rows.groupBy("ticker").agg(F.min("ts").alias("open_ts"))
     split = U.split_events(meta, frac).select("ticker", "split")
@@ -48,8 +48,8 @@ def train_and_test(rows: DataFrame, start: U.Model, *, px: Sequence[str], second
 
 
 def ablate(rows: DataFrame, sets: dict[str, Sequence[str]], *, px: Sequence[str], second: int,
-           fit_above: float = 300.0, hidden: int = 32, steps: int = 10, event_steps: int = 20,
-           base: str = "base", frac: float = 0.1) -> DataFrame:
+           fit_above: float = 300.0, hidden: int = 32, steps: int = U.EPOCHS,
+           event_steps: int = U.FIRST_STEPS, base: str = "base", frac: float = 0.1) -> DataFrame:
     """Held-out KL and outcome loss per feature set, with paired differences to the base set.
 
     Features are scaled by moments of the training events alone.
@@ -103,27 +103,32 @@ def rehearse(rows: DataFrame, model: U.Model, *, px: Sequence[str], second: int,
     return attach_row(out, slope)
 
 
-def train_lead(rows: DataFrame, *, horizon: int, slack: int, chunk: int, steps: int = 10,
-               lr: float = 0.01, b_scale: float = 50.0, rho: float = 1.5) -> DataFrame:
+LEAD_EPOCHS, LEAD_BATCH = 60, 8192  # passes over the training rows, and rows of one step
+
+
+def train_lead(rows: DataFrame, *, horizon: int, slack: int, chunk: int, hidden: int = 32, steps: int = LEAD_EPOCHS,
+               lr: float = 0.01, b_scale: float = 50.0, rho: float = 1.5, frac: float = 0.5) -> DataFrame:
     """Residual on the martingale: how far the quote will have moved, at most 1.5 logits.
 
-    One row: loss of the quote itself, of the model, and slope of the move on its gap.
+    Trained on the earlier events, measured on them and on the last ``frac``. One row per split:
+    loss of the quote itself, of the model, slope of the move on its gap, and the rows with a gap
+    above 5 cents with their mean move in the gap's direction.
     """
     scale = F.exp(F.lit(rho) + F.col("d_rho"))
     z = P.z_prime(F.col("spot"), F.col("strike") + b_scale * F.col("d_b"), scale, F.col("tte_s"))
-    data = U.lead_rows(rows, horizon, slack=slack, chunk=chunk).select(
+    split = U.split_events(rows.groupBy("ticker").agg(F.min("ts").alias("open_ts")), frac).select("ticker", "split")
+    data = U.lead_rows(rows, horizon, slack=slack, chunk=chunk).join(split, "ticker").select(
         z.alias("c0"), F.log(P.tau(F.col("tte_s"))).alias("c1"), (F.col("base") / 4).alias("c2"),
-        "base", S.clip(F.col("mid_next"), 0.01, 0.99).alias("y"))
+        "base", S.clip(F.col("mid_next"), 0.01, 0.99).alias("y"), "split")
     data = materialize(data, "lead")
-    model = replace(U.seeded_model(2, hidden=8, seed=3), rhos=(0.0, 0.0))
-    theta = U.flatten(model) * 0.3
-    m, v = np.zeros_like(theta), np.zeros_like(theta)
+    numbers = ["c0", "c1", "c2", "base", "y"]
+    model = replace(U.seeded_model(2, hidden=hidden, seed=3), rhos=(0.0, 0.0))
 
     def correction(net, x):
         return U.LEAD_CLAMP * np.tanh(U.forward(net, x) / U.LEAD_CLAMP)
 
-    def step(net):
-        shared = data.sparkSession.sparkContext.broadcast(net)
+    def slope(batch, theta):
+        shared = data.sparkSession.sparkContext.broadcast(U.unflatten(model, theta))
 
         def partial(batches):
             total = None
@@ -133,36 +138,39 @@ def train_lead(rows: DataFrame, *, horizon: int, slack: int, chunk: int, steps:
                 raw = U.forward(shared.value, x)
                 t = np.tanh(raw / U.LEAD_CLAMP)
                 lo = base + U.LEAD_CLAMP * t
+                loss = np.sum(np.maximum(lo, 0) - lo * y + np.log1p(np.exp(-np.abs(lo))))
                 # chain rule: the loss slope in the logit, through the clamp, into the network
                 slope = (U.sigmoid(lo) - y) * (1 - t * t)
                 _, g = U.backprop(shared.value, x, U.sigmoid(raw) - slope, np.ones(len(x)))
-                part = np.r_[len(x), g]
+                part = np.r_[loss, len(x), g]
                 total = part if total is None else total + part
             if total is not None:
                 yield pd.DataFrame({"i": np.arange(len(total)), "g": total})
 
-        sums = data.mapInPandas(partial, "i INT, g DOUBLE").groupBy("i").agg(F.sum("g").alias("g"))
+        sums = batch.mapInPandas(partial, "i INT, g DOUBLE").groupBy("i").agg(F.sum("g").alias("g"))
         vec = sums.toPandas().sort_values("i")["g"].to_numpy()  # one value per weight
-        return vec[1:] / vec[0]
+        shared.destroy()
+        return (vec[0] / vec[1], vec[1], vec[2:] / vec[1]) if len(vec) else (0.0, 0.0, np.zeros_like(theta))
 
-    for t in range(1, steps + 1):
-        g = step(U.unflatten(model, theta))
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        theta = theta - lr * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
+    batches = U.in_batches(data.filter("split = 'train'").select(*numbers), LEAD_BATCH, "lead")
+    theta, _ = U.adam(U.flatten(model) * 0.3, batches, slope, steps, lr)
     shared = data.sparkSession.sparkContext.broadcast(U.unflatten(model, theta))
 
     def predict(batches):
         for pdf in batches:
-            a = pdf.to_numpy(dtype=float)
+            a = pdf[numbers].to_numpy(dtype=float)
             lo = a[:, 3] + correction(shared.value, a[:, :3])
-            yield pd.DataFrame({"p": U.sigmoid(lo), "base": a[:, 3], "y": a[:, 4]})
+            yield pd.DataFrame({"p": U.sigmoid(lo), "base": a[:, 3], "y": a[:, 4], "split": pdf["split"]})
 
-    out = data.mapInPandas(predict, "p DOUBLE, base DOUBLE, y DOUBLE")
+    out = data.mapInPandas(predict, "p DOUBLE, base DOUBLE, y DOUBLE, split STRING")
     quote = P.sigmoid(F.col("base"))
     out = out.withColumn("gap", F.col("p") - quote).withColumn("move", F.col("y") - quote)
-    return out.agg(F.count(F.lit(1)).alias("n"), F.avg(S.cross_entropy(F.col("y"), quote, 0.01)).alias("loss_quote"),
-                   F.avg(S.cross_entropy(F.col("y"), F.col("p"), 0.01)).alias("loss_model"),
-                   F.regr_slope("move", "gap").alias("slope"))
+    big = F.abs("gap") > 0.05
+    return out.groupBy("split").agg(
+        F.count(F.lit(1)).alias("n"), F.avg(S.cross_entropy(F.col("y"), quote, 0.01)).alias("loss_quote"),
+        F.avg(S.cross_entropy(F.col("y"), F.col("p"), 0.01)).alias("loss_model"),
+        F.regr_slope("move", "gap").alias("slope"), F.count(F.when(big, 1)).alias("n_big"),
+        F.avg(F.when(big, F.signum("gap") * F.col("move"))).alias("capture"))
 
 
 def audit_fair(logged: DataFrame, sampler: DataFrame, model: U.Model, *, px: Sequence[str], tol: int,

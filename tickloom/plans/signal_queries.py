@@ -187,14 +187,16 @@ def backfill_trades_and_candles(spark, sf):
 
 # ── training jobs ────────────────────────────────────────────────────────────
 
+FULL = U.seeded_model(channels=1, hidden=32, rho=1.5)
+
+
 def train_rows(spark, sf):
     return scored(spark, sf).drop("fair", "gap").withColumn("imb", F.pmod("seq", F.lit(21)) / 10.0 - 1)
 
 
 @query("trained_surface")
 def trained_surface(spark, sf):
-    _, params, losses = U.train(train_rows(spark, sf), ONE, px=["spot"], rounds=1, steps=4,
-                                second=SEC, event_steps=5)
+    _, params, losses = U.train(train_rows(spark, sf), FULL, px=["spot"], second=SEC)
     return params.withColumn("first_loss", F.lit(losses[0])).withColumn("last_loss", F.lit(losses[-1])).select(
         "ticker", *r6("d_b", "d_rho", "first_loss", "last_loss"))
 
@@ -216,22 +218,22 @@ def residual_momentum(spark, sf):
 def feature_ablation(spark, sf):
     from tickloom.operators import training as TR
     return TR.ablate(train_rows(spark, sf), {"base": [], "imb": ["imb"]}, px=["spot"], second=SEC,
-                     hidden=4, steps=2, event_steps=3, fit_above=300.0)
+                     fit_above=300.0)
 
 
 @query("online_rehearsal")
 def online_rehearsal(spark, sf):
     from tickloom.operators import training as TR
     rows = scored(spark, sf).drop("fair", "gap")
-    return TR.rehearse(rows, ONE, px=["spot"], second=SEC, fit_above=600.0, horizon=30 * SEC,
-                       min_rows=15, chunk=DAY, steps=20)
+    return TR.rehearse(rows, FULL, px=["spot"], second=SEC, fit_above=600.0, horizon=30 * SEC,
+                       min_rows=15, chunk=DAY)
 
 
 @query("lead_model")
 def lead_model(spark, sf):
     from tickloom.operators import training as TR
     rows = scored(spark, sf).withColumn("d_b", F.lit(0.0)).withColumn("d_rho", F.lit(0.0))
-    return TR.train_lead(rows, horizon=4 * SEC, slack=SEC // 4, chunk=DAY, steps=3)
+    return TR.train_lead(rows, horizon=4 * SEC, slack=SEC // 4, chunk=DAY)
 
 
 @query("fair_replay_audit")
