@@ -192,6 +192,26 @@ def test_leaks_in_long_documents(spark):
     assert {(r.doc_id, r.item_id) for r in found.collect()} == want
 
 
+def test_no_small_item_is_hidden():
+    """Items of one to seven different shingles, over many seeds: none is hidden by its neighbours."""
+    import pyarrow as pa
+
+    want, found = set(), set()
+    for seed in range(60):
+        rng = random.Random(seed)
+        own = [words(rng, 5 + i % 7, 10**6) for i in range(28)] + [[f"again{seed}"] * 30]
+        items = leaks.Items(list(range(len(own))), [" ".join(w) for w in own])
+        docs = []
+        for w in own:
+            body = words(rng, 400, 10**6)
+            at = rng.randrange(400)
+            docs.append(" ".join(body[:at] + w + body[at:]))
+        batch = pa.RecordBatch.from_pydict({"text": docs})
+        found |= {(seed, r, i) for r, i, _ in items.matches(batch, "text")}
+        want |= {(seed, i, i) for i in range(len(own))}
+    assert found == want
+
+
 def test_item_blocks_change_nothing(spark, real, monkeypatch):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     one = sorted(map(tuple, leaks.contained_items(real, items).collect()))

@@ -6,6 +6,8 @@ documents are searched as half-overlapping windows, one window size per size cla
 (powers of two): an item then fills at least a quarter of some window, however long the document is.
 One hash per shingle fills 64 bins with their least value; a window and an item that agree in one
 bin are a candidate, and candidates are checked with the shingles themselves, over the whole document.
+A neighbour in the same bin can hide the few shingles of a small item, so items of fewer than ``FEW``
+different shingles are candidates of every document that has one of them, without bins.
 
 Items are sent to the tasks in blocks of at most ``ITEM_BYTES``; each block is one pass over the
 documents, so neither the driver nor a task ever holds more of them, and documents are not shuffled.
@@ -33,6 +35,7 @@ WORDS = 5
 FIFTHS = 4
 BINS = 64
 LEAST_WINDOW = 8
+FEW = 8
 ITEM_BYTES = 4 << 20
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -52,7 +55,10 @@ def row_shingles(text: bytes, starts, ends) -> list[bytes]:
 
 
 class Items:
-    """A block of items: per window size the sorted bin minima and the item each belongs to."""
+    """A block of items: per window size the sorted bin minima and the item each belongs to.
+
+    Of small items all shingle hashes are kept instead, sorted, with their items.
+    """
 
     def __init__(self, ids: list[int], texts: list[str | None]):
         data, offsets = text_view(pa.array(texts, pa.string()))
@@ -67,18 +73,30 @@ class Items:
         sizes = np.diff(begin)
         least = bin_minima(hashes, np.repeat(np.arange(len(ids)), sizes), len(ids))
         window = np.maximum(LEAST_WINDOW, 2 ** np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
-        for size in np.unique(window[sizes > 0]):
-            own = np.flatnonzero((window == size) & (sizes > 0))
+        small = np.array([0 < len(s) < FEW for s in self.shingles], bool)
+        owner = np.repeat(np.arange(len(ids)), sizes)
+        order = np.flatnonzero(small[owner])
+        order = order[np.argsort(hashes[order], kind="stable")]
+        self.few = hashes[order], owner[order]
+        for size in np.unique(window[(sizes > 0) & ~small]):
+            own = np.flatnonzero((window == size) & (sizes > 0) & ~small)
             keys, item = least[own].ravel(), np.repeat(own, BINS)
             order = np.argsort(keys[keys != NONE], kind="stable")
             self.classes[int(size)] = keys[keys != NONE][order], item[keys != NONE][order]
 
     def candidates(self, hashes: np.ndarray, begin: np.ndarray) -> set[tuple[int, int]]:
-        """(row, item) pairs that agree in a bin of some window."""
+        """(row, item) pairs that agree in a bin of some window, or in a shingle of a small item."""
         sizes = np.diff(begin)
         row = np.repeat(np.arange(len(sizes)), sizes)
         place = np.arange(len(hashes)) - begin[row]
         found: set[tuple[int, int]] = set()
+        keys, item = self.few
+        if len(keys):
+            low = np.searchsorted(keys, hashes)
+            hit = np.flatnonzero(keys[np.minimum(low, len(keys) - 1)] == hashes)
+            for r, at in np.unique(np.stack([row[hit], low[hit]], axis=1), axis=0):
+                for i in item[at:np.searchsorted(keys, keys[at], side="right")]:
+                    found.add((int(r), int(i)))
         for size, (keys, item) in self.classes.items():
             parts = -(-sizes // size)
             base = np.concatenate(([0], np.cumsum(parts)))
