@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -234,6 +235,26 @@ def test_license_templates(spark):
     assert (out[10].n_base, out[10].first_word, out[10].last_word, out[10].n_words) == (1, 0, 0, 3)
 
 
+def test_license_texts_need_their_disclaimers(spark):
+    whole = {label: re.sub(r"<<any:(\d+)-\d+>>", lambda m: "thing " * int(m[1]), licenses.TEMPLATES[label])
+             for label in ("mit", "isc", "bsd", "gpl", "apache-2.0-header")}
+    whole = {label: licenses.MARK.sub(" ", text) for label, text in whole.items()}
+    docs, want = [], {}
+    for label, text in whole.items():
+        cut = text.split()
+        for kind, t in (("whole", text), ("cut", " ".join(cut[:-1])), ("changed", " ".join(cut[:-1] + ["else"])),
+                        ("head", " ".join(cut[:len(cut) // 2]))):
+            want[len(docs)] = (label, kind == "whole")
+            docs.append((len(docs), "before " + t + " after" * (kind == "whole")))
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    # the phrase "general public license" has the label gpl too, with a score of 0.5
+    got = {r.doc_id: r.labels.split(",") if r.score == 1 else [] for r in licenses.license_scan(table).collect()}
+    assert {i: (label, label in got[i]) for i, (label, _) in want.items()} == want
+    two = whole["bsd"].split(" Neither ")[0].rstrip(" 3.") + " THIS SOFTWARE " + whole["bsd"].split("THIS SOFTWARE IS", 1)[1].join(["IS", ""])
+    two = spark.createDataFrame([(1, two)], "doc_id long, text string")
+    assert licenses.license_scan(two).first().labels == "bsd"
+
+
 def binomial_tail(n, k, p):
     return sum(math.comb(n, i) * p**i * (1 - p)**(n - i) for i in range(k + 1))
 

@@ -3,7 +3,9 @@
 A template is license text with regions in angle brackets: ``<<optional>> ... <<end>>`` may be left
 out, ``<<any:2-12>>`` stands for that many words of any kind. It is compiled into an automaton over
 words, made deterministic as texts are read. A text is accepted where the automaton reaches its end,
-so mandatory wording must match word for word, whatever case and punctuation. Every word of a text
+so mandatory wording must match word for word, whatever case and punctuation: of full texts that is
+all of it, disclaimers included. ``apache-2.0``, ``cc-by-nc-4.0`` and labels that end in ``-notice``
+stand for short notices that name a license without its text. Every word of a text
 becomes a small number by one table look-up per block, so unrelated text costs no Python loop.
 
 Defined results: a null or empty text has no words and no labels; phrases and templates never cross
@@ -36,22 +38,50 @@ TEMPLATES = {
         Software is furnished to do so, subject to the following conditions: The above copyright notice
         and this permission notice <<optional>>(including the next paragraph)<<end>> shall be included
         in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT
-        WARRANTY OF ANY KIND, EXPRESS OR IMPLIED""",
+        WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+        MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+        AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN
+        ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR
+        THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
     "isc": """Permission to use, copy, modify, and<<optional>>/or<<end>> distribute this software for any
         purpose with or without fee is hereby granted, provided that the above copyright notice and this
-        permission notice appear in all copies""",
+        permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND <<any:1-12>> DISCLAIMS
+        ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND
+        FITNESS. IN NO EVENT SHALL <<any:1-12>> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR
+        CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS,
+        WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN
+        CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
     "bsd": """Redistribution and use in source and binary forms, with or without modification, are permitted
         provided that the following conditions are met: <<optional>>1.<<end>> Redistributions of source
         code must retain the above copyright notice, this list of conditions and the following disclaimer.
         <<optional>>2.<<end>> Redistributions in binary form must reproduce the above copyright notice,
         this list of conditions and the following disclaimer in the documentation and/or other materials
-        provided with the distribution""",
+        provided with the distribution. <<optional>><<optional>>3.<<end>> Neither the name of <<any:1-12>>
+        nor the names of <<optional>>its<<end>> contributors may be used to endorse or promote products
+        derived from this software without specific prior written permission.<<end>> THIS SOFTWARE IS
+        PROVIDED BY <<any:1-12>> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED
+        TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.
+        IN NO EVENT SHALL <<any:1-12>> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY,
+        OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+        SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY
+        OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE)
+        ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH
+        DAMAGE.""",
     "apache-2.0": "Licensed under the Apache License, Version 2.0<<optional>> (the <<any:1-2>>)<<end>>",
+    "apache-2.0-header": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use
+        <<any:1-4>> except in compliance with the License. You may obtain a copy of the License at
+        <<optional>><<any:1-10>><<end>> Unless required by applicable law or agreed to in writing, software
+        distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS
+        OF ANY KIND, either express or implied. See the License for the specific language governing
+        permissions and limitations under the License.""",
     "gpl-notice": """<<any:1-3>> is licensed under the GNU General Public License<<optional>>, version
         <<any:1-2>><<end>>""",
     "gpl": """This program is free software: you can redistribute it and/or modify it under the terms of the
         GNU General Public License as published by the Free Software Foundation, either version <<any:1-2>>
-        of the License, or <<optional>>(at your option)<<end>> any later version""",
+        of the License, or <<optional>>(at your option)<<end>> any later version. This program is
+        distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
+        warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License
+        for more details.""",
     "cc-by-nc-4.0": "Licensed under <<optional>>the Creative Commons <<end>>CC BY-NC 4.0",
 }
 MARK = re.compile(r"<<(optional|end|any:(\d+)-(\d+))>>")
