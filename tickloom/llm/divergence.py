@@ -179,7 +179,7 @@ def joint_sums(a: Tree, b: Tree, zero_a: np.ndarray, zero_b: np.ndarray, height:
     return total.reshape(shape), visited.reshape(shape)
 
 
-def tile_sums(table: pa.Table) -> pa.Table:
+def tile_sums(table: pa.Table, side: int) -> pa.Table:
     """One tile: rows with a null term give each group's zero price, the others its filled cells."""
     term = table.column("term").combine_chunks().dictionary_encode()
     if isinstance(term, pa.ChunkedArray):
@@ -189,42 +189,42 @@ def tile_sums(table: pa.Table) -> pa.Table:
     number, p = (np.asarray(table.column(c)).astype(np.int64) for c in ("number", "p"))
     low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
     height = 1
-    while 4 ** height < max(SIDE, len(term.dictionary)):
+    while 4 ** height < max(side, len(term.dictionary)):
         height += 1
     trees, zeros = [], []
     for block in dict.fromkeys((low, high)):
-        here = number // SIDE == block
-        zero = np.zeros(int(number[here & marks].max()) - block * SIDE + 1, np.int64)
-        zero[number[here & marks] - block * SIDE] = p[here & marks]
+        here = number // side == block
+        zero = np.zeros(int(number[here & marks].max()) - block * side + 1, np.int64)
+        zero[number[here & marks] - block * side] = p[here & marks]
         cells = here & ~marks
-        trees.append(Tree(number[cells] - block * SIDE, column[cells], p[cells], height))
+        trees.append(Tree(number[cells] - block * side, column[cells], p[cells], height))
         zeros.append(zero)
     total, visited = joint_sums(trees[0], trees[-1], zeros[0], zeros[-1], height, low == high)
     i, j = np.nonzero(visited)
     lang = table.column("lang")[0].as_py()
-    return pa.table({"lang": pa.array([lang] * len(i), pa.string()), "a": pa.array(i + low * SIDE, pa.int32()),
-                     "b": pa.array(j + high * SIDE, pa.int32()), "total": total[i, j], "visited": visited[i, j]})
+    return pa.table({"lang": pa.array([lang] * len(i), pa.string()), "a": pa.array(i + low * side, pa.int32()),
+                     "b": pa.array(j + high * side, pa.int32()), "total": total[i, j], "visited": visited[i, j]})
 
 
-def pair_values(cells: DataFrame, sizes: DataFrame) -> DataFrame:
+def pair_values(cells: DataFrame, sizes: DataFrame, side: int = SIDE, wide: int = WIDE) -> DataFrame:
     """Value of every pair of sources of a language, in both directions: lang, source, item, value."""
     spread = sizes.filter("terms > 0")
     columns = ["lang", "number", "sources", "terms"]
     filled = cells.join(spread, ["lang", "source"]).select(
         *columns, "term", price("n", "total").alias("p"),
-        F.expr(f"pmod(xxhash64(term), terms div {WIDE} + 1)").alias("tile"))
+        F.expr(f"pmod(xxhash64(term), terms div {wide} + 1)").alias("tile"))
     marks = spread.select(*columns, F.lit(None).cast("string").alias("term"), F.col("zero").alias("p"),
-                          F.explode(F.expr(f"sequence(0L, terms div {WIDE})")).alias("tile"))
+                          F.explode(F.expr(f"sequence(0L, terms div {wide})")).alias("tile"))
 
     def paired(rows):
         """Each row once for every block that its own is paired with."""
-        return rows.select("*", F.expr(f"number div {SIDE}").alias("own"),
-                           F.explode(F.expr(f"sequence(0L, (sources - 1) div {SIDE})")).alias("other")).select(
+        return rows.select("*", F.expr(f"number div {side}").alias("own"),
+                           F.explode(F.expr(f"sequence(0L, (sources - 1) div {side})")).alias("other")).select(
             "*", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
 
     sums = paired(filled.unionByName(marks)).select("lang", "low", "high", "tile", "number", "term", "p") \
         .groupBy("lang", "low", "high", "tile").applyInArrow(
-            tile_sums, "lang string, a int, b int, total long, visited long") \
+            lambda table: tile_sums(table, side), "lang string, a int, b int, total long, visited long") \
         .groupBy("lang", "a", "b").agg(F.sum("total").alias("total"), F.sum("visited").alias("visited"))
     sides = paired(sizes).select("lang", "low", "high", "own", "number", "source", "terms", "zero")
     one = sides.filter("own = low").select("lang", "low", "high", "terms", F.col("number").alias("a"),
@@ -254,11 +254,14 @@ def ranked(rows: DataFrame) -> DataFrame:
 
 
 def source_divergence(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text",
-                      least: int = 10, most: int | None = 10) -> DataFrame:
-    """Ranked pairs of sources and marked terms: lang, source, part, item, value, rank."""
+                      least: int = 10, most: int | None = 10, side: int = SIDE, wide: int = WIDE) -> DataFrame:
+    """Ranked pairs of sources and marked terms: lang, source, part, item, value, rank.
+
+    ``side`` and ``wide`` are the rows and columns of a tile; they change the work only.
+    """
     cells = materialize(kept_cells(term_counts(docs, lang, source, text), least), "cells")
     sizes = materialize(group_sizes(docs, cells, lang, source), "sizes")
-    return ranked(pair_values(cells, sizes)).withColumn("part", F.lit("pair")).unionByName(
+    return ranked(pair_values(cells, sizes, side, wide)).withColumn("part", F.lit("pair")).unionByName(
         marked_terms(cells, sizes, most).withColumn("part", F.lit("term"))).select(
         "lang", "source", "part", "item", "value", "rank")
 
