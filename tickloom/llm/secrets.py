@@ -10,8 +10,9 @@ A rule's regular expression is turned into a Boolean query of trigrams that ever
 exact strings are carried through literals, small classes, options and alternatives; where they end,
 their trigrams are required. The postings of all wanted trigrams are read (a filter on the stored
 column), each (segment, row) adds up the bits of its trigrams, and the queries are evaluated on these
-bits. Rules without mandatory trigrams are tried on every text. Rows are joined with their candidate
-rules and matched; Spark broadcasts the candidates while they are small and shuffles beyond that.
+bits. Rules without mandatory trigrams are tried on every text. The candidates are written first, so
+that Spark knows their size when it plans the join with the rows: it broadcasts them while they are
+small and moves each text once beyond that.
 
 Defined results: a null or empty text has no spans; repeated rows are each scanned; a null key stays
 null; an empty table gives no rows; columns other than key and text are not read. Offsets count code
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.bytetext import LOWER, blocks
 from tickloom.llm.registry import documents, query
-from tickloom.session import materialize
+from tickloom.session import fresh_path, materialize
 
 SEGMENT = 1 << 21
 #: exact strings carried at most before their trigrams are required
@@ -207,6 +208,12 @@ def trigram_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
         postings, "segment long, trigram int, rows array<int>, keys array<long>").sortWithinPartitions("trigram", "segment")
 
 
+def stored_index(index: DataFrame, path: str) -> DataFrame:
+    """``index`` as a table at ``path``; lists of row numbers compress well."""
+    index.write.option("compression", "zstd").parquet(path)
+    return index.sparkSession.read.schema(index.schema).parquet(path)
+
+
 def candidates(index: DataFrame, queries: list) -> DataFrame:
     """Row keys whose trigrams satisfy some of the queries: key, ``rules`` (a bit for each query)."""
     names = sorted(set().union(*map(wanted, queries)))
@@ -253,8 +260,9 @@ def secret_spans(docs: DataFrame, rules: dict[str, Rule] | None = None, key: str
         raise ValueError("at most 60 rules with mandatory trigrams in one scan")
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     if indexed:
-        index = materialize(trigram_index(docs, key, text), "trigrams") if index is None else index
-        chosen = candidates(index, [queries[i] for i in indexed])
+        if index is None:
+            index = stored_index(trigram_index(docs, key, text), fresh_path(docs.sparkSession, "trigrams"))
+        chosen = materialize(candidates(index, [queries[i] for i in indexed]), "candidates")
         rows = rows.withColumn("key", row_key("doc_id", "text")).join(chosen, "key", "left").select("doc_id", "text", "rules")
     else:
         rows = rows.withColumn("rules", F.lit(None).cast("long"))
