@@ -212,29 +212,101 @@ def test_order_statistics(frame, scale):
             assert r.q == pytest.approx(want, rel=1e-9)
 
 
-def test_revert_trades(frame):
-    rng = random.Random(9)
-    rows = [("e", i * 10, i, round(rng.uniform(-0.2, 0.2), 3), 1) for i in range(200)]
-    df = frame(rows, "ticker STRING, ts LONG, seq LONG, gap DOUBLE, outc INT").withColumn(
-        "ybid", F.lit(0.48)).withColumn("yask", F.lit(0.5))
-    got = [(r.seq, r.exit_ts, r.how) for r in T.revert_trades(df, [0.1], eps=0.02, horizon=60).orderBy("seq").collect()]
-    want, armed, k = [], True, 0
+def plain_reverts(rows, delta, eps, horizon, persist=1, cap=None, min_tte=None):
+    """The rule row by row; rows are (ts, seq, gap, bid, ask, won, tte)."""
+    want, armed, run, entered, k = [], True, 0, 0, 0
     while k < len(rows):
-        g = rows[k][3]
+        t, seq, gap, bid, ask, won, tte = rows[k]
         if not armed:
-            armed = abs(g) <= 0.02
+            armed, run, k = abs(gap) <= eps, 0, k + 1
+            continue
+        run = run + 1 if abs(gap) >= delta else 0
+        if run < persist:
             k += 1
             continue
-        if abs(g) < 0.1:
+        if (min_tte is not None and tte <= min_tte) or (cap is not None and entered >= cap):
+            break
+        entered, run, armed = entered + 1, 0, False
+        yes = gap > 0
+        entry = ask if yes else 1 - bid
+        if entry >= 0.99:
             k += 1
             continue
-        armed = False
-        j = next((j for j in range(k + 1, len(rows)) if abs(rows[j][3]) <= 0.02
-                  or rows[j][1] - rows[k][1] >= 60), None)
+        cost = entry + 0.07 * entry * (1 - entry)
+        j = next((j for j in range(k + 1, len(rows)) if abs(rows[j][2]) <= eps or rows[j][0] - t >= horizon), None)
         if j is None:
-            want.append((k, None, "settle"))
+            want.append((seq, None, "settle", round(float(won == yes) - cost, 9)))
             break
-        how = "revert" if abs(rows[j][3]) <= 0.02 else "horizon"
-        want.append((k, rows[j][1], how))
+        u, _, closing, b, a, _, _ = rows[j]
+        sell = b if yes else 1 - a
+        how = "revert" if abs(closing) <= eps else "horizon"
+        want.append((seq, u, how, round(sell - 0.07 * sell * (1 - sell) - cost, 9)))
         armed, k = how == "revert", j + 1
-    assert got == want
+    return want
+
+
+@pytest.mark.parametrize("chunk,rule", [
+    (None, dict(persist=2, cap=4)), (110, dict()), (110, dict(persist=3)), (250, dict(min_tte=60.0, cap=9)), (110, dict(eps=0.15))])
+def test_revert_trades(frame, chunk, rule):
+    rng = random.Random(9)
+    rows, gap = [], 0.0
+    for i in range(300):
+        gap = round(gap * 0.8 + rng.uniform(-0.1, 0.1), 3) if rng.random() < 0.9 else 0.0
+        bid = round(rng.choice([0.3, 0.48, 0.985]), 3)
+        rows.append((i * 10 + i % 3, i, gap, bid, round(bid + 0.01, 3), 1, 300.0 - i))
+    df = frame([("e", *r) for r in rows],
+               "ticker STRING, ts LONG, seq LONG, gap DOUBLE, ybid DOUBLE, yask DOUBLE, outc INT, tte_s DOUBLE")
+    rule = {"eps": 0.02, **rule}
+    out = T.revert_trades(df, [0.1, 0.2], horizon=60, chunk=chunk, keep=["tte_s"], **rule).collect()
+    for delta in (0.1, 0.2):
+        got = sorted((r.seq, r.exit_ts, r.how, round(r.ret_taker, 9)) for r in out if r.delta == delta)
+        want = plain_reverts(rows, delta, horizon=60, **rule)
+        assert got == want and (len(want) > 2 or delta == 0.2)
+
+
+@pytest.mark.parametrize("rule", ["rate", "match", "revert"])
+def test_busy_key_takes_many_tasks(spark, frame, rule, monkeypatch):
+    """One key without a quiet gap: every chunk is a group of its own, and guesses meet after a few rounds."""
+    from tickloom.operators import folds
+
+    n = 3000
+    rng = random.Random(3)
+    times = [2 * i for i in range(n)] if rule != "rate" else sorted(rng.randrange(2 * n) for _ in range(n))
+    df = frame([("k", t, i, float(i)) for i, t in enumerate(times)], TICK)
+    groups, rounds, plain = [], [], folds.fold_groups
+
+    def watched(rows, keys, order, fn, schema):
+        if "_from" in schema.names:
+            rounds.append(rows.select(*keys).distinct().count())
+        elif rounds:
+            groups.append(rows.select(*keys).distinct().count())
+        return plain(rows, keys, order, fn, schema)
+
+    monkeypatch.setattr(folds, "fold_groups", watched)
+    if rule == "rate":
+        out = T.rate_limited(df, limit=5, span=70, by=["key"], chunk=500)
+        kept = []
+        for t in times:
+            if sum(1 for k in kept[-5:] if k >= t - 70) < 5:
+                kept.append(t)
+        assert out.filter("accepted").count() == len(kept)
+    elif rule == "match":
+        out = R.match_signals(df, df.withColumn("ts", F.col("ts") + 5), tol=6, by=["key"], chunk=500)
+        assert out.count() == n
+    else:
+        quotes = df.select(F.col("key").alias("ticker"), "ts", "seq", F.lit(0.4).alias("ybid"), F.lit(0.5).alias("yask"),
+                           F.expr("if(seq % 10 < 4, 0.2D, 0.01D)").alias("gap"), F.lit(1).alias("outc"))
+        out = T.revert_trades(quotes, [0.1], eps=0.02, horizon=900, chunk=500)
+        assert out.count() == n / 10
+    assert groups == [12] and rounds[0] == 12 and len(rounds) <= (7 if rule == "rate" else 4)
+
+
+def test_rule_that_never_forgets_is_walked(frame, monkeypatch):
+    """A regular flow keeps the limit's phase for ever; guesses never meet."""
+    from tickloom.operators import folds
+
+    monkeypatch.setattr(folds, "ROUNDS", 1)
+    df = frame([(k, 2 * i, i, 0.0) for k in "ab" for i in range(900)], TICK)
+    out = T.rate_limited(df, limit=5, span=70, by=["key"], chunk=250)
+    got = sorted((r.key, r.seq) for r in out.filter("accepted").collect())
+    assert got == [(k, i) for k in "ab" for i in range(900) if i % 36 < 5]

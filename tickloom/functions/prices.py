@@ -9,7 +9,10 @@ EPS = 1e-6
 WINDOW_S = 900.0
 
 
-def fee(price: Column, qty: Column | None = None, rate: Column | float = 0.07,
+TAKER_RATE = 0.07  # fixed value
+
+
+def fee(price: Column, qty: Column | None = None, rate: Column | float = TAKER_RATE,
         round_up_cents: bool = False) -> Column:
     """Quadratic taker fee; ``round_up_cents`` charges whole cents per order."""
     cost = (rate if isinstance(rate, Column) else F.lit(rate)) * price * (1 - price)

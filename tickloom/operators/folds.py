@@ -9,6 +9,7 @@ chunk), and every chunk is then finished with the state it starts from.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -20,6 +21,8 @@ from tickloom.operators.chunks import CHUNK, chunk_carry, chunk_start, chunk_win
 from tickloom.session import materialize
 
 NEVER = -(1 << 62)
+#: readings of open chunks all at once before a key is walked instead
+ROUNDS = 6
 
 
 def rising_edges(df: DataFrame, on: Column, *, by: Sequence[str], ts: str,
@@ -130,6 +133,95 @@ def fold_stream(df: DataFrame, keys: Sequence[str], order: Sequence[str], start,
     return parts.mapInPandas(run, schema)
 
 
+def converge(rows: DataFrame, *, by: Sequence[str], order: Sequence[str], start: str, run,
+             schema: T.StructType) -> DataFrame:
+    """A rule with memory over ``(key, chunk)`` groups of ``rows``, for rules that forget.
+
+    ``run(key, columns, opening, before, last)`` reads one chunk from the text ``opening`` and
+    returns (closing text, columns of its result). ``before`` is the pair (opening, closing) of
+    its last run, so that a run may stop where both states have become equal. ``last`` is None
+    while only states are wanted; in the final pass it says whether the key ends here.
+
+    All chunks are first read from ``start``. A chunk whose predecessor closed with something
+    else is read again from that, all of them at once, until nothing changes. After round n the
+    first n chunks of every key are right, so it ends; a rule that forgets its past within a
+    chunk takes two or three rounds, however many chunks a key has. A key that has not settled
+    after ``ROUNDS`` (a rule kept in step by a regular flow) is walked from its first open chunk
+    on, one chunk in memory at a time, so the work stays linear. States of a key are one row per
+    chunk. ``rows`` is read in every round, only the chunks concerned: give a written table.
+    """
+    place = [*by, CHUNK]
+    text = T.StringType()
+    key_fields = [rows.schema[k] for k in place]
+    states_schema = T.StructType([*key_fields, T.StructField("_from", text), T.StructField("_to", text)])
+
+    def named(key):
+        return {n: [v] for n, v in zip(place, key)}
+
+    def first(key, d):
+        return {**named(key), "_from": [start], "_to": [run(key, d, start, None, None)[0]]}
+
+    def again(key, d):
+        due, before = d["_due"][0], (d["_from"][0], d["_to"][0])
+        return {**named(key), "_from": [due], "_to": [run(key, d, due, before, None)[0]]}
+
+    states = materialize(fold_groups(rows, place, order, first, states_schema), "states")
+    chain = Window.partitionBy(*by).orderBy(CHUNK)
+
+    class Walk:
+        """The open chunks of one key in order, each from what the one before it left."""
+
+        def __init__(self, key):
+            self.key, self.chunk, self.held, self.state = key, None, [], None
+
+        def close(self):
+            if not self.held:
+                return []
+            d = {c: np.concatenate([h[c] for h in self.held]) for c in self.held[0]}
+            opening = self.state if self.state is not None else d["_due"][0]
+            self.state = run((*self.key, self.chunk), d, opening, None, None)[0]
+            self.held = []
+            return [(self.chunk, opening, self.state)]
+
+        def table(self, done):
+            if not done:
+                return None
+            at, opened, closed = zip(*done)
+            return {**{k: [v] * len(at) for k, v in zip(by, self.key)}, CHUNK: list(at), "_from": opened, "_to": closed}
+
+        def step(self, d):
+            done, cuts = [], np.flatnonzero(np.diff(d[CHUNK])) + 1
+            for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(d[CHUNK])]):
+                if d[CHUNK][a] != self.chunk:
+                    done += self.close()
+                    self.chunk = int(d[CHUNK][a])
+                self.held.append({c: v[a:b] for c, v in d.items()})
+            return self.table(done)
+
+        def end(self):
+            return self.table(self.close())
+
+    for attempt in count():
+        stale = materialize(states.withColumn("_due", F.coalesce(F.lag("_to").over(chain), F.lit(start)))
+                            .filter("_due <> _from"), "stale")
+        if stale.isEmpty():
+            break
+        if attempt < ROUNDS:
+            redone = fold_groups(rows.join(stale, place), place, order, again, states_schema)
+        else:
+            opened = stale.groupBy(*by).agg(F.min(CHUNK).alias("_open"), F.min_by("_due", CHUNK).alias("_due"))
+            stale = states.join(opened, [*by]).filter(F.col(CHUNK) >= F.col("_open")).select(*place)
+            redone = fold_stream(rows.join(opened, [*by]).filter(F.col(CHUNK) >= F.col("_open")), by, [CHUNK, *order],
+                                 Walk, states_schema)
+        states = materialize(states.join(stale.select(*place), place, "left_anti").unionByName(redone), "states")
+
+    def finish(key, d):
+        return run(key, d, d["_from"][0], None, bool(d["_last"][0]))[1]
+
+    ends = states.select(*place, "_from", F.lead(CHUNK).over(chain).isNull().alias("_last"))
+    return fold_groups(rows.join(ends, place), place, order, finish, schema)
+
+
 def _chain_end(times: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
     """Index of the next acceptable time after each, and of the last one it leads to."""
     nxt = np.searchsorted(times, times + gap, side="left")

@@ -182,70 +182,116 @@ def persistent(rows: DataFrame, delta: float, n: int, *, by: Sequence[str] = ("t
     return out.withColumn("held", F.col("_run") >= n).drop("_run")
 
 
-REVERT = ("delta DOUBLE, ts BIGINT, seq BIGINT, side_yes INT, entry DOUBLE, exit_ts BIGINT, "
-          "ret_taker DOUBLE, ret_maker DOUBLE, how STRING")
+REVERT = ("delta DOUBLE, ts BIGINT, seq BIGINT, side_yes INT, entry DOUBLE, gap DOUBLE, won INT, exit_ts BIGINT, "
+          "hold BIGINT, ret_taker DOUBLE, ret_maker DOUBLE, how STRING")
 
 
-def revert_trades(rows: DataFrame, deltas: Sequence[float], *, eps: float, horizon: int,
-                  by: str = "ticker", ts: str = "ts", outcome: str = "outc") -> DataFrame:
-    """Enter on |gap| >= delta, leave when it closes to eps or after ``horizon``, else settle.
+def revert_trades(rows: DataFrame, deltas: Sequence[float], *, eps: float, horizon: int, persist: int = 1,
+                  cap: int | None = None, min_tte: float | None = None, chunk: int | None = None,
+                  keep: Sequence[str] = (), by: str = "ticker", ts: str = "ts", outcome: str = "outc") -> DataFrame:
+    """Enter once |gap| >= delta has held ``persist`` rows, leave when it closes to eps or after
+    ``horizon``, else settle.
 
-    A position must close before the next can open, so this is a sequential rule over the
-    rows of one event, which last 900 s; events are independent tasks.
-    """
-    cols = rows.select(by, ts, "seq", "gap", "ybid", "yask", F.col(outcome).alias("won"))
+    An entry disarms; a row within eps arms again, a revert exit does so by itself. Asks too dear
+    to buy use up the episode. Entries stop at the first one wanted with ``min_tte`` or less to go,
+    and after ``cap`` of them (dear ones count). ``gap`` is its size at entry; ``keep`` names
+    columns of the entry row to carry along. An unknown outcome has no settlement return.
 
+    A chunk hands on, per delta, whether the rule is armed (with the rows its run has lasted),
+    waits, or holds (with the entry). The rule forgets at every crossing back to eps, so chunks
+    are read from guesses until these are right (``converge``). ``chunk`` None: a key is one chunk.
+    """
+    length = chunk if chunk is not None else 1 << 60
+    slim = materialize(C.with_chunk(rows.select(
+        by, ts, "seq", "gap", "ybid", "yask", F.coalesce(F.col(outcome).cast("int"), F.lit(-1)).alias("won")),
+        ts, length), "scored")
     fields = struct_of(REVERT).names
 
-    def run(key, d):
-        t, gap, bid, ask = d[ts], d["gap"], d["ybid"], d["yask"]
-        flat = np.abs(gap) <= eps
-        out = []
-        fee = lambda p: 0.07 * p * (1 - p)
-        for delta in deltas:
-            k, armed = 0, True
-            wide = np.flatnonzero(np.abs(gap) >= delta)
-            flats = np.flatnonzero(flat)
-            while k < len(t):
-                if not armed:
+    def fee(p):
+        return P.TAKER_RATE * p * (1 - p)
+
+    def run(key, d, opening, before, last):
+        t, gap, bid, ask = d[ts].tolist(), np.abs(d["gap"]), d["ybid"], d["yask"]
+        n = len(t)
+        flats = np.flatnonzero(gap <= eps)
+        states, out = [], []
+
+        def closed(delta, held, j, how):
+            """One finished trade; ``j`` is its exit row here, None at settlement."""
+            at, seq, yes, entry, size, won = held
+            cost = entry + fee(entry)
+            if j is None:
+                ret = (float(won == yes) - cost if won >= 0 else None,) * 2
+            else:
+                sell, rest = (bid[j], ask[j]) if yes else (1 - ask[j], 1 - bid[j])
+                ret = (sell - fee(sell) - cost, rest - cost)
+            out.append((delta, at, seq, yes, entry, size, won if won >= 0 else None, None if j is None else t[j],
+                        None if j is None else t[j] - at, *ret, how))
+
+        for delta, (mode, lasted, held) in zip(deltas, json.loads(opening)):
+            narrow = np.append(np.flatnonzero(~(gap >= delta)), n)
+            edges = np.append(-1, narrow)
+            stretches = edges[:-1][np.diff(edges) > persist] + 1  # wide long enough
+            k = 0
+            while k < n:
+                if mode == "waits":
                     i = np.searchsorted(flats, k)
                     if i == len(flats):
                         break
-                    k, armed = flats[i] + 1, True
-                    continue
-                i = np.searchsorted(wide, k)
-                if i == len(wide):
-                    break
-                k = wide[i]
-                yes = gap[k] > 0
-                entry = ask[k] if yes else 1 - bid[k]
-                armed = False
-                if entry >= MAX_ENTRY:
-                    k += 1
-                    continue
-                cost = entry + fee(entry)
-                i = np.searchsorted(flats, k + 1)
-                revert = flats[i] if i < len(flats) else len(t)
-                late = np.searchsorted(t, t[k] + horizon, side="left")
-                j = min(revert, max(late, k + 1))
-                base = (delta, t[k], d["seq"][k], int(yes), entry)
-                if j >= len(t):
-                    ret = float(d["won"][k] == (1 if yes else 0)) - cost
-                    out.append((*base, None, ret, ret, "settle"))
-                    break
-                sell = bid[j] if yes else 1 - ask[j]
-                rest = ask[j] if yes else 1 - bid[j]
-                how = "revert" if flat[j] else "horizon"
-                out.append((*base, t[j], sell - fee(sell) - cost, rest - cost, how))
-                armed, k = how == "revert", j + 1
-        if not out:
-            return None
-        res = {n: list(v) for n, v in zip(fields, zip(*out))}
+                    k, mode, lasted = int(flats[i]) + 1, "armed", 0
+                elif mode == "armed":
+                    stop = int(narrow[np.searchsorted(narrow, k)])
+                    if stop - k + lasted >= persist:
+                        k += persist - lasted - 1
+                    else:
+                        i = np.searchsorted(stretches, stop)
+                        if i == len(stretches):
+                            lasted = n - 1 - int(narrow[-2]) if len(narrow) > 1 and narrow[-2] >= k else lasted + n - k
+                            break
+                        k = int(stretches[i]) + persist - 1
+                    yes = int(d["gap"][k] > 0)
+                    entry = float(ask[k] if yes else 1 - bid[k])
+                    held = [t[k], int(d["seq"][k]), yes, entry, float(gap[k]), int(d["won"][k])]
+                    mode = "holds"
+                    if not entry < MAX_ENTRY:
+                        if last is not None:
+                            closed(delta, held, k, "skipped")
+                        mode = "waits"
+                    k, lasted = k + 1, 0
+                else:
+                    i = np.searchsorted(flats, k)
+                    late = int(np.searchsorted(d[ts], held[0] + horizon, side="left"))
+                    j = min(int(flats[i]) if i < len(flats) else n, max(late, k))
+                    if j >= n:
+                        break
+                    mode, lasted = ("armed", 0) if gap[j] <= eps else ("waits", 0)
+                    if last is not None:
+                        closed(delta, held, j, "revert" if gap[j] <= eps else "horizon")
+                    k = j + 1
+            if last and mode == "holds":
+                closed(delta, held, None, "settle")
+            states.append([mode, min(lasted, persist) if mode == "armed" else 0, held if mode == "holds" else None])
+        if last is None or not out:
+            return json.dumps(states), None
+        res = {f: list(v) for f, v in zip(fields, zip(*out))}
         res[by] = [key[0]] * len(out)
-        res["exit_ts"] = np.array(res["exit_ts"], dtype=object)
-        return res
-
-    return folds.fold_groups(cols, [by], [ts, "seq"], run, struct_of(REVERT, rows.schema[by]))
+        for name in ("won", "exit_ts", "hold", "ret_taker", "ret_maker"):
+            res[name] = np.array(res[name], dtype=object)
+        return json.dumps(states), res
+
+    start = json.dumps([["armed", 0, None] for _ in deltas])
+    trades = folds.converge(slim, by=[by], order=[ts, "seq"], start=start, run=run,
+                            schema=struct_of(REVERT, rows.schema[by]))
+    if keep or min_tte is not None:
+        named = [*keep, *(["tte_s"] if min_tte is not None and "tte_s" not in keep else [])]
+        trades = trades.join(rows.select(by, ts, "seq", *named), [by, ts, "seq"])
+    if min_tte is not None:
+        trades = trades.filter(F.col("tte_s") > min_tte)
+        trades = trades if "tte_s" in keep else trades.drop("tte_s")
+    if cap is not None:
+        trades = C.running_sum(materialize(trades, "trades"), F.lit(1), "_entries", by=[by, "delta"], ts=ts, order=["seq"],
+                               chunk=length).filter(F.col("_entries") <= cap).drop("_entries")
+    return trades.filter("how <> 'skipped'")
 
 
 def maker_entries(hits: DataFrame, rows: DataFrame, *, rest: int | None, by: str = "ticker",
@@ -695,31 +741,31 @@ def rate_limited(signals: DataFrame, *, limit: int, span: int, by: Sequence[str]
                  ts: str = "ts", order: str = "seq", chunk: int) -> DataFrame:
     """Accepted flag under at most ``limit`` accepted signals per sliding ``span``.
 
-    Only accepted ones count. A quiet ``span`` empties the window, so stretches between
-    such pauses are independent; one stretch is read in order with ``limit`` times in memory.
+    Only accepted ones count. What a chunk hands on is the times it accepted within ``span`` of
+    its end; chunks are read from a guess of these until all guesses are right (``converge``),
+    and a repeated reading stops where the window has become what it was before.
     """
     keys = list(by)
-    rows = C.previous(signals, {ts: "_p"}, by=keys, ts=ts, order=[order], chunk=chunk)
-    fresh = (F.col("_p").isNull() | (F.col(ts) - F.col("_p") > span)).cast("long")
-    rows = C.running_sum(rows, fresh, "_g", by=keys, ts=ts, order=[order], chunk=chunk)
-
-    class SlidingLimit:
-        def __init__(self, key):
-            self.key, self.kept = key, deque(maxlen=limit)
-
-        def step(self, d):
-            ok = np.zeros(len(d[ts]), dtype=bool)
-            for i, t in enumerate(d[ts].tolist()):
-                if len(self.kept) < limit or self.kept[0] < t - span:
-                    ok[i] = True
-                    self.kept.append(t)
-            return {**{k: [v] * len(ok) for k, v in zip(keys, self.key)}, order: d[order],
-                    "accepted": ok}
-
-        def end(self):
-            return None
+    rows = materialize(C.with_chunk(signals.select(*keys, ts, order), ts, chunk), "signals")
+
+    def run(key, d, opening, before, last):
+        kept = deque(json.loads(opening), maxlen=limit)
+        shadow = deque(json.loads(before[0]), maxlen=limit) if before else None
+        ok = np.zeros(len(d[ts]), dtype=bool)
+        for i, t in enumerate(d[ts].tolist()):
+            for window in (kept,) if shadow is None else (kept, shadow):
+                while window and window[0] < t - span:
+                    window.popleft()
+            if kept == shadow:
+                return before[1], None
+            ok[i] = len(kept) < limit
+            for window in (kept,) if shadow is None else (kept, shadow):
+                if len(window) < limit:
+                    window.append(t)
+        closing = json.dumps([t for t in kept if t >= key[-1] + chunk - span])
+        return closing, None if last is None else {
+            **{k: [v] * len(ok) for k, v in zip(keys, key)}, order: d[order], "accepted": ok}
 
     schema = T.StructType([*[signals.schema[k] for k in keys], signals.schema[order],
                            T.StructField("accepted", T.BooleanType())])
-    return folds.fold_stream(rows.select(*keys, "_g", ts, order), [*keys, "_g"], [ts, order],
-                             SlidingLimit, schema)
+    return folds.converge(rows, by=keys, order=[ts, order], start="[]", run=run, schema=schema)

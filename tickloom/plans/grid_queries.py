@@ -11,6 +11,7 @@ from tickloom.operators import ranges as R
 from tickloom.operators.asof import asof_join
 from tickloom.plans.registry import query
 from tickloom.plans.roles import DAY, FILLS, HOUR, MINUTE, SCORED, TICKS, fills, scored, table, ticks
+from tickloom.session import materialize
 
 W = "PARTITION BY instrument ORDER BY ts, seq"
 BY = dict(by=["instrument"], ts="ts", order=["seq"])
@@ -326,17 +327,33 @@ def signal_pair(spark, sf):
     return t.filter("seq % 2 = 0"), t.filter("seq % 2 = 1")
 
 
-@query("matched_signals")
+MATCHES = f"""WITH RECURSIVE {TICKS}, s AS (SELECT user_id AS target, CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END AS dir, ts, seq FROM ticks),
+l AS (SELECT *, row_number() OVER (PARTITION BY target, dir ORDER BY ts, seq) AS n FROM s WHERE seq % 2 = 0),
+c AS (SELECT l.target, l.dir, l.n, l.seq, l.ts, coalesce(list({{'id': r.seq, 'lag': r.ts - l.ts}} ORDER BY r.ts, r.seq)
+    FILTER (r.seq IS NOT NULL), []) AS reach
+  FROM l LEFT JOIN s r ON r.seq % 2 = 1 AND r.target = l.target AND r.dir = l.dir AND r.ts BETWEEN l.ts - {12 * HOUR} AND l.ts + {12 * HOUR}
+  GROUP BY ALL),
+w AS (SELECT DISTINCT target, dir, 0::BIGINT AS n, NULL::BIGINT AS a_id, NULL::STRUCT(id BIGINT, lag BIGINT) AS hit, []::BIGINT[] AS used FROM c
+  UNION ALL SELECT target, dir, n, seq, hit, CASE WHEN hit IS NULL THEN used ELSE list_append(used, hit.id) END
+  FROM (SELECT c.*, w.used, list_filter(c.reach, lambda x : NOT list_contains(w.used, x.id))[1] AS hit
+    FROM w JOIN c ON c.target = w.target AND c.dir = w.dir AND c.n = w.n + 1))"""
+
+
+@query("matched_signals", MATCHES + """
+SELECT target, dir, a_id, hit.id AS b_id, hit.lag AS lag FROM w WHERE hit IS NOT NULL""")
 def matched_signals(spark, sf):
     a, b = signal_pair(spark, sf)
-    return R.match_signals(a, b, tol=12 * HOUR, by=["target", "dir"], chunk=30 * DAY)
+    return R.match_signals(a, b, tol=12 * HOUR, by=["target", "dir"], chunk=10 * DAY)
 
 
-@query("unmatched_signals")
+@query("unmatched_signals", MATCHES + """
+SELECT 'a' AS side, target, dir, ts, seq FROM l ANTI JOIN (SELECT a_id AS seq FROM w WHERE hit IS NOT NULL) USING (seq)
+UNION ALL SELECT 'b', target, dir, ts, seq FROM s ANTI JOIN (SELECT hit.id AS seq FROM w WHERE hit IS NOT NULL) USING (seq) WHERE seq % 2 = 1""")
 def unmatched_signals(spark, sf):
     a, b = signal_pair(spark, sf)
-    return R.unmatched(a, R.match_signals(a, b, tol=12 * HOUR, by=["target", "dir"],
-                                          chunk=30 * DAY), "a")
+    pairs = materialize(R.match_signals(a, b, tol=12 * HOUR, by=["target", "dir"], chunk=10 * DAY), "pairs")
+    rest = [R.unmatched(rows, pairs, side).withColumn("side", F.lit(side)) for rows, side in ((a, "a"), (b, "b"))]
+    return rest[0].unionByName(rest[1]).select("side", "target", "dir", "ts", "seq")
 
 
 @query("post_latency_book", f"""WITH {SCORED}, p AS (SELECT *, ts + {30 * MINUTE} AS want FROM scored),

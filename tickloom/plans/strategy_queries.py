@@ -160,9 +160,57 @@ def persistent_gaps(spark, sf):
     return T.persistent(scored(spark, sf), 0.04, 3, chunk=DAY).select("seq", "held")
 
 
-@query("revert_exits")
+def revert_sql(persist: int, cap: int, min_tte: float) -> str:
+    """The rule row by row. ``mode``: 0 armed, 1 waits, 2 holds, 3 over; ``e``: the open entry."""
+    return f"""WITH RECURSIVE {SCORED}{LOOK},
+r AS (SELECT s.*, delta, row_number() OVER (PARTITION BY s.ticker, delta ORDER BY ts, s.seq) AS n, dfair, dmid,
+    CASE WHEN gap > 0 THEN yask ELSE 1 - ybid END AS entry, (gap > 0)::INT AS yes, tte_s AS tte
+  FROM scored s JOIN lk USING (ticker, seq), (SELECT unnest([0.05, 0.1])::DOUBLE AS delta)),
+w AS (
+  SELECT DISTINCT ticker, delta, 0::BIGINT AS n, 0 AS mode, 0 AS run, 0 AS entered, 0::BIGINT AS e, NULL::BIGINT AS x, NULL::VARCHAR AS how FROM r
+  UNION ALL
+  SELECT ticker, delta, n,
+    CASE WHEN mode = 0 THEN CASE WHEN NOT fires THEN 0 WHEN over THEN 3 WHEN entry >= 0.99 THEN 1 ELSE 2 END
+         WHEN mode = 1 THEN CASE WHEN flat THEN 0 ELSE 1 END
+         WHEN mode = 2 THEN CASE WHEN flat THEN 0 WHEN late THEN 1 ELSE 2 END ELSE 3 END,
+    CASE WHEN mode = 0 AND NOT fires THEN lasts ELSE 0 END,
+    CASE WHEN mode = 0 AND fires AND NOT over THEN entered + 1 ELSE entered END,
+    CASE WHEN mode = 0 AND fires AND NOT over AND entry < 0.99 THEN n ELSE e END,
+    CASE WHEN mode = 2 AND (flat OR late) THEN e END, CASE WHEN mode = 2 AND flat THEN 'revert' WHEN mode = 2 AND late THEN 'horizon' END
+  FROM (SELECT *, lasts >= {persist} AS fires, tte <= {min_tte} OR entered >= {cap} AS over FROM (
+    SELECT r.ticker, r.delta, r.n, r.entry, r.tte, w.mode, w.entered, w.e, abs(r.gap) <= 0.02::DOUBLE AS flat,
+      CASE WHEN abs(r.gap) >= r.delta THEN w.run + 1 ELSE 0 END AS lasts, r.ts - o.ts >= {24 * SEC} AS late
+    FROM w JOIN r ON r.ticker = w.ticker AND r.delta = w.delta AND r.n = w.n + 1
+    LEFT JOIN r o ON o.ticker = w.ticker AND o.delta = w.delta AND o.n = w.e))),
+z AS (SELECT ticker, delta, max(n) AS n FROM w GROUP BY ALL),
+done AS (SELECT ticker, delta, x AS e, n AS j, how FROM w WHERE how IS NOT NULL
+  UNION ALL SELECT ticker, delta, e, NULL, 'settle' FROM w JOIN z USING (ticker, delta, n) WHERE mode = 2),
+trades AS (SELECT d.how, i.*, o.ts AS exit_ts, i.entry + 0.07::DOUBLE * i.entry * (1 - i.entry) AS cost, (i.outc = i.yes)::INT AS paid,
+    CASE WHEN i.yes = 1 THEN o.ybid ELSE 1 - o.yask END AS sell, CASE WHEN i.yes = 1 THEN o.yask ELSE 1 - o.ybid END AS rest
+  FROM done d JOIN r i ON i.ticker = d.ticker AND i.delta = d.delta AND i.n = d.e
+  LEFT JOIN r o ON o.ticker = d.ticker AND o.delta = d.delta AND o.n = d.j)
+SELECT delta, ticker, seq, yes AS side_yes, outc AS won, exit_ts, exit_ts - ts AS hold, how, round(entry, 6) + 0.0 AS entry,
+  round(abs(gap), 6) + 0.0 AS gap, round(dfair, 6) + 0.0 AS dfair, round(dmid, 6) + 0.0 AS dmid, round(tte, 6) + 0.0 AS tte_s,
+  round(CASE WHEN how = 'settle' THEN paid - cost ELSE sell - 0.07::DOUBLE * sell * (1 - sell) - cost END, 6) + 0.0 AS ret_taker,
+  round(CASE WHEN how = 'settle' THEN paid - cost ELSE rest - cost END, 6) + 0.0 AS ret_maker FROM trades"""
+
+
+def reverted(spark, sf, **rule):
+    out = T.revert_trades(moved(scored(spark, sf)), [0.05, 0.1], eps=0.02, horizon=24 * SEC, chunk=DAY // 4,
+                          keep=["tte_s", "dfair", "dmid"], **rule)
+    return out.select("delta", "ticker", "seq", "side_yes", "won", "exit_ts", "hold", "how",
+                      *r6("entry", "gap", "dfair", "dmid", "tte_s", "ret_taker", "ret_maker"))
+
+
+@query("revert_exits", revert_sql(1, 1 << 30, -1.0))
 def revert_exits(spark, sf):
-    return T.revert_trades(scored(spark, sf), [0.05, 0.1], eps=0.02, horizon=24 * SEC)
+    return reverted(spark, sf)
+
+
+@query("revert_exits_gated", revert_sql(2, 3, 120.0))
+def revert_exits_gated(spark, sf):
+    """Entries that two rows confirm, three of an event at most, none in its last two minutes."""
+    return reverted(spark, sf, persist=2, cap=3, min_tte=120.0)
 
 
 @query("maker_entries", EPISODES + f""", l AS (SELECT *, CASE WHEN side_yes = 1 THEN ybid ELSE 1 - yask END AS lim FROM hits),
