@@ -291,14 +291,14 @@ def test_busy_key_takes_many_tasks(spark, frame, rule, monkeypatch):
                 kept.append(t)
         assert out.filter("accepted").count() == len(kept)
     elif rule == "match":
-        out = R.match_signals(df, df.withColumn("ts", F.col("ts") + 5), tol=6, by=["key"], chunk=500)
-        assert out.count() == n
+        out = R.match_signals(df.filter("seq % 3 = 0"), df.withColumn("ts", F.col("ts") + 1), tol=2, by=["key"], chunk=500)
+        assert out.count() == n / 3
     else:
         quotes = df.select(F.col("key").alias("ticker"), "ts", "seq", F.lit(0.4).alias("ybid"), F.lit(0.5).alias("yask"),
                            F.expr("if(seq % 10 < 4, 0.2D, 0.01D)").alias("gap"), F.lit(1).alias("outc"))
         out = T.revert_trades(quotes, [0.1], eps=0.02, horizon=900, chunk=500)
         assert out.count() == n / 10
-    assert groups == [12] and rounds[0] == 12 and len(rounds) <= (7 if rule == "rate" else 4)
+    assert len(groups) == 1 and 12 <= groups[0] == rounds[0] <= 14 and len(rounds) <= (7 if rule == "rate" else 4)
 
 
 def test_rule_that_never_forgets_is_walked(frame, monkeypatch):
