@@ -310,3 +310,27 @@ def test_rule_that_never_forgets_is_walked(frame, monkeypatch):
     out = T.rate_limited(df, limit=5, span=70, by=["key"], chunk=250)
     got = sorted((r.key, r.seq) for r in out.filter("accepted").collect())
     assert got == [(k, i) for k in "ab" for i in range(900) if i % 36 < 5]
+
+
+def test_ledger_reads_a_busy_chunk_once(frame, monkeypatch):
+    """100,000 sells of a chunk are refused in one linear reading, and a chunk hands on three numbers."""
+    from tickloom.operators import folds
+
+    n, texts, plain = 100_000, [], folds.materialize
+
+    def watched(df, label="table"):
+        out = plain(df, label)
+        if label == "states":
+            texts.append(out.agg(F.max(F.length("_to"))).first()[0])
+        return out
+
+    monkeypatch.setattr(folds, "materialize", watched)
+    df = frame([("k", "Buy", 5.0, 0)], "instrument STRING, side STRING, qty DOUBLE, seq LONG").unionByName(
+        frame([], "instrument STRING, side STRING, qty DOUBLE, seq LONG").sparkSession.range(1, n).select(
+            F.lit("k").alias("instrument"), F.lit("Sell").alias("side"), F.lit(2.0).alias("qty"), F.col("id").alias("seq")))
+    rows = df.select("*", F.lit(0.5).alias("px"), F.lit(0.0).alias("fee"), F.lit(1.0).alias("sign"),
+                     F.concat(F.lit("f"), "seq").alias("venue_trade_id"), F.expr("seq div 2").alias("ts"))
+    out = T.position_ledger(rows, chunk=40_000).agg(
+        F.count_if("violation").alias("bad"), F.max_by("qty_after", "seq").alias("qty")).first()
+    assert out.bad == n - 3 and out.qty == 1.0
+    assert len(texts) <= 3 and max(texts) < 80

@@ -135,7 +135,18 @@ def fold_stream(df: DataFrame, keys: Sequence[str], order: Sequence[str], start,
 
 def converge(rows: DataFrame, *, by: Sequence[str], order: Sequence[str], start: str, run,
              schema: T.StructType) -> DataFrame:
-    """A rule with memory over ``(key, chunk)`` groups of ``rows``, for rules that forget.
+    """Results of a rule that forgets: every chunk read from the state ``openings`` finds for it."""
+    def finish(key, d):
+        return run(key, d, d["_open"][0], None, bool(d["_last"][0]))[1]
+
+    place = [*by, CHUNK]
+    states = openings(rows, by=by, order=order, start=start, run=run)
+    return fold_groups(rows.join(states, place), place, order, finish, schema)
+
+
+def openings(rows: DataFrame, *, by: Sequence[str], order: Sequence[str], start: str, run, link=None,
+             hand=lambda closing: closing) -> DataFrame:
+    """What every chunk of a key opens with: ``(key, chunk)``, ``_open`` and ``_last``, for rules that forget.
 
     ``run(key, columns, opening, before, last)`` reads one chunk from the text ``opening`` and
     returns (closing text, columns of its result). ``before`` is the pair (opening, closing) of
@@ -149,6 +160,10 @@ def converge(rows: DataFrame, *, by: Sequence[str], order: Sequence[str], start:
     after ``ROUNDS`` (a rule kept in step by a regular flow) is walked from its first open chunk
     on, one chunk in memory at a time, so the work stays linear. States of a key are one row per
     chunk. ``rows`` is read in every round, only the chunks concerned: give a written table.
+
+    ``link(openings, closings)`` may chain the readings of a key in another way: it returns, per
+    chunk, what it should open with and whether it has to be read again for that. ``hand`` makes
+    the next opening from a closing.
     """
     place = [*by, CHUNK]
     text = T.StringType()
@@ -179,9 +194,9 @@ def converge(rows: DataFrame, *, by: Sequence[str], order: Sequence[str], start:
                 return []
             d = {c: np.concatenate([h[c] for h in self.held]) for c in self.held[0]}
             opening = self.state if self.state is not None else d["_due"][0]
-            self.state = run((*self.key, self.chunk), d, opening, None, None)[0]
-            self.held = []
-            return [(self.chunk, opening, self.state)]
+            closing = run((*self.key, self.chunk), d, opening, None, None)[0]
+            self.state, self.held = hand(closing), []
+            return [(self.chunk, opening, closing)]
 
         def table(self, done):
             if not done:
@@ -201,11 +216,24 @@ def converge(rows: DataFrame, *, by: Sequence[str], order: Sequence[str], start:
         def end(self):
             return self.table(self.close())
 
+    def chained(key, d):
+        due, again = zip(*link(d["_from"].tolist(), d["_to"].tolist()))
+        n = len(due)
+        return {**{k: [v] * n for k, v in zip(by, key)}, CHUNK: d[CHUNK], "_from": d["_from"], "_to": d["_to"],
+                "_due": list(due), "_again": list(again)}
+
+    def linked(states):
+        if link is None:
+            due = states.withColumn("_due", F.coalesce(F.lag("_to").over(chain), F.lit(start)))
+            return due.withColumn("_again", F.col("_due") != F.col("_from"))
+        return materialize(fold_groups(states, by, [CHUNK], chained, T.StructType([
+            *states_schema, T.StructField("_due", text), T.StructField("_again", T.BooleanType())])), "linked")
+
     for attempt in count():
-        stale = materialize(states.withColumn("_due", F.coalesce(F.lag("_to").over(chain), F.lit(start)))
-                            .filter("_due <> _from"), "stale")
+        due = linked(states)
+        stale = materialize(due.filter("_again").drop("_again"), "stale")
         if stale.isEmpty():
-            break
+            return due.select(*place, F.col("_due").alias("_open"), F.lead(CHUNK).over(chain).isNull().alias("_last"))
         if attempt < ROUNDS:
             redone = fold_groups(rows.join(stale, place), place, order, again, states_schema)
         else:
@@ -215,12 +243,6 @@ def converge(rows: DataFrame, *, by: Sequence[str], order: Sequence[str], start:
                                  Walk, states_schema)
         states = materialize(states.join(stale.select(*place), place, "left_anti").unionByName(redone), "states")
 
-    def finish(key, d):
-        return run(key, d, d["_from"][0], None, bool(d["_last"][0]))[1]
-
-    ends = states.select(*place, "_from", F.lead(CHUNK).over(chain).isNull().alias("_last"))
-    return fold_groups(rows.join(ends, place), place, order, finish, schema)
-
 
 def _chain_end(times: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
     """Index of the next acceptable time after each, and of the last one it leads to."""

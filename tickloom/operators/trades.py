@@ -374,29 +374,6 @@ def _accepted(qty: float, step: float) -> bool:
     return round(qty + step, 6) >= -EPS
 
 
-def quantity_map(steps, ids, undone) -> list[tuple[float, float, list]]:
-    """What a run of fills does to the quantity it opens with.
-
-    Pieces (from, shift, refused ids): a sell larger than what is held is refused and moves
-    nothing, so an opening quantity from ``from`` on, up to the next piece, leaves shifted.
-    """
-    pieces = [(0.0, 0.0, frozenset())]
-    for step, fill, undo in zip(steps, ids, undone):
-        out = []
-        for i, (low, shift, refused) in enumerate(pieces):
-            high = pieces[i + 1][0] if i + 1 < len(pieces) else float("inf")
-            if undo and fill in refused:
-                out.append((low, shift, refused))
-                continue
-            need = -(shift + step)
-            if need > low and step < 0:
-                out.append((low, shift, refused if undo else refused | {fill}))
-            if need < high:
-                out.append((max(low, need), shift + step, refused))
-        pieces = [q for i, q in enumerate(out) if i == 0 or q[1:] != out[i - 1][1:]]
-    return [(low, shift, sorted(refused)) for low, shift, refused in pieces]
-
-
 def position_ledger(fills: DataFrame, *, chunk: int, by: str = "instrument", ts: str = "ts",
                     order: str = "seq") -> DataFrame:
     """Average-cost position after every fill, for any number of fills per instrument.
@@ -406,72 +383,109 @@ def position_ledger(fills: DataFrame, *, chunk: int, by: str = "instrument", ts:
     nothing to undo later. A flat position keeps its last average cost, so a closing sell can
     be undone.
 
-    A chunk is first reduced to its quantity map, a few pieces; chained, they give every
-    chunk's opening quantity and so which fills count. Each counted buy then maps the average
-    cost to ``a * cost + b`` and what a sell realises is linear in it: chunks are reduced to
-    these numbers, chained, and each finished from the state it opens with. Ids refused in
-    one chunk are known in the next through the chain.
+    A chunk read from one opening quantity tells what it does to all quantities around it: up to
+    the first sell that would be judged otherwise, it shifts them all alike. So a reading is three
+    numbers (closing quantity, and how far the opening one may differ); chained, they give every
+    chunk's opening, and only chunks that open outside their range are read again (``openings``).
+    A refusal matters to another chunk only where that one undoes the same fill; refused fills
+    that are undone elsewhere are found by a pass over their chunks, joined to the undoing rows,
+    and the quantities are settled again until no more come up.
+
+    Each counted buy then maps the average cost to ``a * cost + b`` and what a sell realises is
+    linear in it: chunks are reduced to these numbers, chained, and each finished from the state
+    it opens with.
     """
-    named = "venue_trade_id" in fills.columns
+    named = "venue_trade_id" in fills.columns and "sign" in fills.columns
     signed = F.col("sign") if "sign" in fills.columns else F.lit(1.0)
     buy = F.col("side") == "Buy"
-    slim = materialize(fills.select(
+    slim = fills.select(
         by, ts, order, C.chunk_start(F.col(ts), chunk).alias(C.CHUNK), buy.alias("buy"),
         (signed * F.col("qty")).alias("q"), (signed * F.col("qty") * F.col("px")).alias("value"),
         (signed * F.col("fee")).alias("fee"), (signed < 0).alias("undo"),
-        (F.col("venue_trade_id") if named else F.lit("")).alias("fill")), "ledger")
+        (F.col("venue_trade_id") if named else F.lit("")).alias("fill"))
+    if named:  # fills that one chunk applies and another one undoes
+        same = Window.partitionBy(by, "fill")
+        slim = slim.withColumn("apart", F.max("undo").over(same) & (F.min(C.CHUNK).over(same) != F.max(C.CHUNK).over(same)))
+    slim = materialize(slim, "ledger")
     key_field, order_field = fills.schema[by], fills.schema[order]
-    double, text, place = T.DoubleType(), T.StringType(), [by, C.CHUNK]
+    double, place = T.DoubleType(), [by, C.CHUNK]
 
     def fields(kind, *extra):
         return T.StructType([key_field, T.StructField(C.CHUNK, T.LongType()),
                              *[T.StructField(n, kind) for n in extra]])
 
-    def columns(d):
+    def walk(d, qty):
+        """Rows of a chunk with the quantity before and after each; refused ones say so."""
         q = d["q"].astype(float)
         steps = np.where(d["buy"], q, -q).tolist()
-        return steps, [d[n].tolist() for n in ("buy", "q", "value", "fee", "undo", "fill")]
-
-    def reduce_quantity(key, d):
-        """Quantity maps, cut where a fill is undone that the map has not seen itself."""
-        steps, (*_, undo, ids) = columns(d)
-        maps, first, seen = [], 0, set()
-        for i, (is_undo, fill) in enumerate(zip(undo, ids)):
-            if is_undo and named and fill not in seen:
-                maps.append((quantity_map(steps[first:i], ids[first:i], undo[first:i]), [fill, steps[i]]))
-                first, seen = i + 1, set()
-            seen.add(fill)
-        maps.append((quantity_map(steps[first:], ids[first:], undo[first:]), None))
-        return {by: [key[0]], C.CHUNK: [key[1]], "pieces": [json.dumps(maps)]}
-
-    def chain_quantity(key, d):
-        qty, refused, out = 0.0, [], []
-        for raw in d["pieces"]:
-            out.append(json.dumps([qty, refused]))
-            for pieces, undo in json.loads(raw):
-                at = max(i for i, p in enumerate(pieces) if i == 0 or _accepted(qty, -p[0]))
-                qty, refused = max(qty + pieces[at][1], 0.0), refused + pieces[at][2]
-                if undo and undo[0] not in refused and _accepted(qty, undo[1]):
-                    qty = max(qty + undo[1], 0.0)
-        return {by: [key[0]] * len(out), C.CHUNK: d[C.CHUNK], "o_quantity": out}
-
-    def walk(d):
-        """Rows of a chunk with the quantity before each; refused ones say so."""
-        steps, (buys, qs, values, fees, undone, ids) = columns(d)
-        qty, known = json.loads(d["o_quantity"][0])
-        refused = set(known)
-        for step, is_buy, q, value, fee, undo, fill in zip(steps, buys, qs, values, fees, undone, ids):
-            void = undo and named and fill in refused
-            bad = not void and not _accepted(qty, step)
-            after = qty if void or bad else max(qty + step, 0.0)
+        refused = set()
+        for step, is_buy, undo, void, fill in zip(steps, *[d[n].tolist() for n in ("buy", "undo", "void", "fill")]):
+            skip = undo and named and (void or fill in refused)
+            bad = not skip and not _accepted(qty, step)
+            after = qty if skip or bad else max(qty + step, 0.0)
             if bad and not undo and named:
                 refused.add(fill)
-            yield is_buy, q, value, fee, void or bad, bad, qty, after
+            yield is_buy, step, skip or bad, bad, qty, after
             qty = after
 
+    def read(key, d, opening, before, last):
+        qty, low, high = json.loads(opening), float("-inf"), float("inf")
+        for _, step, skip, bad, was, qty in walk(d, qty):
+            if bad:  # with so much more it would be accepted; half a unit of rounding away from that
+                high = min(high, -(was + step) - 2 * EPS)
+            elif not skip and step < 0:
+                low = max(low, -(was + step))
+                if was + step < 0:
+                    high = min(high, 0.0)
+        return json.dumps([qty, min(low, 0.0), max(high, 0.0)]), None
+
+    def link(opened, closed):
+        qty, out = 0.0, []
+        for opening, closing in zip(opened, closed):
+            after, low, high = json.loads(closing)
+            shift = qty - json.loads(opening)
+            out.append((json.dumps(qty), not low <= shift <= high))
+            qty = max(after + shift, 0.0)
+        return out
+
+    def refusals(key, d):
+        out = [(f, t, o) for (*_, bad, _, _), f, t, o, undo, apart in zip(
+            walk(d, json.loads(d["_open"][0])), *[d[n].tolist() for n in ("fill", ts, order, "undo", "apart")])
+            if bad and apart and not undo]
+        if not out:
+            return None
+        return {by: [key[0]] * len(out), **dict(zip(("fill", ts, order), map(list, zip(*out))))}
+
+    refused, kept = None, [by, "fill", "_since"]
+    while True:
+        rows = slim.withColumn("void", F.lit(False))
+        if refused is not None:
+            rows = materialize(slim.join(refused, [by, "fill"], "left").withColumn(
+                "void", F.coalesce(F.col("undo") & (F.col("_since") < F.struct(ts, order)), F.lit(False))).drop("_since"), "ledger")
+        quantities = materialize(folds.openings(rows, by=[by], order=[ts, order], start="0.0", run=read, link=link,
+                                                hand=lambda closing: json.dumps(json.loads(closing)[0])), "opening")
+        counted = rows.join(quantities, place)
+        if not named:
+            break
+        found = folds.fold_groups(
+            counted.join(slim.filter("apart").select(*place).distinct(), place, "left_semi"), place, [ts, order], refusals,
+            T.StructType([key_field, slim.schema["fill"], T.StructField(ts, T.LongType()), order_field]))
+        found = materialize(found.groupBy(by, "fill").agg(F.min(F.struct(ts, order)).alias("_since")), "refused")
+        news = found if refused is None else found.select(kept).exceptAll(refused.select(kept)).unionByName(
+            refused.select(kept).exceptAll(found.select(kept)))
+        if news.isEmpty():
+            break
+        refused = found
+
+    def entries(d):
+        """Counted state changes with the money each row moves."""
+        money = zip(*[d[n].tolist() for n in ("q", "value", "fee")])
+        for row, (q, value, fee) in zip(walk(d, json.loads(d["_open"][0])), money):
+            yield row, q, value, fee
+
     def reduce_cost(key, d):
         a, b, g0, g1, fees, money = 1.0, 0.0, 0.0, 0.0, 0.0, 0.0
-        for is_buy, q, value, fee, skip, _, was, now in walk(d):
+        for (is_buy, _, skip, _, was, now), q, value, fee in entries(d):
             if skip:
                 continue
             fees += fee
@@ -496,7 +510,7 @@ def position_ledger(fills: DataFrame, *, chunk: int, by: str = "instrument", ts:
     def finish(key, d):
         cost, gain, fees, money = (float(d[n][0]) for n in ("o_cost", "o_gain", "o_fees", "o_money"))
         out = []
-        for is_buy, q, value, fee, skip, bad, was, now in walk(d):
+        for (is_buy, _, skip, bad, was, now), q, value, fee in entries(d):
             if not skip:
                 fees += fee
                 if is_buy:
@@ -510,9 +524,6 @@ def position_ledger(fills: DataFrame, *, chunk: int, by: str = "instrument", ts:
                         map(list, zip(*out))))
         return {by: [key[0]] * len(out), ts: d[ts], order: d[order], **cols}
 
-    maps = folds.fold_groups(slim, place, [ts, order], reduce_quantity, fields(text, "pieces"))
-    opened = folds.fold_groups(maps, [by], [C.CHUNK], chain_quantity, fields(text, "o_quantity"))
-    counted = slim.join(materialize(opened, "opening"), place)
     parts = folds.fold_groups(counted, place, [ts, order], reduce_cost,
                               fields(double, "a", "b", "g0", "g1", "fees", "money"))
     opening = folds.fold_groups(parts, [by], [C.CHUNK], chain_cost,
