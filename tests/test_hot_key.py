@@ -334,3 +334,19 @@ def test_ledger_reads_a_busy_chunk_once(frame, monkeypatch):
         F.count_if("violation").alias("bad"), F.max_by("qty_after", "seq").alias("qty")).first()
     assert out.bad == n - 3 and out.qty == 1.0
     assert len(texts) <= 3 and max(texts) < 80
+
+
+@pytest.mark.parametrize("chunk,fan,rest", [(13, 2, None), (13, 3, 40), (50, 64, None), (10_000, 64, 90)])
+def test_first_passage(frame, chunk, fan, rest):
+    from tickloom.operators.passage import first_passage
+
+    rng = random.Random(12)
+    rows = [(k, rng.randrange(600), i, round(rng.gauss(0, 1), 2) if rng.random() < 0.95 else None) for k in "ab" for i in range(250)]
+    asked = [(k, rng.randrange(-20, 620), i, rng.choice([-1.0, 0.5, 1.5, 2.5, 9.0, None])) for k in "abc" for i in range(120)]
+    out = first_passage(frame(asked, TICK), frame(rows, TICK), value=F.col("v"), level=F.col("v"), by=["key"], ident=["seq"],
+                        chunk=chunk, rest=rest, fan=fan).collect()
+    assert len(out) == len(asked)
+    for r in out:
+        later = [t for k, t, _, v in rows if k == r.key and t > r.ts and v is not None and r.v is not None and v >= r.v
+                 and (rest is None or t <= r.ts + rest)]
+        assert r.hit_ts == min(later, default=None)

@@ -18,7 +18,7 @@ from tickloom.operators import chunks as C
 from tickloom.operators import folds
 from tickloom.operators.asof import asof_join
 from tickloom.operators.grid import run_length
-from tickloom.operators.ranges import range_join
+from tickloom.operators.passage import first_passage
 from tickloom.schema import struct_of
 from tickloom.session import materialize
 
@@ -294,27 +294,23 @@ def revert_trades(rows: DataFrame, deltas: Sequence[float], *, eps: float, horiz
     return trades.filter("how <> 'skipped'")
 
 
-def maker_entries(hits: DataFrame, rows: DataFrame, *, rest: int | None, by: str = "ticker",
-                  ts: str = "ts", order: str = "seq", bucket: int) -> DataFrame:
+def maker_entries(hits: DataFrame, rows: DataFrame, *, rest: int | None, chunk: int, by: str = "ticker",
+                  ts: str = "ts", order: str = "seq") -> DataFrame:
     """Resting bids at our side's best: filled if the opposing ask crosses down within ``rest``.
 
-    ``rest=None`` rests to settlement. Fee-free; the first crossing row decides.
+    ``rest=None`` rests to settlement. Fee-free; the first crossing row decides, found as the first
+    passage of our side's ask, turned upside down, through the limit.
     """
     yes = F.col("side_yes") == 1
     bid = F.when(yes, F.col("ybid")).otherwise(1.0 - F.col("yask"))
     live = hits.withColumn("limit", bid).filter(F.col("limit") > 0.005)
-    quotes = rows.select(by, F.col(ts).alias("_t"), F.col("ybid").alias("_qb"),
-                         F.col("yask").alias("_qa"))
-    cross = F.when(yes, F.col("_qa") <= F.col("limit") + 1e-9).otherwise(
-        1.0 - F.col("_qb") <= F.col("limit") + 1e-9)
-    if rest is None:
-        pairs = live.join(quotes, by).filter(F.col("_t") > F.col(ts))
-    else:
-        pairs = range_join(live, quotes, pre=0, post=rest + 1, bucket=bucket, by=[by],
-                           event_ts=ts, tick_ts="_t").filter(F.col("_t") > F.col(ts))
-    first = pairs.filter(cross).groupBy(by, order, "delta").agg(F.min("_t").alias("fill_ts"))
-    return live.join(first, [by, order, "delta"], "left").withColumn(
-        "filled", F.col("fill_ts").isNotNull())
+    asks = rows.select(by, ts, F.explode(F.array(
+        F.struct(F.lit(1).alias("side_yes"), F.col("yask").alias("_ask")),
+        F.struct(F.lit(0).alias("side_yes"), (1.0 - F.col("ybid")).alias("_ask")))).alias("_x")).select(by, ts, "_x.*")
+    out = first_passage(live.withColumn("side_yes", F.col("side_yes").cast("int")), asks, value=-F.col("_ask"),
+                        level=-(F.col("limit") + 1e-9), by=[by, "side_yes"], ident=[order, "delta"], chunk=chunk, ts=ts,
+                        rest=rest, out="fill_ts")
+    return out.withColumn("filled", F.col("fill_ts").isNotNull())
 
 
 # ── legs and trades ──────────────────────────────────────────────────────────
@@ -621,23 +617,19 @@ def ask_move(signals: DataFrame, tops: DataFrame, *, pre: int, chunk: int) -> Da
     return out.withColumn("pre_move_c", (F.col("_a1") - F.col("_a0")) * 100).drop("_a0", "_a1")
 
 
-def maker_exit(exits: DataFrame, tops: DataFrame, *, rest: int, rate: float,
-               chunk: int) -> DataFrame:
+def maker_exit(exits: DataFrame, tops: DataFrame, *, rest: int, rate: float, chunk: int,
+               ident: Sequence[str] = ("ts",)) -> DataFrame:
     """Shadow of a post-only sell at ``offer`` against crossing at the bid.
 
     Rejected when the bid is already there, filled at the offer when the bid reaches it
-    within ``rest``, else crossed at the bid in force when the time is up.
+    within ``rest``, else crossed at the bid in force when the time is up. ``ident`` names columns
+    that tell the exits of an instrument apart.
     """
     edge = F.col("offer") - 1e-9
-    reach = tops.select("instrument", F.col("ts").alias("_t"), F.col("bid").alias("_b"))
     # bids at or above the offer: compare on whole cents, the tick of the venue
     cents = lambda c: F.ceil(F.round(c * 100, 6)).cast("long")
-    levels = exits.select("instrument", cents(F.col("offer")).alias("_lvl")).distinct()
-    hits = reach.join(levels, "instrument").filter(
-        F.col("_b") * 100 >= F.col("_lvl") - 1e-6).select("instrument", "_lvl", "_t")
-    rows = exits.withColumn("_lvl", cents(F.col("offer")))
-    rows = asof_join(rows, hits, by=["instrument", "_lvl"], right_ts="_t", direction="forward",
-                     strict=True, tol=rest, take={}, match_ts="_hit", chunk=chunk)
+    rows = first_passage(exits, tops, value=F.col("bid") * 100, level=cents(F.col("offer")) - 1e-6, by=["instrument"],
+                         ident=ident, chunk=chunk, rest=rest, out="_hit")
     rows = asof_join(rows, tops, by=["instrument"], at=F.col("ts") + rest, take={"bid": "_end"},
                      chunk=chunk)
     outcome = F.when(F.col("bid0") >= edge, "reject").when(
@@ -648,7 +640,7 @@ def maker_exit(exits: DataFrame, tops: DataFrame, *, rest: int, rate: float,
         cross - P.fee(cross, rate=rate))
     taker = F.col("bid0") - P.fee(F.col("bid0"), rate=rate)
     return rows.withColumn("outcome", outcome).withColumn("cross", cross).withColumn(
-        "gain_c", (maker - taker) * 100).drop("_lvl", "_hit", "_end")
+        "gain_c", (maker - taker) * 100).drop("_hit", "_end")
 
 
 def expiry_cleanup(positions: DataFrame, tops: DataFrame, *, window: int, rate: float,

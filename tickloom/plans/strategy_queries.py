@@ -213,12 +213,22 @@ def revert_exits_gated(spark, sf):
     return reverted(spark, sf, persist=2, cap=3, min_tte=120.0)
 
 
-@query("maker_entries", EPISODES + f""", l AS (SELECT *, CASE WHEN side_yes = 1 THEN ybid ELSE 1 - yask END AS lim FROM hits),
-f AS (SELECT l.seq, min(q.ts) AS fill_ts FROM l JOIN scored q ON q.ticker = l.ticker AND q.ts > l.ts AND q.ts <= l.ts + {12 * SEC}
+def maker_sql(rest: str) -> str:
+    return EPISODES + f""", l AS (SELECT *, CASE WHEN side_yes = 1 THEN ybid ELSE 1 - yask END AS lim FROM hits),
+f AS (SELECT l.seq, min(q.ts) AS fill_ts FROM l JOIN scored q ON q.ticker = l.ticker AND q.ts > l.ts{rest}
   WHERE CASE WHEN side_yes = 1 THEN q.yask <= lim + 1e-9 ELSE 1 - q.ybid <= lim + 1e-9 END GROUP BY 1)
-SELECT l.seq, round(lim, 6) AS limit_px, fill_ts FROM l LEFT JOIN f USING (seq) WHERE lim > 0.005::DOUBLE""")
+SELECT l.seq, round(lim, 6) AS limit_px, fill_ts FROM l LEFT JOIN f USING (seq) WHERE lim > 0.005::DOUBLE"""
+
+
+@query("maker_entries", maker_sql(f" AND q.ts <= l.ts + {12 * SEC}"))
 def maker_entries(spark, sf):
-    rows = T.maker_entries(hits(spark, sf), scored(spark, sf), rest=12 * SEC, bucket=12 * SEC)
+    rows = T.maker_entries(hits(spark, sf), scored(spark, sf), rest=12 * SEC, chunk=DAY // 4)
+    return rows.select("seq", F.round("limit", 6).alias("limit_px"), "fill_ts")
+
+
+@query("maker_entries_to_settlement", maker_sql(""))
+def maker_entries_to_settlement(spark, sf):
+    rows = T.maker_entries(hits(spark, sf), scored(spark, sf), rest=None, chunk=DAY // 4)
     return rows.select("seq", F.round("limit", 6).alias("limit_px"), "fill_ts")
 
 
@@ -392,7 +402,7 @@ def maker_exit_shadow(spark, sf):
     p = asof_join(probe_rows(spark, sf), t, by=["instrument"], take={"bid": "bid0", "ask": "_a"},
                   chunk=2 * DAY).filter(F.col("bid0").isNotNull())
     p = p.withColumn("offer", F.col("_a") + F.when(F.col("id") % 3 == 0, -0.02).otherwise(0.0))
-    out = T.maker_exit(p, t, rest=4 * HOUR, rate=0.07, chunk=2 * DAY)
+    out = T.maker_exit(p, t, rest=4 * HOUR, rate=0.07, chunk=2 * DAY, ident=["id"])
     return out.select("id", "outcome", F.round("cross", 6).alias("cross_px"), *r6("gain_c"))
 
 
