@@ -350,3 +350,37 @@ def test_first_passage(frame, chunk, fan, rest):
         later = [t for k, t, _, v in rows if k == r.key and t > r.ts and v is not None and r.v is not None and v >= r.v
                  and (rest is None or t <= r.ts + rest)]
         assert r.hit_ts == min(later, default=None)
+
+
+def test_counts_from_a_rank_on():
+    from tickloom.operators.study import counted_from
+
+    rng = np.random.default_rng(3)
+    for n, top in ((0, 1), (1, 1), (50, 3), (400, 400)):
+        ranks, upto, least = rng.integers(0, top, n), rng.integers(0, n + 1, 60), rng.integers(0, top + 2, 60)
+        want = [int((ranks[:k] >= m).sum()) for k, m in zip(upto, least)]
+        assert counted_from(ranks, upto, least).tolist() == want
+
+
+@pytest.mark.parametrize("chunk", [37, 10_000])
+def test_tape_of_one_hot_instant(frame, chunk):
+    """Ties in time, windows across chunks, many trades at few prices: levels and sweeps as counted by hand."""
+    from tickloom.operators import study
+
+    rng = random.Random(14)
+    trades = [(rng.randrange(400), i, rng.randrange(0, 400, 9), rng.choice([0.1, 0.2, 0.3, 0.30001]), float(rng.randrange(1, 5)),
+               rng.choice(["Buy", "Sell"])) for i in range(500)]
+    events = [(i, rng.randrange(-30, 430), rng.choice([1, -1])) for i in range(80)]
+    tape = frame(trades, "ts LONG, seq LONG, exch_ts LONG, px DOUBLE, qty DOUBLE, side STRING")
+    out = study.tape_stats(frame(events, "event_id LONG, t0 LONG, dir INT"), tape, pre=8, post=14, chunk=chunk)
+    got = {r.event_id: r for r in out.collect()}
+    for event, t0, direction in events:
+        near = [t for t in trades if t0 - 8 <= t[0] < t0 + 14]
+        assert (event in got) == bool(near)
+        if near:
+            r, bursts = got[event], {}
+            for t in near:
+                bursts.setdefault(t[2], set()).add(round(t[3], 4))
+            want = sum(t[4] for t in near if t[5] == ("Buy" if direction > 0 else "Sell")) / sum(t[4] for t in near)
+            assert (r.trades, r.levels, r.swept) == (len(near), len({round(t[3], 4) for t in near}), max(map(len, bursts.values())) > 1)
+            assert r.aligned == pytest.approx(want)

@@ -145,6 +145,15 @@ def fill_forward(df: DataFrame, columns: dict[str, str], *, by: Sequence[str], t
     return base.drop(CHUNK, *running)
 
 
+def fill_max(df: DataFrame, value: str, out: str, *, by: Sequence[str] = (), ts: str, order: Sequence[str] = (),
+             chunk: int) -> DataFrame:
+    """Largest ``value`` (a number) at or before each row."""
+    base = with_chunk(df.withColumn("_v", -F.col(value)), ts, chunk)
+    base = chunk_carry(base, by, {"_low": F.min("_v")}, {"_before": ("_low", "min")})
+    frame = chunk_window(by, ts, *order).rowsBetween(Window.unboundedPreceding, 0)
+    return base.withColumn(out, -F.least(F.min("_v").over(frame), F.col("_before"))).drop("_v", "_before", CHUNK)
+
+
 def trailing(df: DataFrame, aggregates: dict[str, Column], *, by: Sequence[str], ts: str,
              span: int, until: int = 0, chunk: int) -> DataFrame:
     """Aggregates over rows with time in ``[ts - span, ts - until]`` of the same key."""

@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickloom.functions import buckets as B
 from tickloom.operators import chunks as C
 from tickloom.operators import stats as S
 from tickloom.operators.asof import asof_join
-from tickloom.operators.ranges import range_join
+from tickloom.operators.folds import fold_groups
+from tickloom.operators.ranges import range_join, window_totals
+from tickloom.session import materialize
 
 # ── paths around events ──────────────────────────────────────────────────────
 
@@ -122,23 +126,82 @@ def catch_up(events: DataFrame, horizon: str) -> DataFrame:
 
 # ── trade tape ───────────────────────────────────────────────────────────────
 
-def tape_stats(events: DataFrame, trades: DataFrame, *, pre: int, post: int, bucket: int,
-               event_id: str = "event_id") -> DataFrame:
+def counted_from(ranks: np.ndarray, upto: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """How many of the first ``upto`` ranks are ``least`` or more, for many queries at once.
+
+    A wavelet matrix: ranks are split stably by one bit at a time, highest first, and a query follows
+    its bound; wherever the bound has a 0, ranks with a 1 are above it.
+    """
+    low, high, out = np.zeros_like(upto), upto.copy(), np.zeros_like(upto)
+    for bit in range(int(max(ranks.max(initial=0), least.max(initial=0))).bit_length() - 1, -1, -1):
+        ones = ranks >> bit & 1
+        before = np.append(0, np.cumsum(ones))
+        one_low, one_high = before[low], before[high]
+        wants = (least >> bit & 1).astype(bool)
+        out += np.where(wants, 0, one_high - one_low)
+        zeros = len(ranks) - int(before[-1])
+        low = np.where(wants, zeros + one_low, low - one_low)
+        high = np.where(wants, zeros + one_high, high - one_high)
+        ranks = ranks[np.argsort(ones, kind="stable")]
+    return out + (high - low)
+
+
+def repeats_in_windows(events: DataFrame, ticks: DataFrame, *, pre: int, post: int, before: str, chunk: int,
+                       event_id: str, ts: str = "ts") -> DataFrame:
+    """Per event how many ticks of ``[t0 - pre, t0 + post)`` have their ``before`` time in it as well.
+
+    A two-sided rank count (time below the window's end, ``before`` at or above its start), made per
+    time chunk; ticks are copied into the chunks whose windows reach them, events stay one row.
+    """
+    window = pre + post
+    rows = C.with_halo(ticks.select(F.col(ts).alias("_t"), F.col(before).alias("_b")).filter("_b is not null"),
+                       "_t", chunk, after=window).drop(C.HOME)
+    asked = C.with_chunk(events.select(event_id, (F.col("t0") - pre).alias("_t")), "_t", chunk).withColumn("_asks", F.lit(True))
+    both = asked.unionByName(rows.withColumn("_asks", F.lit(False)), allowMissingColumns=True)
+
+    def count(key, d):
+        asks = d["_asks"].astype(bool)
+        if not asks.any():
+            return None
+        times, start = d["_t"][~asks].astype("int64"), d["_t"][asks].astype("int64")
+        known = d["_b"][~asks].astype("int64")
+        values = np.unique(known)
+        n = counted_from(np.searchsorted(values, known), np.searchsorted(times, start + window), np.searchsorted(values, start))
+        return {event_id: d[event_id][asks], "repeats": n}
+
+    schema = T.StructType([events.schema[event_id], T.StructField("repeats", T.LongType())])
+    return fold_groups(both, [C.CHUNK], ["_t"], count, schema)
+
+
+def tape_stats(events: DataFrame, trades: DataFrame, *, pre: int, post: int, chunk: int,
+               event_id: str = "event_id", order: str = "seq") -> DataFrame:
     """Trades around each move: count, volume, price levels, aligned share, sweep flag.
 
-    Fills sharing an exchange time at two or more prices are one taker sweeping levels.
+    Fills sharing an exchange time at two or more prices are one taker sweeping levels. No
+    event-trade pairs are formed: counts and volumes are differences of running totals; a level
+    counts once, at the trade whose previous trade at that price lies before the window; and a
+    window has a sweep where the latest partner (a fill of the same instant at another price) of
+    any trade before its end is not older than its start.
     """
-    want = F.when(F.col("dir") > 0, "Buy").otherwise("Sell")
-    rows = range_join(events, trades, pre=pre, post=post, bucket=bucket)
-    clusters = rows.groupBy(event_id, "exch_ts").agg(
-        F.count(F.lit(1)).alias("_n"), F.sum("qty").alias("_q"),
-        F.collect_set(F.round("px", 4)).alias("_levels"),
-        F.sum(F.when(F.col("side") == want, F.col("qty")).otherwise(0.0)).alias("_aligned"))
-    sweep = (F.col("_n") >= 2) & (F.size("_levels") >= 2)
-    levels = F.size(F.array_distinct(F.flatten(F.collect_list("_levels"))))
-    return clusters.groupBy(event_id).agg(
-        F.sum("_n").alias("trades"), F.sum("_q").alias("volume"), levels.alias("levels"),
-        (F.sum("_aligned") / F.sum("_q")).alias("aligned"), F.max(sweep).alias("swept"))
+    tape = materialize(trades.select("ts", order, "exch_ts", "qty", "side", F.round("px", 4).alias("_level")), "tape")
+    tape = C.previous(tape, {"ts": "_same"}, by=["_level"], ts="ts", order=[order], chunk=chunk)
+    burst = Window.partitionBy("exch_ts").orderBy("ts", order)
+    other = F.when(F.lag("_level").over(burst) != F.col("_level"), F.lag("ts").over(burst))
+    tape = materialize(tape.withColumn("_other", other).withColumn("_other", F.last("_other", ignorenulls=True).over(burst)), "tape")
+
+    buys = F.when(F.col("side") == "Buy", F.col("qty")).otherwise(0.0)
+    sells = F.when(F.col("side") == "Sell", F.col("qty")).otherwise(0.0)
+    out = window_totals(events, tape, {"trades": F.lit(1), "volume": F.col("qty"), "_buys": buys, "_sells": sells},
+                        start=F.col("t0") - pre, end=F.col("t0") + post, by=[], chunk=chunk).filter("trades > 0")
+    twice = repeats_in_windows(events, tape, pre=pre, post=post, before="_same", chunk=chunk, event_id=event_id)
+    partners = C.fill_max(tape.filter("_other is not null").select("ts", order, "_other"), "_other", "_partner", ts="ts",
+                          order=[order], chunk=chunk)
+    out = asof_join(out, partners, by=[], at=F.col("t0") + post, strict=True, take={"_partner": "_partner"}, tie=order, ts="t0",
+                    right_ts="ts", chunk=chunk)
+    aligned = F.when(F.col("dir") > 0, F.col("_buys")).otherwise(F.col("_sells"))
+    return out.join(twice, event_id).select(
+        event_id, "trades", "volume", (F.col("trades") - F.col("repeats")).alias("levels"),
+        (aligned / F.col("volume")).alias("aligned"), F.coalesce(F.col("_partner") >= F.col("t0") - pre, F.lit(False)).alias("swept"))
 
 
 def sweep_timing(events: DataFrame, trades: DataFrame, *, pre: int, post: int,

@@ -238,14 +238,9 @@ def near_event_mask(spark, sf):
 SELECT event_id, instrument, CAST(coalesce(sum(user_id), 0) AS BIGINT) AS volume, count(*) AS n
 FROM moves JOIN ticks ON ts > t0 - {PRE} AND ts <= t0 + {POST} GROUP BY 1, 2""")
 def volume_between(spark, sf):
-    t = ticks(spark, sf)
-    kinds = t.agg(F.collect_set("instrument").alias("k"))  # event kinds, a handful
-    probes = moves(spark, sf).withColumn("instrument", F.explode(kinds.scalar()))
-    out = R.window_totals(probes, t, {"volume": F.col("user_id"), "n": F.lit(1)},
-                          start=F.col("t0") - PRE, end=F.col("t0") + POST, by=["instrument"],
-                          chunk=2 * DAY, closed="right")
-    return out.filter("n > 0").select("event_id", "instrument", F.col("volume").cast("long")
-                                      .alias("volume"), F.col("n").cast("long").alias("n"))
+    out = R.volume_in_window(moves(spark, sf), ticks(spark, sf), F.col("user_id"), pre=PRE, post=POST, chunk=2 * DAY,
+                             closed="right")
+    return out.select("event_id", "instrument", *[F.col(c).cast("long").alias(c) for c in ("volume", "n")])
 
 
 @query("active_market", f"""WITH {MOVES}, c AS (
@@ -267,11 +262,8 @@ def active_market(spark, sf):
 SELECT event_id, arg_max(instrument, (q, instrument)) AS instrument, CAST(max(q) AS BIGINT) AS volume
 FROM v GROUP BY event_id""")
 def swept_market(spark, sf):
-    pairs = R.range_join(moves(spark, sf), ticks(spark, sf), pre=PRE, post=POST, bucket=6 * HOUR)
-    vol = pairs.groupBy("event_id", "instrument").agg(F.sum("user_id").alias("q"))
-    return vol.groupBy("event_id").agg(
-        F.max_by("instrument", F.struct("q", "instrument")).alias("instrument"),
-        F.max("q").alias("volume"))
+    out = R.swept_market(moves(spark, sf), ticks(spark, sf), F.col("user_id"), pre=PRE, post=POST, chunk=2 * DAY)
+    return out.select("event_id", "instrument", F.col("volume").cast("long").alias("volume"))
 
 
 def lifecycle(spark, sf):

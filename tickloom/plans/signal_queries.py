@@ -99,13 +99,31 @@ def settlement_labels(spark, sf):
     return li.join(o, "ticker").withColumn("won", won)
 
 
-@query("union_variants", EPISODES + """
-SELECT 'm0' AS model, count(*) AS n FROM hits UNION ALL SELECT 'm0.dm120', count(*) FROM hits WHERE k <= 3""")
+DEMEANED = EPISODES + f""",
+g AS (SELECT *, CASE WHEN count(*) OVER z >= 5 THEN round(gap - avg(gap) OVER z, 9) END AS sig FROM scored
+  WINDOW z AS (PARTITION BY ticker ORDER BY ts RANGE BETWEEN {120 * SEC} PRECEDING AND CURRENT ROW)),
+rd AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY ts, seq) AS n FROM g),
+wd AS (SELECT DISTINCT ticker, 0::BIGINT AS n, 0.0::DOUBLE AS st, false AS hit FROM rd
+  UNION ALL
+  SELECT rd.ticker, rd.n, CASE WHEN wd.st = 0 THEN CASE WHEN abs(rd.sig) >= 0.05::DOUBLE THEN sign(rd.sig) ELSE 0 END
+      WHEN rd.sig * wd.st <= 0.02::DOUBLE THEN 0 ELSE wd.st END, coalesce(wd.st = 0 AND abs(rd.sig) >= 0.05::DOUBLE, false)
+  FROM wd JOIN rd ON rd.ticker = wd.ticker AND rd.n = wd.n + 1)"""
+
+
+@query("union_variants", DEMEANED + """
+SELECT 'm0' AS model, ticker, seq FROM hits
+UNION ALL SELECT 'm0.dm120', ticker, seq FROM wd JOIN rd USING (ticker, n) WHERE hit AND tte_s > 60""")
 def union_variants(spark, sf):
+    """Crossings of the gap and of the gap less its mean over the last 120 s, five samples at least."""
+    from tickloom.operators import chunks as C
+    from tickloom.operators import trades as T
     from tickloom.plans.strategy_queries import hits
-    raw = hits(spark, sf).select(F.lit("m0").alias("model"), "seq")
-    dm = hits(spark, sf, cap=3).select(F.lit("m0.dm120").alias("model"), "seq")
-    return raw.unionByName(dm).groupBy("model").agg(F.count(F.lit(1)).alias("n"))
+    rows = C.trailing(scored(spark, sf), {"_mean": F.avg("gap"), "_n": F.count("gap")}, by=["ticker"], ts="ts",
+                      span=120 * SEC, chunk=DAY)
+    sig = F.when(F.col("_n") >= 5, F.round(F.col("gap") - F.col("_mean"), 9))
+    demeaned = T.gap_crossings(rows.withColumn("sig", sig), 0.05, rearm=0.02, sig="sig", tte_min=60.0, chunk=DAY)
+    return hits(spark, sf).select(F.lit("m0").alias("model"), "ticker", "seq").unionByName(
+        demeaned.select(F.lit("m0.dm120").alias("model"), "ticker", "seq"))
 
 
 @query("union_of_days", f"""WITH {SCORED}

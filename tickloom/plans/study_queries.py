@@ -147,8 +147,8 @@ SELECT event_id, count(*) AS trades, round(sum(qty), 6) AS volume, CAST(count(DI
   round(coalesce(sum(qty) FILTER (side = CASE WHEN dir > 0 THEN 'Buy' ELSE 'Sell' END), 0) / sum(qty), 6) AS aligned,
   any_value(swept) AS swept FROM w JOIN s USING (event_id) GROUP BY event_id""")
 def trade_tape_stats(spark, sf):
-    out = S.tape_stats(moves(spark, sf), tape(spark, sf), pre=PRE, post=POST, bucket=3 * HOUR)
-    return out.select("event_id", "trades", "levels", "swept", *r6("volume", "aligned"))
+    out = S.tape_stats(moves(spark, sf), tape(spark, sf), pre=PRE, post=POST, chunk=2 * DAY)
+    return out.select("event_id", "trades", F.col("levels").cast("int").alias("levels"), "swept", *r6("volume", "aligned"))
 
 
 @query("sweep_timing", f"""WITH {TAPE}
