@@ -10,8 +10,8 @@ A node gathers sixteen children at most, whatever the archive's size; equal reco
 counted before they meet.
 
 Defined results: null urls and pages are empty; pages without an id (or a negative one) go to file -1, those without spread by hash;
-repeated pages are records of their own in one leaf; an empty table has no nodes, and a record that one
-replica lacks differs.
+repeated pages are records of their own in one leaf, and copies are counted: a replica with fewer or more
+equal ones differs; records that only one replica holds are missing or extra; an empty table has no nodes.
 """
 
 from __future__ import annotations
@@ -116,14 +116,29 @@ def audit(rows: DataFrame) -> DataFrame:
     return descended(inner, differing(roots))
 
 
+def replica_differences(rows: DataFrame) -> DataFrame:
+    """Records that the replicas hold in different numbers: page_id, file, node, length, digest, ``missing``
+    (copies only replica 0 has) and ``extra`` (copies only replica 1 has)."""
+    suspect = rows.join(audit(rows), ["file", "node"], "left_semi").groupBy("file", "node", "digest").agg(
+        F.min("page_id").alias("page_id"), F.min("length").alias("length"),
+        F.count_if(F.col("replica") == 0).alias("ours"), F.count_if(F.col("replica") == 1).alias("theirs"))
+    return suspect.filter("ours <> theirs").select(
+        "page_id", "file", "node", "length", "digest", "ours", F.greatest(F.col("ours") - F.col("theirs"), F.lit(0)).alias("missing"),
+        F.greatest(F.col("theirs") - F.col("ours"), F.lit(0)).alias("extra"))
+
+
 def damaged_records(rows: DataFrame) -> DataFrame:
-    """Records of replica 0, with offsets and whether replica 1 holds no equal one in that place."""
-    bad = audit(rows)
-    suspect = rows.join(bad, ["file", "node"], "left_semi").groupBy("file", "node", "digest").agg(
-        F.count_if(F.col("replica") == 1).alias("copies"))
-    lost = suspect.filter("copies = 0").select("file", "node", "digest", F.lit(True).alias("lost"))
+    """Records of replica 0 with offsets and whether replica 1 lacks them.
+
+    Of equal records in one leaf, as many as replica 1 lacks are damaged, the last ones in the file.
+    """
+    short = materialize(replica_differences(rows).filter("missing > 0").select(
+        "file", "node", "digest", (F.col("ours") - F.col("missing")).alias("held")), "short")
     ours = with_offsets(rows.filter("replica = 0"))
-    return ours.join(lost, ["file", "node", "digest"], "left").select(
+    same = Window.partitionBy("file", "node", "digest").orderBy("offset")
+    lost = ours.join(short, ["file", "node", "digest"]).withColumn("copy", F.row_number().over(same)).filter("copy > held").select(
+        "file", "offset", F.lit(True).alias("lost"))
+    return ours.join(lost, ["file", "offset"], "left").select(
         "page_id", "file", "offset", "length", "digest", F.coalesce("lost", F.lit(False)).alias("damaged"))
 
 

@@ -20,8 +20,9 @@ Before texts are read for a comparison, the parities of both sets' shingles in a
 their difference from below; pairs beyond what a link allows need no text.
 
 Defined results: a text of one or two words has its whole sequence as its only shingle; without words
-(or null) a set is empty and links with nothing; equal sets link; repeated ids are one document with
-the smallest id of what any of its rows reaches; an empty table gives no rows.
+(or null) a set is empty and links with nothing; equal sets link; rows of one id are compared each by its
+own text and all get the smallest id that any of them reaches; rows without an id link like others, and
+a component without any id has none; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -131,6 +132,12 @@ def bounded(pairs: DataFrame, fields: DataFrame) -> DataFrame:
     return both.select(*names, "__x", "__y").mapInArrow(bound, ", ".join(f"{c} long" for c in [*names, "low"]))
 
 
+def row_marks(key: str, text: str) -> list[F.Column]:
+    """128 bits that tell rows of different ids or texts apart, so that a chosen row's text can be found again."""
+    own = F.col(key).cast("long")
+    return [F.xxhash64(own, F.col(text)).alias("t1"), F.xxhash64(F.lit(1), F.col(text), own).alias("t2")]
+
+
 def set_rows(docs: DataFrame, rarity, key: str, text: str, k: int, percent: int) -> DataFrame:
     """Size, two fingerprints and the prefix of every document's set."""
 
@@ -148,13 +155,13 @@ def set_rows(docs: DataFrame, rarity, key: str, text: str, k: int, percent: int)
             lengths = np.cumsum([0, *map(len, prefix)])
             flat = np.concatenate(prefix) if prefix else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array(sizes, pa.int64()),
+                *[batch.column(c) for c in ("doc_id", "t1", "t2")], pa.array(sizes, pa.int64()),
                 pa.array(np.array(fp1, np.uint64).view(np.int64)), pa.array(np.array(fp2, np.uint64).view(np.int64)),
                 pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(flat)), pa.array(bits, pa.binary())],
-                names=["doc_id", "n", "fp1", "fp2", "prefix", "bits"])
+                names=["doc_id", "t1", "t2", "n", "fp1", "fp2", "prefix", "bits"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        rows, "doc_id long, n long, fp1 long, fp2 long, prefix array<long>, bits binary")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), *row_marks(key, text)).mapInArrow(
+        rows, "doc_id long, t1 long, t2 long, n long, fp1 long, fp2 long, prefix array<long>, bits binary")
 
 
 def allowed(n: str, m: str, percent: int) -> str:
@@ -162,11 +169,12 @@ def allowed(n: str, m: str, percent: int) -> str:
     return f"(({n}) + ({m})) * {100 - percent} div {100 + percent}"
 
 
-def compared(pairs: DataFrame, docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """``a, b`` with ``distance``, the exact symmetric difference of their sets."""
-    ids = materialize(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "id"), "ids")
-    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    wanted = materialize(texts.join(ids, "id", "left_semi").dropDuplicates(["id"]), "wanted")
+def compared(pairs: DataFrame, marks: DataFrame, docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
+    """``a, b`` with ``distance``, the exact symmetric difference of their sets; ``marks`` names each class's row."""
+    ids = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "id")
+    ids = materialize(ids.join(marks, "id"), "ids")
+    texts = docs.select(*row_marks(key, text), F.col(text).alias("text"))
+    wanted = materialize(texts.join(ids, ["t1", "t2"]).select("id", "text").dropDuplicates(["id"]), "wanted")
     both = pairs.join(wanted.toDF("a", "ta"), "a").join(wanted.toDF("b", "tb"), "b")
 
     def measure(batches):
@@ -202,18 +210,30 @@ def components(links: DataFrame) -> DataFrame:
         labels = better.select("id", "component")
 
 
+def shared_ids(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """``a, b``: classes that hold rows of one id, so that an id reaches what any of its rows reaches."""
+    kind = F.struct("n", "fp1", "fp2")
+    several = sets.filter("n > 0 and doc_id is not null").groupBy("doc_id").agg(
+        F.min(kind).alias("low"), F.max(kind).alias("high")).filter("low <> high").select("doc_id")
+    held = materialize(sets.filter("n > 0").join(several, "doc_id").join(classes, ["n", "fp1", "fp2"]).select(
+        "doc_id", "id").distinct(), "held")
+    lead = held.groupBy("doc_id").agg(F.min("id").alias("a"))
+    return held.join(lead, "doc_id").filter("id <> a").select("a", F.col("id").alias("b"))
+
+
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORDS,
                        percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row."""
     spark = docs.sparkSession
     rarity = spark.sparkContext.broadcast(shingle_sketch(docs, text, k))
     sets = materialize(set_rows(docs, rarity, key, text, k, percent), "sets")
-    classes = materialize(sets.filter("n > 0").groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = materialize(sets.filter("n > 0").groupBy("n", "fp1", "fp2").agg(
+        F.min("doc_id").alias("rep"), F.min(F.struct("t1", "t2")).alias("chosen")).withColumn(
+        "id", F.monotonically_increasing_id()), "classes")
     # of smaller sets only equal ones link
     unique = materialize(sets.filter(f"n * {100 - percent} >= {percent}").join(classes, ["n", "fp1", "fp2"]).filter(
-        "doc_id = rep").dropDuplicates(["doc_id", "fp1", "fp2"]).select(
-        F.col("rep").alias("id"), "n", "prefix", "bits"), "unique")
-    fields = unique.select("id", "bits").dropDuplicates(["id"])
+        "t1 = chosen.t1 and t2 = chosen.t2").dropDuplicates(["id"]).select("id", "n", "prefix", "bits", "t1", "t2"), "unique")
+    fields, marks = unique.select("id", "bits"), unique.select("id", "t1", "t2")
     token = Window.partitionBy("token")
     entries = unique.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
     lists = materialize(entries.withColumn("size", F.count("*").over(token)).filter("size > 1").withColumn(
@@ -226,7 +246,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     ).agg(F.max(room).cast("long").alias("room"))
     close = materialize(bounded(stars.filter(near), fields), "close")
     todo = close.filter(f"low <= {allowed('na', 'nb', percent)}")
-    measured = materialize(todo.join(compared(todo.select("a", "b"), docs, key, text, k), ["a", "b"]), "measured")
+    measured = materialize(todo.join(compared(todo.select("a", "b"), marks, docs, key, text, k), ["a", "b"]), "measured")
     links = materialize(measured.filter(f"distance <= {allowed('na', 'nb', percent)}").select("a", "b"), "links")
     first = components(links)
     # pairs of a list that are still apart and that their distances to the pivot leave open
@@ -250,18 +270,23 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     done = close.select("a", "b").union(close.select("b", "a"))
     rest = materialize(bounded(open_pairs.join(done, ["a", "b"], "left_anti"), fields).filter(
         f"low <= {allowed('na', 'nb', percent)}"), "rest")
-    more = rest.join(compared(rest.select("a", "b"), docs, key, text, k), ["a", "b"]).filter(
+    more = rest.join(compared(rest.select("a", "b"), marks, docs, key, text, k), ["a", "b"]).filter(
         f"distance <= {allowed('na', 'nb', percent)}").select("a", "b")
-    final = components(materialize(links.union(more), "links"))
-    named = classes.join(final.withColumnRenamed("id", "rep"), "rep", "left").select(
-        "n", "fp1", "fp2", F.coalesce("component", "rep").alias("component_id"))
+    final = components(materialize(links.union(more).union(shared_ids(sets, classes)), "links"))
+    grouped = classes.join(final, "id", "left").select("n", "fp1", "fp2", "rep", F.coalesce("component", "id").alias("component"))
+    named = grouped.join(grouped.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select(
+        "n", "fp1", "fp2", "component_id")
     return sets.join(named, ["n", "fp1", "fp2"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORDS,
                   percent: int = PERCENT) -> DataFrame:
-    """The document with the smallest id of every group, with its own columns."""
+    """The document with the smallest id of every group, with its own columns.
+
+    Decided by id: all rows of a kept id stay, whatever their text, and rows without an id stay together
+    where one of them has a group without ids.
+    """
     groups = jaccard_components(docs, key, text, k, percent)
     keep = groups.filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select("doc_id").distinct()
     return docs.join(keep.withColumnRenamed("doc_id", "__keep"),
