@@ -173,8 +173,11 @@ def compared(pairs: DataFrame, marks: DataFrame, docs: DataFrame, key: str, text
     """``a, b`` with ``distance``, the exact symmetric difference of their sets; ``marks`` names each class's row."""
     ids = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "id")
     ids = materialize(ids.join(marks, "id"), "ids")
-    texts = docs.select(*row_marks(key, text), F.col(text).alias("text"))
-    wanted = materialize(texts.join(ids, ["t1", "t2"]).select("id", "text").dropDuplicates(["id"]), "wanted")
+    # the ids alone are few bytes, so the texts of all other rows are often dropped without being moved
+    own = materialize(ids.select(F.coalesce("doc_id", F.lit(-1)).alias("own")).distinct(), "own")
+    texts = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-1)).alias("own"), *row_marks(key, text),
+                        F.col(text).alias("text")).join(own, "own", "left_semi")
+    wanted = materialize(texts.join(ids, ["t1", "t2"]).dropDuplicates(["t1", "t2"]).select("id", "text"), "wanted")
     both = pairs.join(wanted.toDF("a", "ta"), "a").join(wanted.toDF("b", "tb"), "b")
 
     def measure(batches):
@@ -228,12 +231,12 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     rarity = spark.sparkContext.broadcast(shingle_sketch(docs, text, k))
     sets = materialize(set_rows(docs, rarity, key, text, k, percent), "sets")
     classes = materialize(sets.filter("n > 0").groupBy("n", "fp1", "fp2").agg(
-        F.min("doc_id").alias("rep"), F.min(F.struct("t1", "t2")).alias("chosen")).withColumn(
+        F.min("doc_id").alias("rep"), F.min(F.struct("t1", "t2", "doc_id")).alias("chosen")).withColumn(
         "id", F.monotonically_increasing_id()), "classes")
     # of smaller sets only equal ones link
     unique = materialize(sets.filter(f"n * {100 - percent} >= {percent}").join(classes, ["n", "fp1", "fp2"]).filter(
-        "t1 = chosen.t1 and t2 = chosen.t2").dropDuplicates(["id"]).select("id", "n", "prefix", "bits", "t1", "t2"), "unique")
-    fields, marks = unique.select("id", "bits"), unique.select("id", "t1", "t2")
+        "t1 = chosen.t1 and t2 = chosen.t2").dropDuplicates(["id"]).select("id", "n", "prefix", "bits", "t1", "t2", "chosen.doc_id"), "unique")
+    fields, marks = unique.select("id", "bits"), unique.select("id", "t1", "t2", "doc_id")
     token = Window.partitionBy("token")
     entries = unique.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
     lists = materialize(entries.withColumn("size", F.count("*").over(token)).filter("size > 1").withColumn(
