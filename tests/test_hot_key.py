@@ -384,3 +384,71 @@ def test_tape_of_one_hot_instant(frame, chunk):
             want = sum(t[4] for t in near if t[5] == ("Buy" if direction > 0 else "Sell")) / sum(t[4] for t in near)
             assert (r.trades, r.levels, r.swept) == (len(near), len({round(t[3], 4) for t in near}), max(map(len, bursts.values())) > 1)
             assert r.aligned == pytest.approx(want)
+
+
+POINT = "key STRING, ts LONG, seq LONG, run STRING, cum DOUBLE"
+
+
+def restarting_counter(n=300, seed=4):
+    rng, rows, cum, run = random.Random(seed), [], 0.0, 0
+    ts = 0
+    for i in range(n):
+        ts += rng.randrange(4)
+        if rng.random() < 0.06:
+            cum, run = 0.0, run + 1
+        cum += rng.randrange(0, 9)
+        rows.append(("hot", ts, i, str(run), None if rng.random() < 0.1 else cum))
+    return rows
+
+
+@pytest.mark.parametrize("chunk", CHUNKS)
+@pytest.mark.parametrize("session", [None, "run"])
+def test_counter_that_restarts(frame, chunk, session):
+    from tickloom.operators.volumes import rejoined_counter
+
+    rows = restarting_counter()
+    out = rejoined_counter(frame(rows, POINT), by=["key"], ts="ts", order=["seq"], chunk=chunk, session=session)
+    got = {r.seq: r.total for r in out.collect()}
+    total, before = 0.0, None
+    for _, _, seq, run, cum in rows:
+        if cum is not None:
+            same = before is not None and (session is None or before[0] == run) and cum >= before[1]
+            total += cum - before[1] if same else cum
+            before = (run, cum)
+        assert got[seq] == total
+
+
+def test_counter_of_nothing(frame):
+    from tickloom.operators.volumes import rejoined_counter
+
+    rows = [("a", 1, 1, "0", None), ("a", 2, 2, "0", 3.0)]
+    out = rejoined_counter(frame(rows, POINT), by=["key"], ts="ts", order=["seq"], chunk=1).orderBy("seq")
+    assert [r.total for r in out.collect()] == [0.0, 3.0]
+    assert rejoined_counter(frame([], POINT), by=["key"], ts="ts", order=["seq"], chunk=1).count() == 0
+
+
+@pytest.mark.parametrize("chunk", [40, 100_000])
+@pytest.mark.parametrize("session", [(), ("line",)])
+def test_taker_volume_over_two_lines(frame, chunk, session):
+    """One id from both lines counts once, trades without id always; extra columns travel along."""
+    from tickloom.operators.volumes import taker_volume
+
+    rng = random.Random(8)
+    trades, n = [], 0
+    for i in range(200):
+        at, qty = rng.randrange(500), float(rng.randrange(1, 6))
+        for line in range(rng.choice([1, 1, 2])):
+            trades.append(("hot", at + 5 * line, n, line, None if i % 17 == 0 else i, qty))
+            n += 1
+    df = frame(trades, "key STRING, ts LONG, seq LONG, line INT, trade_id LONG, qty DOUBLE")
+    out = taker_volume(df, by=["key"], ts="ts", order=["seq"], gap=9, chunk=chunk, session=session)
+    seen, cum, last, want = set(), 0.0, {}, {}
+    for t in sorted(trades, key=lambda t: (t[1], t[2])):
+        if t[4] is not None and t[4] in seen:
+            continue
+        seen.add(t[4])
+        cum += t[5]
+        place = t[3] if session else 0
+        if place not in last or t[1] - last[place] >= 9:
+            last[place], want[t[2]] = t[1], cum
+    assert {r.seq: r.cum for r in out.collect()} == want

@@ -14,6 +14,7 @@ from tickloom.functions import instruments as I
 from tickloom.functions import ladders as L
 from tickloom.functions import prices as P
 from tickloom.operators import chunks as C
+from tickloom.operators import volumes as V
 from tickloom.plans.registry import query
 from tickloom.plans.roles import DAY, HOUR, SCORED, TICKS, scored, table, ticks
 from tickloom.sources import events as EV
@@ -478,6 +479,44 @@ def feed_reference_tickers(spark, sf):
                                    F.sum("ask").alias("ask"), F.sum("bid_sz").alias("bid_sz"))
 
 
+@query("taker_volume", f"""WITH RECURSIVE {TICKS},
+c AS (SELECT instrument, seq, ts, sum(k) OVER (PARTITION BY instrument ORDER BY ts, seq) AS cum FROM ticks),
+n AS (SELECT c.*, d.seq AS next_seq FROM (SELECT *, ts + {2 * HOUR} AS due FROM c) c ASOF LEFT JOIN (
+  SELECT instrument, ts, min(seq) AS seq FROM c GROUP BY ALL) d ON c.instrument = d.instrument AND c.due <= d.ts),
+w AS (SELECT n.* FROM n JOIN (SELECT instrument, min((ts, seq)) AS f FROM c GROUP BY 1) m
+    ON n.instrument = m.instrument AND (n.ts, n.seq) = m.f
+  UNION ALL SELECT n.* FROM w JOIN n ON n.instrument = w.instrument AND n.seq = w.next_seq)
+SELECT instrument || '.vol' AS instrument, seq AS trade_id, ts * 1000 AS recv_ts_ns, CAST(cum AS DOUBLE) AS cum FROM w""")
+def taker_volume(spark, sf):
+    """Trade frames of two overlapping connections; every third trade is received by both."""
+    trade = S('{"e":"aggTrade","a":%d,"q":"%d","p":"1","m":true}', "seq", "k")
+    t = ticks(spark, sf)
+    raw = pick("seq", S('{"stream":"x@aggTrade","data":%s}', trade), trade,
+               S('{"stream":"x@aggTrade","data":%s}', trade))
+    copies = F.when(F.col("seq") % 3 == 0, F.array(F.lit(0), F.lit(7))).otherwise(F.array(F.lit(0)))
+    frames = t.select(F.concat("instrument", F.lit(".vol")).alias("instrument"), "seq", "ts", raw.alias("raw"),
+                      F.explode(copies).alias("late"))
+    frames = frames.select("instrument", ((F.col("ts") + F.col("late") * HOUR) * 1000).alias("recv_ts_ns"),
+                           (F.col("seq") * 10 + F.col("late")).alias("n"), "raw")
+    rows = V.taker_volume(feeds.perp_agg_trade(frames), by=["instrument"], ts="recv_ts_ns", order=["n"],
+                          gap=2 * HOUR * 1000, chunk=2 * DAY * 1000)
+    return rows.select("instrument", "trade_id", "recv_ts_ns", "cum")
+
+
+@query("volume_counter_rejoined", f"""WITH {TICKS},
+c AS (SELECT instrument, seq, ts, sum(k) OVER (PARTITION BY instrument, ts // {3 * DAY} ORDER BY ts, seq) AS v FROM ticks),
+d AS (SELECT *, lag(v) OVER (PARTITION BY instrument ORDER BY ts, seq) AS p FROM c)
+SELECT instrument, seq, CAST(sum(CASE WHEN v >= p THEN v - p ELSE v END)
+  OVER (PARTITION BY instrument ORDER BY ts, seq) AS DOUBLE) AS total FROM d""")
+def volume_counter_rejoined(spark, sf):
+    """A counter that starts again every three days."""
+    t = ticks(spark, sf).withColumn("_run", F.expr(f"ts div {3 * DAY}"))
+    points = C.running_sum(t, F.col("k").cast("double"), "cum", by=["instrument", "_run"], ts="ts",
+                           order=["seq"], chunk=DAY)
+    rows = V.rejoined_counter(points, by=["instrument"], ts="ts", order=["seq"], chunk=DAY)
+    return rows.select("instrument", "seq", "total")
+
+
 @query("feed_change_carry", f"""WITH {TICKS}, c AS (
   SELECT seq, ts, CASE WHEN seq % 3 = 0 THEN k + 1 END AS b, CASE WHEN seq % 3 = 1 THEN k + 2 END AS a
   FROM ticks WHERE seq % 3 < 2),

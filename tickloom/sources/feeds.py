@@ -276,9 +276,12 @@ def perp_ticker(df: DataFrame) -> DataFrame:
 
 
 def perp_agg_trade(df: DataFrame) -> DataFrame:
+    """Traded quantity and trade id (null if absent) of a trade frame; frames without quantity are dropped."""
     df = _data(df)
     qty = num(F.get_json_object("raw", "$.q"))
-    return df.withColumn("qty", qty).filter(F.col("qty").isNotNull()).drop("raw")
+    rows = df.withColumn("qty", qty).withColumn(
+        "trade_id", F.get_json_object("raw", "$.a").try_cast("long"))
+    return rows.filter(F.col("qty").isNotNull()).drop("raw")
 
 
 def spot_ticker(df: DataFrame) -> DataFrame:
