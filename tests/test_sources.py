@@ -54,6 +54,66 @@ def test_sampler_days_with_missing_columns(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t")).count() == 2
 
 
+def sampler_day(day, n, extra=()):
+    """A day's text, with other columns and another order than the day before; every fifth line is short."""
+    head = ["ticker", "ts_ms", "tte_ms", "perp_bid", "perp_ask", "ybid", "yask", *extra]
+    head = head[day % 3:] + head[:day % 3]
+    lines, want = [",".join(head)], []
+    for i in range(n):
+        row = dict(ticker=f"T{day}-{i}", ts_ms=day * 1000 + i, tte_ms=5000, perp_bid=10 + i, perp_ask=12 + i,
+                   ybid=0.4, yask=0.5, band5=i / 4, note="x" * (i % 40))
+        cells = [str(row[c]) for c in head]
+        if i % 5 == 4:
+            cells = cells[:-1]
+            row[head[-1]] = None
+        lines.append(",".join(cells))
+        want.append((row["ticker"], row["ts_ms"], row["yask"], row["band5"] if "band5" in extra else None))
+    return "\n".join(lines) + ("\n" if day % 2 else ""), want
+
+
+@pytest.mark.parametrize("range_bytes", [1, 7, 100, 1 << 20])
+def test_sampler_ranges_hold_every_line_once(spark, tmp_path, range_bytes, monkeypatch):
+    import gzip
+
+    from tickloom.sources import csvdays
+
+    want, n = [], 4 if range_bytes < 50 else 60
+    for day in range(6):
+        text, rows = sampler_day(day, n, (["band5"], ["note", "band5"], [])[day % 3])
+        want += rows
+        if day == 3:
+            (tmp_path / f"d{day}.csv.gz").write_bytes(gzip.compress(text.encode()))
+        else:
+            (tmp_path / f"d{day}.csv").write_text(text)
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "headed.csv").write_text("ticker,ts_ms\n")
+    monkeypatch.setattr(csvdays, "BLOCK_BYTES", 64)
+    reader = csvdays._Reader([str(tmp_path)], ["ticker", "ts_ms", "yask", "band5"], range_bytes)
+    parts = reader.partitions()
+    read = [r for p in parts for b in reader.read(p) for r in zip(*[c.to_pylist() for c in b.columns])]
+    num = lambda kind, v: None if v is None else kind(v)
+    got = sorted((a or "", num(int, b), num(float, c), num(float, d)) for a, b, c, d in read)
+    key = lambda r: tuple(str(v) for v in r)
+    assert sorted(got, key=key) == sorted(((r[0] or "", *r[1:]) for r in want), key=key)
+    if range_bytes == 100:
+        assert len(parts) > 20
+
+
+def test_sampler_days_are_one_scan(spark, tmp_path):
+    want = 0
+    for day in range(12):
+        text, rows = sampler_day(day, 7)
+        (tmp_path / f"2026-01-{day + 1:02d}.csv").write_text(text)
+        want += len(rows)
+    for path in (str(tmp_path), f"file:{tmp_path}", f"{tmp_path}/2026-01-*.csv"):
+        raw = files.read_sampler_raw(spark, [path], range_bytes=150)
+        assert raw.count() == want
+        assert raw._jdf.queryExecution().executedPlan().toString().count("BatchScan") == 1
+    assert files.read_sampler_raw(spark, [str(tmp_path)], range_bytes=150).rdd.getNumPartitions() > 12
+    with pytest.raises(Exception, match="nowhere"):
+        files.read_sampler_raw(spark, [str(tmp_path / "nowhere")]).count()
+
+
 def test_tabular_inputs(spark, tmp_path):
     (tmp_path / "events_meta.csv").write_text(
         "ticker,open_ts,close_ts,strike,result,expiration_value,n_trades\nA,0,900,5,yes,,60\n")

@@ -674,6 +674,26 @@ def snapshot_lake_scan(spark, sf):
                          first="2024-01-05", last="2024-01-20")
 
 
+@query("sampler_days_scan", f"""WITH {TICKS}
+SELECT seq AS ts_ms, instrument AS ticker, k AS tte_ms, CAST(user_id AS DOUBLE) AS ybid,
+  CASE WHEN ts // {DAY} % 3 > 0 THEN CAST(k AS DOUBLE) END AS cb_bid,
+  CASE WHEN ts // {DAY} % 3 = 2 THEN k / 4.0::DOUBLE END AS band5 FROM ticks""")
+def sampler_days_scan(spark, sf):
+    """CSV days of three writers: each wrote more columns than the one before, in another order."""
+    base = landed(spark, "sampler")
+    age = F.expr(f"(ts div {DAY}) % 3")
+    t = ticks(spark, sf).select("ts", F.col("seq").alias("ts_ms"), F.col("instrument").alias("ticker"),
+                                F.col("k").alias("tte_ms"), F.col("user_id").alias("ybid"), F.col("k").alias("cb_bid"),
+                                (F.col("k") / 4).alias("band5"))
+    heads = [["ts_ms", "ticker", "tte_ms", "ybid"], ["cb_bid", "ticker", "ts_ms", "ybid", "tte_ms"],
+             ["ticker", "band5", "ts_ms", "tte_ms", "cb_bid", "ybid"]]
+    for i, head in enumerate(heads):
+        out = t.filter(age == i).select(*head).write.option("header", True)
+        (out.option("compression", "gzip") if i == 1 else out).csv(f"{base}/writer{i}")
+    raw = files.read_sampler_raw(spark, [f"{base}/writer{i}" for i in range(3)], ["band5"])
+    return raw.select("ts_ms", "ticker", "tte_ms", "ybid", "cb_bid", "band5")
+
+
 @query("event_rows_scan", f"""WITH {SCORED}
 SELECT ticker, ts // 1000000 AS t, round(spot, 6) AS spot, round(mid, 6) AS prob, outc AS outcome, open_ts // 1000000 AS open_ts,
   CASE WHEN outc = 1 THEN 'yes' ELSE 'no' END AS result FROM scored""")

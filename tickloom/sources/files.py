@@ -9,28 +9,21 @@ from pyspark.sql import functions as F
 
 from tickloom import schema
 from tickloom.functions import prices as P
+from tickloom.sources.csvdays import RANGE_BYTES, read_csv_days
 
 
-def read_sampler_raw(spark: SparkSession, paths: Sequence[str],
-                     features: Sequence[str] = ()) -> DataFrame:
+def read_sampler_raw(spark: SparkSession, paths: Sequence[str], features: Sequence[str] = (),
+                     range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Sampler CSV days. Days written before a column existed give null in it.
 
-    Headers differ between days, so each file group is read by its own header and
-    aligned by name. Compressed files do not split: convert them once with
-    ``sampler_to_table``.
+    One scan for any number of days, plain or packed: each range of a file is read by the
+    header of that file. A path is a file, a folder or a pattern. Text that does not read as
+    its type is null. Packed files do not split: convert them once with ``sampler_to_table``.
     """
-    parts = []
     wanted = schema.SAMPLER + "".join(f", {c} DOUBLE" for c in features)
     fields = [f.strip().split(" ") for f in wanted.split(",")]
-    for path in paths:
-        raw = spark.read.option("header", True).option("nanValue", "nan").csv(path)
-        cols = [(F.expr(f"try_cast(`{n}` AS {t})") if n in raw.columns
-                 else F.lit(None).cast(t)).alias(n) for n, t in fields]
-        parts.append(raw.select(*cols))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    raw = read_csv_days(spark, paths, [n for n, _ in fields], range_bytes)
+    return raw.select(*[F.col(n).try_cast(t).alias(n) for n, t in fields])
 
 
 def sampler_rows(raw: DataFrame, features: Sequence[str] = (), cb_stale_ms: int = 5000,
