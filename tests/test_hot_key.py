@@ -452,3 +452,49 @@ def test_taker_volume_over_two_lines(frame, chunk, session):
         if place not in last or t[1] - last[place] >= 9:
             last[place], want[t[2]] = t[1], cum
     assert {r.seq: r.cum for r in out.collect()} == want
+
+
+LEVELS = "instrument STRING, epoch LONG, side STRING, px_micro LONG, ts LONG, seq LONG, qty DOUBLE"
+
+
+@pytest.mark.parametrize("chunk", [13, 100_000])
+@pytest.mark.parametrize("n", [None, 2])
+def test_book_at_instants_of_one_hot_instrument(frame, chunk, n):
+    """Ties in time, removals, epochs that end levels, instants before, between and long after the updates."""
+    from tickloom.operators import books
+
+    rng = random.Random(21)
+    ups, epoch = [], 1
+    for i, ts in enumerate(sorted(rng.randrange(20, 300) for _ in range(400))):
+        epoch += rng.random() < 0.02
+        side = rng.choice(["bid", "ask"])
+        px = (100 - rng.randrange(12)) if side == "bid" else (101 + rng.randrange(12))
+        ups.append(("hot", epoch, side, px * books.MICRO, ts, i, float(rng.choice([0, 0, 1, 2, 3]))))
+    times = sorted({rng.randrange(0, 500) for _ in range(90)} | {u[4] for u in ups[::9]})
+    instants = frame([("hot", t) for t in times] + [("cold", 5)], "instrument STRING, ts LONG")
+    out = books.book_at(instants, frame(ups, LEVELS), chunk=chunk, n=n).collect()
+    assert len(out) == len(times) + 1
+    got = {r.ts: r for r in out if r.instrument == "hot"}
+    for t in times:
+        past = [u for u in ups if u[4] <= t]
+        now = {}
+        for u in past:
+            if u[1] == past[-1][1]:
+                now[u[2], u[3] // books.MICRO] = u[6]
+        for side, sign in (("bid", -1), ("ask", 1)):
+            want = sorted(((p, q) for (s, p), q in now.items() if s == side and q > 0), key=lambda v: sign * v[0])
+            assert [(v.px, v.qty) for v in got[t][f"{side}s"]] == want[:n]
+    cold = next(r for r in out if r.instrument == "cold")
+    assert cold.bids == [] and cold.asks == []
+
+
+def test_sweep_reads_no_pairs(frame):
+    """Rows of the sweep: updates, instants, and the open levels per chunk; ten times the instants add only themselves."""
+    from tickloom.operators import books
+
+    ups = frame([("hot", 1, "bid", 50_000_000 + i % 10, i, i, float(i % 4)) for i in range(1000)], LEVELS)
+    ask = lambda step: frame([("hot", t) for t in range(0, 1000, step)], "instrument STRING, ts LONG")
+    few, many = (books.sweep_rows(ask(step), ups, chunk=100).count() for step in (10, 1))
+    assert few <= 1000 + 100 + 10 * 10 and many - few == 900
+    lone = books.sweep_rows(frame([("hot", 950)], "instrument STRING, ts LONG"), ups, chunk=100).count()
+    assert lone <= 100 + 1 + 10

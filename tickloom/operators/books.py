@@ -17,7 +17,7 @@ from tickloom.functions import ladders as L
 from tickloom.functions.instruments import int_div
 from tickloom.operators import chunks as C
 from tickloom.operators.asof import asof_join
-from tickloom.operators.folds import fold_groups
+from tickloom.operators.folds import fold_groups, fold_stream
 from tickloom.schema import struct_of
 
 LEVEL = ["instrument", "epoch", "side", "px_micro"]
@@ -101,35 +101,116 @@ def level_lifetimes(updates: DataFrame, *, chunk: int) -> DataFrame:
         "_neg", "_negseq", "_next", "_nextseq", "_end")
 
 
-def _cut(side, n: int | None):
-    return side if n is None else L.top_n(side, n)
+class SideLevels:
+    """Sizes of one side by price, the prices kept sorted."""
+
+    def __init__(self):
+        self.sizes, self.prices = {}, []
+
+    def put(self, px: int, qty: float) -> None:
+        if qty > 0:
+            if px not in self.sizes:
+                insort(self.prices, px)
+            self.sizes[px] = qty
+        elif px in self.sizes:
+            del self.sizes[px]
+            self.prices.pop(bisect_left(self.prices, px))
+
+    def best_first(self, side: str, n: int | None) -> tuple[list[int], list[float]]:
+        if side == "bid":
+            prices = self.prices[::-1] if n is None else self.prices[:-n - 1:-1]
+        else:
+            prices = self.prices[:n]
+        return prices, [self.sizes[p] for p in prices]
+
+
+def _empty_book() -> dict[str, SideLevels]:
+    return {"bid": SideLevels(), "ask": SideLevels()}
+
+
+OPENED, UPDATED, ASKED = 0, 1, 2
+
+
+def _opening(updates: DataFrame, wanted: DataFrame, *, chunk: int) -> DataFrame:
+    """Levels alive at the start of the wanted ``(instrument, chunk)`` places, as rows of those chunks."""
+    lives = level_lifetimes(updates, chunk=chunk).filter(F.col("qty") > 0)
+    first = C.chunk_start(F.col("ts"), chunk) + chunk
+    spans = wanted.groupBy("instrument").agg(F.max(C.CHUNK).alias("_last"))
+    stop = F.least(F.col("until"), F.col("_last"))
+    rows = lives.join(spans, "instrument").filter(first <= stop).select(
+        *LEVEL, "qty", "until", F.explode(F.sequence(first, C.chunk_start(stop, chunk), F.lit(chunk)))
+        .alias(C.CHUNK)).filter(F.col("until") > F.col(C.CHUNK))
+    return rows.join(wanted, ["instrument", C.CHUNK], "left_semi").select(*LEVEL, "qty", C.CHUNK)
+
+
+def sweep_rows(instants: DataFrame, updates: DataFrame, *, chunk: int) -> DataFrame:
+    """What the sweep of each chunk that holds instants reads: opening levels, updates, instants.
+
+    One row per update and instant, and one per level alive at a chunk's start; chunks without
+    instants are left out.
+    """
+    probes = C.with_chunk(instants.select("instrument", "ts").distinct(), "ts", chunk)
+    wanted = probes.select("instrument", C.CHUNK).distinct()
+    own = C.with_chunk(updates.select(*LEVEL, "qty", "ts", "seq"), "ts", chunk).join(
+        wanted, ["instrument", C.CHUNK], "left_semi")
+    opened = _opening(updates, wanted, chunk=chunk)
+    none = F.lit(0)
+    cols = ["instrument", C.CHUNK, "ts", "_kind", "epoch", "seq", "side", "px_micro", "qty"]
+    rows = own.withColumn("_kind", F.lit(UPDATED)).select(*cols)
+    rows = rows.unionByName(opened.withColumns(
+        {"ts": F.col(C.CHUNK), "seq": none, "_kind": F.lit(OPENED)}).select(*cols))
+    return rows.unionByName(probes.withColumns(
+        {"epoch": none, "seq": none, "side": F.lit(""), "px_micro": none, "qty": F.lit(0.0),
+         "_kind": F.lit(ASKED)}).select(*cols))
+
+
+SWEPT = struct_of("instrument STRING, ts BIGINT, bid_px ARRAY<BIGINT>, bid_sz ARRAY<DOUBLE>, "
+                  "ask_px ARRAY<BIGINT>, ask_sz ARRAY<DOUBLE>")
+
+
+class _Sweep:
+    """Levels of one chunk as its rows pass in time order; an instant gives what stands then."""
+
+    def __init__(self, instrument: str, n: int | None):
+        self.instrument, self.n = instrument, n
+        self.book, self.epoch = _empty_book(), None
+
+    def step(self, d):
+        out = {c: [] for c in SWEPT.names}
+        for kind, ts, epoch, side, px, qty in zip(*[d[c].tolist() for c in (
+                "_kind", "ts", "epoch", "side", "px_micro", "qty")]):
+            if kind == ASKED:
+                out["instrument"].append(self.instrument)
+                out["ts"].append(ts)
+                for s in ("bid", "ask"):
+                    prices, sizes = self.book[s].best_first(s, self.n)
+                    out[f"{s}_px"].append(prices)
+                    out[f"{s}_sz"].append(sizes)
+                continue
+            if self.epoch is None or epoch > self.epoch:
+                self.book, self.epoch = _empty_book(), epoch
+            if epoch == self.epoch:  # what is left of an older epoch no longer counts
+                self.book[side].put(px, qty)
+        return out if out["ts"] else None
+
+    def end(self):
+        return None
 
 
 def book_at(instants: DataFrame, updates: DataFrame, *, chunk: int, n: int | None = None) -> DataFrame:
-    """Levels of each side at each ``(instrument, ts)`` instant, all of them or the top ``n``."""
-    alive = level_lifetimes(updates, chunk=chunk).filter(
-        (F.col("qty") > 0) & (F.col("until") > F.col("ts")))
-    last = instants.agg(F.max("ts").alias("_last"))
-    alive = C.attach_row(alive, last)
-    stop = F.least(F.col("until") - 1, "_last")
-    alive = alive.filter(stop >= F.col("ts")).select(
-        "instrument", F.col("ts").alias("_from"), "until", "side", "px_micro", "qty",
-        F.explode(F.sequence(C.chunk_start(F.col("ts"), chunk), C.chunk_start(stop, chunk),
-                             F.lit(chunk))).alias(C.CHUNK))
-    probes = instants.select("instrument", "ts").distinct()
-    probes = C.with_chunk(probes, "ts", chunk)
-    held = probes.join(alive, ["instrument", C.CHUNK], "left").filter(
-        F.col("_from").isNull() | ((F.col("_from") <= F.col("ts")) & (F.col("ts") < F.col("until"))))
-    lvl = L.level(F.col("px_micro") / MICRO, F.col("qty"))
-    book = held.groupBy("instrument", "ts").agg(
-        F.collect_list(F.when(F.col("side") == "bid", lvl)).alias("bids"),
-        F.collect_list(F.when(F.col("side") == "ask", lvl)).alias("asks"))
-    full = probes.drop(C.CHUNK).join(book, ["instrument", "ts"], "left")
-    empty = F.array().cast("ARRAY<STRUCT<px: DOUBLE, qty: DOUBLE>>")
-    return full.select(
-        "instrument", "ts",
-        *[_cut(L.normalize(F.coalesce(F.col(f"{s}s"), empty), s), n).alias(f"{s}s")
-          for s in ("bid", "ask")])
+    """Levels of each side at each ``(instrument, ts)`` instant, all of them or the top ``n``.
+
+    Updates at the instant itself count. Every chunk is one sweep in time order, in which the
+    instants stand among the updates: no instant-level pairs, and work per chunk in proportion
+    to its rows and to the levels given out. Instants before the first update have empty sides.
+    """
+    rows = sweep_rows(instants, updates, chunk=chunk)
+    books = fold_stream(rows, ["instrument", C.CHUNK],
+                        ["ts", "_kind", "epoch", "seq", "side", "px_micro"],
+                        lambda key: _Sweep(key[0], n), SWEPT)
+    return books.select("instrument", "ts", *[
+        F.zip_with(f"{s}_px", f"{s}_sz", lambda p, q: L.level(p / MICRO, q)).alias(f"{s}s")
+        for s in ("bid", "ask")])
 
 
 TOP = struct_of("instrument STRING, ts BIGINT, seq BIGINT, bid DOUBLE, bid_sz DOUBLE, "
@@ -142,41 +223,23 @@ def replay_tops(updates: DataFrame, *, chunk: int) -> DataFrame:
     A chunk opens with the levels alive at its start, so a busy instrument is replayed by
     as many tasks as it has chunks.
     """
-    lives = level_lifetimes(updates, chunk=chunk)
-    cols = ["instrument", "epoch", "side", "px_micro", "qty"]
-    own = C.with_chunk(updates.select(*cols, "ts", "seq"), "ts", chunk)
-    first = C.chunk_start(F.col("ts"), chunk) + chunk
-    busy = own.select("instrument", C.CHUNK).distinct()
-    spans = updates.groupBy("instrument").agg(F.max("ts").alias("_last"))
-    opening = lives.filter(F.col("qty") > 0).join(spans, "instrument")
-    stop = F.least(F.col("until"), F.col("_last"))
-    opening = opening.filter(first <= stop).select(
-        *cols, F.explode(F.sequence(first, C.chunk_start(stop, chunk), F.lit(chunk)))
-        .alias(C.CHUNK), "until").filter(F.col("until") > F.col(C.CHUNK))
-    opening = opening.join(busy, ["instrument", C.CHUNK], "left_semi").select(
-        *cols, F.lit(-1).cast("long").alias("ts"), F.lit(-1).cast("long").alias("seq"), C.CHUNK)
+    own = C.with_chunk(updates.select(*LEVEL, "qty", "ts", "seq"), "ts", chunk)
+    opening = _opening(updates, own.select("instrument", C.CHUNK).distinct(), chunk=chunk)
+    opening = opening.withColumns({"ts": F.lit(-1).cast("long"), "seq": F.lit(-1).cast("long")})
 
     def replay(key, d):
-        sides = {"bid": ({}, []), "ask": ({}, [])}
-        epoch, rows = None, []
+        book, epoch, rows = _empty_book(), None, []
         for side, px, qty, ts, seq, ep in zip(d["side"], d["px_micro"], d["qty"], d["ts"],
                                               d["seq"], d["epoch"]):
             if ep != epoch:
-                sides, epoch = {"bid": ({}, []), "ask": ({}, [])}, ep
-            sizes, prices = sides[side]
-            if qty > 0:
-                if px not in sizes:
-                    insort(prices, px)
-                sizes[px] = qty
-            elif px in sizes:
-                del sizes[px]
-                prices.pop(bisect_left(prices, px))
+                book, epoch = _empty_book(), ep
+            book[side].put(px, qty)
             if seq < 0:
                 continue
-            (bs, bp), (as_, ap) = sides["bid"], sides["ask"]
-            b, a = (bp[-1] if bp else None), (ap[0] if ap else None)
-            rows.append((ts, seq, None if b is None else b / MICRO, bs.get(b),
-                         None if a is None else a / MICRO, as_.get(a),
+            bids, asks = book["bid"], book["ask"]
+            b, a = bids.prices[-1] if bids.prices else None, asks.prices[0] if asks.prices else None
+            rows.append((ts, seq, None if b is None else b / MICRO, bids.sizes.get(b),
+                         None if a is None else a / MICRO, asks.sizes.get(a),
                          b is not None and a is not None and b >= a))
         if not rows:
             return None

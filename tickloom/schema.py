@@ -89,5 +89,6 @@ def struct_of(fields: str, *first: T.StructField) -> T.StructType:
     """StructType of plain ``name TYPE`` pairs, usable before a session exists."""
     kinds = {"BIGINT": T.LongType(), "INT": T.IntegerType(), "DOUBLE": T.DoubleType(),
              "STRING": T.StringType(), "BOOLEAN": T.BooleanType()}
+    kinds |= {f"ARRAY<{n}>": T.ArrayType(k) for n, k in kinds.items()}
     pairs = [f.split() for f in fields.split(",")]
     return T.StructType([*first, *[T.StructField(n, kinds[k]) for n, k in pairs]])
