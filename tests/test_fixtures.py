@@ -201,3 +201,17 @@ def test_lifecycle_links(frame):
     ticks = frame([("k", t) for t in (5, 12, 32, 37, 45)], "kind STRING, ts LONG")
     out = link_asof(ticks, link_intervals(meta), by=["kind"], chunk=10).orderBy("ts").collect()
     assert [r.target for r in out] == [None, "A", "B", "B", None]
+
+
+def test_closure_at_a_horizon_counts_trades_that_never_close(frame):
+    from tickloom.operators import reports
+
+    trades = frame([("m", 1, 5.0, 0.06, 0.02, -0.04, -0.01, 1, 0.5), ("m", 0, 9.0, 0.04, 0.01, 0.02, None, 0, -0.4),
+                    ("m", 1, None, 0.9, None, None, None, 1, 0.9), ("none", 1, None, 0.9, None, None, None, 1, 0.9)],
+                   "model STRING, side_yes INT, cap_s DOUBLE, gap DOUBLE, cap_dmid DOUBLE, cap_dfair DOUBLE, "
+                   "cap_dfair_fx DOUBLE, won INT, net DOUBLE")
+    r = one(reports.capped_closure(trades, ["model"]))
+    assert (r.model, r.trades, r.n, r.n_fx) == ("m", 3, 2, 1)
+    assert (r.gap0, r.mkt_move, r.fair_move) == (pytest.approx(5), pytest.approx(0.5), pytest.approx(-3))
+    assert (r.fx_move, r.refit_move, r.residual) == (pytest.approx(-1), pytest.approx(-3), pytest.approx(1.5))
+    assert (r.net_won, r.net_lost) == (0.5, -0.4)

@@ -237,11 +237,25 @@ def pnl_matrix(trades: DataFrame, bucket: Column, labels: Sequence[str]) -> Data
 
 
 def capped_closure(trades: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Moves at a fixed horizon or closure, never-closed trades included, in cents."""
+    """Moves from entry to closure or a fixed horizon, whichever is first, in cents.
+
+    Trades that never close count with what they had moved by the horizon (``n`` of
+    ``trades``); groups without any such trade are left out. ``residual`` is the gap still open
+    then. ``fx_move`` and ``refit_move`` split the fair move over the ``n_fx`` trades whose fair
+    value under the entry calibration is known (``cap_dfair_fx``). Net results are per trade,
+    not in cents, of those won and lost.
+    """
     sign = F.when(F.col("side_yes") == 1, 1.0).otherwise(-1.0)
-    known = trades.filter(F.col("cap_s").isNotNull())
-    out = known.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(100 * F.col("gap")).alias("gap0"),
-        F.avg(100 * sign * F.col("cap_dmid")).alias("mkt_move"),
-        F.avg(100 * sign * F.col("cap_dfair")).alias("fair_move"))
-    return out.withColumn("residual", F.col("gap0") - (F.col("mkt_move") - F.col("fair_move")))
+    known = F.col("cap_s").isNotNull()
+    cents = lambda c: F.avg(F.when(known, 100 * c))
+    fx = F.when(known, F.col("cap_dfair_fx"))
+    out = trades.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("trades"), F.count(F.when(known, 1)).alias("n"),
+        cents(F.col("gap")).alias("gap0"), cents(sign * F.col("cap_dmid")).alias("mkt_move"),
+        cents(sign * F.col("cap_dfair")).alias("fair_move"), F.count(fx).alias("n_fx"),
+        F.avg(100 * sign * fx).alias("fx_move"),
+        F.avg(100 * sign * (F.col("cap_dfair") - fx)).alias("refit_move"),
+        F.avg(F.when(known & (F.col("won") == 1), F.col("net"))).alias("net_won"),
+        F.avg(F.when(known & (F.col("won") == 0), F.col("net"))).alias("net_lost"))
+    return out.filter(F.col("n") > 0).withColumn(
+        "residual", F.col("gap0") - (F.col("mkt_move") - F.col("fair_move")))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import ladders as L
 from tickloom.operators import folds
+from tickloom.operators import reports as R
 from tickloom.operators import surface as U
 from tickloom.operators import trades as T
 from tickloom.plans.book_queries import BOOK_SQL, r6, snapshots
@@ -151,6 +152,33 @@ def closure_points(spark, sf):
     return rows.select("seq", "close_ts", "cap_s", *r6("close_dfair", "close_dmid", "cap_dmid"))
 
 
+@query("closure_at_cap", EPISODES + f""", cl AS (SELECT ticker, ts FROM scored WHERE abs(gap) < 0.01::DOUBLE),
+c AS (SELECT h.*, least(h.ts + {20 * SEC}, coalesce(c.ts, 1::BIGINT << 62)) AS at
+  FROM hits h ASOF LEFT JOIN cl c ON h.ticker = c.ticker AND h.ts < c.ts),
+k AS (SELECT c.instrument, c.seq, c.outc = c.side_yes AS won, abs(c.gap) AS gap, 2 * c.side_yes - 1 AS sg,
+    CASE WHEN c.outc = c.side_yes THEN 1 ELSE 0 END - CASE WHEN c.side_yes = 1 THEN c.yask ELSE 1 - c.ybid END AS net,
+    CASE WHEN q.ts > c.ts THEN q.mid - c.mid END AS m, CASE WHEN q.ts > c.ts THEN q.fair - c.fair END AS f
+  FROM c ASOF LEFT JOIN scored q ON c.ticker = q.ticker AND c.at >= q.ts),
+x AS (SELECT *, CASE WHEN seq % 3 > 0 THEN f / 2 END AS fx FROM k)
+SELECT instrument, count(*) AS trades, count(m) AS n, round(avg(100 * gap) FILTER (m IS NOT NULL), 6) AS gap0,
+  round(avg(100 * sg * m), 6) + 0.0 AS mkt_move, round(avg(100 * sg * f), 6) + 0.0 AS fair_move, count(fx) AS n_fx,
+  round(avg(100 * sg * fx), 6) + 0.0 AS fx_move, round(avg(100 * sg * (f - fx)), 6) + 0.0 AS refit_move,
+  round(avg(net) FILTER (m IS NOT NULL AND won), 6) + 0.0 AS net_won,
+  round(avg(net) FILTER (m IS NOT NULL AND NOT won), 6) + 0.0 AS net_lost,
+  round(avg(100 * gap) FILTER (m IS NOT NULL) - (avg(100 * sg * m) - avg(100 * sg * f)), 6) + 0.0 AS residual
+FROM x GROUP BY 1 HAVING count(m) > 0""")
+def closure_at_cap(spark, sf):
+    """Every third trade has no fair value under the entry calibration; half the move stands for it."""
+    rows = T.closure_point(hits(spark, sf), scored(spark, sf), eps=0.01, cap=20 * SEC, chunk=DAY)
+    yes = F.col("side_yes") == 1
+    won = (F.col("outc") == F.col("side_yes")).cast("int")
+    rows = rows.withColumns({
+        "cap_dfair_fx": F.when(F.col("seq") % 3 > 0, F.col("cap_dfair") / 2), "won": won, "gap": F.abs("gap"),
+        "net": won - F.when(yes, F.col("yask")).otherwise(1 - F.col("ybid"))})
+    return R.capped_closure(rows, ["instrument"]).select("instrument", "trades", "n", "n_fx", *r6(
+        "gap0", "mkt_move", "fair_move", "fx_move", "refit_move", "net_won", "net_lost", "residual"))
+
+
 @query("persistent_gaps", f"""WITH {SCORED}, i AS (SELECT *, row_number() OVER w AS n FROM scored
   WINDOW w AS (PARTITION BY ticker ORDER BY ts, seq)),
 z AS (SELECT *, n - coalesce(max(CASE WHEN abs(gap) < 0.04::DOUBLE THEN n END) OVER (PARTITION BY ticker ORDER BY ts, seq
