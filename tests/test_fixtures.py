@@ -215,3 +215,11 @@ def test_closure_at_a_horizon_counts_trades_that_never_close(frame):
     assert (r.gap0, r.mkt_move, r.fair_move) == (pytest.approx(5), pytest.approx(0.5), pytest.approx(-3))
     assert (r.fx_move, r.refit_move, r.residual) == (pytest.approx(-1), pytest.approx(-3), pytest.approx(1.5))
     assert (r.net_won, r.net_lost) == (0.5, -0.4)
+
+
+def test_snapshots_of_one_instant_have_a_fixed_winner(frame):
+    rows = [(1_000_000_000, "[[10, 1]]", "[[11, 1]]"), (1_500_000_000, "[[10, 2]]", "[[12, 1]]"),
+            (1_500_000_000, "[[10, 3]]", "[[12, 1]]")]
+    for some in (rows, rows[::-1]):
+        out = K.l2_features(frame(some, "recv_ts_ns LONG, bids_json STRING, asks_json STRING"), ks=(1,), bands=()).collect()
+        assert [(r.t, r.imb1) for r in out] == [(1, 0.5)]

@@ -16,7 +16,6 @@ MONEYNESS_BUCKETS = [
     ("0.05-0.20", 0.05, 0.20), ("0.20-0.35", 0.20, 0.35), ("0.35-0.45", 0.35, 0.45),
     ("0.45-0.55 ATM", 0.45, 0.55), ("0.55-0.65", 0.55, 0.65), ("0.65-0.80", 0.65, 0.80),
     ("0.80-0.95", 0.80, 0.95)]
-ATM_BAND = (0.30, 0.70)
 
 
 def _choose(pairs, default) -> Column:
@@ -51,9 +50,5 @@ def edge_bucket(value: Column, edges: Sequence[float], labels: Sequence[str] | N
     return _choose(pairs, None)
 
 
-def in_atm_band(label_lo: float, label_hi: float) -> bool:
-    return label_lo >= ATM_BAND[0] and label_hi <= ATM_BAND[1]
-
-
 def in_band(price: Column, lo: float, hi: float) -> Column:
     return price.between(lo, hi)

@@ -271,10 +271,13 @@ def top_of_book(books: DataFrame, *, chunk: int, order: str = "seq") -> DataFram
 
 
 def l2_features(snapshots: DataFrame, *, ks=(1, 5, 20, 100), bands=(5, 10, 25)) -> DataFrame:
-    """Per-second features of the last snapshot in each second (ladders as JSON text)."""
+    """Per-second features of the last snapshot in each second (ladders as JSON text).
+
+    Of snapshots received at the same instant the one with the greatest text counts.
+    """
     sec = int_div(F.col("recv_ts_ns"), 1_000_000_000)
     last = snapshots.groupBy(sec.alias("t")).agg(
-        F.max_by(F.struct("bids_json", "asks_json"), "recv_ts_ns").alias("_s"))
+        F.max(F.struct("recv_ts_ns", "bids_json", "asks_json")).alias("_s"))
     pairs = {s: L.from_pairs(F.from_json(F.col(f"_s.{s}_json"), "ARRAY<ARRAY<DOUBLE>>"))
              for s in ("bids", "asks")}
     both = F.explode(F.array(F.struct(*[v.alias(k) for k, v in pairs.items()])))
