@@ -501,8 +501,8 @@ def train(rows: DataFrame, model: Model, *, px: Sequence[str], rounds: int = 2,
     return model, params, losses
 
 
-def split_events(meta: DataFrame, frac: float = 0.1, *, open_ts: str = "open_ts") -> DataFrame:
-    """Marks the last ``max(1, int(frac n))`` events by open time as validation.
+def split_events(meta: DataFrame, frac: float = 0.1, *, open_ts: str = "open_ts", up: bool = False) -> DataFrame:
+    """Marks the last ``max(1, int(frac n))`` events by open time as validation; ``up`` rounds up.
 
     The cut is an exact order statistic of open time, ties resolved by ticker.
     """
@@ -511,7 +511,7 @@ def split_events(meta: DataFrame, frac: float = 0.1, *, open_ts: str = "open_ts"
     n = meta.agg(F.count(F.lit(1)).alias("_n"))
     width = 86_400_000_000
     ranked = C.running_sum(meta, F.lit(1), "_i", by=[], ts=open_ts, order=["ticker"], chunk=width)
-    hold = F.greatest(F.lit(1), F.floor(F.col("_n") * frac))
+    hold = F.greatest(F.lit(1), (F.ceil if up else F.floor)(F.col("_n") * frac))
     return C.attach_row(ranked, n).withColumn(
         "split", F.when(F.col("_i") > F.col("_n") - hold, "val").otherwise("train")).drop("_i", "_n")
 

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from tickloom.operators import audit
+from tickloom.operators import joint as J
 from tickloom.operators import signals as G
 from tickloom.operators import surface as U
 from tickloom.plans.book_queries import r6
 from tickloom.plans.registry import query
 from tickloom.plans.roles import DAY, HOUR, MINUTE, SCORED, TICKS, scored, table, ticks
-from tickloom.plans.strategy_queries import EPISODES, ONE, SEC
+from tickloom.plans.strategy_queries import EPISODES, ONE, SEC, surface_sql
 from tickloom.plans.source_queries import S, with_recv
 from tickloom.session import fresh_path
 from tickloom.sources import feeds
@@ -219,6 +222,35 @@ def trained_surface(spark, sf):
         "ticker", *r6("d_b", "d_rho", "first_loss", "last_loss"))
 
 
+@query("joint_surface")
+def joint_surface(spark, sf):
+    _, params, losses = J.train(train_rows(spark, sf), FULL, px=["spot"], second=SEC)
+    return params.withColumn("first_loss", F.lit(losses[0])).withColumn("last_loss", F.lit(losses[-1])).select(
+        "ticker", *r6("d_b", "d_rho", "first_loss", "last_loss"))
+
+
+@query("joint_venues")
+def joint_venues(spark, sf):
+    """Two price channels with offset and scale of their own, structured network, quote and settlement blended."""
+    rows = train_rows(spark, sf).withColumn("cb", F.col("spot") + F.pmod("seq", F.lit(7)) / 10 - 0.3).withColumn(
+        "target", J.blended(F.col("mid"), F.col("outc"), 0.2))
+    start = replace(U.seeded_model(channels=2, hidden=32, rho=1.5), mode="structured")
+    model, params, losses = J.train(rows, start, px=["spot", "cb"], second=SEC, target="target",
+                                    descent=J.Descent(per_channel=True))
+    return params.select("ticker", *[F.col(c)[i].alias(f"{c}_{v}") for c in ("d_b", "d_rho") for i, v in enumerate(["spot", "cb"])],
+                         F.lit(model.rhos[0]).alias("rho_spot"), F.lit(model.rhos[1]).alias("rho_cb"),
+                         F.lit(losses[-1]).alias("last_loss")).select(
+        "ticker", *r6("d_b_spot", "d_b_cb", "d_rho_spot", "d_rho_cb", "rho_spot", "rho_cb", "last_loss"))
+
+
+@query("finetuned_surface")
+def finetuned_surface(spark, sf):
+    rows = train_rows(spark, sf)
+    _, tested, losses = J.finetune(rows, FULL, px=["spot"], second=SEC, fit_above=300.0, min_rows=1)
+    return tested.withColumn("last_loss", F.lit(losses[-1] if losses else None).cast("double")).select(
+        "ticker", "n", *r6("kl", "loss_model", "loss_market", "last_loss"))
+
+
 @query("static_fit_sweep")
 def static_fit_sweep(spark, sf):
     samples = U.fit_samples(scored(spark, sf), second=SEC)
@@ -254,14 +286,42 @@ def lead_model(spark, sf):
     return TR.train_lead(rows, horizon=4 * SEC, slack=SEC // 4, chunk=DAY)
 
 
-@query("fair_replay_audit")
+OTHER = U.seeded_model(channels=1, hidden=8, rho=1.5, seed=11)
+
+
+def at_model(model, spot):
+    """The network over column ``src.{spot}``, under the name its rows keep."""
+    return surface_sql(model, [spot], "tte_s", "strike", "d_b", "d_rho", [])
+
+
+@query("fair_replay_audit", f"""WITH {SCORED},
+w AS (SELECT ticker, ts + 500 AS ts, tte_s, mid, strike, seq, spot + (seq % 5 - 2) / 50.0::DOUBLE AS px0, 0.001::DOUBLE AS d_b, 0.0::DOUBLE AS d_rho FROM scored),
+q AS (SELECT ticker, ts AS at_ts, spot FROM scored),
+j AS (SELECT w.*, q.spot, abs(q.at_ts - w.ts) <= {SEC} AS near FROM w ASOF JOIN q ON w.ticker = q.ticker AND w.ts + 1000 >= q.at_ts),
+src AS (SELECT * FROM j WHERE near),
+l AS ({at_model(OTHER, "px0")}), a AS ({at_model(ONE, "px0")}), b AS ({at_model(ONE, "spot")}),
+e AS (SELECT 'A' AS "check", abs(a.p - l.p) AS e FROM a JOIN l USING (seq) UNION ALL SELECT 'B', abs(b.p - l.p) FROM b JOIN l USING (seq))
+SELECT "check", count(*) AS n, round(max(e), 6) AS max, round(quantile_cont(e, 0.5), 6) AS median, round(quantile_cont(e, 0.9), 6) AS p90
+FROM e GROUP BY 1""")
 def fair_replay_audit(spark, sf):
+    """The log was written by another model, from prices slightly off the sampler's."""
     from tickloom.operators import training as TR
-    rows = scored(spark, sf).drop("fair", "gap").withColumn("d_b", F.lit(0.001)).withColumn("d_rho", F.lit(0.0))
-    logged = U.score(rows, ONE, px=["spot"]).select(
-        "ticker", (F.col("ts") + 500).alias("ts"), "tte_s", F.col("spot").alias("px0"), "fair", "d_b", "d_rho")
+    rows = scored(spark, sf).drop("fair", "gap").withColumn("d_b", F.lit(0.001)).withColumn("d_rho", F.lit(0.0)).withColumn(
+        "px0", F.col("spot") + (F.pmod("seq", F.lit(5)) - 2) / 50)
+    logged = U.score(rows, OTHER, px=["px0"]).select(
+        "ticker", (F.col("ts") + 500).alias("ts"), "tte_s", "px0", "fair", "d_b", "d_rho")
     return TR.audit_fair(logged, rows.select("ticker", "ts", "spot", "strike"), ONE, px=["spot"],
-                         tol=SEC, lead=1000, chunk=DAY)
+                         tol=SEC, lead=1000, chunk=DAY).select("check", "n", *r6("max", "median", "p90"))
+
+
+@query("calibration_replay_audit")
+def calibration_replay_audit(spark, sf):
+    """Check C: parameters logged by another model against the refit of this one."""
+    from tickloom.operators import training as TR
+    samples = U.fit_samples(scored(spark, sf), second=SEC)
+    fits = dict(px=["spot"], tte_max=300, step=100, window=240.0, min_rows=10)
+    logged = U.calibrate(samples, OTHER, **fits).select("ticker", "boundary", "d_b", "d_rho")
+    return TR.audit_calibration(logged, samples, ONE, **fits).select("ticker", "boundary", *r6("diff_b", "diff_rho"))
 
 
 # ── streams over the given files ─────────────────────────────────────────────

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import ladders as L
 from tickloom.operators import folds
+from tickloom.operators import joint as J
 from tickloom.operators import reports as R
 from tickloom.operators import surface as U
 from tickloom.operators import trades as T
@@ -723,10 +724,23 @@ def causal_fair_series(spark, sf):
         "ticker", "seq", "boundary", *r6("fair", "gap"))
 
 
-@query("demeaned_gap")
+@query("demeaned_gap", f"""WITH {SCORED}, kept AS (SELECT *, ceil(tte_s / 100) * 100.0::DOUBLE AS boundary FROM scored WHERE tte_s <= 300),
+seg AS (SELECT DISTINCT ticker, boundary, boundary / 50000 AS d_b, boundary / 2000 - 0.1::DOUBLE AS d_rho FROM kept),
+grid AS (SELECT * FROM kept QUALIFY row_number() OVER (PARTITION BY ticker, ts // {SEC} ORDER BY ts, seq) = 1),
+src AS (SELECT 1 AS own, seq, ticker, boundary, d_b, d_rho, tte_s, spot, strike, mid FROM kept JOIN seg USING (ticker, boundary)
+  UNION ALL SELECT 0, g.seq, g.ticker, s.boundary, s.d_b, s.d_rho, g.tte_s, g.spot, g.strike, g.mid FROM grid g JOIN seg s
+    ON g.ticker = s.ticker AND g.tte_s > s.boundary - 100 AND g.tte_s <= s.boundary + 200),
+sc AS ({surface_sql(ONE, ['spot'], 'tte_s', 'strike', 'd_b', 'd_rho', [])}),
+g AS (SELECT own, seq, ticker, boundary, tte_s, p - mid AS gap FROM sc),
+m AS (SELECT r.ticker, r.seq, r.gap, CASE WHEN count(h.gap) >= 5 THEN avg(h.gap) END AS gbar FROM g r LEFT JOIN g h
+  ON h.own = 0 AND h.ticker = r.ticker AND h.boundary = r.boundary AND h.tte_s >= r.tte_s AND h.tte_s <= r.tte_s + 200
+  WHERE r.own = 1 GROUP BY r.ticker, r.seq, r.gap)
+SELECT ticker, seq, round(gap, 6) + 0.0 AS gap, round(gbar, 6) + 0.0 AS gbar, round(gap - gbar, 6) + 0.0 AS sig FROM m""")
 def demeaned_gap(spark, sf):
+    """Every segment has parameters of its own, so the look-back is scored anew for each."""
     rows = scored(spark, sf).drop("fair", "gap").withColumn("boundary", F.ceil(F.col("tte_s") / 100) * 100.0)
-    rows = rows.filter("tte_s <= 300").withColumn("d_b", F.lit(0.001)).withColumn("d_rho", F.lit(0.01))
+    rows = rows.filter("tte_s <= 300").withColumn("d_b", F.col("boundary") / 50000).withColumn(
+        "d_rho", F.col("boundary") / 2000 - 0.1)
     series = U.score(rows, ONE, px=["spot"]).withColumn("gap", F.col("fair") - F.col("mid"))
     return U.demean(series, ONE, px=["spot"], second=SEC, window=200, step=100).select(
         "ticker", "seq", *r6("gap", "gbar", "sig"))
@@ -746,6 +760,23 @@ def training_gradient(spark, sf):
     return out.select(*r6("loss", "grad_last_bias"))
 
 
+@query("event_slopes", f"""WITH {SCORED}, src AS (SELECT ticker, spot, tte_s, strike, mid, v.i,
+  0.001::DOUBLE + v.b AS d_b, 0.01::DOUBLE + v.r AS d_rho, 1.0::DOUBLE / count(*) OVER (PARTITION BY ticker, v.i) AS w
+  FROM scored, (VALUES (0, 0.0::DOUBLE, 0.0::DOUBLE), (1, 1e-6::DOUBLE, 0.0::DOUBLE), (2, -1e-6::DOUBLE, 0.0::DOUBLE),
+    (3, 0.0::DOUBLE, 1e-5::DOUBLE), (4, 0.0::DOUBLE, -1e-5::DOUBLE)) v(i, b, r)),
+sc AS ({surface_sql(ONE, ['spot'], 'tte_s', 'strike', 'd_b', 'd_rho', [])}),
+l AS (SELECT ticker, i, w, least(greatest(mid, 0.01::DOUBLE), 0.99::DOUBLE) AS y, h{len(ONE.layers)}_0 AS lo FROM sc),
+s AS (SELECT ticker, i, sum(w * (greatest(lo, 0) - lo * y + ln(1 + exp(-abs(lo))))) AS loss FROM l GROUP BY ticker, i)
+SELECT ticker, round(max(loss) FILTER (i = 0), 6) AS loss,
+  round((max(loss) FILTER (i = 1) - max(loss) FILTER (i = 2)) / 2e-6::DOUBLE, 4) + 0.0 AS g_b,
+  round((max(loss) FILTER (i = 3) - max(loss) FILTER (i = 4)) / 2e-5::DOUBLE, 4) + 0.0 AS g_rho FROM s GROUP BY ticker""")
+def event_slopes(spark, sf):
+    from tickloom.operators.stats import event_weight
+    rows = event_weight(scored(spark, sf), "ticker").withColumn("d_b", F.lit(0.001)).withColumn("d_rho", F.lit(0.01))
+    return J.event_slopes(rows, ONE, px=["spot"]).select("ticker", *r6("loss"), *[
+        (F.round(c, 4) + 0.0).alias(c) for c in ("g_b", "g_rho")])
+
+
 @query("lead_training_rows", f"""WITH {SCORED}, w AS (SELECT *, ts + {4 * SEC} - {SEC // 4} AS want FROM scored)
 SELECT w.seq, round(q.mid, 6) AS mid_next, round(ln(least(greatest(w.mid, 0.01::DOUBLE), 0.99::DOUBLE) / (1 - least(greatest(w.mid, 0.01::DOUBLE), 0.99::DOUBLE))), 6) + 0.0 AS base
 FROM w ASOF JOIN scored q ON w.ticker = q.ticker AND w.want <= q.ts""")
