@@ -152,3 +152,25 @@ def test_identity_is_of_the_numbers():
     a, b = U.seeded_model(2, hidden=4), U.seeded_model(2, hidden=4)
     assert U.identity(a) == U.identity(b) != U.identity(replace(a, b_scale=51.0))
     assert U.identity(replace(a, digest="d")) == "d"
+
+
+def test_residual_takes_training_events_equally_and_holds_momentum(spark):
+    rng, data = np.random.default_rng(5), []
+    for e in range(20):
+        for i in range(60 if e % 2 else 20):
+            mom = 400.0 if i == 0 and e == 0 else float(rng.normal())
+            data.append((f"e{e:02d}", e * 1000 + i, float(rng.normal()), mom, e % 2))
+    df = spark.createDataFrame(data + [("e00", 1, None, 1.0, 1), ("e01", 2, 0.0, None, 0)],
+                               "ticker STRING, ts LONG, logit DOUBLE, mom DOUBLE, outc INT")
+    got = U.residual_fit(df).collect()[0]
+    train = [r for r in data if r[0] < "e18"]
+    mom = np.array([r[3] for r in train])
+    assert (got.mom_mu, got.mom_sd) == pytest.approx((mom.mean(), mom.std() + 1e-9))
+    z, y, lo = np.clip((mom - mom.mean()) / mom.std(), -5, 5), np.array([r[4] for r in train]), np.array([r[2] for r in train])
+    w = np.array([1 / sum(s[0] == r[0] for s in train) for r in train])
+    miss = w * (y - U.sigmoid(lo + got.alpha + got.beta * z))
+    assert abs(miss.sum()) < 1e-6 and abs((miss * z).sum()) < 1e-6 and z.max() == 5
+    rows = spark.createDataFrame([("a", 0.5, 1e9), ("b", 0.5, None)], "ticker STRING, fair DOUBLE, mom DOUBLE")
+    adj = {r.ticker: r.fair_adj for r in U.residual_adjusted(rows, U.residual_fit(df)).collect()}
+    want = U.sigmoid(got.alpha + 5 * got.beta)
+    assert adj == {"a": pytest.approx(min(max(want, 0.01), 0.99)), "b": None}

@@ -517,20 +517,56 @@ def split_events(meta: DataFrame, frac: float = 0.1, *, open_ts: str = "open_ts"
 
 
 def residual_momentum(rows: DataFrame, *, logit: str = "logit", momentum: str = "mom",
-                      outcome: str = "outc") -> DataFrame:
+                      outcome: str = "outc", weight: str | None = None) -> DataFrame:
     """Logistic regression of the outcome on momentum, the surface's logit as offset."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GeneralizedLinearRegression
 
+    given = F.col(weight) if weight else F.lit(1.0)
     data = VectorAssembler(inputCols=[momentum], outputCol="features").transform(
-        rows.select(momentum, logit, F.col(outcome).cast("double").alias("label")))
-    glm = GeneralizedLinearRegression(family="binomial", link="logit", offsetCol=logit,
-                                      maxIter=25, regParam=0.0)
+        rows.select(momentum, logit, F.col(outcome).cast("double").alias("label"), given.cast("double").alias("_w")).dropna())
+    glm = GeneralizedLinearRegression(family="binomial", link="logit", offsetCol=logit, weightCol="_w",
+                                      maxIter=50, tol=1e-9, regParam=0.0)
     fitted = glm.fit(data)
     return rows.sparkSession.createDataFrame(
         [(float(fitted.intercept), float(fitted.coefficients[0]))], "alpha DOUBLE, beta DOUBLE")
 
 
+def residual_fit(rows: DataFrame, *, logit: str = "logit", momentum: str = "mom", outcome: str = "outc",
+                 frac: float = 0.1) -> DataFrame:
+    """Momentum residual of the training events: one row (alpha, beta, mom_mu, mom_sd).
+
+    Momentum is scaled by the moments of the training rows and held within five deviations; each event weighs
+    the same. The last ``frac`` of the events take no part.
+    """
+    from tickloom.operators import stats as S
+    from tickloom.operators.chunks import attach_row
+    from tickloom.session import materialize
+
+    split = split_events(rows.groupBy("ticker").agg(F.min("ts").alias("open_ts")), frac)
+    kept = rows.select("ticker", logit, F.col(momentum).alias("mom"), outcome).dropna().join(
+        split.filter("split = 'train'").select("ticker"), "ticker", "left_semi")
+    kept = materialize(S.event_weight(kept, "ticker"), "residual")
+    scaler = S.fit_scaler(kept, ["mom"])
+    scaled = attach_row(kept, scaler).withColumn("mom", scaled_momentum(F.col("mom")))
+    fit = residual_momentum(scaled, logit=logit, outcome=outcome, weight="weight")
+    return attach_row(fit, scaler)
+
+
+def scaled_momentum(mom: Column) -> Column:
+    return F.greatest(F.lit(-5.0), F.least(F.lit(5.0), (mom - F.col("mom_mu")) / F.col("mom_sd")))
+
+
+def residual_adjusted(rows: DataFrame, fit: DataFrame, *, fair: str = "fair", momentum: str = "mom") -> DataFrame:
+    """Rows with ``fair_adj``: fair value moved by the fitted momentum residual; without momentum it is null."""
+    from tickloom.operators.chunks import attach_row
+
+    bound = lambda c: F.greatest(F.lit(MID_CLIP), F.least(F.lit(1 - MID_CLIP), c))
+    lo = P.logit(bound(F.col(fair))) + F.col("alpha") + F.col("beta") * scaled_momentum(F.col(momentum))
+    adj = F.when(F.col(momentum).isNotNull() & F.col(fair).isNotNull(), bound(1 / (1 + F.exp(-lo))))
+    return attach_row(rows, fit).withColumn("fair_adj", adj).drop("alpha", "beta", "mom_mu", "mom_sd")
+
+
 LEAD_CLAMP = 1.5  # fixed value: largest correction of the lead model, in logits
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tickloom.operators import audit
 from tickloom.operators import joint as J
 from tickloom.operators import signals as G
+from tickloom.operators import stats
 from tickloom.operators import surface as U
 from tickloom.plans.book_queries import r6
 from tickloom.plans.registry import query
@@ -257,11 +258,48 @@ def static_fit_sweep(spark, sf):
     return U.fit_sweep(samples, ONE, [300, 600], px=["spot"], min_rows=20)
 
 
-@query("residual_momentum")
+RESIDUAL = f"""WITH RECURSIVE {SCORED}, rows AS (SELECT ticker, ts, fair, outc, ln(fair / (1 - fair)) AS lo, (spot - 102) / 5 AS mom FROM scored),
+ev AS (SELECT ticker, row_number() OVER (ORDER BY min(ts), ticker) AS i, count(*) OVER () AS n FROM rows GROUP BY ticker),
+val AS (SELECT ticker FROM ev WHERE i > n - greatest(1, floor(n * 0.1::DOUBLE))),
+fit AS (SELECT *, 1.0::DOUBLE / count(*) OVER (PARTITION BY ticker) AS w FROM rows WHERE ticker NOT IN (SELECT ticker FROM val)),
+mo AS (SELECT avg(mom) AS mu, stddev_pop(mom) + 1e-9 AS sd FROM fit),
+z AS (SELECT lo, w, outc, greatest(-5, least(5, (mom - mu) / sd)) AS z FROM fit, mo),
+newton AS (SELECT 0 AS i, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b
+  UNION ALL
+  SELECT i + 1, a + (hzz * g0 - hz * gz) / (h0 * hzz - hz * hz), b + (h0 * gz - hz * g0) / (h0 * hzz - hz * hz) FROM (
+    SELECT i, a, b, sum(w * (outc - q)) AS g0, sum(w * z * (outc - q)) AS gz, sum(w * q * (1 - q)) AS h0,
+      sum(w * z * q * (1 - q)) AS hz, sum(w * z * z * q * (1 - q)) AS hzz
+    FROM (SELECT i, a, b, w, z, outc, 1 / (1 + exp(-(lo + a + b * z))) AS q FROM newton, z WHERE i < 20) GROUP BY i, a, b)),
+ab AS (SELECT a, b, mu, sd FROM newton, mo WHERE i = 20)"""
+
+
+def residual_rows(spark, sf):
+    return scored(spark, sf).withColumn("logit", F.log(F.col("fair") / (1 - F.col("fair")))).withColumn(
+        "mom", (F.col("spot") - 102) / 5)
+
+
+@query("residual_momentum", RESIDUAL + """
+SELECT round(a, 6) AS alpha, round(b, 6) AS beta, round(mu, 6) AS mom_mu, round(sd, 6) AS mom_sd FROM ab""")
 def residual_momentum(spark, sf):
-    rows = scored(spark, sf).select(F.log(F.col("fair") / (1 - F.col("fair"))).alias("logit"),
-                                    ((F.col("spot") - 102) / 5).alias("mom"), "outc")
-    return U.residual_momentum(rows).select(*r6("alpha", "beta"))
+    return U.residual_fit(residual_rows(spark, sf)).select(*r6("alpha", "beta", "mom_mu", "mom_sd"))
+
+
+@query("residual_losses", RESIDUAL + """,
+adj AS (SELECT ticker, outc, fair, greatest(0.01::DOUBLE, least(0.99::DOUBLE, 1 / (1 + exp(-(
+    ln(greatest(0.01::DOUBLE, least(0.99::DOUBLE, fair)) / (1 - greatest(0.01::DOUBLE, least(0.99::DOUBLE, fair))))
+    + a + b * greatest(-5, least(5, (mom - mu) / sd))))))) AS fair_adj
+  FROM rows JOIN val USING (ticker), ab)
+SELECT ticker, count(*) AS n, round(avg(-ln(CASE WHEN outc = 1 THEN fair ELSE 1 - fair END)), 6) AS loss,
+  round(avg(-ln(CASE WHEN outc = 1 THEN fair_adj ELSE 1 - fair_adj END)), 6) AS loss_adj FROM adj GROUP BY ticker""")
+def residual_losses(spark, sf):
+    """Outcome loss of the held-out events, with and without the momentum residual."""
+    rows = residual_rows(spark, sf)
+    split = U.split_events(rows.groupBy("ticker").agg(F.min("ts").alias("open_ts")), 0.1)
+    late = rows.join(split.filter("split = 'val'").select("ticker"), "ticker", "left_semi")
+    adj = U.residual_adjusted(late, U.residual_fit(rows))
+    loss = lambda c: F.avg(stats.log_loss(F.col(c), F.col("outc"), 0.01))
+    return adj.groupBy("ticker").agg(F.count(F.lit(1)).alias("n"), loss("fair").alias("loss"),
+                                     loss("fair_adj").alias("loss_adj")).select("ticker", "n", *r6("loss", "loss_adj"))
 
 
 @query("feature_ablation")
