@@ -190,3 +190,17 @@ def test_finetune_starts_warm_and_measures_the_later_half(frame):
     # the network moves by at most its rate per step, the scale by four times that
     step = np.abs(J.flatten(tuned) - J.flatten(model))
     assert 0 < step[:-1].max() < 8 * 5e-4 * 1.5 and step[-1] < 8 * 2e-3 * 1.5
+
+
+def test_a_pass_moves_neither_rows_nor_state(frame, monkeypatch):
+    plans, write = [], J.bucketed
+
+    def spy(df, n, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, n, label)
+
+    monkeypatch.setattr(J, "bucketed", spy)
+    J.train(frame(rows(), DDL), U.seeded_model(1, hidden=3, rho=1.5), px=["spot"], second=SEC,
+            descent=J.Descent(passes=1, shard_rows=80))
+    passes = [p for p in plans if "FlatMapCoGroups" in p]
+    assert len(passes) == 1 and "Exchange" not in passes[0]
