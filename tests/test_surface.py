@@ -174,3 +174,26 @@ def test_residual_takes_training_events_equally_and_holds_momentum(spark):
     adj = {r.ticker: r.fair_adj for r in U.residual_adjusted(rows, U.residual_fit(df)).collect()}
     want = U.sigmoid(got.alpha + 5 * got.beta)
     assert adj == {"a": pytest.approx(min(max(want, 0.01), 0.99)), "b": None}
+
+
+def test_samples_of_one_instant_have_a_fixed_winner(spark):
+    data = [("a", 5, 2.0), ("a", 5, 1.0), ("a", 7, 0.5), ("a", 1_000_001, 9.0), ("b", 3, None), ("b", 3, 4.0)]
+    for part in (data, data[::-1]):
+        df = spark.createDataFrame(part, "ticker STRING, ts LONG, mid DOUBLE").repartition(4)
+        got = {tuple(r) for r in U.fit_samples(df, second=SECOND).collect()}
+        assert got == {("a", 5, 1.0), ("a", 1_000_001, 9.0), ("b", 3, None)}
+
+
+def test_calibration_audit_compares_two_models(spark):
+    one, other = U.seeded_model(1, hidden=4, rho=1.5), U.seeded_model(1, hidden=4, rho=1.5, seed=11)
+    rng = np.random.default_rng(2)
+    data = [("a", (900 - t) * SECOND, float(t), 100 + float(rng.normal()), 100.0, 0.4) for t in range(61, 181, 3)]
+    df = spark.createDataFrame(data, "ticker STRING, ts LONG, tte_s DOUBLE, spot DOUBLE, strike DOUBLE, mid DOUBLE")
+    fits = dict(px=["spot"], tte_max=60, step=60, window=120.0, min_rows=10, first_steps=20)
+    logged = U.calibrate(df, other, **fits)
+    got = TR.audit_calibration(logged, df, one, **fits).collect()
+    p = sorted(data, key=lambda r: r[1])
+    px, tte, mid = np.array([[r[3]] for r in p]), np.array([r[2] for r in p]), np.array([r[5] for r in p])
+    want = np.subtract(U.fit(other, px, tte, mid, 100.0, steps=20), U.fit(one, px, tte, mid, 100.0, steps=20))
+    assert [(r.ticker, r.boundary) for r in got] == [("a", 60.0)] and np.abs(want).max() > 0
+    assert (got[0].diff_b, got[0].diff_rho) == pytest.approx(tuple(want), abs=1e-9)

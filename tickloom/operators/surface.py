@@ -212,11 +212,14 @@ CALIB = "boundary DOUBLE, rows INT, d_b DOUBLE, d_rho DOUBLE, bce DOUBLE"
 
 
 def fit_samples(rows: DataFrame, *, second: int, ts: str = "ts") -> DataFrame:
-    """First row of each event second: a fit sees at most one row per second of the window."""
+    """First row of each event second: a fit sees at most one row per second of the window.
+
+    Of rows at one instant the smallest stays, by its columns in order.
+    """
     packed = F.struct(*[F.col(c) for c in rows.columns])
     sec = F.floor(F.col(ts) / second)
-    return rows.groupBy("ticker", sec.alias("_s")).agg(F.min_by(packed, ts).alias("_r")).select(
-        "_r.*")
+    first = F.min(F.struct(F.col(ts).alias("_at"), packed.alias("_r")))
+    return rows.groupBy("ticker", sec.alias("_s")).agg(first.alias("_f")).select("_f._r.*")
 
 
 def calibrate(samples: DataFrame, model: Model, *, px: Sequence[str], tte_max: int = 300,
