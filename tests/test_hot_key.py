@@ -7,6 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as contract
+
 from tickloom.operators import chunks as C
 from tickloom.operators import folds
 from tickloom.operators import grid as G
@@ -73,6 +75,30 @@ def test_running_previous_fill_trailing(frame, chunk):
         assert r["mean"] == (pytest.approx(sum(near) / len(near)) if near else None)
 
 
+@pytest.mark.parametrize("span,until", [(20, 0), (20, 3), (0, 0), (5000, 0)])
+def test_trailing_totals(frame, span, until):
+    rows = [(k, t, i, v if i % 4 else None) for i, (k, t, _, v) in enumerate(series() + [("", -5, 0, 1.0), (None, 3, 0, 2.0)])]
+    df = frame(rows + [("hot", None, 999, 1.0)], TICK)
+    out = C.trailing(df, {"mean": ("avg", "v"), "total": ("sum", "v"), "n": ("count", "v"), "high": F.max("v")}, by=["key"],
+                     ts="ts", span=span, until=until, chunk=100)
+    assert out.columns == ["key", "ts", "seq", "v", "mean", "total", "n", "high"]
+    got = {r.seq: r for r in out.collect()}
+    assert set(got) == {r[2] for r in rows}
+    for key, t, seq, _ in rows:
+        near = [x[3] for x in rows if x[0] == key and t - span <= x[1] <= t - until and x[3] is not None]
+        r = got[seq]
+        assert (r.n, r.high) == (len(near), max(near, default=None))
+        assert r.total == (pytest.approx(sum(near)) if near else None)
+        assert r["mean"] == (pytest.approx(sum(near) / len(near)) if near else None)
+
+
+@pytest.mark.parametrize("name", ["trailing_mean", "union_variants", "feed_features"])
+def test_means_of_windows_walk_no_window_per_row(spark, capsys, name):
+    contract.queries()[name](spark, "/root/testdata/sf0.001").explain()
+    plan = capsys.readouterr().out
+    assert "specifiedwindowframe(RangeFrame, -" not in plan
+
+
 @pytest.mark.parametrize("chunk", CHUNKS)
 @pytest.mark.parametrize("gap", [1, 9, 30])
 def test_refractory(frame, chunk, gap):

@@ -154,11 +154,61 @@ def fill_max(df: DataFrame, value: str, out: str, *, by: Sequence[str] = (), ts:
     return base.withColumn(out, -F.least(F.min("_v").over(frame), F.col("_before"))).drop("_v", "_before", CHUNK)
 
 
-def trailing(df: DataFrame, aggregates: dict[str, Column], *, by: Sequence[str], ts: str,
+def trailing(df: DataFrame, aggregates: dict[str, Column | tuple[str, str]], *, by: Sequence[str], ts: str,
              span: int, until: int = 0, chunk: int) -> DataFrame:
-    """Aggregates over rows with time in ``[ts - span, ts - until]`` of the same key."""
-    base = with_halo(df, ts, chunk, before=span)
-    frame = chunk_window(by, ts).rangeBetween(-span, -until)
-    for out, agg in aggregates.items():
-        base = base.withColumn(out, agg.over(frame))
-    return drop_halo(base)
+    """Aggregates over rows with time in ``[ts - span, ts - until]`` of the same key.
+
+    ``(how, column)`` with how one of ``avg``, ``sum`` or ``count`` (of non-null values) is put
+    together from running totals, so a row costs the same however many its window holds. A Column
+    is any aggregate, evaluated over a frame: every row then walks all rows of its window.
+    """
+    frames = {out: agg for out, agg in aggregates.items() if isinstance(agg, Column)}
+    totals = {out: agg for out, agg in aggregates.items() if out not in frames}
+    base = _trailing_totals(df, totals, by=by, ts=ts, span=span, until=until) if totals else df
+    if frames:
+        base = with_halo(base, ts, chunk, before=span)
+        frame = chunk_window(by, ts).rangeBetween(-span, -until)
+        for out, agg in frames.items():
+            base = base.withColumn(out, agg.over(frame))
+        base = drop_halo(base)
+    return base.select(*df.columns, *aggregates)
+
+
+def _trailing_totals(df: DataFrame, aggregates: dict[str, tuple[str, str]], *, by: Sequence[str], ts: str,
+                     span: int, until: int) -> DataFrame:
+    """Sums and counts over ``[ts - span, ts - until]``, without subtracting one total from another.
+
+    Time is cut into blocks just as long as the window, which so holds the end of one block and the
+    start of the next: a running total up to its end plus one, in reversed time, down to its start.
+    """
+    length = span - until + 1  # whole instants, both ends included
+    columns = list(dict.fromkeys(c for _, c in aggregates.values()))
+    keys = [F.col(k).alias(f"_k{i}") for i, k in enumerate(by)]
+    rows = df.filter(F.col(ts).isNotNull())
+    data = rows.select(*keys, F.col(ts).alias("_t"), *[F.col(c).alias(f"_v{i}") for i, c in enumerate(columns)])
+    place = [f"_k{i}" for i in range(len(by))] + [CHUNK]
+
+    def total(rows: DataFrame, at: Column, order: Column, name: str) -> DataFrame:
+        """Adds ``_{name}_s0``, ``_{name}_n0``, ...: totals of the block of ``at``, in ``order`` as far as ``at``."""
+        probes = rows.select(*keys, at.alias("_t"), F.struct(*[F.col(c) for c in rows.columns]).alias("_row"))
+        both = with_chunk(probes.unionByName(data, allowMissingColumns=True), "_t", length)
+        frame = Window.partitionBy(*place).orderBy(order).rangeBetween(
+            Window.unboundedPreceding, Window.currentRow)
+        sums = [f(f"_v{i}").over(frame).alias(f"_{name}_{x}{i}") for i in range(len(columns))
+                for x, f in (("s", F.sum), ("n", F.count))]
+        return both.select("_row", *sums).filter(F.col("_row").isNotNull()).select(
+            "_row.*", *[f"_{name}_{x}{i}" for i in range(len(columns)) for x in "sn"])
+
+    start, end = F.col(ts) - F.lit(span), F.col(ts) - F.lit(until)
+    out = total(rows, end, F.col("_t").asc(), "to")
+    out = total(out, start, F.col("_t").desc(), "from")
+    one = F.pmod(start, F.lit(length)) == 0  # the window is a block
+    for name, (how, column) in aggregates.items():
+        i = columns.index(column)
+        n = F.col(f"_to_n{i}") + F.when(one, F.lit(0)).otherwise(F.col(f"_from_n{i}"))
+        head, tail = F.col(f"_to_s{i}"), F.when(~one, F.col(f"_from_s{i}"))
+        both = F.coalesce(head + tail, head, tail)
+        if how not in ("avg", "sum", "count"):
+            raise ValueError(f"unknown total {how}")
+        out = out.withColumn(name, n if how == "count" else both if how == "sum" else both / F.when(n > 0, n))
+    return out

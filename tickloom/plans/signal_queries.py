@@ -122,7 +122,7 @@ def union_variants(spark, sf):
     from tickloom.operators import chunks as C
     from tickloom.operators import trades as T
     from tickloom.plans.strategy_queries import hits
-    rows = C.trailing(scored(spark, sf), {"_mean": F.avg("gap"), "_n": F.count("gap")}, by=["ticker"], ts="ts",
+    rows = C.trailing(scored(spark, sf), {"_mean": ("avg", "gap"), "_n": ("count", "gap")}, by=["ticker"], ts="ts",
                       span=120 * SEC, chunk=DAY)
     sig = F.when(F.col("_n") >= 5, F.round(F.col("gap") - F.col("_mean"), 9))
     demeaned = T.gap_crossings(rows.withColumn("sig", sig), 0.05, rearm=0.02, sig="sig", tte_min=60.0, chunk=DAY)
