@@ -35,7 +35,7 @@ def forward_fill(spark, sf):
 SELECT seq, round(avg(px) OVER w, 9) AS mean, count(*) OVER w AS n FROM ticks
 WINDOW w AS (PARTITION BY instrument ORDER BY ts RANGE BETWEEN {6 * HOUR} PRECEDING AND CURRENT ROW)""")
 def trailing_mean(spark, sf):
-    rows = C.trailing(ticks(spark, sf), {"mean": F.avg("px"), "n": F.count("px")},
+    rows = C.trailing(ticks(spark, sf), {"mean": ("avg", "px"), "n": ("count", "px")},
                       by=["instrument"], ts="ts", span=6 * HOUR, chunk=DAY)
     return rows.select("seq", F.round("mean", 9).alias("mean"), "n")
 
