@@ -171,7 +171,7 @@ def _window_mean(probes: DataFrame, series: DataFrame, value: str, out: str, *,
     rows = probes.select(F.col(ts).alias("_t"), whole.alias("_row"))
     both = rows.unionByName(series.select(F.col(ts).alias("_t"), F.col(value).alias("_v")),
                             allowMissingColumns=True)
-    both = C.trailing(both, {out: F.avg("_v")}, by=[], ts="_t", span=span, chunk=chunk)
+    both = C.trailing(both, {out: ("avg", "_v")}, by=[], ts="_t", span=span, chunk=chunk)
     return both.filter(F.col("_row").isNotNull()).select("_row.*", out)
 
 
