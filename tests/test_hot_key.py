@@ -338,6 +338,47 @@ def test_rule_that_never_forgets_is_walked(frame, monkeypatch):
     assert got == [(k, i) for k in "ab" for i in range(900) if i % 36 < 5]
 
 
+@pytest.mark.parametrize("whole", [0, 60, 50_000])
+def test_ledger_of_quiet_and_busy_keys(frame, monkeypatch, whole):
+    """Quiet instruments are walked without a reading of chunks, busy ones by chunks, with the same rows."""
+    from tickloom.operators import folds
+
+    rng, rows, read = random.Random(9), [], []
+    for key, n in (("a", 40), ("b", 200), ("c", 1), (None, 3)):
+        for i in range(n):
+            fill = (key, f"{key}{i}", rng.choice(["Buy", "Sell"]), float(rng.randint(1, 9)), round(rng.random(), 3), 0.01)
+            rows.append((*fill, 1.0, i // 2, 2 * i))
+            if rng.random() < 0.3:
+                rows.append((*fill, -1.0, i // 2 + rng.randint(0, 9), 2 * i + 1))
+    plain = folds.openings
+    monkeypatch.setattr(folds, "openings", lambda rows, **kw: read.append({r[0] for r in rows.select("instrument").collect()})
+                        or plain(rows, **kw))
+    monkeypatch.setattr(T, "WHOLE_KEY", whole)
+    df = frame(rows, "instrument STRING, venue_trade_id STRING, side STRING, qty DOUBLE, px DOUBLE, fee DOUBLE, sign DOUBLE, "
+                     "ts LONG, seq LONG")
+    got = {(r.instrument, r.seq): r for r in T.position_ledger(df, chunk=9).collect()}
+    assert set().union(*read) == {k for k in "abc" if sum(r[0] == k for r in rows) > whole}
+    assert len(got) == sum(r[0] is not None for r in rows)
+    for key in "abc":
+        qty = cost = gain = 0.0
+        refused = set()
+        for _, fill, side, q, px, fee, sign, _, seq in sorted((r for r in rows if r[0] == key), key=lambda r: r[7:]):
+            step = sign * (q if side == "Buy" else -q)
+            skip = sign < 0 and fill in refused
+            bad = not skip and qty + step < 0
+            if bad and sign > 0:
+                refused.add(fill)
+            if not skip and not bad:
+                if side == "Buy" and qty + step > 0:
+                    cost = (cost * qty + sign * (q * px + fee)) / (qty + step)
+                elif side == "Sell":
+                    gain += sign * (q * (px - cost) - fee)
+                qty += step
+            r = got[key, seq]
+            assert (r.qty_after, r.violation) == (qty, bad)
+            assert (r.avg_cost, r.realized) == (pytest.approx(cost), pytest.approx(gain))
+
+
 def test_ledger_reads_a_busy_chunk_once(frame, monkeypatch):
     """100,000 sells of a chunk are refused in one linear reading, and a chunk hands on three numbers."""
     from tickloom.operators import folds

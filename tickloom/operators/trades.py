@@ -7,6 +7,7 @@ from collections import deque
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +25,7 @@ from tickloom.session import materialize
 
 EPS = 1e-6
 MAX_ENTRY = 0.99  # fixed value: asks from here on are not bought
+WHOLE_KEY = 50_000  # fills of an instrument that one task walks from end to end
 
 
 def latency_book(rows: DataFrame, *, latency: int, slack: int, chunk: int, by: str = "ticker",
@@ -379,6 +381,9 @@ def position_ledger(fills: DataFrame, *, chunk: int, by: str = "instrument", ts:
     nothing to undo later. A flat position keeps its last average cost, so a closing sell can
     be undone.
 
+    An instrument of at most ``WHOLE_KEY`` fills is walked once, in order; many of them share a task.
+    Only busier ones are cut into chunks.
+
     A chunk read from one opening quantity tells what it does to all quantities around it: up to
     the first sell that would be judged otherwise, it shifts them all alike. So a reading is three
     numbers (closing quantity, and how far the opening one may differ); chained, they give every
@@ -399,12 +404,54 @@ def position_ledger(fills: DataFrame, *, chunk: int, by: str = "instrument", ts:
         (signed * F.col("qty")).alias("q"), (signed * F.col("qty") * F.col("px")).alias("value"),
         (signed * F.col("fee")).alias("fee"), (signed < 0).alias("undo"),
         (F.col("venue_trade_id") if named else F.lit("")).alias("fill"))
+    slim = materialize(slim.filter(F.col(by).isNotNull() & F.col(ts).isNotNull()), "ledger")
+    double = T.DoubleType()
+    schema = T.StructType([fills.schema[by], T.StructField(ts, T.LongType()), fills.schema[order], *[
+        T.StructField(n, double) for n in ("qty_after", "avg_cost", "realized", "fees_paid", "cash")],
+        T.StructField("violation", T.BooleanType())])
+
+    def walk_whole(batches):
+        """Rows of whole instruments, one after the other; what is held never exceeds one state."""
+        current = object()
+        for pdf in batches:
+            out = []
+            for key, is_buy, q, value, fee, undo, fill in zip(*[
+                    pdf[n].tolist() for n in (by, "buy", "q", "value", "fee", "undo", "fill")]):
+                if key != current:
+                    current, refused = key, set()
+                    qty = cost = gain = fees = money = 0.0
+                step = q if is_buy else -q
+                skip = undo and fill in refused
+                bad = not skip and not _accepted(qty, step)
+                if bad and named and not undo:
+                    refused.add(fill)
+                if not skip and not bad:
+                    now = max(qty + step, 0.0)
+                    fees += fee
+                    if is_buy:
+                        money -= value + fee
+                        if now > EPS:
+                            cost = (cost * qty + value + fee) / now
+                    else:
+                        gain, money = gain + value - fee - q * cost, money + value - fee
+                    qty = now
+                out.append((qty, cost, gain, fees, money, bad))
+            if out:
+                yield pd.DataFrame({by: pdf[by], ts: pdf[ts], order: pdf[order],
+                                    **dict(zip(schema.names[3:], map(list, zip(*out))))})
+
+    busy = materialize(slim.groupBy(by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > WHOLE_KEY).select(by), "busy")
+    if busy.isEmpty():
+        return folds.together(slim, [by]).sortWithinPartitions(by, ts, order).mapInPandas(walk_whole, schema)
+    whole = folds.together(slim.join(busy, by, "left_anti"), [by]).sortWithinPartitions(by, ts, order).mapInPandas(
+        walk_whole, schema)
+    slim = slim.join(busy, by, "left_semi")
     if named:  # fills that one chunk applies and another one undoes
         same = Window.partitionBy(by, "fill")
         slim = slim.withColumn("apart", F.max("undo").over(same) & (F.min(C.CHUNK).over(same) != F.max(C.CHUNK).over(same)))
     slim = materialize(slim, "ledger")
     key_field, order_field = fills.schema[by], fills.schema[order]
-    double, place = T.DoubleType(), [by, C.CHUNK]
+    place = [by, C.CHUNK]
 
     def fields(kind, *extra):
         return T.StructType([key_field, T.StructField(C.CHUNK, T.LongType()),
@@ -524,10 +571,7 @@ def position_ledger(fills: DataFrame, *, chunk: int, by: str = "instrument", ts:
                               fields(double, "a", "b", "g0", "g1", "fees", "money"))
     opening = folds.fold_groups(parts, [by], [C.CHUNK], chain_cost,
                                 fields(double, "o_cost", "o_gain", "o_fees", "o_money"))
-    schema = T.StructType([key_field, T.StructField(ts, T.LongType()), order_field, *[
-        T.StructField(n, double) for n in ("qty_after", "avg_cost", "realized", "fees_paid", "cash")],
-        T.StructField("violation", T.BooleanType())])
-    return folds.fold_groups(counted.join(opening, place), place, [ts, order], finish, schema)
+    return whole.unionByName(folds.fold_groups(counted.join(opening, place), place, [ts, order], finish, schema))
 
 
 def settle_positions(positions: DataFrame, markets: DataFrame) -> DataFrame:
