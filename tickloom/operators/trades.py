@@ -603,6 +603,7 @@ def mark_positions(positions: DataFrame, tops: DataFrame, *, chunk: int) -> Data
 def daily_totals(ledger: DataFrame, fills: DataFrame, *, by: str = "instrument",
                  order: str = "seq", ts: str = "ts", chunk: int) -> DataFrame:
     """Realised result, fees and fills per UTC day over the account."""
+    ledger = materialize(ledger.select(by, ts, order, "realized", "fees_paid", "cash"), "ledger")  # read twice below
     prev = C.previous(ledger, {"realized": "_r", "fees_paid": "_f", "cash": "_c"}, by=[by], ts=ts,
                       order=[order], chunk=chunk)
     d = lambda c, p: F.col(c) - F.coalesce(p, F.lit(0.0))
