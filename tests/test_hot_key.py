@@ -565,3 +565,44 @@ def test_sweep_reads_no_pairs(frame):
     assert few <= 1000 + 100 + 10 * 10 and many - few == 900
     lone = books.sweep_rows(frame([("hot", 950)], "instrument STRING, ts LONG"), ups, chunk=100).count()
     assert lone <= 100 + 1 + 10
+
+
+@pytest.mark.parametrize("spread,bucket", [(9, 7), (60, 25), (900, 25), (25, 10_000)])
+def test_sweep_timing_against_pairs(frame, spread, bucket):
+    """Clusters shorter and longer than the window, repeated and missing values, chunks without trades or events."""
+    from tickloom.operators.study import sweep_timing
+
+    rng = random.Random(spread)
+    some = lambda v: None if rng.random() < 0.1 else v
+    trades = [(ts, some(ts - ts % spread), some(rng.randrange(4) / 100), some(float(rng.randint(1, 5))),
+               some(rng.choice(["Buy", "Sell"]))) for ts in [some(rng.randrange(300)) for _ in range(250)]
+              if ts is not None]
+    moves = [(some(i), some(rng.randrange(-20, 400)), some(rng.choice([1, -1]))) for i in range(120)]
+    moves += moves[:30]
+    out = sweep_timing(frame(moves, "event_id LONG, t0 LONG, dir INT"),
+                       frame(trades + [(None, 3, 0.01, 1.0, "Buy")], "ts LONG, exch_ts LONG, px DOUBLE, qty DOUBLE, side STRING"),
+                       pre=15, post=25, bucket=bucket)
+    expect = []
+    for event, t0 in {m[:2] for m in moves if m[1] is not None}:
+        dirs = [m[2] for m in moves if m[:2] == (event, t0)]
+        near = [x for x in trades if t0 - 15 <= x[0] < t0 + 25]
+        best = None
+        for exch in {x[1] for x in near}:
+            own = [x for x in near if x[1] == exch]
+            parts = [x[3] if x[4] == ("Buy" if (d or 0) > 0 else "Sell") else 0.0 for d in dirs for x in own]
+            levels = len({x[2] for x in own} - {None})
+            if len(own) * len(dirs) >= 2 and levels >= 2:
+                known = [p for p in parts if p is not None]
+                rank = (bool(known), sum(known), -exch if exch is not None else float("-inf"))
+                if best is None or rank > best[0]:
+                    best = rank, min(x[0] for x in own) - t0, sum(known) if known else None, levels
+        if near:
+            expect.append((event, min(x[0] for x in near) - t0, *(best[1:] if best else (None,) * 3)))
+    key = lambda r: str(tuple(r))
+    assert sorted(map(key, out.collect())) == sorted(map(key, expect))
+    assert any(r[2] is not None for r in expect)
+
+
+def test_sweep_timing_pairs_no_trades(spark, capsys):
+    contract.queries()["sweep_timing"](spark, "/root/testdata/sf0.001").explain()
+    assert "Join" not in capsys.readouterr().out

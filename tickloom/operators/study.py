@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,7 +15,7 @@ from tickloom.operators import chunks as C
 from tickloom.operators import stats as S
 from tickloom.operators.asof import asof_join
 from tickloom.operators.folds import fold_groups
-from tickloom.operators.ranges import range_join, window_totals
+from tickloom.operators.ranges import window_totals
 from tickloom.session import materialize
 
 # ── paths around events ──────────────────────────────────────────────────────
@@ -206,21 +207,112 @@ def tape_stats(events: DataFrame, trades: DataFrame, *, pre: int, post: int, chu
 
 def sweep_timing(events: DataFrame, trades: DataFrame, *, pre: int, post: int,
                  bucket: int) -> DataFrame:
-    """Time from the move to the first trade and to the sweep with most aligned volume."""
-    want = F.when(F.col("dir") > 0, "Buy").otherwise("Sell")
-    rows = range_join(events, trades, pre=pre, post=post, bucket=bucket)
-    clusters = rows.groupBy("event_id", "t0", "exch_ts").agg(
-        F.min("ts").alias("_first"), F.count(F.lit(1)).alias("_n"),
-        F.count_distinct(F.round("px", 4)).alias("_levels"),
-        F.sum(F.when(F.col("side") == want, F.col("qty")).otherwise(0.0)).alias("_aligned"))
-    sweep = (F.col("_n") >= 2) & (F.col("_levels") >= 2)
-    best = F.max_by(F.struct(F.col("_first"), F.col("_aligned"), F.col("_levels")), F.when(
-        sweep, F.struct(F.col("_aligned"), -F.col("exch_ts"))))
-    out = clusters.groupBy("event_id", "t0").agg(F.min("_first").alias("_f"), best.alias("_s"))
-    return out.select("event_id", (F.col("_f") - F.col("t0")).alias("first_trade"),
-                      (F.col("_s._first") - F.col("t0")).alias("main_sweep"),
-                      F.col("_s._aligned").alias("sweep_volume"),
-                      F.col("_s._levels").cast("long").alias("sweep_levels"))
+    """Time from the move to the first trade and to the sweep with most aligned volume.
+
+    A cluster is the trades of one ``exch_ts`` that lie in ``[t0 - pre, t0 + post)``, a sweep one of
+    two trades and two levels at least. Events are placed by time buckets, trades copied into the
+    buckets that reach them. Within a bucket a cluster is a stretch of sorted trades, cut by the
+    edges of a window at either end; its numbers are totals running in from its ends, so an event
+    meets the clusters of its window but not their trades.
+    """
+    moves = events.filter(F.col("t0").isNotNull()).groupBy("event_id", "t0").agg(
+        F.count(F.lit(1)).alias("_m"), F.count_if(F.col("dir") > 0).alias("_up"))
+    moves = C.with_chunk(moves, "t0", bucket)
+    side = lambda name: F.coalesce(F.col("side") == name, F.lit(False))
+    slim = trades.select(
+        "ts", F.coalesce("exch_ts", F.lit((1 << 63) - 1)).alias("exch"), (F.round("px", 4) + 0.0).alias("level"), "qty",
+        side("Buy").alias("buy"), side("Sell").alias("sell"))
+    slim = C.with_halo(slim, "ts", bucket, before=pre, after=post).drop(C.HOME)
+    schema = T.StructType([events.schema["event_id"], *[T.StructField(n, t) for n, t in (
+        ("first_trade", T.LongType()), ("main_sweep", T.LongType()), ("sweep_volume", T.DoubleType()),
+        ("sweep_levels", T.LongType()))]])
+
+    def timed(left, right):
+        return _sweeps(left, right, pre, post)
+
+    return moves.groupBy(C.CHUNK).cogroup(slim.groupBy(C.CHUNK)).applyInArrow(timed, schema)
+
+
+def _sweeps(events: pa.Table, trades: pa.Table, pre: int, post: int) -> pa.Table:
+    """One bucket of ``sweep_timing``: its events, and all trades that they reach."""
+    events = events.sort_by("t0")
+    t0, many, up = (events.column(n).to_numpy() for n in ("t0", "_m", "_up"))
+    start, end = t0 - pre, t0 + post
+    ts, exch = (trades.column(n).to_numpy() for n in ("ts", "exch"))
+    times = np.append(np.sort(ts), 0)
+    met = np.searchsorted(times[:-1], start) < np.searchsorted(times[:-1], end)
+    first = times[np.searchsorted(times[:-1], start)] - t0
+
+    order = np.lexsort((ts, exch))
+    ts, exch = ts[order], exch[order]
+    level = trades.column("level").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(
+        zero_copy_only=False)[order]
+    qty = trades.column("qty").cast("double").to_numpy()[order]
+    unknown = trades.column("qty").is_null().to_numpy()[order]
+    # per direction: what a trade adds to the aligned volume, and whether it adds a number at all
+    aligned = [(np.where(own & ~unknown, qty, 0.0), ~(own & unknown)) for own in (
+        trades.column(n).to_numpy()[order] for n in ("buy", "sell"))]
+
+    size = len(t0)
+    found, known = np.zeros(size, dtype=bool), np.zeros(size, dtype=bool)
+    volume, at, levels = np.zeros(size), np.zeros(size, dtype="int64"), np.zeros(size, dtype="int64")
+    cuts = np.r_[0, np.flatnonzero(np.diff(exch)) + 1, len(exch)] if size and len(exch) else [0]
+    for a, b in zip(cuts[:-1], cuts[1:]):  # ascending times of the exchange: of equal volumes the earliest stays
+        codes = level[a:b]
+        codes = np.unique(codes, return_inverse=True)[1] - int(codes.min() < 0)  # unknown levels do not count
+        if codes.max() < 1:
+            continue
+        t = ts[a:b]
+        e = slice(np.searchsorted(t0, t[0] - post, side="right"), np.searchsorted(t0, t[-1] + pre, side="right"))
+        lo, hi = np.searchsorted(t, start[e]), np.searchsorted(t, end[e])
+        n_levels = _distinct_between(codes, lo, hi)
+        sums = [[_sum_between(v[a:b], lo, hi) for v in pair] for pair in aligned]
+        ups, downs = up[e], many[e] - up[e]
+        total = ups * sums[0][0] + downs * sums[1][0]
+        some = (ups * sums[0][1] + downs * sums[1][1]) > 0  # a sum of nothing but unknown sizes is unknown
+        sweep = ((hi - lo) * many[e] >= 2) & (n_levels >= 2)
+        better = sweep & (~found[e] | (some & ~known[e]) | (some & known[e] & (total > volume[e])))
+        ix = np.flatnonzero(better) + e.start
+        found[ix], known[ix], volume[ix] = True, some[better], total[better]
+        at[ix], levels[ix] = t[lo[better]] - t0[ix], n_levels[better]
+    keep = np.flatnonzero(met)
+    none = ~found[keep]
+    return pa.table({
+        "event_id": events.column("event_id").take(pa.array(keep)),
+        "first_trade": pa.array(first[keep]), "main_sweep": pa.array(at[keep], mask=none),
+        "sweep_volume": pa.array(volume[keep], mask=none | ~known[keep]),
+        "sweep_levels": pa.array(levels[keep], mask=none)})
+
+
+def _sum_between(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Sums of ``values[lo:hi]``: totals from the nearer end; where both ends are cut off, a difference."""
+    up = np.append(0, np.cumsum(values))
+    down = np.append(np.cumsum(values[::-1])[::-1], 0)
+    out = np.where(lo == 0, up[hi], down[lo])
+    inner = (lo > 0) & (hi < len(values))
+    if inner.any():
+        wide = np.append(0, np.cumsum(values.astype(np.longdouble)))
+        out[inner] = (wide[hi[inner]] - wide[lo[inner]]).astype(out.dtype)
+    return out
+
+
+def _distinct_between(codes: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Different codes, those below 0 left out, in ``codes[lo:hi]``."""
+    n = len(codes)
+    new, last = np.zeros(n, dtype="int64"), np.zeros(n, dtype="int64")
+    new[np.unique(codes, return_index=True)[1]] = 1
+    last[n - 1 - np.unique(codes[::-1], return_index=True)[1]] = 1
+    new[codes < 0] = last[codes < 0] = 0
+    out = np.where(lo == 0, np.append(0, np.cumsum(new))[hi], np.append(np.cumsum(last[::-1])[::-1], 0)[lo])
+    inner = np.flatnonzero((lo > 0) & (hi < n) & (lo < hi))
+    if len(inner):
+        out[inner] = 0
+        places = np.argsort(codes, kind="stable")
+        for p in np.split(places, np.flatnonzero(np.diff(codes[places])) + 1):
+            if codes[p[0]] >= 0:
+                out[inner] += np.searchsorted(p, lo[inner]) < np.searchsorted(p, hi[inner])
+    out[lo >= hi] = 0
+    return out
 
 
 # ── lead-lag ─────────────────────────────────────────────────────────────────
