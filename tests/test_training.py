@@ -120,3 +120,38 @@ def test_batches_hold_every_row_once(spark):
     assert sorted(r.id for b in parts for r in b.collect()) == list(range(1000))
     theta, losses = U.adam(np.zeros(1), [1.0, 3.0], lambda b, th: (b, 1.0, np.ones(1)), 5, 0.01)
     assert losses == [2.0] * 5 and theta[0] == pytest.approx(-0.1)
+
+
+def test_descent_in_shards(spark, monkeypatch):
+    """One job per pass; one shard takes the steps of ``adam``, several are averaged by their rows."""
+    table = spark.range(1000).select((F.col("id") % 7).cast("double").alias("x"), (F.col("id") / 50).alias("y"))
+
+    def slope(theta, a):
+        miss = theta[0] + theta[1] * a[:, 0] - a[:, 1]
+        return float(np.sum(miss ** 2)), np.array([np.sum(miss), np.sum(miss * a[:, 0])])
+
+    def per_batch(batch, theta):
+        loss, g = slope(theta, batch)
+        return loss / len(batch), len(batch), g / len(batch)
+
+    batches = [b.toPandas().to_numpy() for b in U.in_batches(table, 100, "dealt")]
+    jobs = []
+    plain = type(table).toPandas
+    monkeypatch.setattr(type(table), "toPandas", lambda df: jobs.append(df) or plain(df))
+    one = U.packed_shards(table, 100, "packed")
+    assert sorted(one.first().sizes) == sorted(len(b) for b in batches) and one.count() == 1
+    theta, losses = U.descend(one, np.zeros(2), slope, 2, 6, 0.05)
+    assert len(jobs) == 6
+    expect, means = U.adam(np.zeros(2), batches, per_batch, 6, 0.05)
+    assert theta == pytest.approx(expect, rel=1e-9) and losses == pytest.approx(means, rel=1e-9)
+
+    monkeypatch.setattr(U, "SHARD_BATCHES", 3)
+    shards = U.packed_shards(table, 100, "packed")
+    theta, losses = U.descend(shards, np.zeros(2), slope, 2, 60, 0.2)
+    rows = np.concatenate([np.frombuffer(r.data).reshape(-1, 2) for r in shards.collect()])
+    assert shards.count() == 4 and sorted(map(tuple, rows)) == sorted(map(tuple, table.collect()))
+    assert sum(r.share for r in shards.collect()) == pytest.approx(1)
+    assert losses[-1] < losses[0] / 3 and theta[0] == pytest.approx(10, abs=2)
+
+    nothing = U.packed_shards(table.filter("x < 0"), 100, "packed")
+    assert U.descend(nothing, np.ones(2), slope, 2, 2, 0.1)[0].tolist() == [1, 1]

@@ -469,6 +469,71 @@ def adam(theta: np.ndarray, batches: Sequence, slope, steps: int, lr: float) ->
     return theta, losses
 
 
+SHARD_BATCHES = 64  # batches that one task takes in turn
+
+
+def packed_shards(df: DataFrame, rows: int, label: str) -> DataFrame:
+    """The table, numbers only, dealt into batches as ``in_batches`` does, ``SHARD_BATCHES`` to a shard.
+
+    One row per shard: its share of all rows, the sizes of its batches and the numbers, batch after
+    batch, as bytes. A pass over such a table moves nothing between tasks.
+    """
+    from tickloom.session import materialize
+
+    table = materialize(df, label)
+    total = table.count()
+    n = max(-(-total // rows), 1)
+    shards = -(-n // SHARD_BATCHES)
+    own = F.pmod(F.xxhash64(*table.columns), F.lit(n)).cast("int")
+    names = table.columns
+
+    def pack(key, pdf):
+        pdf = pdf.sort_values("_batch", kind="stable")
+        sizes = np.bincount(pdf["_batch"]).tolist()
+        return pd.DataFrame({"share": [len(pdf) / total], "sizes": [[s for s in sizes if s]],
+                             "data": [pdf[names].to_numpy(dtype=float).tobytes()]})
+
+    dealt = table.withColumn("_batch", own).withColumn("_shard", F.col("_batch") % shards)
+    return materialize(dealt.groupBy("_shard").applyInPandas(pack, "share DOUBLE, sizes ARRAY<INT>, data BINARY"), label)
+
+
+def descend(shards: DataFrame, theta: np.ndarray, slope, width: int, steps: int, lr: float) -> tuple[np.ndarray, list[float]]:
+    """``steps`` passes of Adam over packed shards of ``width`` numbers a row, a pass being one job.
+
+    ``slope(theta, rows)`` gives the loss sum and its gradient over one batch; every shard takes a step
+    per batch on its own, then weights and moments are averaged by the shards' rows. One shard is the
+    sequence of steps that ``adam`` takes. Returns the weights and the mean loss of each pass.
+    """
+    size, losses, t = len(theta), [], 0
+    state = np.concatenate([theta, np.zeros(2 * size)])
+    for _ in range(steps):
+        shared = shards.sparkSession.sparkContext.broadcast((state, t))
+
+        def one_pass(batches):
+            for pdf in batches:
+                for share, sizes, data in zip(pdf["share"], pdf["sizes"], pdf["data"]):
+                    state, t = shared.value
+                    x, m, v = np.split(state, 3)
+                    rows, at, total = np.frombuffer(data).reshape(-1, width), 0, 0.0
+                    for n in sizes:
+                        loss, g = slope(x, rows[at:at + n])
+                        at, t, total, g = at + n, t + 1, total + loss, g / n
+                        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+                        x = x - lr * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
+                    part = share * np.r_[total / len(rows), x, m, v]
+                    yield pd.DataFrame({"i": np.arange(len(part)), "g": part, "t": t})
+
+        sums = shards.mapInPandas(one_pass, "i INT, g DOUBLE, t INT").groupBy("i").agg(
+            F.sum("g").alias("g"), F.max("t").alias("t")).toPandas().sort_values("i")  # one value per weight and moment
+        shared.destroy()
+        if sums.empty:  # no rows at all
+            return theta, [float("nan")] * steps
+        values, t = sums["g"].to_numpy(), int(sums["t"].iloc[0])
+        losses.append(float(values[0]))
+        state = values[1:]
+    return state[:size], losses
+
+
 def train_net(batches: Sequence[DataFrame], model: Model, *, px: Sequence[str], steps: int, lr: float = 0.01,
               target: str = "mid", weight: str = "weight") -> tuple[Model, list[float]]:
     """Adam on the network, event parameters given as columns of the batches."""

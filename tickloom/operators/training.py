@@ -127,33 +127,19 @@ def train_lead(rows: DataFrame, *, horizon: int, slack: int, chunk: int, hidden:
     def correction(net, x):
         return U.LEAD_CLAMP * np.tanh(U.forward(net, x) / U.LEAD_CLAMP)
 
-    def slope(batch, theta):
-        shared = data.sparkSession.sparkContext.broadcast(U.unflatten(model, theta))
-
-        def partial(batches):
-            total = None
-            for pdf in batches:
-                a = pdf.to_numpy(dtype=float)
-                x, base, y = a[:, :3], a[:, 3], a[:, 4]
-                raw = U.forward(shared.value, x)
-                t = np.tanh(raw / U.LEAD_CLAMP)
-                lo = base + U.LEAD_CLAMP * t
-                loss = np.sum(np.maximum(lo, 0) - lo * y + np.log1p(np.exp(-np.abs(lo))))
-                # chain rule: the loss slope in the logit, through the clamp, into the network
-                slope = (U.sigmoid(lo) - y) * (1 - t * t)
-                _, g = U.backprop(shared.value, x, U.sigmoid(raw) - slope, np.ones(len(x)))
-                part = np.r_[loss, len(x), g]
-                total = part if total is None else total + part
-            if total is not None:
-                yield pd.DataFrame({"i": np.arange(len(total)), "g": total})
-
-        sums = batch.mapInPandas(partial, "i INT, g DOUBLE").groupBy("i").agg(F.sum("g").alias("g"))
-        vec = sums.toPandas().sort_values("i")["g"].to_numpy()  # one value per weight
-        shared.destroy()
-        return (vec[0] / vec[1], vec[1], vec[2:] / vec[1]) if len(vec) else (0.0, 0.0, np.zeros_like(theta))
-
-    batches = U.in_batches(data.filter("split = 'train'").select(*numbers), LEAD_BATCH, "lead")
-    theta, _ = U.adam(U.flatten(model) * 0.3, batches, slope, steps, lr)
+    def slope(theta, a):
+        net, x, base, y = U.unflatten(model, theta), a[:, :3], a[:, 3], a[:, 4]
+        raw = U.forward(net, x)
+        t = np.tanh(raw / U.LEAD_CLAMP)
+        lo = base + U.LEAD_CLAMP * t
+        loss = np.sum(np.maximum(lo, 0) - lo * y + np.log1p(np.exp(-np.abs(lo))))
+        # chain rule: the loss slope in the logit, through the clamp, into the network
+        slope = (U.sigmoid(lo) - y) * (1 - t * t)
+        _, g = U.backprop(net, x, U.sigmoid(raw) - slope, np.ones(len(x)))
+        return loss, g
+
+    shards = U.packed_shards(data.filter("split = 'train'").select(*numbers), LEAD_BATCH, "lead")
+    theta, _ = U.descend(shards, U.flatten(model) * 0.3, slope, len(numbers), steps, lr)
     shared = data.sparkSession.sparkContext.broadcast(U.unflatten(model, theta))
 
     def predict(batches):
