@@ -19,6 +19,7 @@ from tickloom.operators import chunks as C
 from tickloom.operators.asof import asof_join
 from tickloom.operators.folds import fold_groups, fold_stream
 from tickloom.schema import struct_of
+from tickloom.session import materialize
 
 LEVEL = ["instrument", "epoch", "side", "px_micro"]
 MICRO = 1_000_000
@@ -76,13 +77,13 @@ def depth_epochs(snapshots: DataFrame, updates: DataFrame, *, chunk: int) -> Dat
     snaps = snapshots.select("instrument", F.col("last_update_id").alias("_id"))
     rows = asof_join(updates, snaps, by=["instrument"], ts="last_id", right_ts="_id",
                      take={"_id": "epoch"}, chunk=chunk)
-    rows = rows.filter(F.col("epoch").isNotNull())
+    rows = materialize(rows.filter(F.col("epoch").isNotNull()), "epochs")  # both steps below read their rows twice
     kw = dict(by=["instrument", "epoch"], ts="last_id", chunk=chunk)
     rows = C.previous(rows, {"last_id": "_p"}, **kw)
     first = F.col("_p").isNull()
     bad = F.when(first, F.col("first_id") > F.col("epoch")).otherwise(
         F.col("prev_id") != F.col("_p"))
-    rows = rows.withColumn("gap", bad).drop("_p")
+    rows = materialize(rows.withColumn("gap", bad).drop("_p"), "gaps")
     return _valid_until_gap(rows, "last_id")
 
 

@@ -12,6 +12,7 @@ from tickloom.operators import study
 from tickloom.plans.registry import query
 from tickloom.plans.roles import DAY, HOUR, MINUTE, SCORED, TICKS, micros, scored, table, ticks
 from tickloom.plans.source_queries import S
+from tickloom.session import materialize
 from tickloom.sources import feeds
 
 R = 6
@@ -252,6 +253,7 @@ def depth_snapshot_sync(spark, sf):
     u = C.previous(u, {"last_id": "_p"}, by=["instrument"], ts="last_id", chunk=20_000)
     u = u.withColumn("prev_id", F.coalesce("_p", F.lit(-1)) + F.when(
         F.col("last_id") % 17 == 0, 1).otherwise(0)).drop("_p")
+    u = materialize(u, "updates")
     # one snapshot at the start of every instrument, and one at every update whose id ends a twenty
     snaps = table(spark, sf, "supplier").select(
         F.col("s_suppkey").alias("instrument"), F.col("s_suppkey").alias("last_update_id")).union(
