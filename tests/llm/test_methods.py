@@ -118,6 +118,55 @@ def test_repeats_against_brute_force(spark, real, monkeypatch):
     assert sorted(map(tuple, out)) == sorted(want) and any(w[2] for w in want)
 
 
+def moved_to(df):
+    """Columns and number of partitions of the hash exchanges in the plan of ``df``."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return {(re.sub(r"#\d+L?", "", m[1]), int(m[2])) for m in re.finditer(r"hashpartitioning\((.*?), (\d+)\)", plan)}
+
+
+def test_blocks_stay_where_they_are(spark):
+    """More shuffle partitions than buckets of the block table do not move the blocks to those."""
+    docs = materialize(spark.createDataFrame([(i, f"{i} " * 40) for i in range(60)], "doc_id long, text string"), "rows")
+    kept = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "37")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        out = repeats.without_repeats(docs, repeats.digest_rows("doc_id"),
+                                      "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        assert moved_to(out) == {("block", 12)}
+        assert out.count() == 60
+    finally:
+        for name, value in kept.items():
+            spark.conf.set(name, value)
+
+
+def test_few_pieces_cost_little_more_than_their_text():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 5, 900):
+        size = rng.integers(50, 77, n)
+        given = [rng.integers(-1 << 62, 1 << 62, n), size, rng.integers(0, 27, n), rng.integers(0, 256, size.sum()).astype(np.uint8)]
+        packed = repeats.packed_pieces(*given)
+        assert all(np.array_equal(a, b) for a, b in zip(given, repeats.unpacked_pieces(packed), strict=True))
+        assert len(packed) <= 10 * n + size.sum() + 40
+
+
+def test_prefixes_are_moved_once(spark):
+    """The rows of a class are found and freed of copies by the same keys."""
+    rows = [(i % 7, i % 5, 0, 100, i % 5, 1, [1, 2], b"x") for i in range(40)]
+    sets = materialize(spark.createDataFrame(
+        rows, "doc_id long, t1 long, t2 long, n long, fp1 long, fp2 long, prefix array<long>, bits binary"), "sets")
+    classes = materialize(sets.groupBy("n", "fp1", "fp2").agg(F.min(F.struct("t1", "t2", "doc_id")).alias("chosen")).withColumn(
+        "id", F.monotonically_increasing_id()), "classes")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        out = ngramjoin.class_rows(sets, classes, 80)
+        assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+        assert sorted((r.id, r.t1) for r in out.collect()) == sorted((r.id, r.chosen.t1) for r in classes.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
 def test_suffixes_sort_like_bytes():
     rng = np.random.default_rng(0)
     data = rng.integers(0, 3, 4000).astype(np.uint8)

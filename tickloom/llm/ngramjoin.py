@@ -224,6 +224,18 @@ def shared_ids(sets: DataFrame, classes: DataFrame) -> DataFrame:
     return held.join(lead, "doc_id").filter("id <> a").select("a", F.col("id").alias("b"))
 
 
+def class_rows(sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The chosen row of every class that can link with another one.
+
+    Copies go by all keys of the join, which tell classes apart as ``id`` does, so the rows with their prefixes
+    are moved once.
+    """
+    # of smaller sets only equal ones link
+    return sets.filter(f"n * {100 - percent} >= {percent}").join(classes, ["n", "fp1", "fp2"]).filter(
+        "t1 = chosen.t1 and t2 = chosen.t2").dropDuplicates(["n", "fp1", "fp2", "t1", "t2"]).select(
+        "id", "n", "prefix", "bits", "t1", "t2", "chosen.doc_id")
+
+
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORDS,
                        percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row."""
@@ -233,9 +245,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     classes = materialize(sets.filter("n > 0").groupBy("n", "fp1", "fp2").agg(
         F.min("doc_id").alias("rep"), F.min(F.struct("t1", "t2", "doc_id")).alias("chosen")).withColumn(
         "id", F.monotonically_increasing_id()), "classes")
-    # of smaller sets only equal ones link
-    unique = materialize(sets.filter(f"n * {100 - percent} >= {percent}").join(classes, ["n", "fp1", "fp2"]).filter(
-        "t1 = chosen.t1 and t2 = chosen.t2").dropDuplicates(["id"]).select("id", "n", "prefix", "bits", "t1", "t2", "chosen.doc_id"), "unique")
+    unique = materialize(class_rows(sets, classes, percent), "unique")
     fields, marks = unique.select("id", "bits"), unique.select("id", "t1", "t2", "doc_id")
     token = Window.partitionBy("token")
     entries = unique.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
